@@ -13,6 +13,7 @@ packed each; an empty table gives an empty table; other columns aren't read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from dataclasses import dataclass
@@ -120,24 +121,57 @@ class WordIds:
     """Ids of whole words, kept as packed bytes; the tokenizer never joins over white space.
 
     Texts split at ASCII white space only; any other white space stays inside a
-    word and is left to the library.
+    word and is left to the library.  ASCII case doesn't matter to the tokenizer
+    and a stop or comma after an ASCII letter is a token of its own, so a new
+    word is looked up in lower case and without it.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each core has its own task
         from tokenizers import Tokenizer
 
-        self.encode, self.most, self.known = Tokenizer.from_file(path).encode_batch, most, {}
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.most, self.known = tokenizer.encode_batch_fast, most, {}
+        suffix = tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for w, i in tokenizer.get_vocab().items() if suffix and w.endswith(suffix)]] = True
+        self.marks = dict(zip((b".", b","), self._each([b".", b","]), strict=True))
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.encode([w.decode() for w in words], add_special_tokens=False)]
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that are all letters, encoded as one text: each is one piece, whose last id ends a word."""
+        (all_ids,) = self.encode([b" ".join(words).decode()], add_special_tokens=False)
+        ids = np.array(all_ids.ids, np.uint32)
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != len(words):
+            return self._each(words)
+        data, cut = ids.tobytes(), [0, *(4 * last).tolist()]
+        return [data[x:y] for x, y in zip(cut, cut[1:], strict=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        letters: list[bytes] = []
+        others: list[bytes] = []
+        for w in words:
+            (letters if w.isalpha() or w.decode().isalpha() else others).append(w)
+        for some, encode in ((letters, self._together), (others, self._each)):
+            for at in range(0, len(some), 10_000):
+                self.known.update(zip(some[at : at + 10_000], encode(some[at : at + 10_000]), strict=True))
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [(t or b"").split() for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > self.most:
+        split = [(t if b"<" in t else t.lower()).split() if t else [] for t in texts]  # special tokens hold a "<"
+        words = set().union(*split)
+        if len(self.known) + len(words) > self.most:
             self.known = {}
-            new = list(set().union(*split))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            self.known.update(zip(some, (array("I", e.ids).tobytes() for e in self.encode([w.decode() for w in some], add_special_tokens=False)), strict=True))
-        get = self.known.__getitem__
+        known, marks = self.known, self.marks
+        new = words.difference(known)
+        marked = [w for w in new if w[-1:] in marks and w[-2:-1].isalpha()]
+        new.difference_update(marked)
+        new.update([w[:-1] for w in marked])
+        self._learn(list(new.difference(known)))
+        known.update([(w, known[w[:-1]] + marks[w[-1:]]) for w in marked])
+        get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
