@@ -39,7 +39,7 @@ def _byte_of_symbol() -> dict[str, int]:
 class PrefixCounter:
     """Counts for one tokenizer file; holds caches of bounded size."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
