@@ -4,7 +4,7 @@ Difference-cover anchors: positions whose residue modulo a period lies in a
 difference cover are hashed over a short anchor.  For any two places with equal
 windows some offset within the period is a cover position in both, so they
 share an aligned anchor.  Anchors that several documents have are extended to
-the windows around them, and these are compared by 128-bit hashes.
+the windows around them, and these are compared by 96-bit hashes.
 
 Defined results: a null or empty text has no words and loses none; a null
 doc_id is neither smaller nor larger than another, so its text is kept; rows
@@ -112,7 +112,8 @@ def _windows(window: int, period: int):
                 np.add.at(edge, spots + 1, -1)
                 at = np.flatnonzero(np.cumsum(edge)[: len(words) - window + 1] > 0)
                 hashes = word_hashes(words)
-                parts.append((*(window_hashes(hashes, window, k)[at].view(np.int64) for k in (0, 1)), np.full(len(at), doc, np.int64), at.astype(np.int32)))
+                h, g = (window_hashes(hashes, window, k)[at] for k in (0, 1))
+                parts.append((h.view(np.int64), (g >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(at), doc, np.int64), at.astype(np.int32)))
             if parts:
                 yield _emit(parts, ["h", "g", "doc_id", "pos"])
 
@@ -128,7 +129,7 @@ def repeated_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFram
     spots = scratch.table(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("pos").alias("spots")), "spots")
     scratch.drop("anchors", "shared")
     near = texts.join(spots, "doc_id").select("doc_id", "text", "spots")
-    windows = scratch.table(near.mapInArrow(_windows(window, period), "h long, g long, doc_id long, pos int"), "windows")
+    windows = scratch.table(near.mapInArrow(_windows(window, period), "h long, g int, doc_id long, pos int"), "windows")
     first = scratch.table(windows.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("b")).where("first < b").drop("b"), "first")
     found = windows.join(first, ["h", "g"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "h")).alias("found"))
     found = scratch.table(found, "found")
