@@ -6,6 +6,7 @@ survives lost executors, and the shuffle files behind it can go at once.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,10 +29,10 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-        jpath, fs = self._fs(self.path)
+        jpath, fs = self._fs(f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}")
         fs.mkdirs(jpath)
         fs.deleteOnExit(jpath)
+        self.path = re.sub("^file:/+", "file:///", fs.makeQualified(jpath).toString())  # with its scheme, as any reader takes it
 
     def _fs(self, path: str):
         jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -48,6 +49,12 @@ class Scratch:
             conf.set(_FREE_SHUFFLE, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def folder(self, name: str) -> str:
+        """An empty folder for files that aren't Spark's."""
+        jpath, fs = self._fs(f"{self.path}/{name}")
+        fs.mkdirs(jpath)
+        return f"{self.path}/{name}"
+
     def drop(self, *names: str) -> None:
         for name in names:
             jpath, fs = self._fs(f"{self.path}/{name}")

@@ -29,11 +29,13 @@ from .scratch import Scratch
 
 VERSION = b"WARC/1.1"
 _GZIP = b"\x1f\x8b\x08"
+_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_NEEDED = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 _END = b"\r\n\r\n"
 _SCHEMA = "kind string, page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, file string, start long, length long, reason string"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "2000-01-01T00:00:00Z") -> bytes:
     """One record's bytes; a revisit holds no payload, only its digest and length."""
     name = "null" if page_id is None else str(page_id)
     clean = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url is not None else None
@@ -41,10 +43,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         VERSION.decode(),
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{name}>",
+        f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {clean}"] if clean is not None else []),
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Payload-Length: {len(payload)}",
-        *([f"WARC-Refers-To: <urn:page:{refers_to}>"] if refers_to is not None else []),
+        *([f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {_PROFILE}"] if refers_to is not None else []),
+        "Content-Type: text/html; charset=utf-8",
         f"Content-Length: {len(payload) if refers_to is None else 0}",
     ]
     return "\r\n".join(head).encode() + _END + (payload if refers_to is None else b"") + _END
@@ -67,6 +71,8 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         size = int(head["content-length"])
     except (ValueError, KeyError) as e:
         raise Damaged("bad header") from e
+    if not _NEEDED <= head.keys() or not all(re.fullmatch(r"[!-9;-~]+", k) for k in head):
+        raise Damaged("bad header")
     start = cut + len(_END)
     block = data[start : start + size]
     if size < 0 or len(block) != size or not data.startswith(_END, start + size):
@@ -219,5 +225,6 @@ def archive_round_trip(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     revisits = scratch.table(plan_revisits(pages, scratch, least_bytes), "revisits").select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "refers_to")
     full = pages.withColumn("digest", F.sha2(F.coalesce(F.encode("html", "utf-8"), F.lit(b"")), 256))
     joined = full.join(revisits, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left")
-    write_archives(joined.select("page_id", "url", "html", "digest", "refers_to").sortWithinPartitions("page_id", "digest"), f"{scratch.path}/archives")
-    return read_archives(spark, f"{scratch.path}/archives").where("kind = 'record'")
+    archives = scratch.folder("archives")
+    write_archives(joined.select("page_id", "url", "html", "digest", "refers_to").sortWithinPartitions("page_id", "digest"), archives)
+    return read_archives(spark, archives).where("kind = 'record'")
