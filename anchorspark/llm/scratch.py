@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ROW_GROUP = 16 << 20  # bytes that a writing task holds
 _FREE_SHUFFLE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -44,7 +45,7 @@ class Scratch:
         conf, before = self.spark.conf, self.spark.conf.get(_FREE_SHUFFLE, "false")
         conf.set(_FREE_SHUFFLE, "true")
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.option("compression", "zstd").option("parquet.block.size", _ROW_GROUP).parquet(path)
         finally:
             conf.set(_FREE_SHUFFLE, before)
         return self.spark.read.schema(df.schema).parquet(path)
