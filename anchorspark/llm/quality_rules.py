@@ -122,7 +122,7 @@ def _symbols(s: TextStats) -> bool:
 
 
 def _same_lines(s: TextStats) -> bool:
-    return 10 * s.n_dup_lines > 3 * len(s.lines)
+    return 2 * s.n_dup_lines > len(s.lines)
 
 
 def _word_length(s: TextStats) -> bool:

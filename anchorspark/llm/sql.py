@@ -12,7 +12,7 @@ base AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(length(array_t
                 length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) AS upper_n, length(regexp_replace(coalesce(text, ''), '[^a-z]', '', 'g')) AS lower_n
          FROM w LEFT JOIN rep USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > word_chars OR 10 * n_dup_lines > 3 * n_lines
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > word_chars OR 2 * n_dup_lines > n_lines
             OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR upper_n > lower_n) AS kept
 FROM base
 """

@@ -62,7 +62,7 @@ def test_quality_rules(spark, texts):
         failed = n < 20 or 100 * rep > 30 * n
         lines = sum(bool(x.encode().split()) for x in (t or "").split("\n"))
         upper, lower = (sum(a <= c <= b for c in t or "") for a, b in ("AZ", "az"))
-        kept = not (failed or 10 * symbols > chars or 10 * dup > 3 * lines or chars < 2 * n or chars > 20 * n or upper > lower)
+        kept = not (failed or 10 * symbols > chars or 2 * dup > lines or chars < 2 * n or chars > 20 * n or upper > lower)
         want[i, n, chars, symbols, dup, rep, failed, kept] += 1
     assert got == want
     assert quality_rules.judge(make(spark, [])).count() == 0
