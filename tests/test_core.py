@@ -129,7 +129,7 @@ def test_stream_equals_batch(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(core.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in "customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = core.QUERIES[name](spark, SF)
     want = con.execute(core.ORACLE_SQL[name])
