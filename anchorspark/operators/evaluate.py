@@ -75,3 +75,41 @@ def difficulty(n_words: Column, n_corpora: Column) -> Column:
 
 def test_types(any_of: Column, behavior: Column, contract: Column, n_corpora: Column) -> Column:
     return F.array_compact(F.array(F.when(F.size(any_of) > 0, "retrieval"), F.when(behavior == "abstain", "abstention"), F.when(contract, "contract"), F.when(n_corpora > 1, "multi_hop"), F.lit("faithfulness")))
+
+
+#: Fixed value: wordings that tie one act to another.
+CROSS_REFERENCE = r"references?|in\s+accordance\s+with|pursuant\s+to|as\s+defined\s+in|under|henviser\s+til|i\s+overensstemmelse\s+med"
+
+
+def cross_references(answer: Column, cited: Column, names: str) -> Column:
+    """(passed, score): two corpora cited, or a wording that ties the answer to a named act."""
+    tied = F.coalesce(T.whole_word(answer, rf"({CROSS_REFERENCE})\W(.*\W)?({names})"), F.lit(False))
+    passed = (F.size(cited) >= 2) | tied
+    return F.struct(passed.alias("passed"), F.when(passed, 1.0).otherwise(0.0).alias("score"))
+
+
+def routing_recall(expected: Column, routed: Column, least: float = 0.8) -> Column:
+    """(passed, score): the share of expected corpora among those routed to."""
+    score = F.when(F.size(expected) > 0, F.size(F.array_intersect(expected, routed)) / F.size(expected)).otherwise(F.lit(1.0))
+    return F.struct((score >= least).alias("passed"), score.alias("score"))
+
+
+def completeness(targets: Column, cited: Column) -> Column:
+    """(passed, missing): the targets of a comparison that an answer leaves out."""
+    missing = F.array_sort(F.array_except(targets, cited))
+    return F.struct((F.size(missing) == 0).alias("passed"), missing.alias("missing"))
+
+
+def scope_quota(hits: DataFrame, quota: int, k: int) -> DataFrame:
+    """At most quota hits of each scope first, then the nearest of the rest, k in all; a chunk once, at its least distance."""
+    best = hits.groupBy("query_id", "chunk_id").agg(F.min(F.struct("distance", "scope")).alias("b")).select("query_id", "chunk_id", "b.distance", "b.scope")
+    within = F.row_number().over(Window.partitionBy("query_id", "scope").orderBy("distance", "chunk_id")) <= quota
+    placed = best.withColumn("within", within)
+    order = Window.partitionBy("query_id").orderBy(F.desc("within"), "distance", "chunk_id")
+    kept = placed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    return kept.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))).drop("r", "within")
+
+
+def calibrated(cases: DataFrame, expected: str, retrieved: str) -> DataFrame:
+    """Whether retrieval found any expected anchor of each case."""
+    return cases.withColumn("confirmed", F.arrays_overlap(expected, retrieved))

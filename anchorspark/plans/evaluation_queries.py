@@ -241,3 +241,25 @@ def hierarchy_audit(spark, d):
 
 
 
+@query("WITH c AS (SELECT l_orderkey AS k, list(DISTINCT l_returnflag) AS f FROM lineitem GROUP BY 1) SELECT k, len(list_intersect(['A', 'R'], f)) / 2 >= 0.8 AS passed, len(list_intersect(['A', 'R'], f)) / 2 AS score, list_filter(['A', 'N', 'R'], lambda x: NOT list_contains(f, x)) AS missing FROM c")
+def routing_and_completeness(spark, d):
+    c = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_returnflag").alias("f"))
+    flags = lambda *x: F.array(*map(F.lit, x))
+    r = c.select("k", evaluate.routing_recall(flags("A", "R"), F.col("f")).alias("s"), evaluate.completeness(flags("A", "N", "R"), F.col("f")).alias("m"))
+    return r.select("k", "s.passed", "s.score", "m.missing")
+
+
+@query(f"WITH {_NEAR}, {_TOP}, h AS (SELECT query_id, chunk_id, distance, corpus_id, row_number() OVER (PARTITION BY query_id, corpus_id ORDER BY distance, chunk_id) <= 1 AS w FROM top WHERE rank <= 50), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, distance, chunk_id) AS r FROM h) SELECT query_id, chunk_id, distance, corpus_id AS scope, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS position FROM o WHERE r <= 15")
+def scope_quota(spark, d):
+    return evaluate.scope_quota(_near(spark, d).select("query_id", "chunk_id", "distance", F.col("corpus_id").alias("scope")), 1, 15)
+
+
+@query("WITH e AS (SELECT o_custkey AS k, list(DISTINCT o_orderpriority) AS p FROM orders GROUP BY 1) SELECT k, list_has_any(p, ['1-URGENT', '5-LOW']) AS confirmed FROM e")
+def retrieval_calibration(spark, d):
+    c = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set("o_orderpriority").alias("p"))
+    return evaluate.calibrated(c.withColumn("e", F.array(F.lit("1-URGENT"), F.lit("5-LOW"))), "e", "p").select("k", "confirmed")
+
+
+@query()
+def cross_reference_scorer(spark, d):
+    return _t(spark, d, "documents").select("doc_id", evaluate.cross_references(F.col("text"), F.array("source"), "gdpr|ai.?act|nis2|dora|cra").alias("s")).select("doc_id", "s.passed", "s.score")

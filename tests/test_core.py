@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from anchorspark.functions import text as T
-from anchorspark.operators import graph, metrics, rank, retrieve, validate
+from anchorspark.operators import evaluate, graph, metrics, rank, retrieve, validate
 from anchorspark.plans import evaluation_queries  # noqa: F401  registers its queries
 from anchorspark.plans import queries as core
 from anchorspark.sources import html, tables
@@ -143,3 +143,10 @@ def test_query_equals_sql(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_cross_references(spark):
+    one_corpus = F.array(F.lit("a"))
+    assert tuple(one(spark, evaluate.cross_references(F.lit("This applies pursuant to the GDPR."), one_corpus, "gdpr|dora"))) == (True, 1.0)
+    assert tuple(one(spark, evaluate.cross_references(F.lit("The gdpr is a law."), one_corpus, "gdpr|dora"))) == (False, 0.0)
+    assert one(spark, evaluate.cross_references(F.lit(None).cast("string"), F.array(F.lit("a"), F.lit("b")), "gdpr"))["passed"]
