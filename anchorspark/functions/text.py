@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -205,3 +208,59 @@ def squared_l2(a: Column, b: Column) -> Column:
 def gaussian(distance: Column) -> Column:
     d = F.greatest(distance, F.lit(0.0))
     return F.exp(-d * d / 2)
+
+
+# Fixed value: short words that stand alone in titles.
+TITLE_WORDS = {"den", "det", "de", "en", "et", "til", "og", "eller", "med", "ved", "fra", "for", "af", "på", "som", "der", "ikke", "hvis", "men", "kan", "skal", "må", "har", "have"}
+
+
+def _glued(title: str | None) -> str | None:
+    """A title with four or more spaced letters closed up, and words that extraction broke in two put together."""
+    words: list[str] = []
+    broken = False  # whether the last word may still take its other half
+    for single, run in groupby((title or "").split(), key=lambda w: len(w) == 1 and w.isalpha()):
+        apart = list(run)
+        if single and len(apart) >= 4:
+            words.append("".join(apart))
+            broken = False
+            continue
+        for word in apart:
+            alone = len(word) >= 3 and word.lower() in TITLE_WORDS
+            if broken and word.isalpha() and word[0].islower() and not alone:
+                words[-1] += word
+                broken = False
+            else:
+                words.append(word)
+                broken = word.isalpha() and len(word) <= 10 and not alone
+    return " ".join(words) or None
+
+
+def _ascii_slug(text: str | None, most: int = 30) -> str:
+    """Lower-case ASCII words joined by dashes, as many as fit; a first word that is too long is cut."""
+    plain = unicodedata.normalize("NFKD", text or "").encode("ascii", "ignore").decode().lower()
+    out = ""
+    for word in re.findall(r"[a-z0-9]+", plain):
+        if len(out) + len(word) + bool(out) > most:
+            break
+        out += ("-" if out else "") + word
+    return out or re.sub(r"[^a-z0-9]+", "", plain)[:most]
+
+
+def repair_title(title: Column) -> Column:
+    """_glued for a column, in Arrow batches: each join depends on the one before."""
+    return F.pandas_udf(lambda s: s.map(_glued, na_action="ignore"), "string")(title)
+
+
+def ascii_slug(text: Column) -> Column:
+    """_ascii_slug for a column, in Arrow batches: there is no built-in decomposition of letters."""
+    return F.pandas_udf(lambda s: s.map(_ascii_slug), "string")(text)
+
+
+def question_kind(text: Column) -> Column:
+    """(multi_part, recital_quote, substantive, chapter_overview) of a question."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    parts = F.regexp_count(low, F.lit(r"(?m)^[ \t]*\d+[ \t]*[).][ \t]+")) >= 2
+    quote = contains_any(low, ["betragtning", "recital"]) & contains_any(low, ["hvad siger", "hvad står der", "ordlyd", "citer"])
+    meant = contains_any(low, ["hvad", "forklar", "beskriv", "handler", "betyder", "krav", "forbud", "formål", "definition", "hvordan", "hvem"])
+    chapter = low.rlike(r"k\s*a\s*p\s*i\s*t\s*e\s*l\s*([0-9]+|[ivxlcdm]+)") & contains_any(low, ["handler", "omhandler", "opsummer", "sammenfat", "overblik"])
+    return F.struct(parts.alias("multi_part"), quote.alias("recital_quote"), meant.alias("substantive"), chapter.alias("chapter_overview"))

@@ -113,3 +113,86 @@ def scope_quota(hits: DataFrame, quota: int, k: int) -> DataFrame:
 def calibrated(cases: DataFrame, expected: str, retrieved: str) -> DataFrame:
     """Whether retrieval found any expected anchor of each case."""
     return cases.withColumn("confirmed", F.arrays_overlap(expected, retrieved))
+
+
+def faithfulness(verdicts: DataFrame, by: str, supported: str, least: float = 0.75) -> DataFrame:
+    """(passed, score): the share of claims that a judge's verdicts support; claims without a verdict count as unsupported."""
+    share = F.avg(F.coalesce(F.col(supported), F.lit(False)).cast("int"))
+    return verdicts.groupBy(by).agg(share.alias("score")).withColumn("passed", F.col("score") >= least)
+
+
+def relevancy(raw: Column, least: float = 0.75) -> Column:
+    """(passed, score) of a judge's mark from 0 to 10; no mark scores zero."""
+    score = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw / 10)), F.lit(0.0))
+    return F.struct((score >= least).alias("passed"), score.alias("score"))
+
+
+def three_state(ok: Column) -> Column:
+    """pass, fail, or not_run where a check left no result."""
+    return F.when(ok.isNull(), "not_run").when(ok, "pass").otherwise("fail")
+
+
+def enrichment_coverage(described: Column, n_terms: Column, least: int = 2) -> Column:
+    """(passed, score): half for a description, half for enough search terms."""
+    parts = [F.coalesce(F.length(F.trim(described)) > 0, F.lit(False)), F.coalesce(n_terms >= least, F.lit(False))]
+    return F.struct((parts[0] & parts[1]).alias("passed"), sum((F.when(p, 0.5).otherwise(0.0) for p in parts), F.lit(0.0)).alias("score"))
+
+
+def required_numbers(references: DataFrame, required: DataFrame) -> DataFrame:
+    """(query_id, numbers, missing) for required (query_id, grp, anchor, every): of a group of alternatives the least
+    number of any; of a group where every anchor counts the least of each.  missing: anchors that no reference holds, but
+    for alternatives only where none is held.  references: (query_id, number, anchor)."""
+    least = references.groupBy("query_id", F.lower("anchor").alias("anchor")).agg(F.min("number").alias("number"))
+    held = required.withColumn("anchor", F.lower("anchor")).distinct().join(least, ["query_id", "anchor"], "left")
+    lost = F.array_sort(F.collect_list(F.when(F.col("number").isNull(), F.col("anchor"))))
+    groups = held.groupBy("query_id", "grp", "every").agg(F.array_compact(F.collect_list("number")).alias("n"), F.min("number").alias("low"), lost.alias("lost"))
+    numbers = F.when(F.col("every"), F.col("n")).when(F.col("low").isNotNull(), F.array("low")).otherwise(F.array().cast(groups.schema["n"].dataType))
+    missing = F.when(F.col("every") | F.col("low").isNull(), F.col("lost")).otherwise(F.array().cast("array<string>"))
+    merged = groups.groupBy("query_id").agg(F.flatten(F.collect_list(numbers)).alias("n"), F.flatten(F.collect_list(missing)).alias("m"))
+    return merged.select("query_id", F.array_sort(F.array_distinct("n")).alias("numbers"), F.array_sort(F.array_distinct("m")).alias("missing"))
+
+
+def case_chunks(cases: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(case_id, found): the chunk a case names, else the first chunk with its anchor as a whole part of the location."""
+    by_id = cases.select("case_id", "chunk_id", "anchor").join(chunks.select(F.col("chunk_id"), F.col("chunk_id").alias("named")), "chunk_id", "left")
+    parts = chunks.select(F.col("chunk_id").alias("located"), "chunk_index", F.explode(F.array_distinct(F.split("location_id", "/"))).alias("anchor"))
+    first = parts.groupBy("anchor").agg(F.min_by("located", F.struct("chunk_index", "located")).alias("located"))
+    return by_id.join(first, "anchor", "left").select("case_id", F.coalesce("named", "located").alias("found"))
+
+
+def distance_quantiles(best: DataFrame, value: str) -> DataFrame:
+    """count, min, p50, p80, p90, max of a column, by floor rank; ranks come from counts of each value, so no task holds all."""
+    counts = best.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    total = counts.agg(F.sum("c").alias("n"))
+    buckets = counts.select("v", "c", F.floor(F.col("v") * 1024).alias("b"))
+    sums = buckets.groupBy("b").agg(F.sum("c").alias("s"))
+    before = sums.select("b", (F.sum("s").over(Window.orderBy("b")) - F.col("s")).alias("start"))  # one row for each 1/1024 of distance
+    ranked = buckets.join(before, "b").withColumn("last", F.col("start") + F.sum("c").over(Window.partitionBy("b").orderBy("v"))).crossJoin(F.broadcast(total))
+    at = lambda q: F.min(F.when(F.col("last") > F.floor(F.lit(q) * (F.col("n") - 1)), F.col("v")))
+    return ranked.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("count"), F.min("v").alias("min"), at(0.5).alias("p50"), at(0.8).alias("p80"), at(0.9).alias("p90"), F.max("v").alias("max"))
+
+
+def compare_runs(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Precision and recall of two runs (key, precision, recall) side by side, means over the cases of each, and the gains."""
+    mean = lambda df, tag: df.agg(F.count(key).alias(f"n_{tag}"), F.avg("precision").alias(f"precision_{tag}"), F.avg("recall").alias(f"recall_{tag}"))
+    both = mean(a, "a").crossJoin(F.broadcast(mean(b, "b")))  # one row each
+    return both.withColumn("precision_gain", F.col("precision_b") - F.col("precision_a")).withColumn("recall_gain", F.col("recall_b") - F.col("recall_a"))
+
+
+def with_defaults(cases: DataFrame) -> DataFrame:
+    """Cases with every field of what is expected filled in, and their problems: no id, no prompt, unknown behaviour,
+    or bounds of citations that contradict each other."""
+    lists = ["must_include_any_of", "must_include_any_of_2", "must_include_all_of", "must_not_include_any_of", "test_types"]
+    empty = F.array().cast("array<string>")
+    full = cases.withColumns({c: F.coalesce(F.col(c), empty) if c in cases.columns else empty for c in lists})
+    plain = {"behavior": F.lit("answer"), "contract_check": F.lit(False), "corpus_scope": F.lit("single"), "min_citations": F.lit(None).cast("int"), "max_citations": F.lit(None).cast("int")}
+    full = full.withColumns({c: F.coalesce(F.col(c), v) if c in cases.columns else v for c, v in plain.items()})
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    tests = [("NO_ID", blank("id")), ("NO_PROMPT", blank("prompt")), ("BEHAVIOR", ~F.col("behavior").isin("answer", "abstain")), ("CITATION_BOUNDS", F.col("min_citations") > F.col("max_citations"))]
+    return full.withColumn("problems", F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in tests))))
+
+
+def numbered_ids(cases: DataFrame, stem: str, order: list[Column]) -> DataFrame:
+    """case_id: the stem, and stem-2, stem-3 ... for later rows of the same stem."""
+    n = F.row_number().over(Window.partitionBy(stem).orderBy(*order))
+    return cases.withColumn("case_id", F.when(n == 1, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit("-"), n.cast("string"))))

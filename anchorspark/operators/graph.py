@@ -5,7 +5,7 @@ mentions: (chunk_id, node), one row for each node that a chunk mentions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rank import top_k
@@ -81,3 +81,50 @@ def prioritised(parts: list[DataFrame], caps: list[int | None], cap: int = 30) -
 def scope_articles(nodes: DataFrame, most_number: int = 20, k: int = 5) -> DataFrame:
     """Early, often mentioned articles: (21 - n) + mentions / 2."""
     return nodes.where(F.col("number").between(1, most_number)).withColumn("score", (most_number + 1 - F.col("number")) + 0.5 * F.col("mention_count")).orderBy(F.desc("score"), "number").limit(k)
+
+
+def by_role(nodes: DataFrame) -> DataFrame:
+    """(role, node, place) of nodes (node, roles, mention_count): by number, then mentions; a node without a number counts as 999."""
+    digits = F.regexp_replace("node", "[^0-9]", "")
+    each = nodes.select("node", "mention_count", F.when(digits == "", 999).otherwise(digits.cast("long")).alias("number"), F.explode("roles").alias("role"))
+    return each.withColumn("place", F.row_number().over(Window.partitionBy("role").orderBy("number", F.desc("mention_count"), "node"))).select("role", "node", "place")
+
+
+def foundational(nodes: DataFrame, k: int = 5) -> DataFrame:
+    """The first k nodes of each role."""
+    return by_role(nodes).where(F.col("place") <= k)
+
+
+def expand_context(adjacent: DataFrame, nodes: DataFrame, retrieved: DataFrame, roles: tuple[str, ...] = ("scope", "definitions"), each: int = 2, seeds: int = 20, least: float = 0.3, cap: int = 10) -> DataFrame:
+    """(query_id, node, position) to add to retrieved (query_id, node, pos): where a classification article was found the
+    first articles of each role, then what the first seeds cite strongly, in the order of seeds."""
+    asks = retrieved.join(nodes.where(F.array_contains("roles", "classification")).select("node"), "node", "left_semi").select("query_id").distinct()
+    firsts = by_role(nodes).where(F.col("role").isin(*roles) & (F.col("place") <= each))
+    rank = F.array_position(F.array(*map(F.lit, roles)), F.col("role"))
+    base = asks.crossJoin(F.broadcast(firsts)).select("query_id", "node", F.struct(F.lit(0).alias("part"), rank.cast("long").alias("a"), (-F.col("place")).cast("double").alias("w")).alias("key"))  # at most each x roles rows
+    near = retrieved.where(F.col("pos") <= seeds).join(adjacent.where(F.col("weight") >= least), F.col("node") == F.col("src"))
+    linked = near.select("query_id", F.col("dst").alias("node"), F.struct(F.lit(1).alias("part"), F.col("pos").cast("long").alias("a"), F.col("weight").cast("double").alias("w")).alias("key"))
+    fresh = base.unionByName(linked).join(retrieved.select("query_id", "node"), ["query_id", "node"], "left_anti")
+    best = top_k(fresh, ["query_id", "node"], [F.asc("key.part"), F.asc("key.a"), F.desc("key.w")], 1).drop("rank")
+    return top_k(best, ["query_id"], [F.asc("key.part"), F.asc("key.a"), F.desc("key.w"), F.asc("node")], cap, "position").drop("key")
+
+
+def expand_seeds(adjacent: DataFrame, seeds: DataFrame, limit: int = 20, k: int = 5, least: float = 0.01, boost: float = 0.2) -> DataFrame:
+    """(query_id, node, score, rank): nodes near the first seeds (query_id, seed, pos) of each query, by their best path of
+    two hops.  A point of an annex gains boost where its annex was found or is a seed."""
+    first = top_k(seeds, ["query_id"], [F.asc("pos"), F.asc("seed")], limit).select("query_id", "seed")
+    paths = related(adjacent.where(F.col("weight") >= least), first.select("seed").distinct())
+    found = first.join(paths, "seed").groupBy("query_id", "node").agg(F.max("score").alias("score"))
+    found = found.join(first.withColumnRenamed("seed", "node"), ["query_id", "node"], "left_anti")
+    parents = found.select("query_id", F.col("node").alias("parent")).union(first).distinct().withColumn("known", F.lit(True))
+    parent = F.when(F.col("node").cast("string").rlike("^ANNEX:[^:]*:"), F.substring_index(F.col("node").cast("string"), ":", 2))
+    scored = found.withColumn("parent", parent).join(parents.withColumn("parent", F.col("parent").cast("string")), ["query_id", "parent"], "left")
+    return top_k(scored.select("query_id", "node", (F.col("score") + F.when(F.col("known"), boost).otherwise(0.0)).alias("score")), ["query_id"], [F.desc("score"), F.asc("node")], k)
+
+
+def question_nodes(question: Column) -> Column:
+    """Graph nodes that a question names: article numbers, and annexes as ANNEX:III; articles first."""
+    low = F.lower(F.coalesce(question, F.lit("")))
+    of = lambda p: F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(1)), F.upper)
+    annexes = F.transform(of(r"(?:bilag|annex)\s+([ivxlcdm]+|\d{1,3})(?![\p{L}\p{N}])"), lambda x: F.concat(F.lit("ANNEX:"), x))
+    return F.array_distinct(F.concat(of(r"(?:artikel|article)\s*(\d{1,3}[a-z]?)(?![\p{L}\p{N}])"), annexes))

@@ -102,3 +102,41 @@ def select_context(hits: DataFrame, query: str = "query_id", cap: int = 20, hint
         return out
 
     return hits.groupBy(query).applyInPandas(pick, schema)
+
+
+def precision_score(meta: Column, hints: Column | None = None) -> Column:
+    """How exactly a passage's place is known: 5 for a hinted anchor, 4 article and paragraph, 3 article, 2 recital, 1 annex."""
+    has = lambda k: F.coalesce(F.length(F.trim(F.try_element_at(meta, F.lit(k)))) > 0, F.lit(False))
+    level = F.when(has("article") & has("paragraph"), 4).when(has("article"), 3).when(has("recital"), 2).when(has("annex"), 1).otherwise(0)
+    return level if hints is None else F.when(F.coalesce(F.arrays_overlap(T.anchors(meta, with_point=False), hints), F.lit(False)), 5).otherwise(level)
+
+
+def precise_first(hits: DataFrame, query: str, precise: Column, order: list[Column], k: int) -> DataFrame:
+    """Hits with an article, annex or chapter before the others, each part in order, k per query."""
+    return top_k(hits.withColumn("precise", F.coalesce(precise, F.lit(False))), [query], [F.desc("precise"), *order], k)
+
+
+def role_rerank(hits: DataFrame, query: str = "query_id") -> DataFrame:
+    """Hits (distance, delta, pos) by -distance + delta; equal ones keep their order."""
+    return hits.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(F.col("delta") - F.col("distance")), "pos")))
+
+
+def protected(hits: DataFrame, query: str = "query_id", below: float = 0.85, first: int = 3) -> DataFrame:
+    """Hits among the first of a query and nearer than below, which no later step may drop."""
+    return top_k(hits, [query], [F.asc("distance"), F.asc("chunk_id")], first).where(F.col("distance") < below)
+
+
+def candidate_score(hits: DataFrame, query: str = "query_id", weights: tuple[float, float, float, float] = (0.25, 0.25, 0.35, 0.15)) -> DataFrame:
+    """The score over candidates (distance, bm25, hinted boolean, delta or null for no profile): similarity and BM25 scaled
+    within the query, 1 for a hinted anchor, and the role delta moved to 0..1 (0.5 without a profile)."""
+    role = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("delta") + 0.15) / 0.33)), F.lit(0.5))
+    near = hits.withColumn("near", 1.0 / (1.0 + F.col("distance"))).withColumn("vec", min_max("near", [query])).withColumn("lexical", min_max("bm25", [query]))
+    return near.withColumn("score", hybrid_score(F.col("vec"), F.col("lexical"), F.col("hinted").cast("double"), role, weights)).drop("near", "vec", "lexical")
+
+
+def second_pass(first: DataFrame, wider: DataFrame, query: str = "query_id", least: int = 2) -> DataFrame:
+    """Hits of the first pass (citable boolean), but the citable ones of a wider pass for queries with fewer than least;
+    such a query keeps its first hits if the wider pass found none."""
+    enough = first.groupBy(query).agg((F.count_if("citable") >= least).alias("enough"))
+    better = wider.where("citable").join(enough.where("not enough"), query, "left_semi")
+    return first.join(better.select(query).distinct(), query, "left_anti").unionByName(better)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from anchorspark.functions import text as T
 from anchorspark.operators import evaluate, graph, metrics, rank, retrieve, validate
-from anchorspark.plans import evaluation_queries  # noqa: F401  registers its queries
+from anchorspark.plans import answer_queries, evaluation_queries  # noqa: F401  register their queries
 from anchorspark.plans import queries as core
 from anchorspark.sources import html, tables
 from anchorspark.streaming import runs as streams
