@@ -117,7 +117,7 @@ def _order_hits(spark, d):
 
 @query(f"WITH {_HITS} SELECT q AS query_id, c AS chunk_id, row_number() OVER (PARTITION BY q ORDER BY delta - dist DESC, pos * 100000000 + c) AS place FROM h")
 def role_rerank(spark, d):
-    return rank.role_rerank(_order_hits(spark, d).withColumn("pos", F.col("pos") * 100_000_000 + F.col("chunk_id"))).select("query_id", "chunk_id", "place")
+    return rank.role_rerank(_order_hits(spark, d).withColumn("pos", F.col("pos") * 100_000_000 + F.col("chunk_id"))).select("query_id", "chunk_id", F.col("place").cast("long").alias("place"))
 
 
 @query(f"WITH {_HITS} SELECT q AS query_id, c AS chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, c) AS r FROM h) WHERE r <= 3 AND dist < 0.85")
@@ -132,7 +132,7 @@ def candidate_scores(spark, d):
 
 @query(f"WITH {_HITS} SELECT q AS query_id, c AS chunk_id, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rf = 'R' DESC, dist, c) AS r FROM h) WHERE r <= 3")
 def precise_first(spark, d):
-    return rank.precise_first(_order_hits(spark, d), "query_id", F.col("flag") == "R", [F.asc("distance"), F.asc("chunk_id")], 3).select("query_id", "chunk_id", "rank")
+    return rank.precise_first(_order_hits(spark, d), "query_id", F.col("flag") == "R", [F.asc("distance"), F.asc("chunk_id")], 3).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_HITS}, f AS (SELECT * FROM h WHERE pos <= 3), n AS (SELECT q, count(*) FILTER (rf = 'R') >= 2 AS enough FROM f GROUP BY 1), b AS (SELECT h.* FROM h JOIN n USING (q) WHERE NOT enough AND rf = 'R') SELECT q AS query_id, c AS chunk_id FROM f WHERE q NOT IN (SELECT q FROM b) UNION ALL SELECT q, c FROM b")
@@ -159,7 +159,7 @@ def _nodes(spark, d):
 
 @query(f"WITH {_NODES} SELECT role, node::VARCHAR AS node, place FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY node, mention_count DESC) AS place FROM nd) WHERE place <= 5")
 def foundational_articles(spark, d):
-    return graph.foundational(_nodes(spark, d))
+    return graph.foundational(_nodes(spark, d)).withColumn("place", F.col("place").cast("long"))
 
 
 _SEEDS = "sd AS (SELECT DISTINCT l_orderkey AS q, l_partkey::VARCHAR AS seed, min(l_linenumber) AS pos FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2)"
@@ -176,7 +176,7 @@ def seed_expansion(spark, d):
 
 @query(f"WITH {_ADJ}, {_NODES}, {_SEEDS}, ask AS (SELECT DISTINCT q FROM sd JOIN nd ON node::VARCHAR = seed WHERE role = 'classification'), fr AS (SELECT role, node::VARCHAR AS node, row_number() OVER (PARTITION BY role ORDER BY node) AS place FROM nd WHERE role <> 'classification'), u AS (SELECT q, node, 0 AS part, CASE role WHEN 'scope' THEN 1 ELSE 2 END AS a, -place::DOUBLE AS w FROM ask, fr WHERE place <= 2 UNION ALL SELECT q, dst, 1, pos, w FROM sd JOIN adj ON seed = src WHERE w >= 0.3), x AS (SELECT *, row_number() OVER (PARTITION BY q, node ORDER BY part, a, w DESC) AS r FROM u WHERE (q, node) NOT IN (SELECT q, seed FROM sd)), y AS (SELECT q, node, row_number() OVER (PARTITION BY q ORDER BY part, a, w DESC, node) AS position FROM x WHERE r = 1) SELECT q AS query_id, node, position FROM y WHERE position <= 10")
 def context_expansion(spark, d):
-    return graph.expand_context(_adjacent(spark, d), _nodes(spark, d), _seeds(spark, d).withColumnRenamed("seed", "node"))
+    return graph.expand_context(_adjacent(spark, d), _nodes(spark, d), _seeds(spark, d).withColumnRenamed("seed", "node")).withColumn("position", F.col("position").cast("long"))
 
 
 @query("SELECT p_partkey AS k, [p_size::VARCHAR, 'ANNEX:IV'] AS nodes FROM part")
@@ -262,7 +262,7 @@ def title_repair(spark, d):
     return _t(spark, d, "part").select(F.col("p_partkey").alias("k"), T.repair_title(F.concat(F.lit("G e n s t a n d "), "p_size")).alias("title"))
 
 
-@query()
+@query("SELECT p_partkey AS page_id, r::INT AS row_index, 'definitional' AS kind, p_brand AS sector, CASE r WHEN 2 THEN p_type ELSE 'a) ' || p_type END AS subsector, CASE r WHEN 2 THEN p_size::VARCHAR ELSE p_name END AS entity FROM part, (VALUES (1), (2)) t(r)")
 def html_table_rows(spark, d):
-    """Tested on fixed pages: SQL can't parse HTML."""
-    return html_tables.page_tables(_t(spark, d, "pages"))
+    page = F.concat(F.lit("<table><tr><th>Sektor</th><th>Delsektor</th><th>Type enhed</th></tr><tr><td rowspan='2'>"), "p_brand", F.lit("</td><td>a) "), "p_type", F.lit("</td><td>"), "p_name", F.lit("</td></tr><tr><td>"), "p_type", F.lit("</td><td>"), "p_size", F.lit("</td></tr><tr><td>x</td></tr></table>"))
+    return html_tables.page_tables(_t(spark, d, "part").select(F.col("p_partkey").alias("page_id"), page.alias("html"))).drop("table_index", "cells")
