@@ -3,8 +3,8 @@
 Words are counted over all training documents.  The frequent ones, in classes
 of equal size by rank, are the network's vocabulary; its output is a softmax
 over classes times one within the class, both started from the counts.  The
-network is trained by truncated backpropagation, one model per task on a share
-of the training documents, and the models are averaged.  A rarer word has the
+network is trained by truncated backpropagation, one model per task on all its
+training documents, and the models are averaged.  A rarer word has the
 probability of the "rare" symbol times its smoothed share of the rare words.
 Scoring carries the state across windows to the end of each document.
 
@@ -110,6 +110,14 @@ def log_likelihood(p: dict, h: np.ndarray, target: np.ndarray, shape: Shape) ->
     return out
 
 
+def _add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """total[at] += rows, with repeats in at."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    total[at[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
 def _gradients(p: dict, h0: np.ndarray, source: np.ndarray, target: np.ndarray, shape: Shape):
     """Gradients of the mean loss over a window (steps, streams), the last state; nothing flows back beyond the window."""
     steps, streams = source.shape
@@ -126,23 +134,26 @@ def _gradients(p: dict, h0: np.ndarray, source: np.ndarray, target: np.ndarray,
     d /= len(goal)
     g["wc"], g["bc"], back = flat.T @ d, d.sum(axis=0), d @ p["wc"].T
     for k, rows, place in _by_class(goal, shape.in_class):
-        e = np.exp(_log_softmax(flat[rows] @ p["wo"][k] + p["bo"][k]))
+        here = flat[rows]
+        e = here @ p["wo"][k] + p["bo"][k]
+        e = np.exp(e - e.max(axis=1, keepdims=True))
+        e /= e.sum(axis=1, keepdims=True)
         e[np.arange(len(rows)), place] -= 1
         e /= len(goal)
-        g["wo"][k], g["bo"][k] = flat[rows].T @ e, e.sum(axis=0)
+        g["wo"][k], g["bo"][k] = here.T @ e, e.sum(axis=0)
         back[rows] += e @ p["wo"][k].T
-    back, dh = back.reshape(steps, streams, n), np.zeros((streams, n), np.float32)
+    back, dh, das = back.reshape(steps, streams, n), np.zeros((streams, n), np.float32), np.empty((steps, streams, 3 * n), flat.dtype)
     for t in reversed(range(steps)):
         ids, before, z, r, c, b = kept[t]
         dh = dh + back[t]
         dc = dh * z * (1 - c * c)
         dz = dh * (c - before) * z * (1 - z)
         dr = dc * b * r * (1 - r)
-        da = np.concatenate([dz, dr, dc], axis=1)
+        das[t] = np.concatenate([dz, dr, dc], axis=1)
         db = np.concatenate([dz, dr, dc * r], axis=1)
-        np.add.at(g["x"], ids, da)
         g["wh"] += before.T @ db
         dh = (dh * (1 - z) + db @ p["wh"].T) * (ids != END)[:, None]
+    _add_rows(g["x"], source.ravel(), das.reshape(-1, 3 * n))
     return g, hidden
 
 
@@ -265,9 +276,9 @@ def _train_models(docs: DataFrame, encoder: Encoder, params: dict, shape: Shape)
     """A model for each task's documents; the models' mean, weighted by their tokens."""
 
     def run(batches):
-        runs = [np.array([END])]
+        runs = [np.array([END], np.int32)]
         for batch in pieces(batches):
-            runs += [encoder.ids(encoder.places(t)[0]) for t in utf8(batch.column(0))]
+            runs += [encoder.ids(encoder.places(t)[0]).astype(np.int32) for t in utf8(batch.column(0))]
         ids = np.concatenate(runs)
         if len(ids) < 64:
             return
@@ -299,12 +310,12 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def score_documents(docs: DataFrame, shape: Shape = Shape(), head_words: int = 65_536, train_share: float = 0.125, folds: int = 7, fold: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, shape: Shape = Shape(), head_words: int = 65_536, train_share: float = 1.0, folds: int = 7, fold: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
-    Counts are of all training documents.  The recurrent weights are fitted on
-    the share train_share of them, chosen by hash, so their data grow with the
-    input.  head_words bounds what the driver collects and each task holds.
+    Counts are of all training documents, and the recurrent weights are fitted on
+    all of them; a train_share under 1 fits them on that share, chosen by hash.
+    head_words bounds what the driver collects and each task holds.
     """
     scratch = Scratch(docs.sparkSession, "lm")
     docs = docs.select("doc_id", "text", held_out(F.col("doc_id"), folds, fold).alias("held_out"))
@@ -317,7 +328,9 @@ def score_documents(docs: DataFrame, shape: Shape = Shape(), head_words: int = 6
     in_net = sum(c for _, c in head[: encoder.net])
     rare_tokens, rare_words = n_train - ends - in_net, n_distinct - (ends > 0) - sum(c > 0 for _, c in head[: encoder.net])
     params = initial(np.array([ends, rare_tokens, *(c for _, c in head[: encoder.net])], np.float64), shape)
-    chosen = docs.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(10_000)) < int(train_share * 10_000)))
+    chosen = docs.where("not held_out")
+    if train_share < 1:
+        chosen = chosen.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(10_000)) < int(train_share * 10_000))
     params = _train_models(chosen.select("text"), encoder, params, shape)
 
     def run(batches):

@@ -194,6 +194,14 @@ def test_language_model(spark, texts):
     assert recurrent_lm.score_documents(make(spark, []), recurrent_lm.Shape(4, 8, 6)).count() == 0
 
 
+def test_lm_trains_on_every_training_document(spark, texts, monkeypatch):
+    seen = []
+    monkeypatch.setattr(recurrent_lm, "_train_models", lambda docs, encoder, params, shape: seen.append(sorted((r["text"] for r in docs.collect()), key=str)) or params)
+    docs = make(spark, texts)
+    recurrent_lm.score_documents(docs, recurrent_lm.Shape(4, 8, 6), head_words=40)
+    assert seen == [sorted((t for i, t in texts if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2), key=str)]
+
+
 def test_language_model_is_a_distribution_and_learns():
     shape = recurrent_lm.Shape(3, 4, 8)
     rng = np.random.default_rng(0)
