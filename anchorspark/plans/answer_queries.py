@@ -166,7 +166,7 @@ _SEEDS = "sd AS (SELECT DISTINCT l_orderkey AS q, l_partkey::VARCHAR AS seed, mi
 
 
 def _seeds(spark, d):
-    return _t(spark, d, "lineitem").where("l_orderkey % 10 = 0").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").cast("string").alias("seed")).agg(F.min("l_linenumber").alias("pos"))
+    return _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").cast("string").alias("seed")).agg(F.min("l_linenumber").alias("pos"))
 
 
 @query(f"WITH {_ADJ}, {_SEEDS}, one AS (SELECT seed AS s, dst AS node, w AS score FROM (SELECT DISTINCT seed FROM sd) JOIN adj ON seed = src), two AS (SELECT s, dst AS node, score * w * 0.5 AS score FROM one JOIN adj ON node = src WHERE dst <> s), f AS (SELECT q, node, max(score) AS score FROM sd JOIN (SELECT * FROM one UNION ALL SELECT * FROM two) ON seed = s WHERE (q, node) NOT IN (SELECT q, seed FROM sd) GROUP BY 1, 2) SELECT q AS query_id, node, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, node) AS r FROM f) WHERE r <= 5")

@@ -140,6 +140,19 @@ def test_query_equals_sql(spark, name):
     assert sorted(str([plain(r[i]) for i in order]) for r in df.collect()) == sorted(str([plain(v) for v in r]) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["seed_expansion", "context_expansion"])
+def test_expansion_covers_every_order(spark, name):
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(core.ORACLE_SQL[name].replace(" WHERE l_orderkey % 10 = 0", ""))
+    df = core.QUERIES[name](spark, SF).select(*(c[0] for c in want.description))
+    got = [tuple(r) for r in df.collect()]
+    assert {r[0] % 10 for r in got} == set(range(10))
+    rounded = lambda rows: sorted(tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows)
+    assert rounded(got) == rounded(want.fetchall())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
