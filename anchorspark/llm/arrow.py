@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these bytes; bytes.split() splits on exactly them.
@@ -24,6 +26,15 @@ def pieces(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iter
             yield batch.slice(at, step)
 
 
+def coded_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All texts' words on end, dictionary-coded, and where each text's begin (with the end of the last).
+
+    White space at either end of a text leaves an empty word.
+    """
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+    return split.flatten().dictionary_encode(), np.asarray(split.offsets) - split.offsets[0].as_py()
+
+
 def ascii_lower(text):
     """Lower-case A-Z alone."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -7,13 +7,17 @@ matter to the method and there are at most ``window`` of them, so the driver
 packs the histogram of sizes (bounded by the window, whatever the input) and
 the executors map each piece, by its rank within its size, to its place.
 
-Defined results: a null or empty text is its end id alone; repeated rows are
-packed each; an empty table gives an empty table; other columns aren't read.
+Defined results: a null or empty text is its end id alone; doc_id may be of any
+type and null, and comes back as it is; repeated rows are packed each and equal
+sizes go in order of doc_id within a block; a text of any length is cut whole
+(a batch holds 8 MB of texts or one text); an empty table gives an empty table;
+other columns aren't read.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from dataclasses import dataclass
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import pieces, utf8
+from .arrow import coded_words, pieces
 from .scratch import Scratch
 
 
@@ -117,83 +121,114 @@ def best_fit_decreasing(counts: dict[int, int], window: int) -> Plan:
     return Plan(*columns, made)
 
 
+#: What the tokenizer takes as one piece (fixed value), over ASCII and the Latin-1 letters; words are told apart by line ends.
+_PIECE = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\n0-9a-zß-öø-ÿ]+")
+_PLAIN = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+
+
 class WordIds:
-    """Ids of whole words, kept as packed bytes; the tokenizer never joins over white space.
+    """Ids of texts, by the pieces of their distinct words; the tokenizer never joins over white space.
 
-    Texts split at ASCII white space only; any other white space stays inside a
-    word and is left to the library.  ASCII case doesn't matter to the tokenizer
-    and a stop or comma after an ASCII letter is a token of its own, so a new
-    word is looked up in lower case and without it.
+    Arrow splits a batch of texts at ASCII white space only and numbers its
+    distinct words; any other white space stays inside a word.  Words of ASCII
+    and Latin-1 letters are cut into the tokenizer's pieces here, and new pieces
+    are encoded side by side by the library's model; any other word, and any
+    that may hold a special token, goes whole through the library.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each core has its own task
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
-        self.encode, self.most, self.known = tokenizer.encode_batch_fast, most, {}
+        self.encode, self.most, self.known = tokenizer.encode_batch_fast, most, {"\n": b""}
         suffix = tokenizer.model.end_of_word_suffix
         self.ends = np.zeros(tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for w, i in tokenizer.get_vocab().items() if suffix and w.endswith(suffix)]] = True
-        self.marks = dict(zip((b".", b","), self._each([b".", b","]), strict=True))
+        cut = Tokenizer.from_file(path)
+        cut.normalizer, cut.pre_tokenizer = None, pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.encode_cut = cut.encode_batch_fast
 
-    def _each(self, words: list[bytes]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.encode([w.decode() for w in words], add_special_tokens=False)]
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.encode(words, add_special_tokens=False)]
 
-    def _together(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words that are all letters, encoded as one text: each is one piece, whose last id ends a word."""
-        (all_ids,) = self.encode([b" ".join(words).decode()], add_special_tokens=False)
-        ids = np.array(all_ids.ids, np.uint32)
+    def _together(self, some: list[str]) -> list[bytes]:
+        """Ids of pieces, encoded side by side: the last id of each, and no other, ends a word."""
+        ids = np.array([i for e in self.encode_cut([" ".join(some)], add_special_tokens=False) for i in e.ids], np.uint32)
         last = np.flatnonzero(self.ends[ids]) + 1
-        if len(last) != len(words):
-            return self._each(words)
+        if len(last) != len(some):
+            return self._each(some)
         data, cut = ids.tobytes(), [0, *(4 * last).tolist()]
         return [data[x:y] for x, y in zip(cut, cut[1:], strict=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        letters: list[bytes] = []
-        others: list[bytes] = []
-        for w in words:
-            (letters if w.isalpha() or w.decode().isalpha() else others).append(w)
-        for some, encode in ((letters, self._together), (others, self._each)):
-            for at in range(0, len(some), 10_000):
-                self.known.update(zip(some[at : at + 10_000], encode(some[at : at + 10_000]), strict=True))
-
-    def ids(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [(t if b"<" in t else t.lower()).split() if t else [] for t in texts]  # special tokens hold a "<"
-        words = set().union(*split)
-        if len(self.known) + len(words) > self.most:
-            self.known = {}
-        known, marks = self.known, self.marks
-        new = words.difference(known)
-        marked = [w for w in new if w[-1:] in marks and w[-2:-1].isalpha()]
-        new.difference_update(marked)
-        new.update([w[:-1] for w in marked])
-        self._learn(list(new.difference(known)))
-        known.update([(w, known[w[:-1]] + marks[w[-1:]]) for w in marked])
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+    def of_words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct words on end, each word's begin and its end."""
+        lines = "\n".join(words)
+        odd = frozenset(lines) - _PLAIN - {"\n"}
+        if odd or "<|" in lines:
+            whole = np.fromiter((not odd.isdisjoint(w) or "<|" in w for w in words), bool, len(words))
+            lines = "\n".join(words[~whole])
+        else:
+            whole = np.zeros(len(words), bool)
+        parts = _PIECE.findall(lines.lower()) if not whole.all() else []
+        names = words[whole].tolist()
+        fresh = set(parts).difference(self.known)
+        if len(self.known) + len(fresh) > self.most:
+            self.known = {"\n": b""}
+            fresh = set(parts).difference(self.known)
+        fresh = list(fresh)
+        for at in range(0, len(fresh), 256):
+            self.known.update(zip(fresh[at : at + 256], self._together(fresh[at : at + 256]), strict=True))
+        data = list(map(self.known.__getitem__, parts))
+        others = self._each(names) if names else []
+        size = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        stop = np.concatenate((np.cumsum(size)[size == 0], [size.sum()]))  # a line end has no ids, every piece has one at least
+        begin, end = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        if not whole.all():
+            end[~whole] = stop
+            begin[~whole] = np.concatenate(([0], stop[:-1]))
+        more = np.cumsum(np.fromiter(map(len, others), np.int64, len(others)) // 4)
+        end[whole] = stop[-1] + more
+        begin[whole] = stop[-1] + np.concatenate(([0], more))[:-1]
+        return np.frombuffer(b"".join(data + others), np.uint32), begin, end
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, and where each text's begin (with the end of the last)."""
+        coded, edge = coded_words(texts)
+        table, begin, end = self.of_words(coded.dictionary.to_numpy(zero_copy_only=False))
+        which = coded.indices.to_numpy()
+        n = (end - begin)[which]
+        total = np.concatenate(([0], np.cumsum(n)))
+        spot = np.repeat(begin[which] - total[:-1], n) + np.arange(total[-1])
+        return table[spot], total[edge]
 
 
 _WORKER: dict[str, WordIds] = {}
 
 
 def cut(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): full windows of each document's ids, then the rest."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, salt): full windows of each document's ids, then the rest; the salt tells repeated rows apart."""
     end = array("I", [end_id]).tobytes()
 
     def run(batches):
         if tokenizer not in _WORKER:
             _WORKER[tokenizer] = WordIds(tokenizer)
-        for batch in pieces(batches):
-            rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), _WORKER[tokenizer].ids(utf8(batch.column(1))), strict=True):
-                ids += end
-                n = len(ids) // 4
-                rows += ((doc, at, min(window, n - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), n) for at in range(0, n, window))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+        made = 0
+        for batch in pieces(batches, 8 << 20):
+            ids, edge = _WORKER[tokenizer].ids(batch.column(1))
+            size = np.diff(edge) + 1  # with the end id
+            each = -(-size // window)
+            row = np.repeat(np.arange(len(size)), each)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)) * window
+            length = np.minimum(window, size[row] - start)
+            begin, last = edge[row] + start, start + length == size[row]
+            data = memoryview(ids).cast("B")
+            crc = [zlib.crc32(end, zlib.crc32(data[4 * a : 4 * (a + n - 1)])) if z else zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n, z in zip(begin.tolist(), length.tolist(), last.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(size[row]), pa.array(np.arange(made, made + len(row)))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
+            made += len(row)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long")
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -> DataFrame:
@@ -209,14 +244,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -
     blocks = F.lit(1)
     if split:
         blocks = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in split.items() for x in kv)), F.col("length").cast("int")), F.lit(1))
-    cuts = cuts.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), blocks).cast("int"))
+    cuts = cuts.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), blocks).cast("int"))
     before, sizes = {}, cuts.groupBy("length", "block").agg(F.count("*").alias("n"))
     for r in sorted(sizes.collect()):
         base, total = before.get((r["length"], None), 0), r["n"]
         before[r["length"], r["block"]] = base
         before[r["length"], None] = base + total
-    ranked = cuts.withColumn("rank", F.expr("row_number() over (partition by length, block order by doc_id, start, ids_crc32) - 1"))
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    ranked = cuts.withColumn("rank", F.expr("row_number() over (partition by length, block order by doc_id, start, ids_crc32, salt) - 1")).drop("salt")
+    names, kind = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"], docs.schema["doc_id"].dataType.simpleString()
 
     def place(batches):
         for batch in batches:
@@ -225,4 +260,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -
             sequence, offset = plan.place(size, rank)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, ", ".join(f"{n} long" for n in names) + ", sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:]) + ", sequence_id long, offset long")
