@@ -7,8 +7,8 @@ regions' draws, that leads straight to the subtree it was added to: a document
 moves only if the added draw wins, and then only into that subtree.
 
 Defined results: null doc_id hashes as the text "null"; a null text has no
-bytes and the CRC of nothing; repeated rows share a shard and take neighbouring
-slots; an empty table gives an empty table; other input columns aren't read.
+bytes and the CRC of nothing; repeated rows share a shard and take a slot each;
+a text's length plays no part but in its size; an empty table gives an empty table; other input columns aren't read.
 """
 
 from __future__ import annotations
@@ -75,12 +75,13 @@ def shard_of(key: Column, tree: Tree) -> Column:
 def shard(docs: DataFrame, tree: Tree, rows_per_block: int = 50_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and the shard after one more was added.
 
-    Slots are numbered in blocks, so no task holds a whole shard.
+    Slots are numbered in blocks, so no task holds a whole shard; a row's block is
+    stored with it, so repeated ids spread over blocks and a retry finds them there.
     """
     scratch = Scratch(docs.sparkSession, "shards")
     text, key = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     grown = tree.grow()
-    placed = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), shard_of(key, tree).alias("shard"), shard_of(key, grown).alias("grown_shard"), F.xxhash64(F.lit("block"), key).alias("h"))
+    placed = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), shard_of(key, tree).alias("shard"), shard_of(key, grown).alias("grown_shard"), F.xxhash64(F.lit("block"), key, F.monotonically_increasing_id()).alias("h"))
     placed = scratch.table(placed, "placed")
     blocks = max(1, placed.count() // (tree.n_shards * rows_per_block), 16)
     placed = placed.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
