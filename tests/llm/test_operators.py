@@ -175,70 +175,143 @@ def test_sharding(spark, texts):
     assert sharding.shard(make(spark, []), tree).count() == 0
 
 
+LM = {"words": 32, "classes": 6, "hidden": 6, "head_words": 50, "run_tokens": 700}
+
+
+def _held(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+
+
+def _lm_words(t):
+    return (t or "").encode().lower().split()
+
+
 def test_language_model(spark, texts):
-    got = recurrent_lm.score_documents(make(spark, texts), recurrent_lm.Shape(4, 8, 6), head_words=40, train_share=1.0).collect()
-    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    words = lambda t: (t or "").encode().lower().split()
+    got = recurrent_lm.score_documents(make(spark, texts), **LM).collect()
     counts = Counter()
     for i, t in texts:
-        if not held(i):
-            counts.update(words(t))
+        if not _held(i):
+            counts.update(_lm_words(t))
             counts["END"] += 1
     n, v = sum(counts.values()), len(counts)
     want = Counter()
     for i, t in texts:
-        toks = [*words(t), "END"]
-        want[i, held(i), len(toks), sum(counts[w] > 0 for w in toks), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in toks), 5)] += 1
+        toks = [*_lm_words(t), "END"]
+        want[i, _held(i), len(toks), sum(counts[w] > 0 for w in toks), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in toks), 5)] += 1
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
     assert all(r["score"] < 0 for r in got)
-    assert recurrent_lm.score_documents(make(spark, []), recurrent_lm.Shape(4, 8, 6)).count() == 0
+    assert recurrent_lm.score_documents(make(spark, []), **LM).count() == 0
 
 
-def test_lm_trains_on_every_training_document(spark, texts, monkeypatch):
+def test_lm_scores_equal_a_plain_network(spark, texts, monkeypatch):
+    """Untrained weights, so that they are known here; one document, word and step at a time, the rarer words by their counts."""
+    monkeypatch.setattr(recurrent_lm, "_train_round", lambda coded, params, *_: params)
+    got = Counter((r["doc_id"], round(r["score"], 2)) for r in recurrent_lm.score_documents(make(spark, texts), **LM).collect())
+    counts, ends = Counter(), 0
+    for i, t in texts:
+        if not _held(i):
+            counts.update(_lm_words(t))
+            ends += 1
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    net, rare = ranked[: LM["words"] - 2], ranked[LM["words"] - 2 :]
+    rare_tokens = sum(counts[w] for w in rare)
+    in_order = np.array([ends, rare_tokens, *(counts[w] for w in net)], float)
+    shape = recurrent_lm.Shape.of(in_order, LM["classes"], LM["hidden"])
+    p = {k: a.astype(np.float64) for k, a in recurrent_lm.initial(in_order, shape).items()}
+    ids, h = {w: k + 2 for k, w in enumerate(net)}, LM["hidden"]
+    classes = list(zip(shape.starts, shape.starts[1:]))
+
+    def log_probs(state):
+        by = state @ p["wc"] + p["bc"]
+        out = np.empty(shape.words)
+        for k, (a, b) in enumerate(classes):
+            inner = state @ p["wo"][:, a:b] + p["bo"][a:b]
+            out[a:b] = by[k] - np.log(np.exp(by).sum()) + inner - np.log(np.exp(inner).sum())
+        assert abs(np.exp(out).sum() - 1) < 1e-9
+        return out
+
+    want = Counter()
+    for i, t in texts:
+        state, last, total = np.zeros(h), recurrent_lm.END, 0.0
+        for w in [*_lm_words(t), None]:
+            x, b = p["x"][last], state @ p["wh"]
+            z, r = (1 / (1 + np.exp(-(x[k * h : (k + 1) * h] + b[k * h : (k + 1) * h]))) for k in (0, 1))
+            state = (1 - z) * state + z * np.tanh(x[2 * h :] + r * b[2 * h :])
+            last = recurrent_lm.END if w is None else ids.get(w, recurrent_lm.RARE)
+            total += log_probs(state)[last] / np.log(10)
+            if last == recurrent_lm.RARE:
+                total += math.log10((counts[w] + 1) / (rare_tokens + len(rare) + 1))
+        want[i, round(total, 2)] += 1
+    near = Counter({k: c for k, c in want.items() if k not in got})
+    assert sum(near.values()) <= 2 and all(any(i == j and abs(x - y) < 0.02 for j, y in got) for i, x in near)
+    assert abs(sum((counts[w] + 1) / (rare_tokens + len(rare) + 1) for w in rare) + 1 / (rare_tokens + len(rare) + 1) - 1) < 1e-9
+
+
+def test_lm_learns_from_all_training_documents_and_no_other(spark, texts, monkeypatch):
+    scores = lambda rows, parts: sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in recurrent_lm.score_documents(make(spark, rows).repartition(parts), **LM).collect() if not _held(r["doc_id"]))
+    one, changed = scores(texts, 1), scores([(i, "other words w1 w2 w3 w3 " * 9 if _held(i) else t) for i, t in texts], 5)
+    assert [x[:2] for x in one] == [x[:2] for x in changed]
+    assert np.allclose([x[2] for x in one], [x[2] for x in changed], atol=1e-4)
     seen = []
-    monkeypatch.setattr(recurrent_lm, "_train_models", lambda docs, encoder, params, shape: seen.append(sorted((r["text"] for r in docs.collect()), key=str)) or params)
-    docs = make(spark, texts)
-    recurrent_lm.score_documents(docs, recurrent_lm.Shape(4, 8, 6), head_words=40)
-    assert seen == [sorted((t for i, t in texts if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2), key=str)]
+    monkeypatch.setattr(recurrent_lm, "_train_round", lambda coded, params, *_: seen.extend(r["doc_id"] for r in coded.collect()) or params)
+    recurrent_lm.score_documents(make(spark, texts), **LM)
+    assert Counter(seen) == Counter(i for i, _ in texts if not _held(i))
 
 
 def test_language_model_is_a_distribution_and_learns():
-    shape = recurrent_lm.Shape(3, 4, 8)
     rng = np.random.default_rng(0)
     pattern = np.array([2, 3, 4, 5, 6, 0])
     ids = np.concatenate([[0], np.tile(pattern, 400)])
-    p = recurrent_lm.initial(np.bincount(ids, minlength=12).astype(float), shape)
-    h = rng.normal(size=(1, 8)).astype(np.float32)
-    total = sum(np.exp(recurrent_lm.log_likelihood(p, h, np.array([w]), shape))[0] for w in range(shape.words))
-    assert abs(total - 1) < 1e-4
-    q = recurrent_lm.train(p, ids, shape, streams=4, rate=0.02)
+    counts = np.bincount(ids, minlength=12).astype(float)
+    shape = recurrent_lm.Shape.of(counts, 5, 8)
+    p = recurrent_lm.initial(counts, shape)
+    h = rng.uniform(-1, 1, size=(1, 8)).astype(np.float32)
+    for scale in (1, 300):  # logits that exp takes, and some that it doesn't
+        q = {k: a * scale for k, a in p.items()}
+        total = sum(np.exp(recurrent_lm.log_likelihood(q, h, np.array([w]), shape))[0] for w in range(shape.words))
+        assert abs(total - 1) < 1e-3
+    q = recurrent_lm.train(p, ids, shape, streams=4, rate=0.02, last_rate=0.01)
     docs = [pattern.copy()]
     assert recurrent_lm.score_batch(q, docs, shape)[0] > recurrent_lm.score_batch(p, docs, shape)[0] + 3
     two = recurrent_lm.score_batch(q, [pattern, np.array([2, 0]), np.array([0])], shape)
     assert np.allclose(two, [recurrent_lm.score_batch(q, [d], shape)[0] for d in (pattern, np.array([2, 0]), np.array([0]))], atol=1e-4)
 
 
+def test_every_id_of_a_run_is_a_target_once(monkeypatch):
+    seen = []
+    keep = recurrent_lm._gradients
+    monkeypatch.setattr(recurrent_lm, "_gradients", lambda p, h, source, target, shape, real: seen.extend(target[real].tolist()) or keep(p, h, source, target, shape, real))
+    rng = np.random.default_rng(1)
+    for n in (2, 3, 64, 65, 1000, 1031):
+        ids = rng.integers(0, 12, n)
+        shape = recurrent_lm.Shape.of(np.ones(12), 4, 4)
+        seen.clear()
+        recurrent_lm.train(recurrent_lm.initial(np.ones(12), shape), ids, shape, streams=7, steps=4)
+        assert Counter(seen) == Counter(ids[1:].tolist())
+
+
 def test_language_model_gradients():
-    shape = recurrent_lm.Shape(2, 3, 4)
+    shape = recurrent_lm.Shape((0, 1, 3, 6), 4)
     p = {k: a.astype(np.float64) for k, a in recurrent_lm.initial(np.ones(6), shape).items()}
     rng = np.random.default_rng(2)
-    source, target = rng.integers(1, 6, (5, 3)), rng.integers(0, 6, (5, 3))
-    h0 = rng.normal(size=(3, 4))
+    source, target = rng.integers(0, 6, (5, 3)), rng.integers(0, 6, (5, 3))
+    h0, real = rng.uniform(-1, 1, size=(3, 4)), rng.random((5, 3)) < 0.8
 
     def loss(q):
         h, total = h0, 0.0
         for t in range(5):
-            h, _ = recurrent_lm._step(q, h, source[t])
-            total -= recurrent_lm.log_likelihood(q, h, target[t], shape).sum()
-        return total / source.size
+            h = recurrent_lm._step(q, np.where((source[t] == recurrent_lm.END)[:, None], 0, h), q["x"][source[t]])[0]
+            total -= recurrent_lm.log_likelihood(q, h, target[t], shape)[real[t]].sum()
+        return total / real.sum()
 
-    g, _ = recurrent_lm._gradients(p, h0, source, target, shape)
+    g, _ = recurrent_lm._gradients(p, h0, source, target, shape, real)
     for k, a in p.items():
-        at = tuple(rng.integers(0, s) for s in a.shape)
-        up, down = ({n: b.copy() for n, b in p.items()} for _ in range(2))
-        up[k][at] += 1e-5
-        down[k][at] -= 1e-5
-        assert abs((loss(up) - loss(down)) / 2e-5 - g[k][at]) < 1e-6, k
+        for _ in range(4):
+            at = tuple(rng.integers(0, s) for s in a.shape)
+            up, down = ({n: b.copy() for n, b in p.items()} for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - g[k][at]) < 1e-6, k
 
 
 def test_token_counts(spark, texts):
