@@ -3,12 +3,16 @@
 The reader checks each record (version line, header block, length, trailing
 blank lines, payload digest).  When a check fails it searches for the next gzip
 member or version line that passes, goes on from there, and reports the bytes
-between as a gap.
+between as a gap; inside a gzip member it does the same over the plain bytes,
+so one bad record or a member cut short costs no other record.  Files are read
+in chunks: a task holds a chunk and one record, whatever the file's size.
 
 Defined results: null html is an empty payload; rows that repeat a page are
 all written; of rows with equal payloads those with the smallest page_id are
-responses (a null page_id never is the smallest while another is there); an
-empty table gives no archive and no record.
+responses (a null page_id never is the smallest while another is there); a
+payload of any length is one record; a header over 64 KB or a block over 1 GB
+(more than a row can hold) counts as damage; an empty table gives no archive
+and no record; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -16,7 +20,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -32,7 +37,9 @@ _GZIP = b"\x1f\x8b\x08"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NEEDED = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 _END = b"\r\n\r\n"
-_SCHEMA = "kind string, page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, file string, start long, length long, reason string"
+_CHUNK, _READ = 1 << 16, 4 << 20
+_MOST_HEADER, _MOST_BLOCK = 1 << 16, 1 << 30
+_SCHEMA = "kind string, page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, file string, start long, length long, inner_start long, inner_length long, reason string"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "2000-01-01T00:00:00Z") -> bytes:
@@ -58,75 +65,214 @@ class Damaged(Exception):
     pass
 
 
-def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    """The record at a byte offset: its header, its block and the offset after it."""
-    if not data.startswith(b"WARC/1.", at):
+class _Bytes:
+    """A part of a byte source that is read on as asked for; offsets are the source's own."""
+
+    def __init__(self, read: Callable[[int], bytes], base: int = 0):
+        self.read, self.base, self.data, self.ended = read, base, bytearray(), False
+
+    def fill(self, end: int) -> int:
+        """Hold the bytes up to an offset, if there are so many; the offset after the last held."""
+        while not self.ended and self.base + len(self.data) < end:
+            got = self.read(max(_CHUNK, end - self.base - len(self.data)))
+            self.data += got
+            self.ended = not got
+        return self.base + len(self.data)
+
+    def drop(self, at: int) -> None:
+        del self.data[: at - self.base]
+        self.base = at
+
+    def get(self, start: int, end: int) -> bytes:
+        return bytes(memoryview(self.data)[max(0, start - self.base) : max(0, end - self.base)])
+
+    def find(self, marks: tuple[bytes, ...], at: int) -> int | None:
+        """The next offset from at on where one of the marks is; what lies before is dropped."""
+        while True:
+            self.drop(at)
+            held = self.fill(at + _CHUNK)
+            spots = [x for x in (self.data.find(m) for m in marks) if x >= 0]
+            if spots:
+                return self.base + min(spots)
+            if self.ended:
+                return None
+            at = max(at, held - max(map(len, marks)) + 1)
+
+
+def _parse(source: _Bytes, at: int, least_end: int | None = None) -> tuple[dict[str, str], bytes, int]:
+    """The record at an offset: its header, its block and the offset after it; least_end: where the source is known to end."""
+    source.fill(at + _MOST_HEADER)
+    if source.get(at, at + 7) != b"WARC/1.":
         raise Damaged("no version line")
-    cut = data.find(_END, at)
+    cut = source.data.find(_END, at - source.base, at - source.base + _MOST_HEADER)
     if cut < 0:
         raise Damaged("header not ended")
+    start = source.base + cut + len(_END)
     try:
-        lines = data[at:cut].decode().split("\r\n")[1:]
+        lines = source.get(at, start - len(_END)).decode().split("\r\n")[1:]
         head = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
         size = int(head["content-length"])
     except (ValueError, KeyError) as e:
         raise Damaged("bad header") from e
     if not _NEEDED <= head.keys() or not all(re.fullmatch(r"[!-9;-~]+", k) for k in head):
         raise Damaged("bad header")
-    start = cut + len(_END)
-    block = data[start : start + size]
-    if size < 0 or len(block) != size or not data.startswith(_END, start + size):
+    after = start + size + len(_END)
+    if not 0 <= size <= _MOST_BLOCK or least_end is not None and after > least_end or source.fill(after) < after or source.get(after - len(_END), after) != _END:
         raise Damaged("bad length")
+    block = source.get(start, start + size)
     digest = head.get("warc-payload-digest", "")
     if head.get("warc-type") == "response" and digest.startswith("sha256:") and hashlib.sha256(block).hexdigest() != digest[7:]:
         raise Damaged("digest differs")
-    return head, block, start + size + len(_END)
-
-
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at a byte offset and the offset after it."""
-    engine = zlib.decompressobj(31)
-    try:
-        plain = engine.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise Damaged("bad gzip member") from e
-    if not engine.eof:
-        raise Damaged("gzip member cut off")
-    return plain, len(data) - len(engine.unused_data)
-
-
-def _read_at(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    if data.startswith(_GZIP, at):
-        plain, after = _member(data, at)
-        found, inner = [], 0
-        while inner < len(plain):
-            head, block, inner = _parse(plain, inner)
-            found.append((head, block))
-        return found, after
-    head, block, after = _parse(data, at)
-    return [(head, block)], after
-
-
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """("record", start, end, (header, block)) and ("gap", start, end, reason), covering every byte."""
-    at, broken, reason = 0, None, ""
-    while at < len(data):
+    return head, block, after
+
+
+class _Member:
+    """The plain bytes of the gzip member at an offset, and how it ended."""
+
+    def __init__(self, read_at: Callable[[int, int], bytes], at: int):
+        self.read_at, self.start, self.fed, self.engine, self.rest, self.given, self.fault = read_at, at, at, zlib.decompressobj(31), b"", 0, ""
+
+    def read(self, n: int) -> bytes:
+        while not (self.engine.eof or self.fault):
+            if not self.rest:
+                self.rest = self.read_at(self.fed, _CHUNK // 4)
+                self.fed += len(self.rest)
+                if not self.rest:
+                    self.fault = "gzip member cut off"
+                    break
+            try:
+                got = self.engine.decompress(self.rest, max(n, _CHUNK))
+            except zlib.error:
+                self.fault = "bad gzip member"
+                return self._up_to_fault(self.fed - len(self.rest))
+            self.rest = self.engine.unconsumed_tail
+            self.given += len(got)
+            if got:
+                return got
+        return b""
+
+    def _up_to_fault(self, last: int) -> bytes:
+        """What the call that failed would have given: zlib keeps nothing of it, so go again, and by single bytes from the last good offset on."""
+        engine, at, seen, out = zlib.decompressobj(31), self.start, 0, bytearray()
         try:
-            found, after = _read_at(data, at)
+            while part := self.read_at(at, min(_CHUNK // 4, last - at) if at < last else 1):
+                got = engine.decompress(part)
+                out += got[max(0, self.given - seen) :]
+                seen += len(got)
+                at += len(part)
+        except zlib.error:
+            pass
+        return bytes(out)
+
+    @property
+    def end(self) -> int:
+        return self.fed - len(self.engine.unused_data)
+
+
+@dataclass(frozen=True)
+class Found:
+    """A record (header and block) or a gap (reason) and the file's bytes it takes; inner: its place in the plain bytes of a gzip member."""
+
+    kind: str
+    start: int
+    end: int | None  # of a record that shares its member with others: None
+    reason: str = ""
+    head: dict[str, str] | None = None
+    block: bytes = b""
+    inner: tuple[int, int] | None = None
+
+
+def _scan_member(member: _Member, start: int) -> Iterator[Found]:
+    """The records of a gzip member and the gaps between them."""
+    plain, at, broken, reason = _Bytes(member.read), 0, None, ""
+    while plain.fill(at + 1) > at:
+        try:
+            head, block, after = _parse(plain, at)
         except Damaged as e:
             if broken is None:
                 broken, reason = at, str(e)
-            spots = [p for p in (data.find(_GZIP, at + 1), data.find(b"WARC/1.", at + 1)) if p > 0]
-            at = min(spots, default=len(data))
+            found = plain.find((b"WARC/1.",), at + 1)
+            if found is None:
+                at = plain.base + len(plain.data)
+                break
+            at = found
             continue
         if broken is not None:
-            yield "gap", broken, at, reason
+            yield Found("gap", start, None, reason, inner=(broken, at))
             broken = None
-        for x in found:
-            yield "record", at, after, x
+        yield Found("record", start, None, "", head, block, (at, after))
         at = after
+        plain.drop(at)
+    if broken is not None and not member.fault:  # else the gap that the member itself leaves is logged
+        yield Found("gap", start, None, reason, inner=(broken, at))
+
+
+def salvage(read_file: Callable[[int, int], bytes], size: int) -> Iterator[Found]:
+    """Every record that passes the checks, and the gaps; read_file(offset, n) gives n bytes, fewer only at the end."""
+    raw_at, block_at, block = 0, 0, b""
+    given: set[str] = set()  # records of the last damaged member: a stored part of it may show them again
+
+    def read_at(at: int, n: int) -> bytes:
+        nonlocal block_at, block
+        n = min(n, size - at)
+        if not block_at <= at or at + n > block_at + len(block):
+            block_at, block = at, read_file(at, max(n, _READ))
+        return block[at - block_at : at - block_at + n]
+
+    def read(n: int) -> bytes:
+        nonlocal raw_at
+        got = read_at(raw_at, n)
+        raw_at += len(got)
+        return got
+
+    source, at, broken, reason = _Bytes(read), 0, None, ""
+    while at < size:
+        source.fill(at + len(_GZIP))
+        if source.get(at, at + len(_GZIP)) == _GZIP:
+            member = _Member(read_at, at)
+            held, several = None, False  # one is held back until it's known whether it is alone
+            for x in _scan_member(member, at):
+                if broken is not None and x.kind == "record":
+                    yield Found("gap", broken, at, reason)
+                    broken = None
+                if held is not None:
+                    several = True
+                    yield held
+                held = x
+                if x.kind == "record":
+                    given.add(x.head["warc-record-id"])
+            if held is not None:
+                whole = not several and held.kind == "record" and not member.fault
+                yield replace(held, end=member.end) if whole else held
+            if not member.fault and (held is not None or broken is None):
+                if held is None:
+                    yield Found("gap", at, member.end, "empty gzip member")
+                at = raw_at = member.end
+                source = _Bytes(read, at)
+                given.clear()
+                continue
+            fault = member.fault or "no record in the gzip member"
+        else:
+            try:
+                head, payload, after = _parse(source, at, size)
+                if broken is not None and head["warc-record-id"] in given:
+                    raise Damaged("read before")
+                if broken is not None:
+                    yield Found("gap", broken, at, reason)
+                    broken = None
+                yield Found("record", at, after, "", head, payload)
+                at = after
+                source.drop(at)
+                given.clear()
+                continue
+            except Damaged as e:
+                fault = str(e)
+        if broken is None:
+            broken, reason = at, fault
+        found = source.find((_GZIP, b"WARC/1."), at + 1)
+        at = size if found is None else found
     if broken is not None:
-        yield "gap", broken, len(data), reason
+        yield Found("gap", broken, size, reason)
 
 
 def _urn(value: str | None) -> int | None:
@@ -135,37 +281,42 @@ def _urn(value: str | None) -> int | None:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records and gaps of every archive under path; kind is "record" or "gap"."""
-    names = [x.split()[0] for x in _SCHEMA.split(", ")]
+    """Records and gaps of every archive under path; kind is "record" or "gap".
+
+    Spark lists the files and deals them out; each task reads its own through
+    Arrow's file system of the path's scheme, so no archive is ever one row.
+    """
+    names, kinds = zip(*(x.split() for x in _SCHEMA.split(", ")), strict=True)
+    arrow = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
+
+    def row_of(x: Found, file: str) -> tuple:
+        length, inner = None if x.end is None else x.end - x.start, (x.inner[0], x.inner[1] - x.inner[0]) if x.inner else (None, None)
+        if x.kind == "gap":
+            return (x.kind, None, None, None, None, None, None, None, file, x.start, length, *inner, x.reason)
+        full = x.head.get("warc-payload-length")
+        digest = x.head.get("warc-payload-digest", "").removeprefix("sha256:") or hashlib.sha256(x.block).hexdigest()
+        return (x.kind, _urn(x.head.get("warc-record-id")), x.head.get("warc-target-uri"), x.head.get("warc-type"), x.block, int(full) if full and full.isdigit() else len(x.block), digest, _urn(x.head.get("warc-refers-to")), file, x.start, length, *inner, None)
 
     def parse(batches):
         for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows: list[tuple] = []
-                size = 0
-                for kind, start, end, what in salvage(data.as_py()):
-                    if kind == "gap":
-                        rows.append((kind, None, None, None, None, None, None, None, file, start, end - start, what))
-                    else:
-                        head, block = what
-                        full = head.get("warc-payload-length")
-                        digest = head.get("warc-payload-digest", "").removeprefix("sha256:") or hashlib.sha256(block).hexdigest()
-                        rows.append((kind, _urn(head.get("warc-record-id")), head.get("warc-target-uri"), head.get("warc-type"), block, int(full) if full and full.isdigit() else len(block), digest, _urn(head.get("warc-refers-to")), file, start, end - start, None))
-                        size += len(block)
-                    if size > 4 << 20:
-                        yield _batch(rows)
-                        rows, size = [], 0
+            for file in batch.column(0).to_pylist():
+                fs, name = pafs.FileSystem.from_uri(file)
+                rows, held = [], 0
+                with fs.open_input_file(name) as f:
+                    for x in salvage(lambda at, n, f=f: f.read_at(n, at), f.size()):
+                        rows.append(row_of(x, file))
+                        held += len(x.block) + 500
+                        if held > 4 << 20:
+                            yield batch_of(rows)
+                            rows, held = [], 0
                 if rows:
-                    yield _batch(rows)
-
-    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
-    types = [kinds[x.split()[1]] for x in _SCHEMA.split(", ")]
-
-    def _batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    yield batch_of(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(parse, _SCHEMA)
+    return files.select(F.regexp_replace("path", "^file:/+", "file:///")).mapInArrow(parse, _SCHEMA)
 
 
 def write_archives(pages: DataFrame, path: str, compress: bool = True, most_bytes: int = 24 << 20) -> int:
@@ -184,9 +335,10 @@ def write_archives(pages: DataFrame, path: str, compress: bool = True, most_byte
         def flush():
             nonlocal part
             name = f"{root}/part-{task.partitionId():06d}-{part:05d}.warc{'.gz' if compress else ''}"
-            with fs.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp", compression=None) as out:
+            hidden = f"{root}/_{task.partitionId()}-{part}-{task.taskAttemptId()}.tmp"  # no reader takes it
+            with fs.open_output_stream(hidden, compression=None) as out:
                 out.write(bytes(buffer))
-            fs.move(f"{name}.{task.taskAttemptId()}.tmp", name)
+            fs.move(hidden, name)
             part += 1
             buffer.clear()
 
@@ -218,7 +370,7 @@ def plan_revisits(pages: DataFrame, scratch: Scratch, least_bytes: int = 100) ->
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """Write pages (page_id, url, html) as archives, then read the archives back, one row per record."""
+    """Write pages (page_id, url, html) as archives, then read the archives back, one row per record; fails if one is lost."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     pages = pages.select("page_id", "url", "html")
@@ -226,5 +378,9 @@ def archive_round_trip(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     full = pages.withColumn("digest", F.sha2(F.coalesce(F.encode("html", "utf-8"), F.lit(b"")), 256))
     joined = full.join(revisits, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left")
     archives = scratch.folder("archives")
-    write_archives(joined.select("page_id", "url", "html", "digest", "refers_to").sortWithinPartitions("page_id", "digest"), archives)
-    return read_archives(spark, archives).where("kind = 'record'")
+    written = write_archives(joined.select("page_id", "url", "html", "digest", "refers_to").sortWithinPartitions("page_id", "digest", "url", "refers_to"), archives)
+    read = scratch.table(read_archives(spark, archives).drop("payload"), "records")
+    found = dict(read.groupBy("kind").count().collect())
+    if found.get("gap") or found.get("record", 0) != written:
+        raise RuntimeError(f"{written} records were written, but read were: {found}; gaps are in {scratch.path}/records")
+    return read.where("kind = 'record'")

@@ -87,31 +87,91 @@ def test_warc_round_trip(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def _salvage(data):
+    return list(warc.salvage(lambda at, n: data[at : at + n], len(data)))
+
+
+def _record(i, body=None):
+    body = f"payload number {i} ".encode() * 20 if body is None else body
+    return warc.record(i, "u", body, hashlib.sha256(body).hexdigest(), None)
+
+
+def _gzip(data, level=1):
+    c = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return c.compress(data) + c.flush()
+
+
+def _ids(found):
+    return [x.head["warc-record-id"] for x in found if x.kind == "record"]
+
+
 @pytest.mark.parametrize("compress", [True, False])
 def test_warc_salvage(compress):
-    parts = []
-    for i in range(6):
-        body = f"payload number {i} ".encode() * 20
-        data = warc.record(i, "u", body, hashlib.sha256(body).hexdigest(), None)
-        if compress:
-            c = zlib.compressobj(1, zlib.DEFLATED, 31)
-            data = c.compress(data) + c.flush()
-        parts.append(data)
+    parts = [_gzip(_record(i)) if compress else _record(i) for i in range(6)]
     whole = b"".join(parts)
-    assert [x[0] for x in warc.salvage(whole)] == ["record"] * 6
+    assert [x.kind for x in _salvage(whole)] == ["record"] * 6
+    assert _salvage(b"") == []
     at = len(parts[0]) + len(parts[1]) // 2
     broken = bytearray(whole)
     broken[at] ^= 0xFF
     cut = len(b"".join(parts[:4])) + 10
     broken = bytes(broken[:cut]) + b"\x00garbage" + bytes(broken[cut + 30 :])
-    found = list(warc.salvage(broken))
-    ids = [x[3][0]["warc-record-id"] for x in found if x[0] == "record"]
-    assert ids == [f"<urn:page:{i}>" for i in (0, 2, 3, 5)]
-    assert sum(x[0] == "gap" for x in found) == 2
-    spans = [(a, b) for _, a, b, _ in found]
+    found = _salvage(broken)
+    assert _ids(found) == [f"<urn:page:{i}>" for i in (0, 2, 3, 5)]
+    assert sum(x.kind == "gap" for x in found) == 2
+    spans = [(x.start, x.end) for x in found]
     assert spans[0][0] == 0 and spans[-1][1] == len(broken) and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
 
 
+def test_warc_salvages_inside_a_member():
+    plain = [_record(i) for i in range(5)]
+    plain[2] = plain[2].replace(b"number 2", b"number 9")  # its digest differs
+    found = _salvage(_gzip(b"".join(plain)))
+    assert _ids(found) == [f"<urn:page:{i}>" for i in (0, 1, 3, 4)]
+    before = len(plain[0]) + len(plain[1])
+    assert [x.inner for x in found if x.kind == "gap"] == [(before, before + len(plain[2]))]
+    rnd = random.Random(5)
+    noise = [_record(i, rnd.randbytes(9000)) for i in range(8)]
+    for level in (0, 6):  # a member that is cut off, its bytes stored or not, and whole ones after it
+        whole = _gzip(b"".join(noise[:6]), level)
+        found = _salvage(whole[: len(whole) * 3 // 4] + _gzip(noise[6]) + _gzip(noise[7]))
+        got = _ids(found)
+        assert got[:4] == [f"<urn:page:{i}>" for i in range(4)] and got[-2:] == ["<urn:page:6>", "<urn:page:7>"] and len(got) == len(set(got))
+        assert sum(x.kind == "gap" for x in found) == 1
+
+
+def test_warc_reader_is_linear():
+    import time
+
+    def seconds(n):
+        data = b"".join(_gzip(_record(i)) for i in range(n))
+        began = time.process_time()
+        assert len(_salvage(data)) == n
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 8 * seconds(4_000)
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_warc_archives_with_damage(spark, tmp_path, compress):
+    rows = [(i, "u", f"<p>{i}</p>" * 50, "", None) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, payload string, digest string, refers_to long").withColumn("digest", F.sha2("payload", 256))
+    path = f"file://{tmp_path}/a"
+    assert warc.write_archives(pages.coalesce(2), path, compress, 3000) == 40
+    files = sorted((tmp_path / "a").glob("*.warc*"))
+    assert len(files) > 2
+    data = bytearray(files[0].read_bytes())
+    data[len(data) // 2] ^= 0xFF
+    files[0].write_bytes(bytes(data))
+    files[-1].write_bytes(b"junk" * 30 + files[-1].read_bytes()[:-5])
+    got = warc.read_archives(spark, path).collect()
+    ok = [r for r in got if r["kind"] == "record"]
+    assert 36 <= len(ok) < 40 and all(bytes(r["payload"]).decode() == rows[r["page_id"]][2] for r in ok)
+    gaps = {(r["file"].rsplit("/")[-1], r["reason"]) for r in got if r["kind"] == "gap"}
+    assert {g[0] for g in gaps} == {files[0].name, files[-1].name} and sum(r["length"] or r["inner_length"] for r in got if r["kind"] == "gap") > 120
+
+
 def test_packing(spark, texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer
