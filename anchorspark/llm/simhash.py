@@ -8,9 +8,10 @@ nodes carry the bits that differ so far and end when these exceed the budget.
 Pairs inside one component already found are dropped and only a spanning chain
 of each component leaves a task.
 
-Defined results: a null or empty text has fingerprint zero; a null doc_id links
-like any other but is never the smallest; repeated rows share a component; an
-empty table gives an empty table; extra columns aren't read.
+Defined results: a null or empty text has fingerprint zero; a text of any length
+is read whole; a null doc_id links like any other but is never the smallest;
+repeated rows share a component; an empty table gives an empty table; extra
+columns aren't read by near_duplicates and are passed through by one_per_group.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrow import pieces, utf8
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, unused
 
 _DIRECT = 64  # node pairs of at most so many leaf pairs are compared at once
 
@@ -58,6 +60,18 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+def _with_fingerprints(docs: DataFrame, name: str, width: int) -> DataFrame:
+    """docs and each row's fingerprint."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in pieces(batches):
+            fp = np.array([fingerprint(t, width) for t in utf8(batch.column(at))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Merge the components of each pair: labels become the least index of a component."""
     while True:
@@ -190,19 +204,23 @@ def deal(fps: DataFrame, budget: int, most: int = 4096) -> DataFrame:
     return rows.select("fp", "i", "v", F.explode(F.when(F.col("crowded"), fine).otherwise(plain)).alias("sub")).select(F.xxhash64("i", "v", "sub").alias("key"), "fp")
 
 
-def near_duplicates(docs: DataFrame, budget: int = 4, width: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id): documents whose fingerprints chain together share a component."""
-    scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.table(fingerprints(docs, width), "marked")
+def _groups(marked: DataFrame, budget: int, scratch: Scratch) -> DataFrame:
+    """(fp, root, component_id) of rows (doc_id, fp): fingerprints that chain together share a root; the least doc_id of them all."""
     distinct = scratch.table(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     dealt = deal(distinct, budget)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_chains(budget), "u long, v long")
     nodes = scratch.table(components(links, scratch), "nodes")
     roots = scratch.table(nodes.join(distinct, nodes.node == distinct.fp).groupBy("root").agg(F.min("least").alias("component")), "roots")
-    linked = scratch.table(nodes.join(roots, "root").select(F.col("node").alias("fp"), "component"), "linked")
-    named = scratch.table(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "named")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    linked = scratch.table(nodes.join(roots, "root").select(F.col("node").alias("fp"), "root", "component"), "linked")
+    return scratch.table(distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id")), "named")
+
+
+def near_duplicates(docs: DataFrame, budget: int = 4, width: int = 4) -> DataFrame:
+    """(doc_id, fp, component_id): documents whose fingerprints chain together share a component."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    marked = scratch.table(fingerprints(docs, width), "marked")
+    return marked.join(_groups(marked, budget, scratch), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp):
@@ -210,6 +228,17 @@ def hex_fingerprint(fp):
 
 
 def one_per_group(docs: DataFrame, budget: int = 4, width: int = 4) -> DataFrame:
-    """docs without the documents that a smaller doc_id of their component stands for; rows without a doc_id stay."""
-    found = near_duplicates(docs, budget, width).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One row of docs for each group of linked fingerprints: that with the smallest doc_id, null being the largest.
+
+    Rows are told apart by a number that is stored with them, not by their
+    doc_id: of rows that repeat a doc_id within a group one stays, and rows of
+    one doc_id in different groups are judged apart.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    fp, row = (unused(x, docs.columns) for x in ("fp", "row"))
+    stored = scratch.table(_with_fingerprints(docs, fp, width).withColumn(row, F.monotonically_increasing_id()), "stored")
+    marked = stored.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp"), F.col("row").alias("row")))["row"]
+    kept = marked.join(_groups(marked, budget, scratch).select("fp", "root"), "fp").groupBy("root").agg(first.alias("kept"))
+    kept = scratch.table(kept.select("kept"), "kept")
+    return stored.join(kept, stored[row] == kept["kept"], "left_semi").select(docs.columns)
