@@ -6,9 +6,11 @@ windows some offset within the period is a cover position in both, so they
 share an aligned anchor.  Anchors that several documents have are extended to
 the windows around them, and these are compared by 96-bit hashes.
 
-Defined results: a null or empty text has no words and loses none; a null
+Defined results: a null or empty text has no words and loses none; doc_id may be
+of any type that Spark orders, and smaller is smaller in that order; a null
 doc_id is neither smaller nor larger than another, so its text is kept; rows
-that repeat a doc_id don't count against each other; an empty table gives an
+that repeat a doc_id don't count against each other; a text of any length is
+read whole (a batch holds 1 MB of texts or one text); an empty table gives an
 empty table; extra columns are passed through by remove_repeats.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import pieces, utf8
-from .scratch import Scratch
+from .scratch import Scratch, unused
 
 #: Perfect difference sets by their modulus (fixed values).
 COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
@@ -75,8 +77,10 @@ def window_hashes(hashes: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     return key ^ (key >> np.uint64(29))
 
 
-def _emit(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
+def _emit(ids: pa.Array, parts: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """The parts' columns on end; the first has the row of each, whose doc_id is put for it."""
+    rows, *columns = (pa.array(np.concatenate(c)) for c in zip(*parts, strict=True))
+    return pa.RecordBatch.from_arrays([ids.take(rows), *columns], ["doc_id", *names])
 
 
 def _anchors(window: int, period: int):
@@ -86,14 +90,14 @@ def _anchors(window: int, period: int):
     def run(batches):
         for batch in pieces(batches, 1 << 20):
             parts = []
-            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+            for row, text in enumerate(utf8(batch.column(1))):
                 words = (text or b"").split()
                 if len(words) < window:
                     continue
                 at = np.flatnonzero(cover[np.arange(len(words) - width + 1) % period])
-                parts.append((window_hashes(word_hashes(words), width)[at].view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32)))
+                parts.append((np.full(len(at), row), window_hashes(word_hashes(words), width)[at].view(np.int64), at.astype(np.int32)))
             if parts:
-                yield _emit(parts, ["anchor", "doc_id", "pos"])
+                yield _emit(batch.column(0), parts, ["anchor", "pos"])
 
     return run
 
@@ -102,7 +106,7 @@ def _windows(window: int, period: int):
     def run(batches):
         for batch in pieces(batches, 1 << 20):
             parts = []
-            for doc, text, spots in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2), strict=True):
+            for row, (text, spots) in enumerate(zip(utf8(batch.column(1)), batch.column(2), strict=True)):
                 words = (text or b"").split()
                 if len(words) < window:
                     continue
@@ -113,9 +117,9 @@ def _windows(window: int, period: int):
                 at = np.flatnonzero(np.cumsum(edge)[: len(words) - window + 1] > 0)
                 hashes = word_hashes(words)
                 h, g = (window_hashes(hashes, window, k)[at] for k in (0, 1))
-                parts.append((h.view(np.int64), (g >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(at), doc, np.int64), at.astype(np.int32)))
+                parts.append((np.full(len(at), row), h.view(np.int64), (g >> np.uint64(32)).astype(np.uint32).view(np.int32), at.astype(np.int32)))
             if parts:
-                yield _emit(parts, ["h", "g", "doc_id", "pos"])
+                yield _emit(batch.column(0), parts, ["h", "g", "pos"])
 
     return run
 
@@ -123,13 +127,13 @@ def _windows(window: int, period: int):
 def repeated_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     """(doc_id, found array<struct<pos, h>>): starts of windows that also start in a document with a smaller doc_id."""
     period = period_for(window)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    anchors = scratch.table(texts.mapInArrow(_anchors(window, period), "anchor long, doc_id long, pos int"), "anchors")
+    texts, kind = docs.select("doc_id", "text").where("doc_id is not null"), docs.schema["doc_id"].dataType.simpleString()
+    anchors = scratch.table(texts.mapInArrow(_anchors(window, period), f"doc_id {kind}, anchor long, pos int"), "anchors")
     shared = scratch.table(anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "shared")
     spots = scratch.table(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("pos").alias("spots")), "spots")
     scratch.drop("anchors", "shared")
     near = texts.join(spots, "doc_id").select("doc_id", "text", "spots")
-    windows = scratch.table(near.mapInArrow(_windows(window, period), "h long, g int, doc_id long, pos int"), "windows")
+    windows = scratch.table(near.mapInArrow(_windows(window, period), f"doc_id {kind}, h long, g int, pos int"), "windows")
     first = scratch.table(windows.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("b")).where("first < b").drop("b"), "first")
     found = windows.join(first, ["h", "g"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "h")).alias("found"))
     found = scratch.table(found, "found")
@@ -154,8 +158,9 @@ def _kept(words: list[bytes], found, window: int) -> tuple[list[bytes], int]:
 
 def _with_found(docs: DataFrame, window: int) -> DataFrame:
     found = repeated_windows(docs, window, Scratch(docs.sparkSession, "substrings"))
-    found = found.select(F.col("doc_id").alias("__found_id"), F.col("found").alias("__found"))
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("__found_id"), "left").drop("__found_id")
+    found_id, name = (unused(x, docs.columns) for x in ("found_id", "found"))
+    found = found.select(F.col("doc_id").alias(found_id), F.col("found").alias(name))
+    return docs.join(found, F.col("doc_id") == F.col(found_id), "left").select(*docs.columns, name)
 
 
 def _of(column: pa.Array) -> list:
