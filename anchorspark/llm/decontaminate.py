@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import ascii_lower
-from .scratch import Scratch
+from .scratch import Scratch, unused
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A benchmark table of more windows or words than this is joined by a shuffle.
@@ -82,5 +82,7 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 13, scratch: Scra
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
     """docs without the contaminated ones."""
     scratch = Scratch(docs.sparkSession, "benchmark")
-    bad = scratch.table(report(docs, benchmark, width, scratch).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "bad")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash")), "left_anti")
+    bad_id, bad_hash = (unused(x, docs.columns) for x in ("bad_id", "bad_hash"))
+    bad = report(docs, benchmark, width, scratch).where("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
+    bad = scratch.table(bad, "bad")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(bad_hash)), "left_anti")
