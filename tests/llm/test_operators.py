@@ -378,15 +378,27 @@ def test_token_counts(spark, texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
 
-    n = lambda t: len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids)
-    odd = [*texts, (70, "a<|endoftext|>b  <|endoftext|>"), (71, "it's  we'LL\t\n x  y 　z  "), (72, "漢字 🙂 Ⅷ½ \x1c\x85")]
-    got = token_counts.count_tokens(make(spark, odd), path).collect()
-    want = Counter((i, len((t or "").encode()), n(t or ""), n(t or "") > 1024) for i, t in odd)
-    assert Counter(tuple(r) for r in got) == want
+    library = Tokenizer.from_file(path)
+    n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    odd = [(70, "a<|endoftext|>b  <|endoftext|>"), (71, "it's  we'LL\t\n x  y 　z  "), (72, "漢字 🙂 Ⅷ½ \x1c\x85"), (73, "ab" * 400 + "  <|endoftext|"), (74, " \n\n"), (75, "'ve'd '"), (75, "'ve'd '")]
+    counts = token_counts.count_tokens(make(spark, [*texts, *odd]), path, 9).collect()
+    want = Counter((i, len((t or "").encode()), n(t or ""), n(t or "") > 9) for i, t in [*texts, *odd])
+    assert Counter(tuple(r)[:4] for r in counts) == want
+    fits = {r["doc_id"]: r["fits_chars"] for r in counts}
     counter = token_counts.PrefixCounter(path)
-    for t in ("it's  we'll\t\n x  y ", "hello   world, 1234 !!", odd[-1][1]):
-        assert counter.prefix_counts(t).tolist() == [n(t[:k]) for k in range(len(t) + 1)]
-        assert n(counter.truncate(t, 3)) <= 3
+    for i, t in odd:
+        every = [n(t[:k]) for k in range(len(t) + 1)]
+        assert counter.prefix_counts(t).tolist() == every
+        assert counter.truncate(t, 3) == t[: max(k for k, x in enumerate(every) if x <= 3)]
+        assert fits[i] == max(k for k, x in enumerate(every) if x <= 9)
+    assert token_counts.count_tokens(make(spark, []), path).count() == 0
+
+
+def test_sorted_pieces_share_rows():
+    counter = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    some = sorted(x.encode() for x in (" the", " there", " thereof", "", " xylophone", "there", "é", "ée"))
+    assert [list(x) for x in counter.tables(some)] == [list(next(counter.tables([x]))) for x in some]
+    assert all(t[-1] == len(counter._merge(x)) for t, x in zip(counter.tables(some), some, strict=True) if x)
 
 
 def test_difference_covers():
