@@ -70,10 +70,29 @@ def test_quality_rules(spark, texts):
     assert Counter(r[0] for r in kept.collect()) == Counter(k[0] for k, c in want.items() for _ in range(c) if k[-1])
 
 
-def test_rule_order_is_by_rejections_per_cost():
-    rules = quality_rules.RULES[:3]
-    measured = [{"rule": r.name, "seen": 10, "rejected": x, "ns": ns} for r, x, ns in zip(rules, (5, 5, 1), (100, 10, 1), strict=True)]
-    assert [r.name for r in quality_rules.order_rules(rules, measured)] == [rules[2].name, rules[1].name, rules[0].name]
+def test_rules_are_ordered_by_what_each_adds():
+    rule = lambda name, *needs: quality_rules.Rule(name, lambda s: False, needs)
+    rules = [rule("words", "n_words"), rule("repeats", "n_repeat_words"), rule("symbols", "n_symbols"), rule("chars", "word_chars")]
+    seconds = {"words": 5.0, "n_words": 0.0, "n_repeat_words": 1.0, "n_symbols": 1.0, "word_chars": 1.0}
+    # 40 texts only by symbols; 30 by symbols and chars; 20 by repeats; 10 by words
+    order = quality_rules.order_rules(rules, quality_rules.Measured(seconds, {0b0100: 40, 0b1100: 30, 0b0010: 20, 0b0001: 10, 0: 900}))
+    # chars alone rejects 30 a second, but none that symbols leaves; once repeats has split words, counting them is free
+    assert [r.name for r in order] == ["symbols", "repeats", "words", "chars"]
+    none = quality_rules.order_rules(rules, quality_rules.Measured({}, {}))
+    assert sorted(r.name for r in none) == sorted(r.name for r in rules)
+
+
+def test_repeated_windows_with_clashing_keys(monkeypatch):
+    rnd = random.Random(9)
+    for _ in range(200):
+        words = [rnd.choice([b"a", b"b", b"c"]) for _ in range(rnd.randint(0, 60))]
+        grams = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        twice = {g for g, c in Counter(grams).items() if c > 1}
+        want = len({i + k for i, g in enumerate(grams) if g in twice for k in range(8)})
+        assert quality_rules.repeated_window_words(words, 8) == want
+        with monkeypatch.context() as m:
+            m.setattr(quality_rules, "_MIX", np.zeros(2, np.uint64))  # all keys are equal
+            assert quality_rules.repeated_window_words(words, 8) == want
 
 
 def test_warc_round_trip(spark):
