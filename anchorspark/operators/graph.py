@@ -28,10 +28,14 @@ def cooccurrence(mentions: DataFrame, least: int = 2) -> DataFrame:
 
 
 def same_group(members: DataFrame) -> DataFrame:
-    """Chains of neighbours within a group (node, grp, pos): a node's last group counts."""
-    last = members.groupBy("node").agg(F.max_by("grp", F.struct("pos", "grp")).alias("grp"))
-    nxt = F.lead("node").over(Window.partitionBy("grp").orderBy("node"))
-    return last.withColumn("dst", nxt).where("dst is not null").select(F.col("node").alias("src"), "dst", "grp")
+    """Every pair of nodes of a group (node, grp, pos), src < dst; a node's last group counts.
+
+    The pairs of one group are its square by definition; both sides of the join
+    can be split, so no task holds a group.
+    """
+    last = members.groupBy("node").agg(F.max_by("grp", F.struct("pos", "grp")).alias("grp")).where("grp is not null")
+    pairs = last.alias("a").join(last.alias("b"), F.expr("a.grp = b.grp and a.node < b.node"))
+    return pairs.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"), F.col("a.grp").alias("grp"))
 
 
 def weighted(edges: DataFrame) -> DataFrame:
@@ -62,10 +66,11 @@ def related(adjacent: DataFrame, seeds: DataFrame, decay: float = 0.5, depth: in
 
 
 def co_cited(adjacent: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Nodes that neighbour every seed."""
-    n = seeds.select("seed").distinct().agg(F.count("*").alias("n"))
-    hits = adjacent.join(seeds, F.col("src") == F.col("seed")).groupBy(F.col("dst").alias("node")).agg(F.countDistinct("seed").alias("k"))
-    return hits.crossJoin(F.broadcast(n)).where("k = n").select("node")
+    """(query_id, node): nodes that neighbour every seed of a query's set (query_id, seed)."""
+    seeds, edges = seeds.select("query_id", "seed").distinct(), adjacent.select("src", "dst").distinct()
+    n = seeds.groupBy("query_id").agg(F.count("*").alias("n"))
+    hits = edges.join(seeds, F.col("src") == F.col("seed")).groupBy("query_id", F.col("dst").alias("node")).agg(F.count("*").alias("k"))
+    return hits.join(n, "query_id").where("k = n").select("query_id", "node")
 
 
 def prioritised(parts: list[DataFrame], caps: list[int | None], cap: int = 30) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,17 +18,51 @@ def macro_rate(groups: DataFrame) -> DataFrame:
     return groups.agg(F.bround(F.avg(F.when(F.col("total") > 0, 100.0 * F.col("passed") / F.col("total"))), 2).alias("macro_rate"))
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, at: tuple[float, ...], interpolated: bool = True, buckets: int = 4096) -> DataFrame:
+    """by and p0, p1, ... for each of at: the value at rank p * (n - 1), between two ranks interpolated or the lower one.
+
+    Values are counted in equal steps of each group's span; only those of the
+    steps that hold a wanted rank are looked at one by one, as distinct values
+    with counts, so no task gets a group.
+    """
+    names = [f"g{i}" for i in range(len(by))]
+    rows = df.where(F.col(value).isNotNull()).select(*(F.col(c).alias(k) for c, k in zip(by, names, strict=True)), F.col(value).cast("double").alias("v"))
+    same = lambda x, y, cols: reduce(lambda a, b: a & b, (F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in cols), F.lit(True))
+    span = rows.groupBy(*names).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    step = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / buckets)), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
+    placed = rows.alias("r").join(span.alias("s"), same("r", "s", names)).select(*(F.col(f"r.{c}") for c in names), "v", step.alias("b"))
+    counts = placed.groupBy(*names, "b").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(*names).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over at most so many buckets
+    counts = counts.withColumn("before", before)
+    exact = [F.lit(p) * (F.col("n") - 1) for p in at]
+    wanted = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(up).alias("up"), (F.ceil(x) if up else F.floor(x)).alias("r")) for i, x in enumerate(exact) for up in (0, 1)))
+    wanted = span.select(*names, F.explode(wanted).alias("w")).select(*names, "w.*")
+    spots = wanted.alias("w").join(counts.alias("c"), same("w", "c", names) & (F.col("before") <= F.col("r")) & (F.col("r") < F.col("before") + F.col("c.c")))
+    spots = spots.select(*(F.col(f"w.{c}") for c in names), "i", "up", "b", (F.col("r") - F.col("before")).alias("r"))
+    near = placed.alias("p").join(spots.select(*names, "b").distinct().alias("t"), same("p", "t", [*names, "b"]), "left_semi")
+    near = near.groupBy(*names, "b", "v").agg(F.count("*").alias("c"))
+    near = near.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy(*names, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    found = spots.alias("w").join(near.alias("c"), same("w", "c", [*names, "b"]) & (F.col("before") <= F.col("r")) & (F.col("r") < F.col("before") + F.col("c.c")))
+    got = found.select(*(F.col(f"w.{c}") for c in names), "i", "up", "v").groupBy(*names).agg(*(F.max(F.when((F.col("i") == i) & (F.col("up") == up), F.col("v"))).alias(f"v{i}{up}") for i in range(len(at)) for up in (0, 1)))
+    got = got.alias("a").join(span.alias("s"), same("a", "s", names)).select(*(F.col(f"a.{k}").alias(c) for k, c in zip(names, by, strict=True)), *(f"v{i}{up}" for i in range(len(at)) for up in (0, 1)), "n")
+    share = [x - F.floor(x) for x in exact]
+    value_at = lambda i: F.col(f"v{i}0") + (F.col(f"v{i}1") - F.col(f"v{i}0")) * share[i] if interpolated else F.col(f"v{i}0")
+    return got.select(*by, *(value_at(i).alias(f"p{i}") for i in range(len(at))))
+
+
 def percentiles(df: DataFrame, value: str, at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Interpolated percentiles, milliseconds to seconds."""
-    p = F.percentile(F.col(value), F.array(*map(F.lit, at)))
-    return df.agg(p.alias("p")).select(*(F.round(F.col("p")[i] / 1000.0, 3).alias(f"p{round(100 * a)}") for i, a in enumerate(at)))
+    got = quantiles(df.withColumn("all", F.lit(0)), ["all"], value, at)
+    return got.select(*(F.round(F.col(f"p{i}") / 1000.0, 3).alias(f"p{round(100 * a)}") for i, a in enumerate(at)))
 
 
 def floor_rank(df: DataFrame, by: str, value: str, at: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """The value at rank floor(p * (n - 1)) of each group, by counting ranks: nothing is gathered."""
-    w = Window.partitionBy(by)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("r", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    return ranked.groupBy(by).agg(*(F.max(F.when(F.col("r") == F.floor(F.lit(a) * (F.col("n") - 1)), F.col(value))).alias(f"p{round(100 * a)}") for a in at))
+    """The value at rank floor(p * (n - 1)) of each group."""
+    return quantiles(df, [by], value, at, interpolated=False).select(by, *(F.col(f"p{i}").alias(f"p{round(100 * a)}") for i, a in enumerate(at)))
+
+
+def median(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    return quantiles(df, [by], value, (0.5,)).select(by, F.col("p0").alias(name))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:

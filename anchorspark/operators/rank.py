@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,28 +23,33 @@ def bm25(candidates: DataFrame, query: str = "query_id", doc: str = "doc_id", qu
     return rows.select(query, doc).join(scored, [query, doc], "left").fillna(0.0, ["bm25"])
 
 
-def bm25_corpus(questions: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """bm25 where every document is a candidate of every question: an inverted join on terms, no pairs without a common term."""
+def bm25_corpus(questions: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75, also: DataFrame | None = None) -> DataFrame:
+    """bm25 over all documents, by an inverted join on terms: the pairs with a common term, and those of also (query_id, doc_id); any other pair's score is zero."""
     tokens = docs.select("doc_id", T.lexical_tokens(F.col("text")).alias("tokens")).select("doc_id", F.size("tokens").alias("dl"), "tokens")
     stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     terms = questions.select("query_id", F.explode(F.array_distinct(T.lexical_tokens(F.col("question")))).alias("term"))
-    wanted = terms.select("term").distinct()
-    from .retrieve import sized_broadcast  # the questions' words, not the documents'
+    from .retrieve import BROADCAST_ROWS  # bounds the questions' words, not the documents'
 
-    tf = tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).join(sized_broadcast(wanted), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("f"))
+    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # of the questions alone; a join with the words' counts adds no row
+    small = F.broadcast if few else (lambda x: x)
+    tf = tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("f"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weight = idf * F.col("f") * (k1 + 1.0) / (F.col("f") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
-    terms = sized_broadcast(terms.join(df, "term"))  # a row for each question and word: frequent words needn't meet in one task
+    terms = small(terms.join(df, "term"))  # a row for each question and word: frequent words needn't meet in one task
     posting = tf.join(terms, "term").crossJoin(F.broadcast(stats)).select("query_id", "doc_id", weight.alias("w"))  # stats is one row
+    if also is not None:
+        posting = posting.unionByName(also.select("query_id", "doc_id", F.lit(0.0).alias("w")))
     return posting.groupBy("query_id", "doc_id").agg(F.sum("w").alias("bm25"))
 
 
-def min_max(value: str, over: list[str]) -> Column:
-    """Scaled to 0..1 in its group; 0 where all are equal."""
-    w = Window.partitionBy(*over)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.0))
+def min_max(df: DataFrame, value: str, over: list[str], name: str) -> DataFrame:
+    """df with value scaled to 0..1 in its group, 0 where all are equal; groups meet only as their bounds."""
+    bounds = df.groupBy(*(F.col(c).alias(f"{name}__{c}") for c in over)).agg(F.min(value).alias(f"{name}__low"), F.max(value).alias(f"{name}__high"))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"{name}__{c}")) for c in over))
+    low, high = F.col(f"{name}__low"), F.col(f"{name}__high")
+    scaled = F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.0))
+    return df.join(bounds, same).select(*df.columns, scaled.alias(name))
 
 
 def hybrid_score(vec: Column, lexical: Column, citation: Column, role: Column, weights: tuple[float, float, float, float] = (0.25, 0.25, 0.35, 0.15)) -> Column:
@@ -130,7 +137,7 @@ def candidate_score(hits: DataFrame, query: str = "query_id", weights: tuple[flo
     """The score over candidates (distance, bm25, hinted boolean, delta or null for no profile): similarity and BM25 scaled
     within the query, 1 for a hinted anchor, and the role delta moved to 0..1 (0.5 without a profile)."""
     role = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("delta") + 0.15) / 0.33)), F.lit(0.5))
-    near = hits.withColumn("near", 1.0 / (1.0 + F.col("distance"))).withColumn("vec", min_max("near", [query])).withColumn("lexical", min_max("bm25", [query]))
+    near = min_max(min_max(hits.withColumn("near", 1.0 / (1.0 + F.col("distance"))), "near", [query], "vec"), "bm25", [query], "lexical")
     return near.withColumn("score", hybrid_score(F.col("vec"), F.col("lexical"), F.col("hinted").cast("double"), role, weights)).drop("near", "vec", "lexical")
 
 

@@ -32,18 +32,19 @@ def compile_filter(where: dict | None) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, where: dict | None = None) -> DataFrame:
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, where: dict | None = None, by: tuple[str, ...] = (), digits: int = 15) -> DataFrame:
     """Exact nearest rows of vectors (chunk_id, embedding) for a stated set of queries (query_id, q), by squared L2.
 
-    Each task holds the queries; beyond MOST_QUERIES they come in blocks.
+    With by, the k nearest of each of its values.  Each task holds the queries
+    and sends on the k nearest of each; beyond MOST_QUERIES they come in blocks.
     """
     n = queries.count()
     if n > MOST_QUERIES:
         blocks = -(-n // MOST_QUERIES)
         parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)) == i) for i in range(2 * blocks)]
-        return reduce(DataFrame.unionByName, (vector_top_k(vectors, part, k, where) for part in parts))
-    near = vectors.where(compile_filter(where)).crossJoin(F.broadcast(queries)).withColumn("distance", T.squared_l2(F.col("embedding"), F.col("q"))).drop("embedding", "q")
-    return top_k(near, ["query_id"], [F.asc("distance"), F.asc("chunk_id")], k)
+        return reduce(DataFrame.unionByName, (vector_top_k(vectors, part, k, where, by, digits) for part in parts))
+    near = vectors.where(compile_filter(where)).crossJoin(F.broadcast(queries)).withColumn("distance", F.round(T.squared_l2(F.col("embedding"), F.col("q")), digits)).drop("embedding", "q")
+    return top_k(near, ["query_id", *by], [F.asc("distance"), F.asc("chunk_id")], k)
 
 
 def siblings(hits: DataFrame, chunks: DataFrame, most: int = 2, factor: float = 1.05) -> DataFrame:
@@ -54,11 +55,11 @@ def siblings(hits: DataFrame, chunks: DataFrame, most: int = 2, factor: float =
 
 
 def inject_anchors(hits: DataFrame, hints: DataFrame, chunks: DataFrame, most_anchors: int = 10, each: int = 3) -> DataFrame:
-    """For hinted anchors that no hit covers, the chunks of that anchor that aren't hits yet."""
+    """For hinted anchors that no hit covers, the nearest chunks (distance to the question) of that anchor that aren't hits yet."""
     covered = hits.select("query_id", "chunk_id").join(chunks.select("chunk_id", "anchor"), "chunk_id").select("query_id", "anchor").distinct()
     missing = top_k(hints.select("query_id", "anchor").distinct().join(covered, ["query_id", "anchor"], "left_anti"), ["query_id"], [F.asc("anchor")], most_anchors, "a").drop("a")
-    extra = missing.join(chunks.select("anchor", "chunk_id"), "anchor").join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    return top_k(extra, ["query_id", "anchor"], [F.asc("chunk_id")], each).drop("rank")
+    extra = missing.join(chunks.select("anchor", "chunk_id", "distance"), "anchor").join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    return top_k(extra, ["query_id", "anchor"], [F.asc("distance"), F.asc("chunk_id")], each).drop("rank")
 
 
 def discovery_scores(hits: DataFrame) -> DataFrame:
@@ -88,9 +89,9 @@ def needs_disambiguation(matches: DataFrame, gap: float = 0.10) -> DataFrame:
     return first.select("query_id", F.coalesce(F.col("confidence") - F.col("next") < gap, F.lit(False)).alias("ambiguous"))
 
 
-def abstain(hits: DataFrame, hard: float = 1.3, soft: float = 1.25, allow_low: bool = False) -> DataFrame:
-    """Per query: no_evidence, too_far, low_evidence or answer, by its best distance."""
-    best = hits.groupBy("query_id").agg(F.min("distance").alias("best"))
+def abstain(queries: DataFrame, hits: DataFrame, hard: float = 1.3, soft: float = 1.25, allow_low: bool = False) -> DataFrame:
+    """For each of queries (query_id): no_evidence, too_far, low_evidence or answer, by its best hit's distance."""
+    best = queries.select("query_id").distinct().join(hits.groupBy("query_id").agg(F.min("distance").alias("best")), "query_id", "left")
     low = F.lit(not allow_low) & (F.col("best") > soft)
     return best.select("query_id", F.when(F.col("best").isNull(), "no_evidence").when(F.col("best") > hard, "too_far").when(low, "low_evidence").otherwise("answer").alias("decision"))
 

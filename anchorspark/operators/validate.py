@@ -15,14 +15,27 @@ def used_references(answers: DataFrame, references: DataFrame) -> DataFrame:
     return hit.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("pos"))).where("r = 1").drop("r")
 
 
-def contract_violations(answer: Column, allowed: Column, least: int = 1, most: int = 20) -> Column:
-    """Codes of the citation rules that an answer breaks, in a fixed order."""
+def contract_violations(answer: Column, structured: Column, lines: Column, least: int | None = None, most: int | None = None, extra_allowed: bool = False) -> Column:
+    """Codes of the citation rules that an answer breaks, in a fixed order; structured and lines are its references' numbers.
+
+    Citations without any structured reference end the check.
+    """
     cited = T.bracket_citations(answer)
-    n = F.size(cited)
+    structured, lines = (F.filter(F.coalesce(x, F.array().cast("array<int>")), lambda i: i > 0) for x in (structured, lines))
+    n, none = F.size(cited), F.lit(None).cast("string")
     paragraphs = F.filter(F.split(F.coalesce(answer, F.lit("")), r"\n\s*\n"), lambda p: F.length(F.trim(p)) > 0)
     bare = F.exists(paragraphs, lambda p: T.is_normative(p) & ~p.rlike(r"\[\d{1,3}\]"))
-    codes = [("NO_REFERENCES", F.size(allowed) == 0), ("NO_CITATIONS", n == 0), ("UNKNOWN_CITATION", F.size(F.array_except(cited, allowed)) > 0), ("TOO_FEW", (n > 0) & (n < least)), ("TOO_MANY", n > most), ("UNCITED_NORMATIVE", bare)]
-    return F.array_compact(F.array(*(F.when(test, F.lit(code)) for code, test in codes)))
+    first = [("NORMATIVE_WITHOUT_BRACKET_CITATION", bare), ("MIN_CITATIONS_NOT_MET", F.lit(least is not None and least >= 0) & (n < (least or 0)))]
+    unsupported = (n > 0) & (F.size(structured) == 0)
+    rest = [
+        ("CITED_IDX_MISSING_IN_STRUCTURED", F.size(F.array_except(cited, structured)) > 0),
+        ("CITATIONS_NO_MATCHING_REFS", (n > 0) & ~F.arrays_overlap(cited, structured)),
+        ("UNCITED_STRUCTURED_REFS", F.lit(not extra_allowed) & (F.size(F.array_except(structured, cited)) > 0)),
+        ("MAX_CITATIONS_EXCEEDED", F.lit(most is not None and most >= 0) & (n > (most or 0))),
+        ("REN_NUMBERING_MISMATCH", (n > 0) & (F.size(lines) > 0) & (F.size(F.array_except(cited, lines)) > 0)),
+    ]
+    codes = [*first, ("CITATIONS_WITHOUT_STRUCTURED_REFS", unsupported), *((c, ~unsupported & t) for c, t in rest)]
+    return F.array_compact(F.array(*(F.when(test, F.lit(code)).otherwise(none) for code, test in codes)))
 
 
 def anchor_score(found: Column, any_of: Column, any_of_2: Column, all_of: Column, none_of: Column) -> Column:

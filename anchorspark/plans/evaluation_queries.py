@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import place as P
 from ..functions import text as T
 from ..operators import evaluate, rank, retrieve, validate
-from .queries import _DISC, _NEAR, _TOP, _any, _near, _t, _word, query
+from .queries import _DISC, _NEAR, _TOP, _any, _discovered, _near, _t, _word, query
 
 
 @query("SELECT conv_id, CASE WHEN length(t) > 400 THEN substr(t, 1, 400) || '...' ELSE t END AS text FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS t FROM conversations GROUP BY 1)")
@@ -67,9 +67,9 @@ def listing_filter(spark, d):
     return _t(spark, d, "pages").where(T.contains_any(F.col("url"), words)).select("page_id", "url", F.regexp_extract("url", "/([a-z]{2})/", 1).alias("lang"))
 
 
-@query("SELECT p_partkey, p_name, (SELECT count(*) FROM part WHERE contains(lower(p_name), '1')) AS total FROM part WHERE contains(lower(p_name), '1') ORDER BY p_name, p_partkey LIMIT 20")
+@query("SELECT p_partkey, p_name, (SELECT count(*) FROM part WHERE contains(lower(p_name), 'ring')) AS total FROM part WHERE contains(lower(p_name), 'ring') ORDER BY p_name, p_partkey LIMIT 20")
 def anchor_search(spark, d):
-    hit = _t(spark, d, "part").where(F.lower("p_name").contains("1")).select("p_partkey", "p_name")
+    hit = _t(spark, d, "part").where(F.lower("p_name").contains("ring")).select("p_partkey", "p_name")
     return hit.orderBy("p_name", "p_partkey").limit(20).crossJoin(F.broadcast(hit.agg(F.count("*").alias("total"))))
 
 
@@ -214,11 +214,12 @@ def policy_merge(spark, d):
     return evaluate.merge_policies(rows, "user_id", "event_id")
 
 
-@query(f"WITH {_DISC}, s AS (SELECT query_id, corpus_id, confidence, 2 AS stage FROM disc UNION ALL SELECT query_id, corpus_id, 0.9, 0 FROM disc WHERE corpus_id = 1) SELECT query_id, corpus_id, confidence, stage FROM (SELECT *, row_number() OVER (PARTITION BY query_id, corpus_id ORDER BY stage, confidence DESC) AS r FROM s) WHERE r = 1")
+@query(f"WITH {_DISC}, s AS (SELECT query_id, corpus_id, confidence, 2 AS stage FROM disc UNION ALL SELECT query_id, corpus_id, 0.9, 0 FROM disc WHERE corpus_id = 1 UNION ALL SELECT query_id, corpus_id, round(confidence / 2 + 0.5, 4), 1 FROM disc WHERE corpus_id IN (1, 2, 3)) SELECT query_id, corpus_id, confidence, stage FROM (SELECT *, row_number() OVER (PARTITION BY query_id, corpus_id ORDER BY stage, confidence DESC) AS r FROM s) WHERE r = 1")
 def match_merge(spark, d):
-    probed = retrieve.discovery_scores(_near(spark, d))
+    probed = _discovered(spark, d)
     alias = probed.where("corpus_id = 1").withColumn("confidence", F.lit(0.9))
-    return retrieve.merge_matches(alias, probed.limit(0), probed)
+    judged = probed.where("corpus_id in (1, 2, 3)").withColumn("confidence", F.round(F.col("confidence") / 2 + 0.5, 4))
+    return retrieve.merge_matches(alias, judged, probed)
 
 
 @query(f"WITH {_NEAR}, {_TOP} SELECT query_id, chunk_id, rank <= 3 AND distance < 0.85 AS protected, row_number() OVER (PARTITION BY query_id ORDER BY -distance + CASE WHEN corpus_id = 2 THEN 0.1 ELSE 0 END DESC, CASE WHEN corpus_id = 2 THEN 0 ELSE 1 END, chunk_id) AS bumped FROM top WHERE rank <= 20")

@@ -40,9 +40,9 @@ bm AS (SELECT query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * f *
 """
 
 
-def _bm25(spark, d):
+def _bm25(spark, d, also=None):
     questions = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return rank.bm25_corpus(questions, _t(spark, d, "documents"))
+    return rank.bm25_corpus(questions, _t(spark, d, "documents"), also=also)
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, round(bm25, 6) AS bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM bm) WHERE rank <= 10")
@@ -53,20 +53,26 @@ def bm25_topk(spark, d):
 _ROLE_SQL = "CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9])(must|shall|required)($|[^a-z0-9])') THEN 1.0 ELSE 0.0 END"
 
 
-@query(f"""WITH {_BM25}, b2 AS (SELECT bm.*, {_ROLE_SQL} AS role FROM bm JOIN documents USING (doc_id)),
+@query(f"""WITH {_BM25}, b2 AS (SELECT q.query_id, documents.doc_id, coalesce(bm25, 0) AS bm25, {_ROLE_SQL} AS role FROM q CROSS JOIN documents LEFT JOIN bm ON bm.query_id = q.query_id AND bm.doc_id = documents.doc_id),
 n AS (SELECT query_id, doc_id, (bm25 - min(bm25) OVER w) / nullif(max(bm25) OVER w - min(bm25) OVER w, 0) AS lex, role FROM b2 WINDOW w AS (PARTITION BY query_id)),
 s AS (SELECT query_id, doc_id, round(coalesce(lex, 0), 6) AS lexical, role AS role_score, round(0.25 * coalesce(lex, 0) + 0.15 * role, 6) AS final_score FROM n)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def hybrid_rerank_topk(spark, d):
+    """All documents are candidates.  Of those without a common word only the ten best by role can be among the first ten."""
     docs = _t(spark, d, "documents").select("doc_id", F.when(F.lower("text").rlike("(^|[^a-z0-9])(must|shall|required)($|[^a-z0-9])"), 1.0).otherwise(0.0).alias("role_score"))
-    scored = _bm25(spark, d).join(docs, "doc_id").withColumn("lex", rank.min_max("bm25", ["query_id"]))
+    best = docs.orderBy(F.desc("role_score"), "doc_id").limit(10).select("doc_id")
+    scored = _bm25(spark, d, _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).crossJoin(F.broadcast(best)))
+    bounds = scored.groupBy("query_id").agg(F.min("bm25").alias("low"), F.max("bm25").alias("high"), F.count_if(F.col("bm25") > 0).alias("k"))
+    bounds = bounds.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).select("query_id", F.when(F.col("k") < F.col("n"), 0.0).otherwise(F.col("low")).alias("low"), "high")
+    scored = scored.join(docs, "doc_id").join(bounds, "query_id")
+    scored = scored.withColumn("lex", F.when(F.col("high") > F.col("low"), (F.col("bm25") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0))
     final = rank.hybrid_score(F.lit(0.0), F.col("lex"), F.lit(0.0), F.col("role_score"))
     return rank.top_k(scored.select("query_id", "doc_id", F.round("lex", 6).alias("lexical"), "role_score", F.round(final, 6).alias("final_score")), ["query_id"], [F.desc("final_score"), F.asc("doc_id")], 10)
 
 
 @query("SELECT event_type, event_id, round(coalesce((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 0), 9) AS scaled FROM events WINDOW w AS (PARTITION BY event_type)")
 def minmax_normalise(spark, d):
-    return _t(spark, d, "events").select("event_type", "event_id", F.round(rank.min_max("value", ["event_type"]), 9).alias("scaled"))
+    return rank.min_max(_t(spark, d, "events"), "value", ["event_type"], "scaled").select("event_type", "event_id", F.round("scaled", 9).alias("scaled"))
 
 
 # --- vectors, discovery, fusion ------------------------------------------------------------------
@@ -81,10 +87,9 @@ _DIST = "list_sum(list_transform(list_zip(c.embedding, q.embedding), lambda x: (
 _NEAR = f"near AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.label::BIGINT AS corpus_id, round({_DIST}, 6) AS distance FROM embeddings c, embeddings q WHERE q.vec_id % 100 = 0)"
 
 
-def _near(spark, d, where=None, k=50):
+def _near(spark, d, where=None, k=50, by=()):
     v, q = _vectors(spark, d)
-    near = v.where(retrieve.compile_filter(where)).crossJoin(F.broadcast(q)).select("query_id", "chunk_id", "corpus_id", F.round(T.squared_l2(F.col("embedding"), F.col("q")), 6).alias("distance"))
-    return rank.top_k(near, ["query_id"], [F.asc("distance"), F.asc("chunk_id")], k)
+    return retrieve.vector_top_k(v, q, k, where, by, 6).select("query_id", "chunk_id", "corpus_id", "distance", "rank")
 
 
 _TOP = "top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM near)"
@@ -107,22 +112,26 @@ def cosine_pairs(spark, d):
     return pairs.select(F.col("a.vec_id").alias("a_id"), F.col("b.vec_id").alias("b_id"), F.round(T.cosine(F.col("a.embedding"), F.col("b.embedding")), 5).alias("similarity"))
 
 
-_DISC = f"{_NEAR}, {_TOP}, disc AS (SELECT query_id, corpus_id, round(0.5 * avg(exp(-distance * distance / 2)) + 0.5 * max(exp(-distance * distance / 2)), 4) AS confidence FROM top WHERE rank <= 50 GROUP BY ALL)"
+_DISC = f"{_NEAR}, {_TOP}, of_corpus AS (SELECT *, row_number() OVER (PARTITION BY query_id, corpus_id ORDER BY distance, chunk_id) AS r FROM near), disc AS (SELECT query_id, corpus_id, round(0.5 * avg(exp(-distance * distance / 2)) + 0.5 * max(exp(-distance * distance / 2)), 4) AS confidence FROM of_corpus WHERE r <= 10 GROUP BY ALL)"
+
+
+def _discovered(spark, d):
+    return retrieve.discovery_scores(_near(spark, d, k=10, by=("corpus_id",)))
 
 
 @query(f"WITH {_DISC} SELECT * FROM disc")
 def discovery_scores(spark, d):
-    return retrieve.discovery_scores(_near(spark, d))
+    return _discovered(spark, d)
 
 
 @query(f"WITH {_DISC}, g AS (SELECT query_id, count(*) FILTER (confidence >= 0.75) AS sure, count(*) FILTER (confidence >= 0.65) AS likely FROM disc GROUP BY query_id) SELECT query_id, CASE WHEN sure > 0 THEN 'AUTO' WHEN likely BETWEEN 1 AND 2 THEN 'SUGGEST' ELSE 'ABSTAIN' END AS gate, CASE WHEN sure > 0 THEN least(sure, 5) WHEN likely BETWEEN 1 AND 2 THEN likely ELSE 0 END AS n_resolved FROM g")
 def discovery_gate(spark, d):
-    return retrieve.gate(retrieve.discovery_scores(_near(spark, d)))
+    return retrieve.gate(_discovered(spark, d))
 
 
 @query(f"WITH {_DISC}, r AS (SELECT *, lead(confidence) OVER w AS nxt, row_number() OVER w AS r FROM disc WINDOW w AS (PARTITION BY query_id ORDER BY confidence DESC, corpus_id)) SELECT query_id, coalesce(confidence - nxt < 0.10, false) AS ambiguous FROM r WHERE r = 1")
 def disambiguation_trigger(spark, d):
-    return retrieve.needs_disambiguation(retrieve.discovery_scores(_near(spark, d)))
+    return retrieve.needs_disambiguation(_discovered(spark, d))
 
 
 @query(f"WITH {_NEAR}, {_TOP}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, corpus_id ORDER BY distance, chunk_id) AS r FROM top WHERE rank <= 50), f AS (SELECT query_id, corpus_id, chunk_id, 1.0::DOUBLE / (60 + r) AS rrf FROM r) SELECT query_id, corpus_id, chunk_id, round(rrf, 9) AS rrf, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, corpus_id, chunk_id) AS position FROM f) WHERE position <= 20")
@@ -141,11 +150,12 @@ def score_floor(spark, d):
     return rank.score_floor(hits, "score", "distance").select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.round("floored", 6).alias("floored"))
 
 
-@query(f"WITH {_NEAR}, b AS (SELECT query_id, min(distance) AS best FROM near WHERE chunk_id <> query_id GROUP BY query_id) SELECT query_id, CASE WHEN best > 1.3 THEN 'too_far' WHEN best > 1.25 THEN 'low_evidence' ELSE 'answer' END AS decision FROM b")
+@query(f"WITH {_NEAR}, b AS (SELECT vec_id AS query_id, (SELECT min(distance) FROM near WHERE query_id = vec_id AND chunk_id <> query_id AND distance < 1.6) AS best FROM embeddings WHERE vec_id % 50 = 0) SELECT query_id, CASE WHEN best IS NULL THEN 'no_evidence' WHEN best > 1.3 THEN 'too_far' WHEN best > 1.25 THEN 'low_evidence' ELSE 'answer' END AS decision FROM b")
 def abstention_gate(spark, d):
+    """Every fiftieth vector asks; only every hundredth is searched for, so the others have no evidence."""
     v, q = _vectors(spark, d)
-    near = retrieve.vector_top_k(v, q, 2).where("chunk_id <> query_id").withColumn("distance", F.round("distance", 6))
-    return retrieve.abstain(near)
+    near = retrieve.vector_top_k(v, q, 2, digits=6).where("chunk_id <> query_id and distance < 1.6")
+    return retrieve.abstain(_t(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id")), near)
 
 
 @query(f"WITH {_NEAR}, {_TOP}, t AS (SELECT query_id, chunk_id, rank FROM top WHERE rank <= 9) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank % 2 = 1 THEN rank ELSE 20 - rank END) AS place FROM t")
@@ -188,7 +198,7 @@ def sibling_expansion(spark, d):
     return retrieve.siblings(_hits(spark, d), _chunks(spark, d)).withColumn("distance", F.round("distance", 6))
 
 
-@query(f"WITH {_HITS}, m AS (SELECT DISTINCT 0 AS query_id, p_partkey AS anchor FROM part WHERE p_partkey NOT IN (SELECT anchor FROM hits)), m2 AS (SELECT * FROM m ORDER BY anchor LIMIT 10), x AS (SELECT m2.query_id, m2.anchor, ch.chunk_id FROM m2 JOIN ch USING (anchor) WHERE ch.chunk_id NOT IN (SELECT chunk_id FROM hits)) SELECT query_id, anchor, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, anchor ORDER BY chunk_id) AS r FROM x) WHERE r <= 3")
+@query(f"WITH {_HITS}, m AS (SELECT DISTINCT 0 AS query_id, p_partkey AS anchor FROM part WHERE p_partkey NOT IN (SELECT anchor FROM hits)), m2 AS (SELECT * FROM m ORDER BY anchor LIMIT 10), x AS (SELECT m2.query_id, m2.anchor, ch.chunk_id, ch.distance FROM m2 JOIN ch USING (anchor) WHERE ch.chunk_id NOT IN (SELECT chunk_id FROM hits)) SELECT query_id, anchor, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, anchor ORDER BY distance, chunk_id) AS r FROM x) WHERE r <= 3")
 def anchor_injection(spark, d):
     hints = _t(spark, d, "part").select(F.lit(0).alias("query_id"), F.col("p_partkey").alias("anchor"))
     return retrieve.inject_anchors(_hits(spark, d), hints, _chunks(spark, d)).select("query_id", "anchor", "chunk_id")
@@ -214,7 +224,7 @@ def edge_weights(spark, d):
     return graph.weighted(graph.cooccurrence(_mentions(spark, d))).withColumn("weight", F.round("weight", 6))
 
 
-@query("WITH l AS (SELECT l_partkey AS node, arg_max(l_suppkey, (l_orderkey, l_linenumber, l_suppkey)) AS grp FROM lineitem GROUP BY ALL), x AS (SELECT node AS src, lead(node) OVER (PARTITION BY grp ORDER BY node) AS dst, grp FROM l) SELECT * FROM x WHERE dst IS NOT NULL")
+@query("WITH l AS (SELECT l_partkey AS node, arg_max(l_suppkey, (l_orderkey, l_linenumber, l_suppkey)) AS grp FROM lineitem GROUP BY ALL) SELECT a.node AS src, b.node AS dst, a.grp FROM l a JOIN l b ON a.grp = b.grp AND a.node < b.node")
 def same_chapter_edges(spark, d):
     return graph.same_group(_mentions(spark, d).select("node", "grp", F.struct("chunk_id", "pos").alias("pos")))
 
@@ -243,11 +253,11 @@ def related_two_hop(spark, d):
     return graph.related(adj, seeds).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_ADJ}, top AS (SELECT src, count(*) AS k FROM adj GROUP BY src ORDER BY k DESC, src LIMIT 1), n AS (SELECT adj.dst AS seed FROM adj JOIN top ON adj.src = top.src ORDER BY 1 LIMIT 2) SELECT a.dst AS node FROM adj a JOIN n ON a.src = n.seed GROUP BY 1 HAVING count(DISTINCT n.seed) = (SELECT count(DISTINCT seed) FROM n)")
+@query(f"WITH {_ADJ}, s AS (SELECT DISTINCT l_orderkey AS query_id, l_partkey::VARCHAR AS seed FROM lineitem WHERE l_linenumber <= 2), n AS (SELECT query_id, count(*) AS n FROM s GROUP BY 1), u AS (SELECT DISTINCT src, dst FROM adj) SELECT query_id, dst AS node FROM s JOIN u ON src = seed JOIN n USING (query_id) GROUP BY query_id, dst, n HAVING count(*) = n")
 def co_cited_all(spark, d):
-    adj = _adjacent(spark, d)
-    hub = adj.groupBy("src").count().orderBy(F.desc("count"), "src").limit(1).select("src")
-    return graph.co_cited(adj, adj.join(hub, "src", "left_semi").orderBy("dst").limit(2).select(F.col("dst").alias("seed")))
+    """The parts of an order's first two lines are its seeds."""
+    seeds = _t(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").cast("string").alias("seed"))
+    return graph.co_cited(_adjacent(spark, d), seeds)
 
 
 @query("WITH n AS (SELECT l_partkey AS node, count(*) AS mention_count FROM lineitem GROUP BY ALL) SELECT node AS number, mention_count, (21 - node) + 0.5 * mention_count AS score FROM n WHERE node BETWEEN 1 AND 20 ORDER BY score DESC, node LIMIT 5")
@@ -312,9 +322,9 @@ def latency_floor_percentiles(spark, d):
     return metrics.floor_rank(_runs(spark, d), "mode", "value")
 
 
-@query("SELECT event_type AS mode, median(value) AS median_value FROM events WHERE value > 0 GROUP BY 1")
+@query("SELECT event_type AS mode, round(median(value), 9) AS median_value FROM events WHERE value > 0 GROUP BY 1")
 def latency_median(spark, d):
-    return _runs(spark, d).where("value > 0").groupBy("mode").agg(F.median("value").alias("median_value"))
+    return metrics.median(_runs(spark, d).where("value > 0"), "mode", "value", "median_value").withColumn("median_value", F.round("median_value", 9))
 
 
 @query("WITH s AS (SELECT min(value) AS lo, max(value) AS hi FROM events), c AS (SELECT least(floor((value - lo) / ((hi - lo) / 10)) + 1, 10)::INT AS bin, count(*) AS n FROM events, s WHERE value IS NOT NULL GROUP BY 1) SELECT g::INT AS bin, coalesce(n, 0)::BIGINT AS n FROM generate_series(1, 10) AS t(g) LEFT JOIN c ON c.bin = g")
@@ -328,9 +338,9 @@ def trend_direction(spark, d):
     return metrics.trend(days, "mode").select("mode", "direction")
 
 
-@query(f"WITH {_RUNS}, g AS (SELECT day, median(value) AS median_value FROM r GROUP BY day) SELECT day, median_value FROM g ORDER BY day DESC LIMIT 20")
+@query(f"WITH {_RUNS}, g AS (SELECT day, round(median(value), 9) AS median_value FROM r GROUP BY day) SELECT day, median_value FROM g ORDER BY day DESC LIMIT 20")
 def latency_trend(spark, d):
-    return _runs(spark, d).groupBy("day").agg(F.median("value").alias("median_value")).orderBy(F.desc("day")).limit(20)
+    return metrics.median(_runs(spark, d), "day", "value", "median_value").withColumn("median_value", F.round("median_value", 9)).orderBy(F.desc("day")).limit(20)
 
 
 @query(f"WITH {_RUNS} SELECT day, count(*) AS n, 100.0 * count(*) FILTER (mode = 'purchase') / count(*) AS rate FROM r GROUP BY day")
@@ -440,9 +450,20 @@ def role_consistency(spark, d):
     return validate.consistency(runs, "k", "roles")
 
 
-@query()
+_CITED = "list_sort(list_distinct(list_transform(regexp_extract_all(a, '\\[(\\d{1,3})\\]', 1), lambda x: x::INT)))"
+
+
+@query(f"""WITH t AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' [1][2]' WHEN doc_id % 3 = 1 THEN ' [4]' ELSE '' END AS a, list_filter([1, 2, 3], lambda x: x <= doc_id % 4) AS st, list_filter([1, 2, 3], lambda x: x <= doc_id % 3) AS li FROM documents),
+c AS (SELECT *, {_CITED} AS cited, list_filter(regexp_split_to_array(a, '\\n[ \\t\\n\\r\\f\\x0B]*\\n'), lambda p: length(trim(p)) > 0) AS ps FROM t),
+f AS (SELECT doc_id, cited, st, li, len(list_filter(ps, lambda p: regexp_matches(lower(p), '(^|[^\\p{{L}}\\p{{N}}_])({T.NORMATIVE})($|[^\\p{{L}}\\p{{N}}_])') AND NOT regexp_matches(p, '\\[\\d{{1,3}}\\]'))) > 0 AS bare, len(cited) > 0 AND len(st) = 0 AS stop FROM c)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN bare THEN 'NORMATIVE_WITHOUT_BRACKET_CITATION' END, CASE WHEN len(cited) < 1 THEN 'MIN_CITATIONS_NOT_MET' END, CASE WHEN stop THEN 'CITATIONS_WITHOUT_STRUCTURED_REFS' END,
+CASE WHEN NOT stop AND len(list_filter(cited, lambda x: NOT list_contains(st, x))) > 0 THEN 'CITED_IDX_MISSING_IN_STRUCTURED' END, CASE WHEN NOT stop AND len(cited) > 0 AND len(list_intersect(cited, st)) = 0 THEN 'CITATIONS_NO_MATCHING_REFS' END,
+CASE WHEN NOT stop AND len(list_filter(st, lambda x: NOT list_contains(cited, x))) > 0 THEN 'UNCITED_STRUCTURED_REFS' END, CASE WHEN NOT stop AND len(cited) > 1 THEN 'MAX_CITATIONS_EXCEEDED' END,
+CASE WHEN NOT stop AND len(cited) > 0 AND len(li) > 0 AND len(list_filter(cited, lambda x: NOT list_contains(li, x))) > 0 THEN 'REN_NUMBERING_MISMATCH' END], lambda x: x IS NOT NULL), ',') AS codes FROM f""")
 def contract_violations(spark, d):
-    return _t(spark, d, "documents").select("doc_id", validate.contract_violations(F.col("text"), F.array(F.lit(1), F.lit(2))).alias("codes"))
+    n = lambda k: F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda x: x <= F.col("doc_id") % k)
+    answer = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " [1][2]").when(F.col("doc_id") % 3 == 1, " [4]").otherwise(""))
+    return _t(spark, d, "documents").select("doc_id", F.array_join(validate.contract_violations(answer, n(4), n(3), 1, 1), ",").alias("codes"))
 
 
 @query()

@@ -31,12 +31,16 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, raw.select(F.explode("edges").alias("e")).select("e.*")
 
 
-def index_rows(chunks: DataFrame) -> DataFrame:
-    """What an index holds: rows with text, no contents rows, the last of each chunk_id, with heading and terms before the text."""
+def index_rows(chunks: DataFrame, order: list | None = None) -> DataFrame:
+    """What an index holds: rows with text, no contents rows, the last of each chunk_id, with heading and terms before the text.
+
+    The last is by order, columns of the rows' place in their source: by default
+    the chunk_index of the metadata, then the text, whatever the files' layout.
+    """
     m = lambda k: F.try_element_at("metadata", F.lit(k))
     rows = chunks.where((F.length(F.trim("text")) > 0) & (F.coalesce(m("doc_type"), F.lit("")) != "toc"))
-    rows = rows.withColumn("chunk_id", F.coalesce(m("chunk_id"), F.sha2("text", 256))).withColumn("seq", F.monotonically_increasing_id())
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("seq")))).where("r = 1")
+    rows = rows.withColumn("chunk_id", F.coalesce(m("chunk_id"), F.sha2("text", 256)))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("chunk_id").orderBy(*(order or [F.desc_nulls_last(m("chunk_index").cast("long")), F.desc("text")])))).where("r = 1")
     return rows.select("chunk_id", F.concat_ws("\n", m("heading_path_display"), m("contextual_description"), m("enrichment_terms"), F.col("text")).alias("embed_text"), "text", "metadata")
 
 
