@@ -15,6 +15,32 @@ def node_stats(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("node").agg(F.count("*").alias("mention_count"))
 
 
+def merge_nodes(rows: DataFrame) -> DataFrame:
+    """One row per node of (node, pos, title, chapter, roles, mention_count): counts added, the first title and chapter that aren't empty, all roles in order of first sight."""
+    first = lambda c: F.min_by(F.when(F.length(c) > 0, F.col(c)), F.when(F.length(c) > 0, F.col("pos")))
+    merged = rows.groupBy("node").agg(F.sum("mention_count").alias("mention_count"), first("title").alias("title"), first("chapter").alias("chapter"))
+    roles = rows.select("node", F.explode("roles").alias("role"), "pos").groupBy("node", "role").agg(F.min("pos").alias("pos"))  # a node has few roles
+    roles = roles.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "role"))), lambda x: x["role"]).alias("roles"))
+    return merged.join(roles, "node", "left").withColumn("roles", F.coalesce("roles", F.array().cast("array<string>")))
+
+
+def chunk_places(chunks: DataFrame) -> DataFrame:
+    """chunks (chunk_id, article, annex, annex_section, annex_point) with node, node_type, section_node and point_node: an article before an annex; points under their section if there is one."""
+    v = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    annex = F.concat(F.lit("ANNEX:"), F.upper(v("annex")))
+    rows = chunks.withColumn("node", F.coalesce(F.upper(v("article")), annex)).withColumn("node_type", F.when(v("article").isNotNull(), "article").when(v("annex").isNotNull(), "annex"))
+    of_annex = F.col("node_type") == "annex"
+    section = F.when(of_annex, F.concat(annex, F.lit(":"), v("annex_section")))
+    return rows.withColumn("section_node", section).withColumn("point_node", F.when(of_annex, F.concat(F.coalesce(section, annex), F.lit(":"), v("annex_point"))))
+
+
+def contains(chunks: DataFrame) -> DataFrame:
+    """(src, dst, count): an annex contains its sections and points, a section its points; counted by chunks."""
+    places = chunk_places(chunks)
+    pairs = F.array(F.struct(F.col("node").alias("src"), F.col("section_node").alias("dst")), F.struct(F.coalesce("section_node", "node").alias("src"), F.col("point_node").alias("dst")))
+    return places.select(F.explode(pairs).alias("p")).select("p.src", "p.dst").where("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("count"))
+
+
 def cites(mentions: DataFrame) -> DataFrame:
     """Edges from a chunk's own node (column src) to each node it mentions; loops dropped, repeats counted."""
     return mentions.where(F.col("src") != F.col("node")).groupBy("src", F.col("node").alias("dst")).agg(F.count("*").alias("count"))

@@ -13,14 +13,16 @@ from ..functions import text as T
 def bm25(candidates: DataFrame, query: str = "query_id", doc: str = "doc_id", question: str = "question", body: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, doc, bm25) with statistics of each query's candidate set; candidates without a match score zero."""
     rows = candidates.select(query, doc, F.array_distinct(T.lexical_tokens(F.col(question))).alias("terms"), T.lexical_tokens(F.col(body)).alias("tokens"))
-    rows = rows.select(query, doc, "terms", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: F.array_contains("terms", t)).alias("hits"))
-    stats = rows.groupBy(query).agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    tf = rows.select(query, doc, "dl", F.explode("hits").alias("term")).groupBy(query, doc, "dl", "term").agg(F.count("*").alias("f"))
-    df = tf.groupBy(query, "term").agg(F.count("*").alias("df"))
+    rows = rows.select(query, doc, F.size("tokens").alias("dl"), F.filter("tokens", lambda t: F.array_contains("terms", t)).alias("hits"))
+    pool = Window.partitionBy(query)  # a candidate set, which is bounded
+    rows = rows.withColumn("n", F.count("*").over(pool)).withColumn("avgdl", F.avg("dl").over(pool))
+    tf = F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda x: x == t)).alias("f")))
+    rows = rows.select(query, doc, "dl", "n", "avgdl", F.explode_outer(tf).alias("t")).select(query, doc, "dl", "n", "avgdl", "t.*")
+    rows = rows.withColumn("df", F.count("term").over(Window.partitionBy(query, "term")))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     norm = k1 * (1.0 - b + b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0))
-    scored = tf.join(df, [query, "term"]).join(stats, query).groupBy(query, doc).agg(F.sum(idf * F.col("f") * (k1 + 1.0) / (F.col("f") + norm)).alias("bm25"))
-    return rows.select(query, doc).join(scored, [query, doc], "left").fillna(0.0, ["bm25"])
+    weight = F.when(F.col("term").isNotNull(), idf * F.col("f") * (k1 + 1.0) / (F.col("f") + norm)).otherwise(0.0)
+    return rows.groupBy(query, doc).agg(F.sum(weight).alias("bm25"))
 
 
 def bm25_corpus(questions: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75, also: DataFrame | None = None) -> DataFrame:
@@ -52,6 +54,13 @@ def min_max(df: DataFrame, value: str, over: list[str], name: str) -> DataFrame:
     return df.join(bounds, same).select(*df.columns, scaled.alias(name))
 
 
+def min_max_in_pool(value: str, over: list[str]) -> Column:
+    """min_max as a column, for groups that are candidate sets of bounded size."""
+    w = Window.partitionBy(*over)
+    low, high = F.min(value).over(w), F.max(value).over(w)
+    return F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.0))
+
+
 def hybrid_score(vec: Column, lexical: Column, citation: Column, role: Column, weights: tuple[float, float, float, float] = (0.25, 0.25, 0.35, 0.15)) -> Column:
     if not 0.95 <= sum(weights) <= 1.05:
         raise ValueError("weights must add up to one")
@@ -88,29 +97,6 @@ def sandwich(items: DataFrame, by: str, rank: str) -> DataFrame:
     return items.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(key)))
 
 
-def select_context(hits: DataFrame, query: str = "query_id", cap: int = 20, hints: str = "is_hint", anchor: str = "anchor") -> DataFrame:
-    """Greedy selection per query: one passage for each hinted anchor first, then by score; a bounded candidate list each."""
-    schema = f"{query} long, chunk_id long, position int"
-
-    def pick(pdf):
-        pdf = pdf.sort_values(["score", "chunk_id"], ascending=[False, True])
-        chosen, seen = [], set()
-        for r in pdf[pdf[hints]].itertuples():
-            if getattr(r, anchor) not in seen and len(chosen) < cap:
-                seen.add(getattr(r, anchor))
-                chosen.append(r.chunk_id)
-        for r in pdf.itertuples():
-            if len(chosen) >= cap:
-                break
-            if r.chunk_id not in chosen:
-                chosen.append(r.chunk_id)
-        out = pdf.head(len(chosen))[[query]].copy()
-        out["chunk_id"], out["position"] = chosen, range(1, len(chosen) + 1)
-        return out
-
-    return hits.groupBy(query).applyInPandas(pick, schema)
-
-
 def precision_score(meta: Column, hints: Column | None = None) -> Column:
     """How exactly a passage's place is known: 5 for a hinted anchor, 4 article and paragraph, 3 article, 2 recital, 1 annex."""
     has = lambda k: F.coalesce(F.length(F.trim(F.try_element_at(meta, F.lit(k)))) > 0, F.lit(False))
@@ -136,8 +122,8 @@ def protected(hits: DataFrame, query: str = "query_id", below: float = 0.85, fir
 def candidate_score(hits: DataFrame, query: str = "query_id", weights: tuple[float, float, float, float] = (0.25, 0.25, 0.35, 0.15)) -> DataFrame:
     """The score over candidates (distance, bm25, hinted boolean, delta or null for no profile): similarity and BM25 scaled
     within the query, 1 for a hinted anchor, and the role delta moved to 0..1 (0.5 without a profile)."""
-    role = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("delta") + 0.15) / 0.33)), F.lit(0.5))
-    near = min_max(min_max(hits.withColumn("near", 1.0 / (1.0 + F.col("distance"))), "near", [query], "vec"), "bm25", [query], "lexical")
+    role = F.when(F.col("delta").isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("delta") + 0.15) / 0.33)))
+    near = hits.withColumn("near", 1.0 / (1.0 + F.col("distance"))).withColumn("vec", min_max_in_pool("near", [query])).withColumn("lexical", min_max_in_pool("bm25", [query]))
     return near.withColumn("score", hybrid_score(F.col("vec"), F.col("lexical"), F.col("hinted").cast("double"), role, weights)).drop("near", "vec", "lexical")
 
 

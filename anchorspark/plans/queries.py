@@ -173,12 +173,6 @@ def threshold_sweep(spark, d):
     return metrics.threshold_sweep(_t(spark, d, "events").where("value is not null").select(F.col("value").alias("best")), 0.0, 200.0, 10.0)
 
 
-@query()
-def context_selection(spark, d):
-    hits = _near(spark, d).select("query_id", "chunk_id", (1 / (1 + F.col("distance"))).alias("score"), F.col("corpus_id").alias("anchor"), (F.col("corpus_id") < 3).alias("is_hint"))
-    return rank.select_context(hits)
-
-
 # --- siblings and injection ----------------------------------------------------------------------
 
 
@@ -466,16 +460,6 @@ def contract_violations(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.array_join(validate.contract_violations(answer, n(4), n(3), 1, 1), ",").alias("codes"))
 
 
-@query()
-def mention_extract(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.to_json(T.mentions(F.col("text"))).alias("mentions"))
-
-
-@query()
-def role_classification(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.classify_role(F.substring_index("text", "\n", 1), F.col("text")).alias("r")).select("doc_id", "r.role", "r.confidence")
-
-
 # --- history and inventory -----------------------------------------------------------------------
 
 
