@@ -16,6 +16,10 @@ RECITAL_MENTION = r"(?:betragtning(?:er)?|recital)\s+(\d{1,4})"
 ARTICLE_MENTION = r"(?:artikel|article|art\.?)\s+(\d{1,3}[a-z]?)(?![\p{L}\p{N}_])(?:\s*(?:\(|,)?\s*(?:stk\.?|stykke|paragraph)?\s*(\d{1,3})\s*\)?)?"
 UPPER_FIELDS = ["article", "annex", "recital", "chapter", "section", "paragraph", "annex_point", "annex_section"]
 LOWER_FIELDS = ["corpus_id", "law_id"]
+CELEX = r"^(\d)(\d{4})([A-Z])(\d+)$"
+CELEX_IN_URL = r"(?i)CELEX(?::|%3A)(\d{5}[A-Z]\d{4})"
+CELEX_TYPES = {"R": ("reg", "Regulation"), "L": ("dir", "Directive"), "D": ("dec", "Decision"), "Q": ("q", "Recommendation"), "H": ("h", "Resolution")}
+OFFICIAL_HOSTS = ["eur-lex.europa.eu", "publications.europa.eu"]
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
@@ -109,3 +113,34 @@ def needs_context(original: Column, rewritten: Column, short: int = 40) -> Colum
     return original.isNotNull() & ((original == rewritten) | (F.length(rewritten) < short))
 
 
+
+
+def celex_parts(number: Column) -> Column:
+    """sector, year, type_char, number, type_code and kind of an act's number; null if it isn't one."""
+    clean = F.upper(F.trim(number))
+    part = lambda g: F.regexp_extract(clean, CELEX, g)
+    known = F.create_map(*(F.lit(x) for k, (code, _) in CELEX_TYPES.items() for x in (k, code)))
+    kinds = F.create_map(*(F.lit(x) for k, (_, kind) in CELEX_TYPES.items() for x in (k, kind)))
+    parts = F.struct(part(1).cast("int").alias("sector"), part(2).cast("int").alias("year"), part(3).alias("type_char"), part(4).cast("int").alias("number"), F.coalesce(F.try_element_at(known, part(3)), F.lower(part(3))).alias("type_code"), F.coalesce(F.try_element_at(kinds, part(3)), F.lit("Unknown")).alias("kind"))
+    return F.when(clean.rlike(CELEX), parts)
+
+
+def corpus_id(name: Column, celex: Column, special: Column | None = None) -> Column:
+    """nis2-dir-2022-2555 from a known name and an act's number; special: implementing or delegated, or null."""
+    parts = celex_parts(celex)
+    code = parts["type_code"] if special is None else F.when(special == "implementing", "cir").when(special == "delegated", "dr").otherwise(parts["type_code"])
+    plain = F.regexp_replace(F.replace(F.lower(name), F.lit(" "), F.lit("-")), "[^a-z0-9-]", "")
+    return F.concat(plain, F.lit("-"), code, F.lit("-"), parts["year"].cast("string"), F.lit("-"), parts["number"].cast("string"))
+
+
+def celex_of_url(url: Column) -> Column:
+    return F.upper(F.nullif(F.regexp_extract(url, CELEX_IN_URL, 1), F.lit("")))
+
+
+def is_official_url(url: Column) -> Column:
+    return F.coalesce((F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & F.try_parse_url(url, F.lit("HOST")).isin(*OFFICIAL_HOSTS), F.lit(False))
+
+
+def official_url(celex: Column, language: str = "DA") -> Column:
+    clean = F.upper(F.trim(celex))
+    return F.when(clean.rlike(CELEX), F.concat(F.lit(f"https://eur-lex.europa.eu/legal-content/{language}/TXT/HTML/?uri=CELEX:"), clean))

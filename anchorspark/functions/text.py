@@ -19,7 +19,7 @@ CLASSIFICATION = ["klassific", "classification", "kategori", "annex", "bilag", "
 SCOPE = ["omfattet", "omfattes", "omfatter", "anvendelsesområde", "finder anvendelse", "falder ind under", "falder under", "falder det under", "ind under", "gælder for", "gælder forordningen", "scope", "applicability", "applies", "shall apply", "covered by", "subject to", "within the scope"]
 QUERY_INTENT = [("ENFORCEMENT", r"penalt(y|ies)|fines?|sanctions?|authority|myndighed|bøder?"), ("TRANSPARENCY", r"inform|tell\s+user|ui|disclosure|transparency|gennemsigtighed|oplysn|information"), ("OBLIGATIONS", r"what\s+must|must|shall|required|requirements|krav|skal")]
 STRUCTURE_MARKERS = ["indholdsfortegnelse", "toc", "table of contents", "oversigt", "struktur", "hvilke kapitler", "hvilke artikler", "liste over"]
-SYNTHESIS = [("COMPARISON", r"(compare|comparing)\W(.*\W)?and|vs|versus|differences?\s+between|sammenlign|forskellen?\s+mellem"), ("ROUTING", r"which\s+(eu\s+)?(law|regulation)|what\s+(law|legislation)|hvilken\s+(lov|forordning)"), ("AGGREGATION", r"(all|every|each|across)\s+(eu\s+)?(laws?|regulations?)|alle\s+love|hver\s+lov")]
+SYNTHESIS = [("COMPARISON", r"(compare|comparing)\W(.*\W)?and|vs|versus|differences?\s+between|how\s+does?\W(.*\W)?compare|forskellen?\s+mellem|sammenlign|sammenlignet\s+med"), ("ROUTING", r"which\s+law|what\s+law\s+(covers?|governs?|applies|regulates?)|which\s+(eu\s+)?regulation|what\s+legislation|identify\s+(the\s+)?law|hvilken\s+lov|hvad\s+lov|hvilken\s+forordning"), ("AGGREGATION", r"all\s+(eu\s+)?laws?|every\s+law|across\s+(eu\s+)?laws?|each\s+law|all\s+(eu\s+)?regulations?|what\s+do\s+(eu\s+)?laws?\s+say|alle\s+love|hver\s+lov|på\s+tværs\s+af\s+love")]
 NORMATIVE = r"skal|b[øo]r|m[åa]\s*ikke|kr[æa]ver|forpligtet|p[åa]kr[æa]vet|pligt|must|shall|should|required|may\s*not"
 MENTIONS = {"chapter": r"(?:kapitel|chapter)\s+([ivxlcdm]+|\d+)", "section": r"(?:afsnit|afdeling|section)\s+([ivxlcdm]+|\d+)", "article": r"(?:artikel|article)\s*(\d{1,3}[a-z]?)", "paragraph": r"(?:stk\.|stykke|paragraph)\s*(\d{1,3})", "annex": r"(?:bilag|annex)\s+([ivxlcdm]+|\d+)"}
 ROLE_RULES = [  # (role, weight, in heading?, pattern), in declaration order of the roles
@@ -69,9 +69,10 @@ def query_intent(text: Column) -> Column:
     return first_of([(n, whole_word(text, p)) for n, p in QUERY_INTENT], "CONTEXT")
 
 
-def claim_intent(text: Column) -> Column:
+def claim_intent(text: Column, names_law: Column | None = None) -> Column:
+    """names_law: does the question name a known law?  Then "gælder" asks for its scope."""
     requirements = contains_any(text, REQUIREMENTS_STRONG) | (contains_any(text, REQUIREMENTS_WEAK) & contains_any(text, REQUIREMENTS_VERBS))
-    return first_of([("ENFORCEMENT", contains_any(text, ENFORCEMENT) | whole_word(text, "forbud")), ("REQUIREMENTS", requirements), ("CLASSIFICATION", contains_any(text, CLASSIFICATION)), ("SCOPE", contains_any(text, SCOPE))], "GENERAL")
+    return first_of([("ENFORCEMENT", contains_any(text, ENFORCEMENT) | whole_word(text, "forbud")), ("REQUIREMENTS", requirements), ("CLASSIFICATION", contains_any(text, CLASSIFICATION)), ("SCOPE", contains_any(text, SCOPE) | (F.lit(False) if names_law is None else contains_any(text, ["gælder"]) & F.coalesce(names_law, F.lit(False))))], "GENERAL")
 
 
 def navigation_intent(text: Column) -> Column:

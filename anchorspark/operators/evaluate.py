@@ -77,6 +77,17 @@ def test_types(any_of: Column, behavior: Column, contract: Column, n_corpora: Co
     return F.array_compact(F.array(F.when(F.size(any_of) > 0, "retrieval"), F.when(behavior == "abstain", "abstention"), F.when(contract, "contract"), F.when(n_corpora > 1, "multi_hop"), F.lit("faithfulness")))
 
 
+#: Fixed value: words in the id of a case that tests robustness.
+ROBUSTNESS = ["adversarial", "edge", "negation", "hypothetical", "ambiguous"]
+
+
+def inferred_test_types(case_id: Column, all_of: Column, behavior: Column, contract: Column) -> Column:
+    """What an old case without test types tests, by its shape and its id."""
+    low = F.lower(F.coalesce(case_id, F.lit("")))
+    several = (F.size(F.coalesce(all_of, F.array().cast("array<string>"))) > 0) | low.contains("multi")
+    return F.array_compact(F.array(F.lit("retrieval"), F.when(several, "multi_hop"), F.when(behavior == "abstain", "abstention"), F.when(contract, "faithfulness"), F.when(T.contains_any(low, ROBUSTNESS), "robustness")))
+
+
 #: Fixed value: wordings that tie one act to another.
 CROSS_REFERENCE = r"references?|in\s+accordance\s+with|pursuant\s+to|as\s+defined\s+in|under|henviser\s+til|i\s+overensstemmelse\s+med"
 

@@ -259,8 +259,3 @@ def scope_quota(spark, d):
 def retrieval_calibration(spark, d):
     c = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set("o_orderpriority").alias("p"))
     return evaluate.calibrated(c.withColumn("e", F.array(F.lit("1-URGENT"), F.lit("5-LOW"))), "e", "p").select("k", "confirmed")
-
-
-@query()
-def cross_reference_scorer(spark, d):
-    return _t(spark, d, "documents").select("doc_id", evaluate.cross_references(F.col("text"), F.array("source"), "gdpr|ai.?act|nis2|dora|cra").alias("s")).select("doc_id", "s.passed", "s.score")
