@@ -6,10 +6,15 @@ set join, words ordered by their count over all documents) is joined; position
 and length bounds and the comparison of the whole window decide the match.
 Everything runs in DataFrame functions.
 
+A benchmark whose windows take few bytes, which are counted, goes to every task.
+A larger one is joined by shuffles of (row, position, word) alone; texts meet
+only the windows that their rows are candidates for.
+
 Defined results: a null or empty text has no words, so it hits nothing and an
-item of no words is no window; repeated rows get equal results; an empty table
-on either side means no hits; extra columns aren't read by report() and are
-passed through by remove_contaminated().
+item of no words is no window; a text of any length is read whole; words that
+are equally rare rank by their letters; repeated rows get equal results; an
+empty table on either side means no hits; extra columns aren't read by report()
+and are passed through by remove_contaminated().
 """
 
 from __future__ import annotations
@@ -21,8 +26,8 @@ from .arrow import ascii_lower
 from .scratch import Scratch, unused
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A benchmark table of more windows or words than this is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Tables of the benchmark that take more bytes than this are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -31,8 +36,14 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(_WORD), F.lit(0))
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+def _is_small(df: DataFrame, *strings: Column) -> bool:
+    """Do the rows take few bytes, by the lengths of their strings and what each row and string adds?"""
+    size = sum((F.octet_length(c) for c in strings), F.lit(200))
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def _sized(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df.hint("merge")
 
 
 def _windows(benchmark: DataFrame, width: int) -> DataFrame:
@@ -44,30 +55,40 @@ def _windows(benchmark: DataFrame, width: int) -> DataFrame:
     return rows.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")).select(F.monotonically_increasing_id().alias("wid"), "win", "items")
 
 
+def _placed(tokens: DataFrame, keys: DataFrame, few: bool) -> DataFrame:
+    """(doc_id, text_hash, at, len, wid): the windows (wid, win, len, rare, k) that documents (rid, doc_id, text_hash, words) hold."""
+    fits = (F.col("word") == F.col("rare")) & (F.col("p") >= F.col("k")) & (F.col("p") - F.col("k") + F.col("len") <= F.col("n"))
+    at, same = (F.col("p") - F.col("k")).alias("at"), F.slice("words", F.col("at") + 1, F.col("len")) == F.col("win")
+    if few:
+        spots = tokens.select("doc_id", "text_hash", "words", F.size("words").alias("n"), F.posexplode("words").alias("p", "word"))
+        near = F.slice("words", F.col("p") - F.col("k") + 1, F.col("len")) == F.col("win")
+        return spots.join(F.broadcast(keys), fits & near).select("doc_id", "text_hash", at, "len", "wid")
+    spots = tokens.select("rid", F.size("words").alias("n"), F.posexplode("words").alias("p", "word"))
+    candidates = spots.join(keys.drop("win").hint("merge"), fits).select("rid", at, "len", "wid")
+    met = candidates.join(tokens, "rid").join(keys.select("wid", "win").hint("merge"), "wid")
+    return met.where(same).select("doc_id", "text_hash", "at", "len", "wid")
+
+
 def report(docs: DataFrame, benchmark: DataFrame, width: int = 13, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated; one row per document row."""
     scratch = scratch or Scratch(docs.sparkSession, "benchmark")
-    tokens = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words_of(F.col("text")).alias("words"))
+    tokens = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words_of(F.col("text")).alias("words"))
     tokens = scratch.table(tokens, "tokens")
     windows = scratch.table(_windows(benchmark, width), "windows")
-    n_windows = windows.count()
+    few = _is_small(windows, F.array_join("win", " " * 40), F.array_join("items", " " * 40))
 
     vocabulary = scratch.table(windows.select(F.explode("win").alias("word")).distinct(), "vocabulary")
-    seen = tokens.select(F.explode("words").alias("word")).join(_sized(vocabulary, vocabulary.count()), "word").groupBy("word").agg(F.count("*").alias("seen"))
+    seen = tokens.select(F.explode("words").alias("word")).join(_sized(vocabulary, _is_small(vocabulary, F.col("word"))), "word").groupBy("word").agg(F.count("*").alias("seen"))
     seen = scratch.table(seen, "seen")
     spread = windows.select("wid", F.size("win").alias("len"), F.posexplode("win").alias("k", "word"))
     # a window of which a word is in no document is in none; the inner join and the count drop it
     rarest = spread.join(seen, "word").groupBy("wid", "len").agg(F.min(F.struct("seen", "word", "k")).alias("r"), F.count("*").alias("found")).where("found = len")
-    keys = scratch.table(rarest.join(windows, "wid").select("wid", "win", "items", "len", F.col("r.word").alias("word"), F.col("r.k").alias("k")), "prefixes")
-
-    placed = tokens.select("doc_id", "text_hash", "words", F.posexplode("words").alias("p", "word")).join(
-        _sized(keys.withColumnRenamed("word", "rare"), n_windows),
-        (F.col("word") == F.col("rare")) & (F.col("p") >= F.col("k")) & (F.col("p") - F.col("k") + F.col("len") <= F.size("words")) & (F.slice("words", F.col("p") - F.col("k") + 1, F.col("len")) == F.col("win")),
-    )
-    hits = scratch.table(placed.select("doc_id", "text_hash", (F.col("p") - F.col("k")).alias("at"), "len", "wid").distinct(), "hits")
+    keys = scratch.table(rarest.join(windows, "wid").select("wid", "win", "len", F.col("r.word").alias("rare"), F.col("r.k").alias("k")), "prefixes")
+    placed = _placed(tokens, keys, few)
+    hits = scratch.table(placed.select("doc_id", "text_hash", "at", "len", "wid").distinct(), "hits")
     covered = F.expr("greatest(0, at + len - greatest(at, coalesce(max(at + len) over (partition by doc_id, text_hash order by at, len, wid rows between unbounded preceding and 1 preceding), 0)))")
     n_hit = hits.select("doc_id", "text_hash", covered.alias("new")).groupBy("doc_id", "text_hash").agg(F.sum("new").alias("n_hit"))
-    of_doc = hits.select("doc_id", "text_hash", "wid").distinct().join(_sized(windows.select("wid", "items"), n_windows), "wid")
+    of_doc = hits.select("doc_id", "text_hash", "wid").distinct().join(_sized(windows.select("wid", "items"), few), "wid")
     of_doc = of_doc.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"))
     per_doc = n_hit.alias("a").join(of_doc.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.text_hash = b.text_hash")).select(F.col("a.doc_id").alias("h_id"), F.col("a.text_hash").alias("h_hash"), "n_hit", "ids")
     per_doc = scratch.table(per_doc, "per_doc")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -573,6 +574,20 @@ def test_decontamination(spark, texts):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_decontamination_by_shuffles(spark, texts, monkeypatch):
+    """A benchmark too large for broadcasts: equal results, and no text in the exchange of words."""
+    items = [(1, texts[0][1][:200]), (2, texts[0][1][:200]), (10, "W3 w4"), (5, "émile"), (6, " ".join(texts[4][1].split()[-40:-5]))]
+    bench = spark.createDataFrame([(*x, "c") for x in items], "item_id long, text string, word string")
+    plans, placed = [], decontaminate._placed
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 10)
+    monkeypatch.setattr(decontaminate, "_placed", lambda *a: plans.append(placed(*a)) or plans[-1])
+    got = decontaminate.report(make(spark, texts), bench).drop("text_hash")
+    assert Counter(tuple(r) for r in got.collect()) == Counter(brute_hits(texts, items))
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    sent = re.search(r"Exchange hashpartitioning\(word#[^\n]*\n[^\n]*Project \[([^\n]*)\]", plan)[1]
+    assert "words#" not in re.sub(r"size\(words#\d+(, \w+)?\)", "", sent), sent
+
+
 def test_pieces_bound_batches():
     import pyarrow as pa
 
