@@ -214,11 +214,11 @@ def policy_merge(spark, d):
     return evaluate.merge_policies(rows, "user_id", "event_id")
 
 
-@query(f"WITH {_DISC}, s AS (SELECT query_id, corpus_id, confidence, 2 AS stage FROM disc UNION ALL SELECT query_id, corpus_id, 0.9, 0 FROM disc WHERE corpus_id = 1 UNION ALL SELECT query_id, corpus_id, round(confidence / 2 + 0.5, 4), 1 FROM disc WHERE corpus_id IN (1, 2, 3)) SELECT query_id, corpus_id, confidence, stage FROM (SELECT *, row_number() OVER (PARTITION BY query_id, corpus_id ORDER BY stage, confidence DESC) AS r FROM s) WHERE r = 1")
+@query(f"WITH {_DISC}, s AS (SELECT query_id, corpus_id, confidence, 2 AS stage FROM disc UNION ALL SELECT query_id, corpus_id, 0.9, 0 FROM disc WHERE corpus_id = 1 UNION ALL SELECT query_id, corpus_id, round(confidence / 2 + 0.5, 6), 1 FROM disc WHERE corpus_id IN (1, 2, 3)) SELECT query_id, corpus_id, confidence, stage FROM (SELECT *, row_number() OVER (PARTITION BY query_id, corpus_id ORDER BY stage, confidence DESC) AS r FROM s) WHERE r = 1")
 def match_merge(spark, d):
     probed = _discovered(spark, d)
     alias = probed.where("corpus_id = 1").withColumn("confidence", F.lit(0.9))
-    judged = probed.where("corpus_id in (1, 2, 3)").withColumn("confidence", F.round(F.col("confidence") / 2 + 0.5, 4))
+    judged = probed.where("corpus_id in (1, 2, 3)").withColumn("confidence", F.round(F.col("confidence") / 2 + 0.5, 6))
     return retrieve.merge_matches(alias, judged, probed)
 
 
