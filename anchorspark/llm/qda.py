@@ -6,7 +6,9 @@ score is the difference of two log densities, whose Mahalanobis terms use each
 class's Cholesky factor, computed once.
 
 Defined results: a null or empty text has all statistics zero and gets a score
-like any other; with labels of fewer than two classes every score is the share
+like any other; a text of any length is read whole; equal texts get equal
+scores; a score of exactly one half is predicted 1; a constant statistic has
+the variance that shrinkage gives it; with labels of fewer than two classes every score is the share
 of class 1 (a half without labels); repeated label rows count each; a null
 label counts for nothing; an empty table gives an empty table; other columns
 aren't read.

@@ -258,6 +258,41 @@ def test_sharding(spark, texts):
 LM = {"words": 32, "classes": 6, "hidden": 6, "head_words": 50, "run_tokens": 700}
 
 
+def _spark_hash(*texts):
+    """xxhash64 of strings: each one's hash is the next one's seed, 42 the first."""
+    h = 42
+    for t in texts:
+        h = xxhash.xxh64_intdigest(t.encode(), h)
+    return h
+
+
+def _plain_shard(key, tree):
+    draw = lambda node, weight: -math.log(((_spark_hash(key, node) >> 11) + 0.5) / (1 << 53)) / weight
+    number, first = 0, {}
+    for r, racks in enumerate(tree.racks):
+        for k, weights in enumerate(racks):
+            first[r, k] = number
+            number += len(weights)
+    tops = [(draw(f"{r}", sum(map(sum, racks))), r) for r, racks in enumerate(tree.racks)]
+    tops += [(draw(f"added {n}", w), -1 - s) for n, (s, w) in enumerate(tree.added)]
+    top = min(tops)[1]
+    if top < 0:
+        return -1 - top
+    k = min((draw(f"{top}/{k}", sum(weights)), k) for k, weights in enumerate(tree.racks[top]))[1]
+    return first[top, k] + min((draw(f"{top}/{k}/{s}", w), s) for s, w in enumerate(tree.racks[top][k]))[1]
+
+
+def test_sharding_equals_a_plain_descent(spark, texts):
+    tree = sharding.Tree(((((1.0, 2.0), (1.0,))), ((1.0, 1.0, 1.0),)), ((6, 2.0),))
+    for r in sharding.shard(make(spark, texts), tree).collect():
+        key = "null" if r["doc_id"] is None else str(r["doc_id"])
+        assert (r["shard"], r["grown_shard"]) == (_plain_shard(key, tree), _plain_shard(key, tree.grow()))
+    production = sharding.Tree.even(4, 2, 5)
+    ids = spark.range(2000).select(F.col("id").cast("string").alias("k"))
+    got = ids.select("k", sharding.shard_of(F.col("k"), production).alias("s")).collect()
+    assert all(r["s"] == _plain_shard(r["k"], production) for r in got) and {r["s"] for r in got} == set(range(40))
+
+
 def _held(i):
     return zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
 
@@ -540,6 +575,34 @@ def test_classifier(spark):
     assert qda.classify(make(spark, []), lab).count() == 0
 
 
+def test_classifier_equals_plain_densities(spark):
+    """Scores against densities by inverse and determinant; repeated labels, constant features and ties among the texts."""
+    rnd = random.Random(8)
+    docs = [(i, " ".join(rnd.choice(["ab", "cd!", "x9", "Efg"]) for _ in range(rnd.randint(3, 40))) + (" %%%" if i % 4 == 0 else "")) for i in range(90)]
+    docs += [(90, docs[1][1]), (91, docs[1][1]), (92, None), (93, ""), (94, "long " * 5000)]
+    labels = [(i, int(i % 3 > 0)) for i in range(90)] + [(5, 1), (5, 0), (90, None), (91, 7)]
+    got = {r["doc_id"]: r["score"] for r in qda.classify(make(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    x = {i: np.array(qda.features((t or "").encode() if t is not None else None), float) for i, t in docs}
+    rows = [(x[i], y) for i, y in labels if y in (0, 1) and zlib.crc32(str(i).encode()) % 3 != 1]
+    every = np.array([v for v, _ in rows])
+    mean, scale = every.mean(axis=0), np.sqrt(np.maximum(every.var(axis=0), 1e-8))
+    assert (every.var(axis=0) < 1e-12).any()  # some features are constant
+    of = {k: (np.array([v for v, y in rows if y == k]) - mean) / scale for k in (0, 1)}
+    cov = {k: np.cov(z.T, bias=True) for k, z in of.items()}
+    pooled = sum(len(of[k]) * cov[k] for k in of) / len(rows)
+
+    def density(v, k):
+        c = 0.8 * cov[k] + 0.2 * pooled
+        c = 0.98 * c + 0.02 * max(np.trace(c) / len(c), 1e-3) * np.eye(len(c))
+        z = (v - mean) / scale - of[k].mean(axis=0)
+        return -0.5 * z @ np.linalg.solve(c, z) - 0.5 * np.linalg.slogdet(c)[1] + np.log(len(of[k]))
+
+    for i, v in x.items():
+        margin = np.clip(density(v, 1) - density(v, 0), -500, 500)
+        assert abs(got[i] - 1 / (1 + np.exp(-margin))) < 1e-4, i
+    assert got[1] == got[90] == got[91]
+
+
 def brute_hits(texts, items, width=13):
     import re
 
