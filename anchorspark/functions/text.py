@@ -10,20 +10,21 @@ from itertools import groupby
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The keyword lists and patterns that intent and role rules match.
+# The keyword lists of intents, the patterns of query intents, synthesis modes, normative wording,
+# mentions and roles, the roles in their order, and what a role adds to a rank (ROLE_DELTA).
 ENFORCEMENT = ["klage", "klager", "bøde", "bøder", "sanktion", "sanktioner", "håndhævelse", "håndhæv", "enforcement", "complaint", "penalt", "fine", "sanction", "remedy", "redress", "tilsyn", "myndighed", "myndigheder", "kompetent myndighed", "påbud", "anke", "appel", "klagevej", "erstatning", "kompensation"]
 REQUIREMENTS_STRONG = ["krav", "kræves", "kræver", "forventes", "dokumentation", "teknisk dokumentation", "requirements", "hvad skal vi", "skal vi", "hvordan", "must", "should", "controls", "forpligt", "forpligtelser", "ret til", "retten til", "indsigtsret", "hvordan overholder", "hvordan efterlever", "overholde", "efterleve", "implementer", "implementere", "indføre", "etablere"]
 REQUIREMENTS_WEAK = ["foranstaltninger", "tekniske og organisatoriske", "procedure", "politik", "kontrol", "governance", "frister", "dokumentere", "logning", "rapportering"]
 REQUIREMENTS_VERBS = ["krav", "kræver", "kræves", "skal", "must", "should", "hvordan", "overhold", "efterlev", "implement"]
 CLASSIFICATION = ["klassific", "classification", "kategori", "annex", "bilag", "risikoklasse", "klassificeres", "forbudt", "prohibited", "højrisiko", "high-risk", "high risk"]
 SCOPE = ["omfattet", "omfattes", "omfatter", "anvendelsesområde", "finder anvendelse", "falder ind under", "falder under", "falder det under", "ind under", "gælder for", "gælder forordningen", "scope", "applicability", "applies", "shall apply", "covered by", "subject to", "within the scope"]
-QUERY_INTENT = [("ENFORCEMENT", r"penalt(y|ies)|fines?|sanctions?|authority|myndighed|bøder?"), ("TRANSPARENCY", r"inform|tell\s+user|ui|disclosure|transparency|gennemsigtighed|oplysn|information"), ("OBLIGATIONS", r"what\s+must|must|shall|required|requirements|krav|skal")]
+QUERY_INTENT = [("ENFORCEMENT", r"penalt(y|ies)|fine(s)?|sanction(s)?|authority|myndighed|bøde(r)?"), ("TRANSPARENCY", r"inform|tell\s+user|ui|disclosure|transparency|gennemsigtighed|oplysn|information"), ("OBLIGATIONS", r"what\s+must|must|shall|required|requirements|krav|skal")]
 STRUCTURE_MARKERS = ["indholdsfortegnelse", "toc", "table of contents", "oversigt", "struktur", "hvilke kapitler", "hvilke artikler", "liste over"]
 SYNTHESIS = [("COMPARISON", r"(compare|comparing)\W(.*\W)?and|vs|versus|differences?\s+between|how\s+does?\W(.*\W)?compare|forskellen?\s+mellem|sammenlign|sammenlignet\s+med"), ("ROUTING", r"which\s+law|what\s+law\s+(covers?|governs?|applies|regulates?)|which\s+(eu\s+)?regulation|what\s+legislation|identify\s+(the\s+)?law|hvilken\s+lov|hvad\s+lov|hvilken\s+forordning"), ("AGGREGATION", r"all\s+(eu\s+)?laws?|every\s+law|across\s+(eu\s+)?laws?|each\s+law|all\s+(eu\s+)?regulations?|what\s+do\s+(eu\s+)?laws?\s+say|alle\s+love|hver\s+lov|på\s+tværs\s+af\s+love")]
 NORMATIVE = r"skal|b[øo]r|m[åa]\s*ikke|kr[æa]ver|forpligtet|p[åa]kr[æa]vet|pligt|must|shall|should|required|may\s*not"
 MENTIONS = {"chapter": r"(?:kapitel|chapter)\s+([ivxlcdm]+|\d+)", "section": r"(?:afsnit|afdeling|section)\s+([ivxlcdm]+|\d+)", "article": r"(?:artikel|article)\s*(\d{1,3}[a-z]?)", "paragraph": r"(?:stk\.|stykke|paragraph)\s*(\d{1,3})", "annex": r"(?:bilag|annex)\s+([ivxlcdm]+|\d+)"}
 ROLE_RULES = [  # (role, weight, in heading?, pattern), in declaration order of the roles
-    ("definition_scope", 2, True, r"definitions?|scope|subject\s+matter"),
+    ("definition_scope", 2, True, r"definition|definitions|scope|subject\s+matter"),
     ("prohibitions", 2, True, r"prohibited|prohibition|forbidden"),
     ("obligations_normative", 1, False, r"must|shall|required"),
     ("obligations_normative", 1, False, r"skal"),
@@ -31,7 +32,7 @@ ROLE_RULES = [  # (role, weight, in heading?, pattern), in declaration order of
     ("transparency", 1, False, r"inform|information|disclose|tell\s+user|notify"),
     ("transparency", 1, False, r"transparency|gennemsigtighed"),
     ("governance_process", 2, True, r"risk\s+management|quality\s+management|conformity|monitoring|post-?market"),
-    ("enforcement_supervision", 2, True, r"authority|penalt(y|ies)|sanctions?|supervision|enforcement"),
+    ("enforcement_supervision", 2, True, r"authority|penalt(y|ies)|sanction(s)?|supervision|enforcement"),
     ("exceptions_sandbox", 2, True, r"sandbox"),
 ]
 ROLES = ["definition_scope", "prohibitions", "obligations_normative", "transparency", "governance_process", "enforcement_supervision", "exceptions_sandbox", "recital_context"]
