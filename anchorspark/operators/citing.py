@@ -84,3 +84,18 @@ def litra_addressable(chunks: DataFrame, litras: DataFrame) -> DataFrame:
     proven = F.coalesce(F.array_contains("litras", F.col("l")), F.lit(False))
     reason = F.when(~whole, "missing_article_or_paragraph_or_litra").when(~named, "no_litra_evidence_in_chunk").when(~located, "location_id_article_mismatch").when(~proven, "litra_not_proven_in_html")
     return rows.select("chunk_id", reason.isNull().alias("ok"), reason.alias("reason"))
+
+
+def fallback_references(scored: DataFrame, most: int = 2) -> DataFrame:
+    """(query_id, chunk_id, position): references for an answer that cites none: articles before recitals before annexes,
+    each by overlap with the question, then, where there is overlap, by number, else as retrieved; one for each place.
+
+    scored: query_id, idx, chunk_id, article, recital, annex, overlap.
+    """
+    set_ = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    rows = scored.withColumn("kind", F.when(set_("article").isNotNull(), 0).when(set_("recital").isNotNull(), 1).when(set_("annex").isNotNull(), 2)).where("kind is not null and length(chunk_id) > 0")
+    rows = rows.withColumn("place", F.coalesce(set_("article"), set_("recital"), set_("annex")))
+    number = F.when((F.col("overlap") > 0) & (F.col("kind") < 2), F.expr("try_cast(place as int)"))
+    order = [F.asc("kind"), F.desc("overlap"), F.asc_nulls_last("number"), F.asc("idx")]
+    first = rank.top_k(rows.withColumn("number", number), ["query_id", "kind", "place"], order, 1).drop("rank")
+    return rank.top_k(first, ["query_id"], order, most, "position").select("query_id", "chunk_id", "position")

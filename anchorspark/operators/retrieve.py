@@ -89,6 +89,14 @@ def needs_disambiguation(matches: DataFrame, gap: float = 0.10) -> DataFrame:
     return first.select("query_id", F.coalesce(F.col("confidence") - F.col("next") < gap, F.lit(False)).alias("ambiguous"))
 
 
+def boosted(matches: DataFrame, verdicts: DataFrame, by: float = 0.15, gap: float = 0.10) -> DataFrame:
+    """Matches (query_id, corpus_id, confidence) after a judge's verdicts (query_id, verdict): where the best two are close, a corpus that the verdict names gains by, up to 1."""
+    asked = needs_disambiguation(matches, gap).where("ambiguous").join(verdicts, "query_id").select("query_id", F.lower("verdict").alias("verdict"))
+    named = F.coalesce(F.contains("verdict", F.lower(F.col("corpus_id").cast("string"))), F.lit(False))
+    rows = matches.join(asked, "query_id", "left")
+    return rows.select("query_id", "corpus_id", F.when(named, F.round(F.least(F.lit(1.0), F.col("confidence") + by), 4)).otherwise(F.col("confidence")).alias("confidence"), named.alias("judged"))
+
+
 def abstain(queries: DataFrame, hits: DataFrame, hard: float = 1.3, soft: float = 1.25, allow_low: bool = False) -> DataFrame:
     """For each of queries (query_id): no_evidence, too_far, low_evidence or answer, by its best hit's distance."""
     best = queries.select("query_id").distinct().join(hits.groupBy("query_id").agg(F.min("distance").alias("best")), "query_id", "left")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import refs as R
-from ..operators import citing, planning, stages
-from .queries import _NEAR, _TOP, _near, _t, query
+from ..operators import citing, planning, retrieve, stages
+from .queries import _DISC, _NEAR, _TOP, _discovered, _near, _t, query
 
 # --- references and plans ------------------------------------------------------------------------
 
@@ -299,3 +299,28 @@ def litra_addressability(spark, d):
     return citing.litra_addressable(chunks, litras).withColumnRenamed("chunk_id", "k")
 
 
+
+
+@query(f"""WITH {_REFS}, o AS (SELECT rf.*, (idx * 7 + query_id) % 3 AS overlap, CASE WHEN idx % 3 = 0 THEN article END AS a, CASE WHEN idx % 3 = 1 THEN recital END AS r FROM rf),
+k AS (SELECT *, CASE WHEN a IS NOT NULL THEN 0 WHEN r IS NOT NULL THEN 1 ELSE 2 END AS kind, coalesce(a, r, annex) AS place FROM o WHERE coalesce(a, r, annex) IS NOT NULL), n AS (SELECT *, CASE WHEN overlap > 0 AND kind < 2 THEN place::INT END AS num FROM k),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind, place ORDER BY overlap DESC, num NULLS LAST, idx) AS q FROM n) WHERE q = 1)
+SELECT query_id, chunk_id, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kind, overlap DESC, num NULLS LAST, idx)::INT AS position FROM f) WHERE position <= 2""")
+def fallback_references(spark, d):
+    refs = _references(spark, d).withColumn("overlap", (F.col("idx") * 7 + F.col("query_id")) % 3)
+    refs = refs.withColumn("article", F.when(F.col("idx") % 3 == 0, F.col("article"))).withColumn("recital", F.when(F.col("idx") % 3 == 1, F.col("recital")))
+    return citing.fallback_references(refs)
+
+
+@query(f"WITH {_DISC}, amb AS (SELECT query_id FROM (SELECT *, lead(confidence) OVER w AS nxt, row_number() OVER w AS r FROM disc WINDOW w AS (PARTITION BY query_id ORDER BY confidence DESC, corpus_id)) WHERE r = 1 AND confidence - nxt < 0.10) SELECT query_id, corpus_id, query_id IN (SELECT query_id FROM amb) AND corpus_id IN (3, 7) AS judged, CASE WHEN query_id IN (SELECT query_id FROM amb) AND corpus_id IN (3, 7) THEN round(least(1.0, confidence + 0.15), 4) ELSE confidence END AS confidence FROM disc")
+def disambiguation_boost(spark, d):
+    found = _discovered(spark, d)
+    verdicts = found.select("query_id").distinct().withColumn("verdict", F.lit("Corpus 3 or 7"))
+    return retrieve.boosted(found, verdicts)
+
+
+@query("WITH n AS (SELECT DISTINCT 'article:' || l_suppkey % 9 AS a FROM lineitem WHERE l_orderkey % 2 = 0) SELECT o_orderkey AS case_id, 'article:' || o_custkey % 20 AS anchor, 'article:' || o_custkey % 20 IN (SELECT a FROM n) AS known FROM orders")
+def anchors_in_graph(spark, d):
+    """Expected anchors against the nodes of any expected corpus's graph."""
+    nodes = _t(spark, d, "lineitem").where("l_orderkey % 2 = 0").select(F.concat(F.lit("article:"), F.col("l_suppkey") % 9).alias("anchor")).distinct().withColumn("known", F.lit(True))
+    cases = _t(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.concat(F.lit("article:"), F.col("o_custkey") % 20).alias("anchor"))
+    return cases.join(nodes, "anchor", "left").select("case_id", "anchor", F.coalesce("known", F.lit(False)).alias("known"))
