@@ -14,14 +14,14 @@ _PROVENANCE = ["schema_version", "corpus_id", "doc_id", "doc_version", "language
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(chunk_id, text, metadata) of the .txt files under path; the file's name is its id and source."""
-    rows = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").text(path).select(F.element_at(F.split("_metadata.file_name", "/"), -1).alias("chunk_id"), F.col("value").alias("text"))
+    rows = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_name", "/"), -1).alias("chunk_id"), F.col("value").alias("text"))
     return rows.withColumn("metadata", F.create_map(F.lit("source"), F.col("chunk_id")))
 
 
 def read_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Cases of JSON files, each a list of cases or an object with cases; unreadable files are left out; in order of id."""
-    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(path)
-    parsed = F.coalesce(F.from_json("value", f"array<{schema}>"), F.from_json("value", f"struct<cases: array<{schema}>>")["cases"])
+    raw = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    parsed = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", f"array<{schema}>")).otherwise(F.from_json("value", f"struct<cases: array<{schema}>>")["cases"])
     return raw.select(F.explode(parsed).alias("c")).select("c.*").where("id is not null").orderBy("id")
 
 
