@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import refs as R
 from ..functions import text as T
-from ..operators import answers, evaluate, graph, validate
+from ..operators import answers, evaluate, graph, scorers, validate
 from ..sources import official
 from .queries import _ADJ, _adjacent, _t, query
 
@@ -96,3 +96,14 @@ def official_passages(spark, d):
     html = F.concat(F.lit('<div id="cpt_ii"><div id="art_'), "p_size", F.lit('"><p class="oj-ti-art">Artikel '), "p_size", F.lit('</p><p class="oj-sti-art">'), "p_name", F.lit("</p><p>1. Rule "), "p_brand", F.lit("</p><p>a)</p><p>"), "p_type", F.lit("</p></div></div>"))
     pages = _t(spark, d, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
     return official.official_passages(pages).select("page_id", "chunk_index", "chapter", "article", "paragraph", "litra", "article_title", "text")
+
+
+@query("""WITH g AS (SELECT l_orderkey AS case_id, list_distinct(list('article:' || l_suppkey % 7)) AS f, list_distinct(list(l_returnflag)) AS c FROM lineitem GROUP BY 1)
+SELECT case_id, 'anchor_presence' AS scorer, list_contains(f, 'article:1') AND NOT list_contains(f, 'article:6') AS passed, list_contains(f, 'article:1')::INT::DOUBLE AS score FROM g
+UNION ALL SELECT case_id, 'corpus_coverage', len(list_intersect(c, ['A', 'N'])) = 2, len(list_intersect(c, ['A', 'N'])) / 2 FROM g""")
+def scorer_registry(spark, d):
+    a = lambda *n: F.array(*map(F.lit, n)).cast("array<string>")
+    found = F.collect_set(F.concat(F.lit("article:"), (F.col("l_suppkey") % 7).cast("string")))
+    cases = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(found.alias("found"), F.collect_set("l_returnflag").alias("cited_corpora"))
+    cases = cases.withColumns({"any_of": a("article:1"), "any_of_2": a(), "all_of": a(), "none_of": a("article:6"), "required_corpora": a("A", "N")})
+    return scorers.run(cases, ["anchor_presence", "corpus_coverage"])
