@@ -20,7 +20,9 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,7 @@ from .arrow import pieces, utf8
 from .components import components
 from .scratch import Scratch, unused
 
+_LOW_BITS = 33  # of monotonically_increasing_id, for the rows of one task
 _DIRECT = 64  # node pairs of at most so many leaf pairs are compared at once
 
 
@@ -227,6 +230,61 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _without_rows(stored: DataFrame, row: str, gone: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
+    """The columns of stored's rows whose number (row) is not in gone (row).
+
+    A number's high bits are the task that stored the row, and its low bits the
+    place among that task's rows.  The places that go are written as one small
+    file for each such task, which whoever reads those rows looks up: only
+    numbers are shuffled, no text.  A task that runs again writes the same file,
+    and each appears whole, by a rename.
+    """
+    folder, at = scratch.folder("gone"), stored.columns.index(row)
+    places = gone.select(F.shiftright("row", _LOW_BITS).alias("part"), F.col("row").bitwiseAND(F.lit((1 << _LOW_BITS) - 1)).alias("place"))
+    parts = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(batches):
+        fs, root = pafs.FileSystem.from_uri(folder)
+        attempt, held, name, n = TaskContext.get().taskAttemptId(), [], None, 0
+
+        def finish():
+            hidden = f"{root}/_{name}.{attempt}"
+            with fs.open_output_stream(hidden, compression=None) as out:
+                out.write(np.concatenate(held).tobytes())
+            fs.move(hidden, f"{root}/{name}")
+            held.clear()
+
+        for batch in batches:
+            part, place = (c.to_numpy() for c in batch.columns)
+            cut = np.flatnonzero(np.diff(part)) + 1
+            for p, some in zip(part[np.concatenate(([0], cut))].tolist() if len(part) else (), np.split(place, cut), strict=False):
+                if held and p != name:
+                    finish()
+                name, n = p, n + len(some)
+                held.append(some)
+        if held:
+            finish()
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    places.repartition(parts, "part").sortWithinPartitions("part", "place").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+    def keep(batches):
+        fs, root = pafs.FileSystem.from_uri(folder)
+        known: tuple[int, np.ndarray] = (-1, np.zeros(0, np.int64))
+        for batch in batches:
+            numbers = batch.column(at).to_numpy()
+            part, place, stays = numbers >> _LOW_BITS, numbers & ((1 << _LOW_BITS) - 1), np.ones(len(numbers), bool)
+            for p in np.unique(part).tolist():
+                if known[0] != p:
+                    there = fs.get_file_info(f"{root}/{p}").type == pafs.FileType.File
+                    known = (p, np.frombuffer(fs.open_input_file(f"{root}/{p}").read(), np.int64) if there else np.zeros(0, np.int64))
+                here = part == p
+                stays[here] = ~np.isin(place[here], known[1])
+            yield batch.filter(pa.array(stays)).select([c for c in batch.schema.names if c in columns])
+
+    return stored.mapInArrow(keep, T.StructType([f for f in stored.schema.fields if f.name in columns]))
+
+
 def one_per_group(docs: DataFrame, budget: int = 4, width: int = 4) -> DataFrame:
     """One row of docs for each group of linked fingerprints: that with the smallest doc_id, null being the largest.
 
@@ -239,6 +297,6 @@ def one_per_group(docs: DataFrame, budget: int = 4, width: int = 4) -> DataFrame
     stored = scratch.table(_with_fingerprints(docs, fp, width).withColumn(row, F.monotonically_increasing_id()), "stored")
     marked = stored.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("row"))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp"), F.col("row").alias("row")))["row"]
-    kept = marked.join(_groups(marked, budget, scratch).select("fp", "root"), "fp").groupBy("root").agg(first.alias("kept"))
-    kept = scratch.table(kept.select("kept"), "kept")
-    return stored.join(kept, stored[row] == kept["kept"], "left_semi").select(docs.columns)
+    kept = scratch.table(marked.join(_groups(marked, budget, scratch).select("fp", "root"), "fp").groupBy("root").agg(first.alias("kept")).select("kept"), "kept")
+    gone = marked.select("row").join(kept, F.col("row") == F.col("kept"), "left_anti")
+    return _without_rows(stored, row, gone, docs.columns, scratch)
