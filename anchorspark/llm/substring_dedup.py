@@ -132,7 +132,8 @@ def repeated_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFram
     shared = scratch.table(anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "shared")
     spots = scratch.table(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("pos").alias("spots")), "spots")
     scratch.drop("anchors", "shared")
-    near = texts.join(spots, "doc_id").select("doc_id", "text", "spots")
+    # Texts meet their spots by a shuffle at every size, not by a broadcast while the corpus is small.
+    near = texts.join(spots.hint("merge"), "doc_id").select("doc_id", "text", "spots")
     windows = scratch.table(near.mapInArrow(_windows(window, period), f"doc_id {kind}, h long, g int, pos int"), "windows")
     first = scratch.table(windows.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("b")).where("first < b").drop("b"), "first")
     found = windows.join(first, ["h", "g"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "h")).alias("found"))
@@ -160,7 +161,7 @@ def _with_found(docs: DataFrame, window: int) -> DataFrame:
     found = repeated_windows(docs, window, Scratch(docs.sparkSession, "substrings"))
     found_id, name = (unused(x, docs.columns) for x in ("found_id", "found"))
     found = found.select(F.col("doc_id").alias(found_id), F.col("found").alias(name))
-    return docs.join(found, F.col("doc_id") == F.col(found_id), "left").select(*docs.columns, name)
+    return docs.join(found.hint("merge"), F.col("doc_id") == F.col(found_id), "left").select(*docs.columns, name)
 
 
 def _of(column: pa.Array) -> list:
