@@ -1,4 +1,11 @@
-"""A training corpus from ``documents``: rules, near duplicates, repeated passages, benchmark passages, packing."""
+"""A training corpus from ``documents``: rules, near duplicates, repeated passages, benchmark passages, packing.
+
+Defined results: a null or empty text is rejected by the rules; a null doc_id is
+the largest of its group of near duplicates, and its text loses no passage; rows
+that repeat are one group; texts of any length are read whole; any further
+columns, whatever their names, pass through the stages before packing; an empty
+table gives an empty table.
+"""
 
 from __future__ import annotations
 
