@@ -105,7 +105,12 @@ def abstain(queries: DataFrame, hits: DataFrame, hard: float = 1.3, soft: float
 
 
 def alias_matches(questions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Corpora whose alias stands in a question as whole words; aliases (corpus_id, alias) is a small registry."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("question"), r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
-    wanted = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("alias"), r"[^\p{L}\p{N}_]+", " ")), F.lit(" "))
-    return questions.select("query_id", padded.alias("q")).join(aliases.select("corpus_id", wanted.alias("a")), F.contains("q", "a")).groupBy("query_id").agg(F.array_sort(F.collect_set("corpus_id")).alias("corpora"))
+    """(query_id, corpora) whose alias stands in a question as whole words: the question's runs of words joined with aliases (corpus_id, alias)."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
+    known = aliases.select("corpus_id", plain("alias").alias("run")).where("run <> ''")
+    longest = known.agg(F.max(F.size(F.split("run", " ")))).first()[0] or 1  # words of an alias
+    asked = questions.select("query_id", F.split(plain("question"), " ").alias("w"))
+    starts = lambda n: F.sequence(F.lit(1), F.size("w") - n + 1)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w"))), lambda n: F.transform(starts(n), lambda i: F.array_join(F.slice("w", i, n), " "))))
+    met = asked.select("query_id", F.explode(F.array_distinct(runs)).alias("run")).join(known, "run")
+    return met.groupBy("query_id").agg(F.array_sort(F.collect_set("corpus_id")).alias("corpora"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import refs as R
 from ..functions import text as T
-from ..operators import answers, evaluate, graph, scorers, validate
+from ..operators import answers, evaluate, graph, retrieve, scorers, validate
 from ..sources import official
 from .queries import _ADJ, _adjacent, _t, query
 
@@ -107,3 +107,12 @@ def scorer_registry(spark, d):
     cases = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(found.alias("found"), F.collect_set("l_returnflag").alias("cited_corpora"))
     cases = cases.withColumns({"any_of": a("article:1"), "any_of_2": a(), "all_of": a(), "none_of": a("article:6"), "required_corpora": a("A", "N")})
     return scorers.run(cases, ["anchor_presence", "corpus_coverage"])
+
+
+@query("SELECT p_partkey AS query_id, list_sort(list_distinct([p_brand, p_type])) AS corpora FROM part")
+def alias_detection(spark, d):
+    """Every question names its part's brand and type; all brands and types are aliases."""
+    part = _t(spark, d, "part")
+    names = part.select(F.explode(F.array("p_brand", "p_type")).alias("corpus_id")).distinct()
+    asked = part.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("Gælder "), F.upper("p_brand"), F.lit(" for ("), "p_type", F.lit(")?")).alias("question"))
+    return retrieve.alias_matches(asked, names.withColumn("alias", F.concat(F.lit(" "), "corpus_id")))
