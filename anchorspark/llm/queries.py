@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, qda, quality_rules, recurrent_lm, sharding, simhash, substring_dedup, token_counts, warc
+from . import decontaminate, divergence, elkan, mixing, packing, qda, quality_rules, recurrent_lm, sharding, simhash, substring_dedup, token_counts, warc
 from .sql import ORACLE_SQL
 
 
@@ -59,5 +59,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc, op3_packing, op4_sharding, op5_lm_scoring, op6_token_counts, op7_substring_dedup, op8_simhash, op9_quality_classifier, op10_decontamination)}
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc, op3_packing, op4_sharding, op5_lm_scoring, op6_token_counts, op7_substring_dedup, op8_simhash, op9_quality_classifier, op10_decontamination, op11_mixing, op12_centroid_clustering, op13_source_divergence)}
 __all__ = ["ORACLE_SQL", "QUERIES"]

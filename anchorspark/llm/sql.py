@@ -52,4 +52,40 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN cov USING (rid) LEFT JOIN it USING (rid)
 """
 
-ORACLE_SQL = {"op1_quality_rules": _OP1, "op2_warc": _OP2, "op7_substring_dedup": _OP7, "op10_decontamination": _OP10}
+_DISTANCE = "list_sum(list_transform(generate_series(1, 64), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT"
+_OP12_ROUND = """
+a{n} AS (SELECT v.rid, c.cluster, d FROM v, LATERAL (SELECT cluster, d FROM (SELECT c.cluster, {distance} AS d FROM c{n} c) ORDER BY d, cluster LIMIT 1) c),
+s{n} AS (SELECT cluster, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{n} JOIN v USING (rid), generate_series(1, 64) AS t(i) GROUP BY cluster, i),
+m{n} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{n} GROUP BY cluster),
+c{m} AS (SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN m{n} m USING (cluster)),"""
+_OP12 = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster, x FROM v QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id)) <= 16),
+{"".join(_OP12_ROUND.format(n=n, m=n + 1, distance=_DISTANCE) for n in range(3))}
+f AS (SELECT v.vec_id, c.cluster, d FROM v, LATERAL (SELECT cluster, d FROM (SELECT c.cluster, {_DISTANCE} AS d FROM c3 c) ORDER BY d, cluster LIMIT 1) c)
+SELECT vec_id, cluster::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM f JOIN c3 USING (cluster)
+"""
+
+_OP13 = rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS rid, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT lang, source, rid, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT lang, source FROM d GROUP BY lang, source),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+w AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(w.total, 0) + 5 * l.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v) AS q
+      FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN w ON w.lang = g.lang AND w.source = g.source),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+         ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pair
+UNION ALL
+SELECT lang, source, 'term' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM term QUALIFY rank <= 50
+"""
+
+ORACLE_SQL = {"op1_quality_rules": _OP1, "op2_warc": _OP2, "op7_substring_dedup": _OP7, "op10_decontamination": _OP10, "op12_centroid_clustering": _OP12, "op13_source_divergence": _OP13}
