@@ -7,9 +7,24 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-# Keywords of the article roles, and of evidence types in order of precedence.
+# Keywords of the article roles; labels of a passage and, in order of precedence, the evidence that their words stand for; forms of references in a text.
 KEYWORD_ROLES = {"scope": T.SCOPE, "definitions": ["definitioner", "definitions", "for the purposes of this regulation", "i denne forordning forstås", "means", "begreber", "definition"], "obligations": T.REQUIREMENTS_STRONG, "classification": T.CLASSIFICATION, "enforcement": T.ENFORCEMENT}
-EVIDENCE = [("FORBIDDEN", ["forbudt", "forbud", "prohibited", "prohibition"]), ("ENFORCEMENT", T.ENFORCEMENT), ("DEFINITION", KEYWORD_ROLES["definitions"]), ("SCOPE", T.SCOPE), ("CLASSIFICATION", T.CLASSIFICATION)]
+LABELS = ["heading_path", "heading_path_display", "toc_path", "title", "location_id", "source", "display", "article_title", "chapter_title", "section_title", "annex_title"]
+EVIDENCE = {
+    "FORBIDDEN": ["forbud", "forbudte", "prohibited", "forbidden"],
+    "ENFORCEMENT": ["håndhævelse", "sanktion", "sanktioner", "bøde", "bøder", "klage", "tilsyn", "markedsovervåg", "complaint", "enforcement", "market surveillance", "surveillance authority", "supervision", "penalt", "fine", "sanction", "remedy", "redress"],
+    "DEFINITION": ["definition", "definitions", "definitioner", "begreb", "begreber", "forstås ved", "means", "shall mean"],
+    "SCOPE": ["anvendelsesområde", "scope", "applicability", "definition", "definitions", "omfang"],
+    "CLASSIFICATION": ["højrisiko", "high-risk", "high risk", "klassific", "classification", "annex", "bilag", "kategori"],
+}
+PRECISE = [
+    r"\b(?:Article|Artikel)\s+\d{1,3}[a-z]?(?:\s*\(\s*\d{1,3}\s*\))?\b",
+    r"\bArt\.?\s*\d{1,3}[a-z]?(?:\s*\(\s*\d{1,3}\s*\))?\b",
+    r"\b(?:Chapter|Kapitel)\s+(?:[IVXLCDM]+|\d{1,3})\b",
+    r"\b(?:Annex|Bilag)\s+(?:[IVXLCDM]+|\d{1,3})\b",
+    r"\b(?:Recital|Betragtning)\s+\d{1,4}\b",
+]
+KINDS = ["article", "annex", "chapter", "recital"]
 ARTICLE = r"(?:artikel|article)\s*(\d{1,3}[a-z]?)"
 
 
@@ -28,26 +43,51 @@ def keyword_roles(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(T.contains_any(text, words), F.lit(role)) for role, words in KEYWORD_ROLES.items())))
 
 
-def evidence_type(text: Column) -> Column:
-    return T.first_of([(name, T.contains_any(text, words)) for name, words in EVIDENCE], "OTHER")
+def evidence_type(meta: Column) -> Column:
+    """What a passage is evidence of, by the labels in its metadata map; UNKNOWN without any."""
+    labels = F.array_compact(F.array(*(F.nullif(F.trim(F.try_element_at(meta, F.lit(k))), F.lit("")) for k in LABELS)))
+    return T.let(F.lower(F.array_join(labels, " ")), lambda low: T.first_of([(name, F.coalesce(F.exists(F.array(*map(F.lit, words)), low.contains), F.lit(False))) for name, words in EVIDENCE.items()], "UNKNOWN"))
 
 
-def is_citable(meta: Column, location: Column, heading: Column, text: Column) -> Column:
-    """A place in the metadata, else in the location, else in the heading, else an article named at the start of the text."""
-    has = lambda k: F.coalesce(F.length(F.trim(F.try_element_at(meta, F.lit(k)))) > 0, F.lit(False))
-    located = F.coalesce(location.rlike("/(article|annex|recital):"), F.lit(False))
-    named = F.coalesce(F.lower(heading).rlike(ARTICLE), F.lit(False)) | F.coalesce(F.lower(text).rlike(rf"^\s*{ARTICLE}"), F.lit(False))
-    return has("article") | has("annex") | has("recital") | located | named
+def precise_ref(text: Column) -> Column:
+    """The first reference in a text of the first form that it has, as written; null without one."""
+    found = [F.regexp_extract(text, "(?iUd)" + p, 0) for p in PRECISE]
+    return F.coalesce(*(F.nullif(f, F.lit("")) for f in found))
 
 
-def context_prefix(**parts: Column) -> Column:
-    """[Kapitel III - Title] [Artikel 6] before a passage."""
-    names = {"chapter": "Kapitel", "section": "Afdeling", "article": "Artikel", "annex": "Bilag"}
-    return F.concat_ws(" ", *(F.when(F.length(parts[k]) > 0, F.concat(F.lit(f"[{n} "), parts[k], F.lit("]"))) for k, n in names.items() if k in parts))
+def citability(meta: Column, text: Column) -> Column:
+    """(citable, label): a place in the metadata map, its location or its heading path; else a reference in the text, whose label is the source and that reference."""
+    has = lambda k: F.coalesce(F.length(F.try_element_at(meta, F.lit(k))) > 0, F.lit(False))
+    starts = lambda parts: F.coalesce(F.exists(parts, lambda p: F.lower(F.trim(p)).rlike(f"^({'|'.join(KINDS)}):")), F.lit(False))
+    path = F.trim(F.try_element_at(meta, F.lit("heading_path")))
+    located = starts(F.split(F.try_element_at(meta, F.lit("location_id")), "/")) | starts(F.when(path.startswith("["), F.from_json(path, "array<string>")))
+    placed = has("article") | has("annex") | has("chapter") | has("recital") | located
+    named = F.when(~placed, precise_ref(text))
+    given = lambda k: F.nullif(F.trim(F.try_element_at(meta, F.lit(k))), F.lit(""))
+    label = F.concat(F.coalesce(given("source"), given("corpus_id"), F.lit("Unknown source")), F.lit(", "), named)
+    return F.struct((placed | named.isNotNull()).alias("citable"), label.alias("label"))
 
 
-def enrichment_key(corpus: Column, text: Column) -> Column:
-    return F.substring(F.sha2(F.concat(F.lit("v3:"), corpus, F.lit(":"), F.substring(text, 1, 500)), 256), 1, 16)
+def embedding_text(text: Column, meta: Column, terms: Column | None = None) -> Column:
+    """A passage with its chapter, its article, annex or recital, and its search terms on lines of their own before it."""
+    get = lambda k: F.nullif(F.try_element_at(meta, F.lit(k)), F.lit(""))
+    titled = lambda name, k: F.when(get(k).isNotNull(), F.concat(F.lit(f"[{name} "), get(k), F.coalesce(F.concat(F.lit(": "), get(f"{k}_title")), F.lit("")), F.lit("]")))
+    place = F.coalesce(titled("Artikel", "article"), titled("Bilag", "annex"), F.concat(F.lit("[Betragtning "), get("recital"), F.lit("]")))
+    words = None if terms is None else F.when(F.size(terms) > 0, F.concat(F.lit("[Søgetermer: "), F.array_join(terms, " | "), F.lit("]")))
+    head = F.array_compact(F.array(titled("Kapitel", "chapter"), place, *([] if words is None else [words])))
+    return F.when(F.size(head) > 0, F.concat(F.array_join(head, "\n"), F.lit("\n\n"), text)).otherwise(text)
+
+
+def enrichment_key(corpus: Column, article_title: Column, text: Column) -> Column:
+    """The key under which a passage's search terms and roles are stored; it changes with the title and with the first 500 characters."""
+    content = F.concat(F.lit("v3:"), F.coalesce(corpus, F.lit("")), F.lit(":"), F.coalesce(article_title, F.lit("")), F.lit(":"), F.substring(F.coalesce(text, F.lit("")), 1, 500))
+    return F.substring(F.sha2(content, 256), 1, 16)
+
+
+def article_title(meta: Column) -> Column:
+    """`Artikel 6 - Title` of a passage's article; empty without one."""
+    get = lambda k: F.nullif(F.try_element_at(meta, F.lit(k)), F.lit(""))
+    return F.coalesce(F.concat(F.lit("Artikel "), get("article"), F.coalesce(F.concat(F.lit(" - "), get("article_title")), F.lit(""))), F.lit(""))
 
 
 def truncated(text: Column, most: int) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 from itertools import groupby
 
@@ -13,27 +14,36 @@ from pyspark.sql import functions as F
 # The keyword lists of intents, the patterns of query intents, synthesis modes, normative wording,
 # mentions and roles, the roles in their order, and what a role adds to a rank (ROLE_DELTA).
 ENFORCEMENT = ["klage", "klager", "bøde", "bøder", "sanktion", "sanktioner", "håndhævelse", "håndhæv", "enforcement", "complaint", "penalt", "fine", "sanction", "remedy", "redress", "tilsyn", "myndighed", "myndigheder", "kompetent myndighed", "påbud", "anke", "appel", "klagevej", "erstatning", "kompensation"]
+ENFORCEMENT_WORD = r"\bforbud\b"
 REQUIREMENTS_STRONG = ["krav", "kræves", "kræver", "forventes", "dokumentation", "teknisk dokumentation", "requirements", "hvad skal vi", "skal vi", "hvordan", "must", "should", "controls", "forpligt", "forpligtelser", "ret til", "retten til", "indsigtsret", "hvordan overholder", "hvordan efterlever", "overholde", "efterleve", "implementer", "implementere", "indføre", "etablere"]
 REQUIREMENTS_WEAK = ["foranstaltninger", "tekniske og organisatoriske", "procedure", "politik", "kontrol", "governance", "frister", "dokumentere", "logning", "rapportering"]
 REQUIREMENTS_VERBS = ["krav", "kræver", "kræves", "skal", "must", "should", "hvordan", "overhold", "efterlev", "implement"]
 CLASSIFICATION = ["klassific", "classification", "kategori", "annex", "bilag", "risikoklasse", "klassificeres", "forbudt", "prohibited", "højrisiko", "high-risk", "high risk"]
 SCOPE = ["omfattet", "omfattes", "omfatter", "anvendelsesområde", "finder anvendelse", "falder ind under", "falder under", "falder det under", "ind under", "gælder for", "gælder forordningen", "scope", "applicability", "applies", "shall apply", "covered by", "subject to", "within the scope"]
-QUERY_INTENT = [("ENFORCEMENT", r"penalt(y|ies)|fine(s)?|sanction(s)?|authority|myndighed|bøde(r)?"), ("TRANSPARENCY", r"inform|tell\s+user|ui|disclosure|transparency|gennemsigtighed|oplysn|information"), ("OBLIGATIONS", r"what\s+must|must|shall|required|requirements|krav|skal")]
-STRUCTURE_MARKERS = ["indholdsfortegnelse", "toc", "table of contents", "oversigt", "struktur", "hvilke kapitler", "hvilke artikler", "liste over"]
-SYNTHESIS = [("COMPARISON", r"(compare|comparing)\W(.*\W)?and|vs|versus|differences?\s+between|how\s+does?\W(.*\W)?compare|forskellen?\s+mellem|sammenlign|sammenlignet\s+med"), ("ROUTING", r"which\s+law|what\s+law\s+(covers?|governs?|applies|regulates?)|which\s+(eu\s+)?regulation|what\s+legislation|identify\s+(the\s+)?law|hvilken\s+lov|hvad\s+lov|hvilken\s+forordning"), ("AGGREGATION", r"all\s+(eu\s+)?laws?|every\s+law|across\s+(eu\s+)?laws?|each\s+law|all\s+(eu\s+)?regulations?|what\s+do\s+(eu\s+)?laws?\s+say|alle\s+love|hver\s+lov|på\s+tværs\s+af\s+love")]
-NORMATIVE = r"skal|b[øo]r|m[åa]\s*ikke|kr[æa]ver|forpligtet|p[åa]kr[æa]vet|pligt|must|shall|should|required|may\s*not"
+QUERY_INTENT = [
+    ("ENFORCEMENT", r"\b(penalt(y|ies)|fine(s)?|sanction(s)?|authority|myndighed|bøde(r)?)\b"),
+    ("TRANSPARENCY", r"\b(inform|tell\s+user|ui|disclosure|transparency|gennemsigtighed|oplysn|information)\b"),
+    ("OBLIGATIONS", r"\b(what\s+must|must\b|shall\b|required|requirements|krav|skal\b)\b"),
+]
+STRUCTURE_MARKERS = ["indholdsfortegnelse", "toc", "table of contents", "oversigt", "struktur", "hvilke kapitler", "hvilke artikler", "liste over", "oversigt over"]
+SYNTHESIS = {
+    "COMPARISON": [r"\bcompare\b.*\band\b", r"\bcomparing\b.*\band\b", r"\bvs\.?\b", r"\bversus\b", r"\bdifference(?:s)?\s+between\b", r"\bhow\s+does?\b.*\bcompare\b", r"\bforskellen?\s+mellem\b", r"\bsammenlign\b", r"\bsammenlignet\s+med\b"],
+    "ROUTING": [r"\bwhich\s+law\b", r"\bwhat\s+law\s+(?:covers?|governs?|applies|regulates?)\b", r"\bwhich\s+(?:eu\s+)?regulation\b", r"\bwhat\s+legislation\b", r"\bidentify\s+(?:the\s+)?law\b", r"\bhvilken\s+lov\b", r"\bhvad\s+lov\b", r"\bhvilken\s+forordning\b"],
+    "AGGREGATION": [r"\ball\s+(?:eu\s+)?laws?\b", r"\bevery\s+law\b", r"\bacross\s+(?:eu\s+)?laws?\b", r"\beach\s+law\b", r"\ball\s+(?:eu\s+)?regulations?\b", r"\bwhat\s+do\s+(?:eu\s+)?laws?\s+say\b", r"\balle\s+love\b", r"\bhver\s+lov\b", r"\bpå\s+tværs\s+af\s+love\b"],
+}
+NORMATIVE = r"(?i)\b(SKAL|B[ØO]R|M[ÅA]\s*IKKE|MAA\s+IKKE|KR[ÆA]VER|KRAEVER|FORPLIGTET|P[ÅA]KR[ÆA]VET|PLIGT|MUST|SHALL|SHOULD|REQUIRED|MAY\s*NOT)\b"
 MENTIONS = {"chapter": r"(?:kapitel|chapter)\s+([ivxlcdm]+|\d+)", "section": r"(?:afsnit|afdeling|section)\s+([ivxlcdm]+|\d+)", "article": r"(?:artikel|article)\s*(\d{1,3}[a-z]?)", "paragraph": r"(?:stk\.|stykke|paragraph)\s*(\d{1,3})", "annex": r"(?:bilag|annex)\s+([ivxlcdm]+|\d+)"}
-ROLE_RULES = [  # (role, weight, in heading?, pattern), in declaration order of the roles
-    ("definition_scope", 2, True, r"definition|definitions|scope|subject\s+matter"),
-    ("prohibitions", 2, True, r"prohibited|prohibition|forbidden"),
-    ("obligations_normative", 1, False, r"must|shall|required"),
-    ("obligations_normative", 1, False, r"skal"),
-    ("transparency", 2, True, r"transparency|inform|information|disclosure"),
-    ("transparency", 1, False, r"inform|information|disclose|tell\s+user|notify"),
-    ("transparency", 1, False, r"transparency|gennemsigtighed"),
-    ("governance_process", 2, True, r"risk\s+management|quality\s+management|conformity|monitoring|post-?market"),
-    ("enforcement_supervision", 2, True, r"authority|penalt(y|ies)|sanction(s)?|supervision|enforcement"),
-    ("exceptions_sandbox", 2, True, r"sandbox"),
+ROLE_RULES = [  # (role, weight, in heading?, pattern)
+    ("definition_scope", 2, True, r"\b(definition|definitions|scope|subject\s+matter)\b"),
+    ("prohibitions", 2, True, r"\b(prohibited|prohibition|forbidden)\b"),
+    ("transparency", 2, True, r"\b(transparency|inform|information|disclosure)\b"),
+    ("enforcement_supervision", 2, True, r"\b(authority|penalt(y|ies)|sanction(s)?|supervision|enforcement)\b"),
+    ("exceptions_sandbox", 2, True, r"\b(sandbox)\b"),
+    ("governance_process", 2, True, r"\b(risk\s+management|quality\s+management|conformity|monitoring|post-?market)\b"),
+    ("obligations_normative", 1, False, r"\b(must|shall|required)\b"),
+    ("obligations_normative", 1, False, r"\bskal\b"),
+    ("transparency", 1, False, r"\b(inform|information|disclose|tell\s+user|notify)\b"),
+    ("transparency", 1, False, r"\b(transparency|gennemsigtighed)\b"),
 ]
 ROLES = ["definition_scope", "prohibitions", "obligations_normative", "transparency", "governance_process", "enforcement_supervision", "exceptions_sandbox", "recital_context"]
 ROLE_DELTA = {("TRANSPARENCY", "transparency"): 0.18, ("TRANSPARENCY", "obligations_normative"): 0.10, ("TRANSPARENCY", "enforcement_supervision"): -0.08, ("TRANSPARENCY", "recital_context"): -0.12, ("OBLIGATIONS", "obligations_normative"): 0.15, ("OBLIGATIONS", "governance_process"): 0.10, ("ENFORCEMENT", "enforcement_supervision"): 0.18}
@@ -45,6 +55,16 @@ def whole_word(text: Column, pattern: str) -> Column:
     return F.lower(text).rlike(rf"(^|[^\p{{L}}\p{{N}}_])({pattern})($|[^\p{{L}}\p{{N}}_])")
 
 
+def search(text: Column, *patterns: str) -> Column:
+    """Does the lower-cased text hold one of the patterns, with word bounds, white space and letters of any script?"""
+    return F.lower(text).rlike("(?iUd)" + "|".join(f"(?:{p.removeprefix('(?i)')})" for p in patterns))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.lower(text).contains(w) for w in words))
 
@@ -67,26 +87,35 @@ def lexical_tokens(text: Column) -> Column:
 
 
 def query_intent(text: Column) -> Column:
-    return first_of([(n, whole_word(text, p)) for n, p in QUERY_INTENT], "CONTEXT")
+    return first_of([(n, search(text, p)) for n, p in QUERY_INTENT], "CONTEXT")
 
 
 def claim_intent(text: Column, names_law: Column | None = None) -> Column:
     """names_law: does the question name a known law?  Then "gælder" asks for its scope."""
-    requirements = contains_any(text, REQUIREMENTS_STRONG) | (contains_any(text, REQUIREMENTS_WEAK) & contains_any(text, REQUIREMENTS_VERBS))
-    return first_of([("ENFORCEMENT", contains_any(text, ENFORCEMENT) | whole_word(text, "forbud")), ("REQUIREMENTS", requirements), ("CLASSIFICATION", contains_any(text, CLASSIFICATION)), ("SCOPE", contains_any(text, SCOPE) | (F.lit(False) if names_law is None else contains_any(text, ["gælder"]) & F.coalesce(names_law, F.lit(False))))], "GENERAL")
+    named = F.lit(False) if names_law is None else F.coalesce(names_law, F.lit(False))
+
+    def of(low: Column) -> Column:
+        has = lambda words: reduce(lambda a, b: a | b, (low.contains(w) for w in words))
+        requirements = has(REQUIREMENTS_STRONG) | (has(REQUIREMENTS_WEAK) & has(REQUIREMENTS_VERBS))
+        return first_of([("ENFORCEMENT", has(ENFORCEMENT) | search(low, ENFORCEMENT_WORD)), ("REQUIREMENTS", requirements), ("CLASSIFICATION", has(CLASSIFICATION)), ("SCOPE", has(SCOPE) | (low.contains("gælder") & named))], "GENERAL")
+
+    return let(F.lower(text), of)
 
 
-def navigation_intent(text: Column) -> Column:
-    summary = contains_any(text, ["sammenfat", "opsummer", "hvad handler", "hvad står", "hvad siger"])
-    return first_of([("STRUCTURE", contains_any(text, STRUCTURE_MARKERS)), ("CHAPTER_SUMMARY", F.lower(text).rlike(r"kapitel\s*(\d+|[ivxlcdm]+)") & summary), ("ARTICLE_SUMMARY", F.lower(text).rlike(r"artikel\s*\d{1,3}[a-z]?") & summary)], "FREEFORM")
+def intent_cues(text: Column) -> Column:
+    """(enforcement, enforcement_cues, requirements, requirements_cues): the words that speak for these intents, sorted and distinct."""
+    enforcement = F.array_sort(F.array_union(matched(text, ENFORCEMENT), F.array_compact(F.array(F.when(search(text, ENFORCEMENT_WORD), F.lit("forbud"))))))
+    strong, weak, verbs = (matched(text, words) for words in (REQUIREMENTS_STRONG, REQUIREMENTS_WEAK, REQUIREMENTS_VERBS))
+    asked = (F.size(strong) > 0) | ((F.size(weak) > 0) & (F.size(verbs) > 0))
+    return F.struct((F.size(enforcement) > 0).alias("enforcement"), enforcement.alias("enforcement_cues"), asked.alias("requirements"), F.array_sort(F.array_union(F.array_union(strong, weak), verbs)).alias("requirements_cues"))
 
 
 def synthesis_mode(text: Column) -> Column:
-    return first_of([(n, whole_word(text, p)) for n, p in SYNTHESIS], "UNIFIED")
+    return first_of([(n, search(text, *patterns)) for n, patterns in SYNTHESIS.items()], "UNIFIED")
 
 
 def is_normative(text: Column) -> Column:
-    return F.coalesce(whole_word(text, NORMATIVE), F.lit(False))
+    return F.coalesce(search(text, NORMATIVE), F.lit(False))
 
 
 def mentions(text: Column, own: dict[str, Column] | None = None, most: int = 25) -> Column:
@@ -105,7 +134,7 @@ def role_scores(heading: Column, body: Column) -> Column:
     """An array of (role, score) in declaration order."""
     out = []
     for role in ROLES:
-        score = sum((F.when(F.coalesce(whole_word(heading if in_head else body, p), F.lit(False)), F.lit(float(w))).otherwise(F.lit(0.0)) for r, w, in_head, p in ROLE_RULES if r == role), F.lit(0.0))
+        score = sum((F.when(F.coalesce(search(heading if in_head else body, p), F.lit(False)), F.lit(float(w))).otherwise(F.lit(0.0)) for r, w, in_head, p in ROLE_RULES if r == role), F.lit(0.0))
         out.append(F.struct(score.alias("score"), F.lit(-ROLES.index(role)).alias("order"), F.lit(role).alias("role")))
     return F.array(*out)
 

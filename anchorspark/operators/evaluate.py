@@ -25,13 +25,18 @@ def case_passed(scores: DataFrame, by: str, passed: str) -> DataFrame:
     return scores.where(F.col(passed).isNotNull()).groupBy(by).agg(F.bool_and(passed).alias("passed"), F.count("*").alias("scorers"))
 
 
-def allocate(weights: dict[str, float], total: int) -> dict[str, int]:
-    """Shares of a total by weight, rounded half to even; the last one takes the rest."""
-    names, out, left = list(weights), {}, total
-    for n in names[:-1]:
-        out[n] = round(total * weights[n])
-        left -= out[n]
-    return out | {names[-1]: left} if names else {}
+def allocate(weights: DataFrame, by: str, order: str, name: str, weight: str, total: int) -> DataFrame:
+    """(by, name, n): shares of a total by each group's weights in order, rounded half to even; the last takes the rest.
+
+    Weights that add up to less than one are brought to one; a sum above one, or of nothing, is an error.
+    """
+    listed = weights.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, name, weight))).alias("w"))
+    total_weight = F.aggregate("w", F.lit(0.0), lambda s, x: s + x[weight])
+    checked = F.when(total_weight > 1 + 1e-9, F.raise_error(F.lit("weights add up to more than one")).cast("double")).when(total_weight < 1e-9, F.raise_error(F.lit("weights add up to nothing")).cast("double")).otherwise(total_weight)
+    rows = listed.select(by, "w", checked.alias("sum"))
+    counts = F.transform("w", lambda x, i: F.struct(x[name].alias("name"), F.when(i < F.size("w") - 1, F.bround(x[weight] / F.col("sum") * total).cast("long")).alias("n")))
+    placed = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["n"], F.lit(0)))
+    return rows.select(by, counts.alias("c"), placed.alias("placed")).select(by, F.explode("c").alias("c"), "placed").select(by, F.col("c.name").alias(name), F.coalesce(F.col("c.n"), total - F.col("placed")).alias("n"))
 
 
 def cyclic(rows: DataFrame, by: str, order: list[Column], labels: list[str]) -> DataFrame:
@@ -88,15 +93,24 @@ def inferred_test_types(case_id: Column, all_of: Column, behavior: Column, contr
     return F.array_compact(F.array(F.lit("retrieval"), F.when(several, "multi_hop"), F.when(behavior == "abstain", "abstention"), F.when(contract, "faithfulness"), F.when(T.contains_any(low, ROBUSTNESS), "robustness")))
 
 
-#: Fixed value: wordings that tie one act to another.
-CROSS_REFERENCE = r"references?|in\s+accordance\s+with|pursuant\s+to|as\s+defined\s+in|under|henviser\s+til|i\s+overensstemmelse\s+med"
-
-
-def cross_references(answer: Column, cited: Column, names: str) -> Column:
-    """(passed, score): two corpora cited, or a wording that ties the answer to a named act."""
-    tied = F.coalesce(T.whole_word(answer, rf"({CROSS_REFERENCE})\W(.*\W)?({names})"), F.lit(False))
-    passed = (F.size(cited) >= 2) | tied
-    return F.struct(passed.alias("passed"), F.when(passed, 1.0).otherwise(0.0).alias("score"))
+# Fixed value: wordings that tie one act to another.
+CROSS_REFERENCES = [
+    r"\breferences?\b.*\b(gdpr|ai.?act|nis2|dora|cra)\b",
+    r"\b(gdpr|ai.?act|nis2|dora|cra)\b.*\breferences?\b",
+    r"\bin\s+accordance\s+with\b.*\b(gdpr|ai.?act|nis2|dora|cra)\b",
+    r"\bpursuant\s+to\b.*\b(gdpr|ai.?act|nis2|dora|cra)\b",
+    r"\bas\s+defined\s+in\b.*\b(gdpr|ai.?act|nis2|dora|cra)\b",
+    r"\bunder\b.*\b(gdpr|ai.?act|nis2|dora|cra)\b",
+    r"\bhenviser\s+til\b.*\b(gdpr|ai.?act|nis2|dora|cra)\b",
+    r"\bi\s+overensstemmelse\s+med\b.*\b(gdpr|ai.?act|nis2|dora|cra)\b",
+]
+
+
+def cross_references(answer: Column, cited: Column) -> Column:
+    """(passed, score, claimed): an answer that ties one act to another must cite two corpora or more."""
+    claimed = F.coalesce(T.search(answer, *CROSS_REFERENCES), F.lit(False))
+    passed = ~claimed | (F.size(F.array_distinct(cited)) >= 2)
+    return F.struct(passed.alias("passed"), F.when(passed, 1.0).otherwise(0.0).alias("score"), claimed.alias("claimed"))
 
 
 def routing_recall(expected: Column, routed: Column, least: float = 0.8) -> Column:

@@ -39,13 +39,13 @@ def _as_map(wanted: Filter) -> Column:
     return F.when(F.size(pairs) > 0, F.map_from_entries(pairs))
 
 
-def navigation(question: Column, focus_type: Column) -> Column:
+def navigation(question: Column, focus_type: Column | None = None) -> Column:
     """The intent of a question, given what the reader has selected."""
-    low = F.lower(F.coalesce(question, F.lit("")))
+    low, focus_type = F.lower(F.coalesce(question, F.lit(""))), F.lit(None).cast("string") if focus_type is None else focus_type
     summary = T.contains_any(low, ["sammenfat", "opsummer", "hvad handler", "hvad står"])
     on_chapter = (focus_type == "CHAPTER") & T.contains_any(low, ["kapitlet", "dette kapitel"]) & (summary | low.contains("kapitel"))
     article = low.rlike(R.SPACED_ARTICLE) & T.contains_any(low, ["sammenfat", "opsummer", "hvad siger", "hvad står"])
-    return T.first_of([("STRUCTURE", T.contains_any(low, [*T.STRUCTURE_MARKERS, "oversigt over"])), ("CHAPTER_SUMMARY", F.coalesce(on_chapter, F.lit(False)) | (low.rlike(R.CHAPTER) & summary)), ("ARTICLE_SUMMARY", article)], "FREEFORM")
+    return T.first_of([("STRUCTURE", T.contains_any(low, T.STRUCTURE_MARKERS)), ("CHAPTER_SUMMARY", F.coalesce(on_chapter, F.lit(False)) | (low.rlike(R.CHAPTER) & summary)), ("ARTICLE_SUMMARY", article)], "FREEFORM")
 
 
 def plan(questions: DataFrame) -> DataFrame:

@@ -249,12 +249,21 @@ def question_kinds(spark, d):
     return _t(spark, d, "part").select(F.col("p_partkey").alias("k"), T.question_kind(asked).alias("q")).select("k", "q.*")
 
 
-@query("SELECT p_partkey AS k, CASE p_size % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true ELSE false END AS citable FROM part")
+_NAMED = [("see Annex II", "Annex II"), ("Artikel 7 (2) siger", "Artikel 7"), ("jf. art. 12b", "art. 12b"), ("Artikel 9 ( 2 )siger", "Artikel 9 ( 2 )"), ("Betragtning 12", "Betragtning 12"), ("none at all", None), ("Artiklen 7", None), ("Recital 5, then Article 3", "Article 3")]
+
+
+@query(f"""WITH p AS (SELECT *, [{", ".join("'" + t + "'" for t, _ in _NAMED)}][(p_partkey % 8 + 1)::INT] AS said, [{", ".join("NULL" if r is None else "'" + r + "'" for _, r in _NAMED)}][(p_partkey % 8 + 1)::INT] AS ref FROM part),
+c AS (SELECT *, p_size % 9 IN (0, 1, 2, 3, 4, 6) AS placed FROM p)
+SELECT p_partkey AS k, placed OR ref IS NOT NULL AS citable, CASE WHEN NOT placed THEN CASE WHEN p_size % 2 = 0 THEN p_brand WHEN p_size % 3 = 0 THEN p_type ELSE 'Unknown source' END || ', ' || ref END AS label FROM c""")
 def citable_passages(spark, d):
-    at = F.col("p_size") % 4
-    meta = F.create_map(F.lit("article"), F.when(at == 0, F.lit("6")).otherwise(""))
-    location = F.when(at == 1, F.lit("loc:v1/annex:iii"))
-    return _t(spark, d, "part").select(F.col("p_partkey").alias("k"), P.is_citable(meta, location, F.lit("x"), F.when(at == 2, F.lit("Artikel 7 siger")).otherwise("none")).alias("citable"))
+    """Places in each kind of metadata, places that don't count, and references of each form in the text."""
+    n, size = F.col("p_size") % 9, F.col("p_size")
+    meta = {
+        "article": F.when(n == 0, "6").otherwise(""), "chapter": F.when(n == 1, "iii"), "location_id": F.when(n == 2, "loc:v1/Chapter:iii").when(n == 5, "loc:v1/section:1"), "heading_path": F.when(n == 3, '["chapter:iv", "article:10"]').when(n == 7, '["section:1"]').when(n == 8, "article:10"),
+        "recital": F.when(n == 4, "3"), "annex": F.when(n == 6, "ii"), "source": F.when(size % 2 == 0, F.col("p_brand")), "corpus_id": F.when(size % 3 == 0, F.col("p_type")),
+    }
+    said = F.element_at(F.array(*(F.lit(t) for t, _ in _NAMED)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("k"), P.citability(F.create_map(*(x for k, v in meta.items() for x in (F.lit(k), v))), said).alias("c")).select("k", "c.*")
 
 
 @query("SELECT p_partkey AS k, 'Genstand ' || p_size AS title FROM part")

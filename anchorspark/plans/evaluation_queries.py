@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import place as P
 from ..functions import text as T
-from ..operators import evaluate, rank, retrieve, validate
-from .queries import _DISC, _NEAR, _TOP, _any, _discovered, _near, _t, _word, query
+from ..operators import evaluate, planning, rank, retrieve, validate
+from . import wordings as W
+from .queries import _DISC, _NEAR, _TOP, _discovered, _near, _said, _t, query
 
 
 @query("SELECT conv_id, CASE WHEN length(t) > 400 THEN substr(t, 1, 400) || '...' ELSE t END AS text FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS t FROM conversations GROUP BY 1)")
@@ -16,16 +17,28 @@ def history_text(spark, d):
     return evaluate.ordered_text(_t(spark, d, "conversations"), "conv_id", "turn", "text", 400)
 
 
-@query("WITH k AS (SELECT doc_id, substr(sha256('v3:' || source || ':' || substr(text, 1, 500)), 1, 16) AS cache_key FROM documents), c AS (SELECT cache_key, min(doc_id) AS cached_by FROM k JOIN labels USING (doc_id) GROUP BY 1) SELECT k.doc_id, k.cache_key, cached_by FROM k LEFT JOIN c USING (cache_key)")
+_ARTICLE = "CASE WHEN doc_id % 3 = 0 THEN 'Artikel ' || doc_id % 90 || CASE WHEN doc_id % 2 = 0 THEN ' - ' || substr(trim(text), 1, 20) ELSE '' END ELSE '' END"
+
+
+@query(f"WITH k AS (SELECT doc_id, substr(sha256('v3:' || source || ':' || {_ARTICLE} || ':' || substr(text, 1, 500)), 1, 16) AS cache_key FROM documents), c AS (SELECT cache_key, min(doc_id) AS cached_by FROM k JOIN labels USING (doc_id) GROUP BY 1) SELECT k.doc_id, k.cache_key, cached_by FROM k LEFT JOIN c USING (cache_key)")
 def enrichment_lookup(spark, d):
-    keyed = _t(spark, d, "documents").select("doc_id", P.enrichment_key(F.col("source"), F.col("text")).alias("cache_key"))
+    title = F.when(F.col("doc_id") % 2 == 0, F.substring(F.trim("text"), 1, 20)).otherwise("")
+    meta = F.create_map(F.lit("article"), F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 90).cast("string")), F.lit("article_title"), title)
+    keyed = _t(spark, d, "documents").select("doc_id", P.enrichment_key(F.col("source"), P.article_title(meta), F.col("text")).alias("cache_key"))
     cached = keyed.join(_t(spark, d, "labels").select("doc_id"), "doc_id").groupBy("cache_key").agg(F.min("doc_id").alias("cached_by"))
     return keyed.join(cached, "cache_key", "left")
 
 
-@query("SELECT p_partkey AS k, '[Kapitel ' || p_brand || '] [Artikel ' || p_size || ']' AS prefix FROM part")
+@query("""WITH p AS (SELECT *, CASE WHEN p_partkey % 4 < 3 THEN '[Kapitel ' || p_brand || CASE WHEN p_partkey % 2 = 0 THEN ': ' || p_type ELSE '' END || ']' END AS chapter,
+CASE p_size % 5 WHEN 0 THEN '[Artikel ' || p_size || ': ' || p_name || ']' WHEN 1 THEN '[Artikel ' || p_size || ']' WHEN 2 THEN '[Bilag ' || p_size || ': ' || p_type || ']' WHEN 3 THEN '[Betragtning ' || p_size || ']' END AS place,
+CASE WHEN p_partkey % 7 = 0 THEN '[Søgetermer: ' || p_type || ' | ' || p_type || ']' END AS terms FROM part)
+SELECT p_partkey AS k, CASE WHEN concat_ws(chr(10), chapter, place, terms) = '' THEN p_name ELSE concat_ws(chr(10), chapter, place, terms) || chr(10) || chr(10) || p_name END AS text FROM p""")
 def context_prefixes(spark, d):
-    return _t(spark, d, "part").select(F.col("p_partkey").alias("k"), P.context_prefix(chapter=F.col("p_brand"), article=F.col("p_size").cast("string")).alias("prefix"))
+    """An article comes before the recital of the same passage."""
+    n, key, size = F.col("p_size") % 5, F.col("p_partkey"), F.col("p_size").cast("string")
+    meta = {"chapter": F.when(key % 4 < 3, F.col("p_brand")), "chapter_title": F.when(key % 2 == 0, F.col("p_type")), "article": F.when(n < 2, size), "article_title": F.when(n == 0, F.col("p_name")).otherwise(""), "annex": F.when(n == 2, size).otherwise(""), "annex_title": F.col("p_type"), "recital": F.when(n.isin(1, 3), size)}
+    terms = F.when(key % 7 == 0, F.array("p_type", "p_type")).otherwise(F.array().cast("array<string>"))
+    return _t(spark, d, "part").select(key.alias("k"), P.embedding_text(F.col("p_name"), F.create_map(*(x for k, v in meta.items() for x in (F.lit(k), v))), terms).alias("text"))
 
 
 @query("SELECT 'text' AS field, count(*) FILTER (text IS NULL OR trim(text) = '') AS missing FROM documents UNION ALL SELECT 'lang', count(*) FILTER (lang IS NULL OR trim(lang) = '') FROM documents UNION ALL SELECT 'source', count(*) FILTER (source IS NULL OR trim(source) = '') FROM documents")
@@ -41,24 +54,48 @@ def article_references(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", F.size(P.article_refs(F.col("text"))).cast("long").alias("n_refs"))
 
 
-@query("SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN {_any(w)} THEN '{r}' END" for r, w in P.KEYWORD_ROLES.items()) + "], lambda x: x IS NOT NULL) AS roles FROM documents")
+_ROLES = {"scope": W.SCOPE, "definitions": W.DEFINITIONS, "obligations": W.STRONG, "classification": W.CLASSIFICATION, "enforcement": W.ENFORCEMENT}
+
+
+@query(f"SELECT doc_id, list_filter([{', '.join(f"CASE WHEN {W.holds(w, 'said')} THEN '{r}' END" for r, w in _ROLES.items())}], lambda x: x IS NOT NULL) AS roles FROM (SELECT doc_id, text || ' ' || {W.said('doc_id')} AS said FROM documents)")
 def role_keyword_tags(spark, d):
-    return _t(spark, d, "documents").select("doc_id", P.keyword_roles(F.col("text")).alias("roles"))
+    said = F.concat("text", F.lit(" "), _said(F.col("doc_id")))
+    return _t(spark, d, "documents").select("doc_id", P.keyword_roles(said).alias("roles"))
+
 
+_TITLES = ["Market surveillance authority", "Forbidden practices", "Omfang", "Artikel 4", "Shall mean", "Forstås ved dette", "High-risk systems", "Bilag", "Forbudte systemer", "Håndhævelse", "Supervision", "Begreb", "Applicability", "Kategori", "Markedsovervågning", "Noget andet", "Remedy", "High risk", "Definition", "Klassificering"]
+_LABELLED = ["title", "display", "article_title", "chapter_title", "section_title", "annex_title", "toc_path", "location_id", "heading_path", "heading_path_display", "source", "body"]
 
-@query("SELECT doc_id, CASE " + " ".join(f"WHEN {_any(w)} THEN '{n}'" for n, w in P.EVIDENCE) + " ELSE 'OTHER' END AS evidence FROM documents")
+
+@query(f"""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % {len(_LABELLED)} = 11 THEN ' ' ELSE ' ' || lower([{", ".join(f"'{t}'" for t in _TITLES)}][(p_partkey % {len(_TITLES)} + 1)::INT]) || ' ' || lower(CASE WHEN p_size % 3 = 0 THEN p_name ELSE '' END) END AS t FROM part)
+SELECT p_partkey AS k, CASE {" ".join(f"WHEN {W.holds(w, 't')} THEN '{n}'" for n, w in W.EVIDENCE)} ELSE 'UNKNOWN' END AS evidence FROM p""")
 def evidence_type(spark, d):
-    return _t(spark, d, "documents").select("doc_id", P.evidence_type(F.col("text")).alias("evidence"))
+    """A label of each kind in turn; words of a body are no label."""
+    title = F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("p_partkey") % len(_TITLES) + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, _LABELLED)), (F.col("p_partkey") % len(_LABELLED) + 1).cast("int"))
+    meta = F.map_concat(F.create_map(kind, title), F.create_map(F.lit("other"), F.lit("annex")))
+    meta = F.when((F.col("p_size") % 3 == 0) & (kind != "body"), F.map_from_entries(F.array(F.struct(kind, F.concat_ws(" ", title, "p_name"))))).otherwise(meta)
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("k"), P.evidence_type(meta).alias("evidence"))
+
+
+_SUMMED = "sammenfat|opsummer|hvad handler|hvad står"
 
 
-@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN {_any(T.STRUCTURE_MARKERS)} THEN 'STRUCTURE'" for _ in (1,)) + " WHEN regexp_matches(lower(text), 'kapitel\\s*(\\d+|[ivxlcdm]+)') AND " + _any(["sammenfat", "opsummer", "hvad handler", "hvad står", "hvad siger"]) + " THEN 'CHAPTER_SUMMARY' WHEN regexp_matches(lower(text), 'artikel\\s*\\d{1,3}[a-z]?') AND " + _any(["sammenfat", "opsummer", "hvad handler", "hvad står", "hvad siger"]) + " THEN 'ARTICLE_SUMMARY' ELSE 'FREEFORM' END AS intent FROM conversations")
+@query(f"""SELECT conv_id, turn, CASE WHEN {W.holds(W.STRUCTURE, 'said')} THEN 'STRUCTURE' WHEN regexp_matches(said, 'k\\s*a\\s*p\\s*i\\s*t\\s*e\\s*l\\s*(\\d+|[ivxlcdm]+)') AND {W.holds(_SUMMED, 'said')} THEN 'CHAPTER_SUMMARY'
+WHEN regexp_matches(said, 'a\\s*r\\s*t\\s*i\\s*k\\s*e\\s*l\\s*\\d{{1,3}}[a-z]?') AND {W.holds('sammenfat|opsummer|hvad siger|hvad står', 'said')} THEN 'ARTICLE_SUMMARY' ELSE 'FREEFORM' END AS intent
+FROM (SELECT *, lower(text || ' ' || {W.said('conv_id + turn')}) AS said FROM conversations)""")
 def navigation_intent(spark, d):
-    return _t(spark, d, "conversations").select("conv_id", "turn", T.navigation_intent(F.col("text")).alias("intent"))
+    said = F.concat("text", F.lit(" "), _said(F.col("conv_id") + F.col("turn")))
+    return _t(spark, d, "conversations").select("conv_id", "turn", planning.navigation(said).alias("intent"))
+
+
+_MODES = [("COMPARISON", "|".join(f"(?:{p})" for p in W.COMPARISON)), ("ROUTING", W.ROUTING), ("AGGREGATION", W.AGGREGATION)]
 
 
-@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN {_word(p)} THEN '{n}'" for n, p in T.SYNTHESIS) + " ELSE 'UNIFIED' END AS mode FROM conversations")
+@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN {W.stands(p, 'said')} THEN '{n}'" for n, p in _MODES) + f" ELSE 'UNIFIED' END AS mode FROM (SELECT *, text || ' ' || {W.said('conv_id + turn')} AS said FROM conversations)")
 def synthesis_mode(spark, d):
-    return _t(spark, d, "conversations").select("conv_id", "turn", T.synthesis_mode(F.col("text")).alias("mode"))
+    said = F.concat("text", F.lit(" "), _said(F.col("conv_id") + F.col("turn")))
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.synthesis_mode(said).alias("mode"))
 
 
 @query("SELECT page_id, url, regexp_extract(url, '/([a-z]{2})/', 1) AS lang FROM pages WHERE (contains(lower(url), 'news') OR contains(lower(url), 'example.org') OR contains(lower(url), '/en/'))")
@@ -169,9 +206,14 @@ def retry_stats(spark, d):
     return _t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 90).alias("escalated"), F.sum((F.col("value") > 80).cast("long")).alias("retries"))
 
 
-@query("SELECT 'comparison' AS mode, 5 AS n UNION ALL SELECT 'discovery', 3 UNION ALL SELECT 'routing', 2")
+@query("""WITH w AS (SELECT source, lang, count(*) / (SELECT count(*) FROM documents) AS weight FROM documents GROUP BY ALL), s AS (SELECT *, sum(weight) OVER (PARTITION BY source) AS total, max(lang) OVER (PARTITION BY source) AS last FROM w),
+n AS (SELECT source, lang, lang = last AS is_last, CASE WHEN lang < last THEN round_even(weight / total * 101, 0)::BIGINT ELSE 0 END AS n FROM s)
+SELECT source, lang, CASE WHEN is_last THEN 101 - sum(n) OVER (PARTITION BY source) ELSE n END::BIGINT AS n FROM n""")
 def mode_allocation(spark, d):
-    return spark.createDataFrame(list(evaluate.allocate({"comparison": 0.5, "discovery": 0.3, "routing": 0.2}, 10).items()), "mode string, n int")
+    """101 cases for each source, dealt to languages by their documents."""
+    docs = _t(spark, d, "documents")
+    weights = docs.groupBy("source", "lang").agg(F.count("*").alias("docs")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("total")))).select("source", "lang", (F.col("docs") / F.col("total")).alias("weight"))
+    return evaluate.allocate(weights.withColumn("at", F.col("lang")), "source", "at", "lang", "weight", 101)
 
 
 @query("SELECT o_custkey, o_orderkey, ['retrieval', 'faithfulness', 'contract'][((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) % 3 + 1)::INT] AS label FROM orders")
@@ -197,7 +239,7 @@ def case_difficulty(spark, d):
     return c.select("k", evaluate.difficulty(F.lit(0), F.when(F.col("n") > 4, 3).when(F.col("n") > 2, 2).otherwise(1)).alias("difficulty"))
 
 
-@query(f"SELECT doc_id, CASE WHEN {_any(['cannot determine', 'depends on'])} THEN 1.0 ELSE 0.7 END AS score FROM documents")
+@query(f"SELECT doc_id, CASE WHEN {W.holds('cannot determine|depends on')} THEN 1.0 ELSE 0.7 END AS score FROM documents")
 def abstention_scorer(spark, d):
     return _t(spark, d, "documents").select("doc_id", validate.abstention(F.col("text"), ["i er compliant"], ["cannot determine", "depends on"])["score"].alias("score"))
 

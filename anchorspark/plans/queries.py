@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph, metrics, rank, retrieve, validate
+from . import wordings as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -350,36 +351,41 @@ def latest_per_key(spark, d):
 # --- text ----------------------------------------------------------------------------------------
 
 
-def _list(words):
-    return "[" + ", ".join("'" + w + "'" for w in words) + "]"
+def _said(key):
+    """The sentence for a row's key."""
+    return F.element_at(F.array(*map(F.lit, W.SAID)), (key % len(W.SAID) + 1).cast("int"))
 
 
-def _any(words):
-    return f"len(list_filter({_list(words)}, lambda w: contains(lower(text), w))) > 0"
+_SPOKEN = f"t AS (SELECT doc_id, lower(text) AS text FROM documents UNION ALL SELECT -1 - doc_id, lower({W.said('doc_id')}) FROM documents)"
 
 
-def _word(pattern):
-    return f"regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])({pattern})($|[^\\p{{L}}\\p{{N}}_])')"
+def _spoken(spark, d):
+    """The documents, and for each a sentence that rules hit or miss."""
+    docs = _t(spark, d, "documents")
+    return docs.select("doc_id", "text").union(docs.select(-1 - F.col("doc_id"), _said(F.col("doc_id"))))
 
 
-@query(f"SELECT doc_id, CASE WHEN {_any(T.ENFORCEMENT)} OR {_word('forbud')} THEN 'ENFORCEMENT' WHEN {_any(T.REQUIREMENTS_STRONG)} OR ({_any(T.REQUIREMENTS_WEAK)} AND {_any(T.REQUIREMENTS_VERBS)}) THEN 'REQUIREMENTS' WHEN {_any(T.CLASSIFICATION)} THEN 'CLASSIFICATION' WHEN {_any(T.SCOPE)} THEN 'SCOPE' ELSE 'GENERAL' END AS intent FROM documents")
+@query(f"WITH {_SPOKEN} SELECT doc_id, CASE WHEN {W.holds(W.ENFORCEMENT)} OR {W.stands('forbud')} THEN 'ENFORCEMENT' WHEN {W.holds(W.STRONG)} OR ({W.holds(W.WEAK)} AND {W.holds(W.VERBS)}) THEN 'REQUIREMENTS' WHEN {W.holds(W.CLASSIFICATION)} THEN 'CLASSIFICATION' WHEN {W.holds(W.SCOPE)} OR (contains(text, 'gælder') AND doc_id % 2 = 0) THEN 'SCOPE' ELSE 'GENERAL' END AS intent FROM t")
 def claim_intent(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.coalesce(T.claim_intent(F.col("text")), F.lit("GENERAL")).alias("intent"))
+    return _spoken(spark, d).select("doc_id", F.coalesce(T.claim_intent(F.col("text"), F.col("doc_id") % 2 == 0), F.lit("GENERAL")).alias("intent"))
 
 
-@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN {_word(p)} THEN '{n}'" for n, p in T.QUERY_INTENT) + " ELSE 'CONTEXT' END AS intent FROM conversations")
+@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN {W.stands(p, 'said')} THEN '{n}'" for n, p in W.QUERY_INTENT) + f" ELSE 'CONTEXT' END AS intent FROM (SELECT *, text || ' ' || {W.said('conv_id + turn')} AS said FROM conversations)")
 def query_intent(spark, d):
-    return _t(spark, d, "conversations").select("conv_id", "turn", T.query_intent(F.col("text")).alias("intent"))
+    said = F.concat("text", F.lit(" "), _said(F.col("conv_id") + F.col("turn")))
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.query_intent(said).alias("intent"))
 
 
-@query(f"SELECT doc_id, list_sort(list_filter({_list(T.ENFORCEMENT)}, lambda w: contains(lower(text), w))) AS cues FROM documents")
+@query(f"""WITH {_SPOKEN}, c AS (SELECT doc_id, list_filter({W.listed(W.ENFORCEMENT)}, lambda w: contains(text, w)) || CASE WHEN {W.stands('forbud')} THEN ['forbud'] ELSE [] END AS e,
+list_filter({W.listed(W.STRONG)}, lambda w: contains(text, w)) AS s, list_filter({W.listed(W.WEAK)}, lambda w: contains(text, w)) AS w, list_filter({W.listed(W.VERBS)}, lambda w: contains(text, w)) AS v FROM t)
+SELECT doc_id, len(e) > 0 AS enforcement, list_sort(list_distinct(e)) AS enforcement_cues, len(s) > 0 OR (len(w) > 0 AND len(v) > 0) AS requirements, list_sort(list_distinct(s || w || v)) AS requirements_cues FROM c""")
 def intent_cues(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.matched(F.col("text"), T.ENFORCEMENT).alias("cues"))
+    return _spoken(spark, d).select("doc_id", T.intent_cues(F.col("text")).alias("c")).select("doc_id", "c.*")
 
 
-@query(f"SELECT doc_id, {_word(T.NORMATIVE)} AS normative FROM documents")
+@query(f"WITH {_SPOKEN} SELECT doc_id, {W.stands(W.NORMATIVE)} AS normative FROM t")
 def normative_claims(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.is_normative(F.col("text")).alias("normative"))
+    return _spoken(spark, d).select("doc_id", T.is_normative(F.col("text")).alias("normative"))
 
 
 @query("SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '\\[(\\d{1,3})\\]', 1), lambda x: x::INT))) AS cited FROM documents")
@@ -449,7 +455,7 @@ _CITED = "list_sort(list_distinct(list_transform(regexp_extract_all(a, '\\[(\\d{
 
 @query(f"""WITH t AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' [1][2]' WHEN doc_id % 3 = 1 THEN ' [4]' ELSE '' END AS a, list_filter([1, 2, 3], lambda x: x <= doc_id % 4) AS st, list_filter([1, 2, 3], lambda x: x <= doc_id % 3) AS li FROM documents),
 c AS (SELECT *, {_CITED} AS cited, list_filter(regexp_split_to_array(a, '\\n[ \\t\\n\\r\\f\\x0B]*\\n'), lambda p: length(trim(p)) > 0) AS ps FROM t),
-f AS (SELECT doc_id, cited, st, li, len(list_filter(ps, lambda p: regexp_matches(lower(p), '(^|[^\\p{{L}}\\p{{N}}_])({T.NORMATIVE})($|[^\\p{{L}}\\p{{N}}_])') AND NOT regexp_matches(p, '\\[\\d{{1,3}}\\]'))) > 0 AS bare, len(cited) > 0 AND len(st) = 0 AS stop FROM c)
+f AS (SELECT doc_id, cited, st, li, len(list_filter(ps, lambda p: regexp_matches(lower(p), '(^|[^\\p{{L}}\\p{{N}}_])({W.NORMATIVE})($|[^\\p{{L}}\\p{{N}}_])') AND NOT regexp_matches(p, '\\[\\d{{1,3}}\\]'))) > 0 AS bare, len(cited) > 0 AND len(st) = 0 AS stop FROM c)
 SELECT doc_id, array_to_string(list_filter([CASE WHEN bare THEN 'NORMATIVE_WITHOUT_BRACKET_CITATION' END, CASE WHEN len(cited) < 1 THEN 'MIN_CITATIONS_NOT_MET' END, CASE WHEN stop THEN 'CITATIONS_WITHOUT_STRUCTURED_REFS' END,
 CASE WHEN NOT stop AND len(list_filter(cited, lambda x: NOT list_contains(st, x))) > 0 THEN 'CITED_IDX_MISSING_IN_STRUCTURED' END, CASE WHEN NOT stop AND len(cited) > 0 AND len(list_intersect(cited, st)) = 0 THEN 'CITATIONS_NO_MATCHING_REFS' END,
 CASE WHEN NOT stop AND len(list_filter(st, lambda x: NOT list_contains(cited, x))) > 0 THEN 'UNCITED_STRUCTURED_REFS' END, CASE WHEN NOT stop AND len(cited) > 1 THEN 'MAX_CITATIONS_EXCEEDED' END,

@@ -59,12 +59,16 @@ def anchor_scorer(spark, d):
     return got.select("k", "s.passed", F.round("s.score", 6).alias("score"))
 
 
-@query("SELECT p_partkey AS k, p_size % 4 IN (0, 1, 3) AS passed, (p_size % 4 IN (0, 1, 3))::INT::DOUBLE AS score FROM part")
+_TIES = ["references to dora", "GDPR contains references", "in  accordance with NIS2", "pursuant to the ai-act", "as defined in CRA", "under the GDPR", "der henviser til AI act", "i overensstemmelse med dora", "the gdpr is a law", "undergoes gdpr", "preferences of dora", "pursuant to gdprs"]
+
+
+@query(f"""WITH a AS (SELECT l_orderkey, l_linenumber, lower(l_discount || ' ' || [{", ".join(f"'{t}'" for t in _TIES)}][((l_orderkey + l_linenumber) % 12 + 1)::INT] || ' ' || l_returnflag) AS t, l_suppkey % 3 + 1 AS n FROM lineitem),
+c AS (SELECT *, (l_orderkey + l_linenumber) % 12 < 8 AS claimed FROM a) SELECT l_orderkey, l_linenumber, claimed, NOT claimed OR n >= 2 AS passed, CASE WHEN NOT claimed OR n >= 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM c""")
 def cross_reference_scorer(spark, d):
-    n = F.col("p_size") % 4
-    text = _pick(["Applies pursuant to the GDPR today.", "No tie at all.", "The gdpr is a law.", "Se nis2, der henviser til AI-act."], n)
-    cited = F.when(n == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
-    return _t(spark, d, "part").select(F.col("p_partkey").alias("k"), evaluate.cross_references(text, cited, "gdpr|ai.?act|nis2").alias("s")).select("k", "s.passed", "s.score")
+    """The first eight wordings tie one act to another, the other four don't."""
+    said = F.concat_ws(" ", F.col("l_discount").cast("string"), _pick(_TIES, (F.col("l_orderkey") + F.col("l_linenumber")) % 12), "l_returnflag")
+    cited = F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 1, (F.col("l_suppkey") % 3 + 1).cast("int"))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", evaluate.cross_references(said, cited).alias("s")).select("l_orderkey", "l_linenumber", "s.claimed", "s.passed", "s.score")
 
 
 @query("SELECT o_orderkey AS k, o_orderkey % 4 IN (1, 2) AS retry FROM orders")
