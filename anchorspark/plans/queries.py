@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph, metrics, rank, retrieve, validate
+from ..sources import passages
 from . import wordings as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -488,8 +489,28 @@ def inventory_status_join(spark, d):
     return j.select(F.coalesce("c_custkey", "k").alias("k"), F.when(F.col("k").isNull(), "not_ingested").when(F.col("c_custkey").isNull(), "local_only").otherwise("ingested").alias("status"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @query()
 def html_chunks(spark, d):
-    from ..sources.html import chunk_pages
+    rows = passages.identified(passages.passages(_t(spark, d, "pages"), _tokenizer()))
+    return rows.select("page_id", "chunk_index", "chapter", "section", "article", "paragraph", "litra", "annex", "heading", "text", "n_tokens", "location_id", "text_hash", "chunk_id")
+
+
+_STRIPPED = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '&(amp|am|quot|copy|middot);?', ' ', 'g'), '<head>.*</head>|<nav>.*?</nav>|<!--.*?-->|<!DOCTYPE[^>]*>', ' ', 'gs'), '</?(b|a)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g')"""
+
 
-    return chunk_pages(_t(spark, d, "pages"))
+@query(f"""WITH w AS (SELECT page_id, list_distinct(list_filter(regexp_split_to_array(lower({_STRIPPED}), '[^\\p{{L}}]+'), lambda x: len(x) > 4)) AS words FROM pages)
+SELECT page_id, len(words)::BIGINT AS n_words, md5(array_to_string(list_sort(words), ' ')) AS words_md5, 0::BIGINT AS over_budget FROM w""")
+def html_passage_words(spark, d):
+    """The words of over four letters that a page's headings and passages hold, whatever their cuts; SQL reads them off the page itself."""
+    pages = _t(spark, d, "pages").select("page_id", "html")
+    passages.register(spark)
+    found = spark.sql("SELECT page_id, concat_ws(' ', c.heading, c.text) AS text, c.n_tokens FROM {pages}, LATERAL html_passages(html, 'generic', :tokenizer, 500, 100) c", args={"tokenizer": _tokenizer()}, pages=pages)
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: F.length(x) > 4)
+    each = found.select("page_id", F.explode(words).alias("w"), (F.col("n_tokens") > 500).cast("long").alias("over"))
+    return each.groupBy("page_id").agg(F.array_sort(F.collect_set("w")).alias("words"), F.sum("over").alias("over_budget")).select("page_id", F.size("words").cast("long").alias("n_words"), F.md5(F.array_join("words", " ")).alias("words_md5"), "over_budget")

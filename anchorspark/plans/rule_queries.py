@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import refs as R
 from ..functions import text as T
 from ..operators import answers, evaluate, graph, retrieve, scorers, validate
-from ..sources import official
-from .queries import _ADJ, _adjacent, _t, query
+from ..sources import passages
+from .queries import _tokenizer, _ADJ, _adjacent, _t, query
 
 
 def _pick(words, at):
@@ -99,7 +99,7 @@ SELECT page_id, chunk_index::INT AS chunk_index, 'II' AS chapter, n AS article,
 def official_passages(spark, d):
     html = F.concat(F.lit('<div id="cpt_ii"><div id="art_'), "p_size", F.lit('"><p class="oj-ti-art">Artikel '), "p_size", F.lit('</p><p class="oj-sti-art">'), "p_name", F.lit("</p><p>1. Rule "), "p_brand", F.lit("</p><p>a)</p><p>"), "p_type", F.lit("</p></div></div>"))
     pages = _t(spark, d, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
-    return official.official_passages(pages).select("page_id", "chunk_index", "chapter", "article", "paragraph", "litra", "article_title", "text")
+    return passages.passages(pages, _tokenizer(), "official").select("page_id", "chunk_index", "chapter", "article", "paragraph", "litra", "article_title", "text")
 
 
 @query("""WITH g AS (SELECT l_orderkey AS case_id, list_distinct(list('article:' || l_suppkey % 7)) AS f, list_distinct(list(l_returnflag)) AS c FROM lineitem GROUP BY 1)

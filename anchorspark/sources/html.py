@@ -2,9 +2,8 @@
 
 A page is scanned once.  Headings and structural ids move a place (chapter,
 section, article, annex ...); a new place at a level clears the levels below
-it.  Text gathers under the place until the place changes or the budget of
-words is full; an overfull passage is cut at sentences and carries a tail of
-the last sentences into the next one.
+it.  Text gathers under the place until the place changes; a passage over the
+budget of tokens is cut.
 """
 
 from __future__ import annotations
@@ -13,11 +12,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..functions import text as T
+from .budget import Budget
 
 LEVELS = ("annex", "chapter", "section", "article", "paragraph", "litra")
 _CLEARS = {"annex": LEVELS[1:], "chapter": LEVELS[2:], "section": LEVELS[3:], "article": LEVELS[4:], "paragraph": LEVELS[5:], "litra": ()}
@@ -25,7 +20,6 @@ _ID = re.compile(r"^(?:(cpt)_([IVXLCDM]+|\d+)(?:\.sct_(\d+))?|(art)_(\d+[a-z]?)|
 _TITLE = [("chapter", re.compile(r"^(?:kapitel|chapter)\s+([ivxlcdm]+|\d+)\b", re.I)), ("section", re.compile(r"^(?:afdeling|afsnit|section)\s+([ivxlcdm]+|\d+)\b", re.I)), ("article", re.compile(r"^(?:artikel|article)\s+(\d{1,3}[a-z]?)\b", re.I)), ("annex", re.compile(r"^(?:bilag|annex)\s+([ivxlcdm]+|\d+)\b", re.I))]
 _MARK = [("paragraph", re.compile(r"^(\d{1,3})\.\s")), ("litra", re.compile(r"^([a-z]{1,2})\)\s"))]
 _SKIP, _BLOCK, _HEAD = {"script", "style", "nav", "head"}, {"p", "div", "li", "td", "br", "tr", "table", "article", "section", "ul", "ol"}, {"h1", "h2", "h3", "h4", "h5", "h6"}
-SCHEMA = "page_id long, chunk_index int, chapter string, section string, article string, paragraph string, litra string, annex string, heading string, text string"
 
 
 class _Blocks(HTMLParser):
@@ -85,34 +79,7 @@ def blocks(html: str) -> list[tuple[str, str]]:
     return parser.out
 
 
-def split_text(body: str, budget: int, overlap: int) -> Iterator[str]:
-    """Pieces of at most budget words, cut at sentences, then at words; each starts with the tail of the one before."""
-    held: list[str] = []
-    fresh = False
-    for sentence in re.split(r"(?<=[.!?])\s+", body):
-        words = sentence.split()
-        while words:
-            room = budget - sum(len(s.split()) for s in held)
-            if len(words) <= room or not held and len(words) <= budget:
-                held.append(" ".join(words))
-                words, fresh = [], True
-            elif held and fresh:
-                yield " ".join(held)
-                tail: list[str] = []
-                for s in reversed(held):
-                    if sum(len(x.split()) for x in tail) + len(s.split()) > overlap:
-                        break
-                    tail.insert(0, s)
-                held, fresh = tail, False
-            else:
-                held, room = ([], budget) if room <= 0 else (held, room)
-                held.append(" ".join(words[:room]))
-                words, fresh = words[room:], True
-    if held and fresh:
-        yield " ".join(held)
-
-
-def chunk_html(html: str, budget: int = 500, overlap: int = 100) -> Iterator[dict]:
+def chunk_html(html: str, budget: Budget) -> Iterator[dict]:
     """Passages of one page with their places."""
     place: dict[str, str | None] = dict.fromkeys(LEVELS)
     heading, held = None, []
@@ -124,8 +91,8 @@ def chunk_html(html: str, budget: int = 500, overlap: int = 100) -> Iterator[dic
 
     def flush():
         if held:
-            for piece in split_text(" ".join(held), budget, overlap):
-                yield {**place, "heading": heading, "text": piece}
+            for piece, n_tokens in budget.pieces(" ".join(held)):
+                yield {**place, "heading": heading, "text": piece, "n_tokens": n_tokens}
             held.clear()
 
     for kind, body in blocks(html):
@@ -152,17 +119,3 @@ def chunk_html(html: str, budget: int = 500, overlap: int = 100) -> Iterator[dic
             move(*mark)
         held.append(body)
     yield from flush()
-
-
-def chunk_pages(pages: DataFrame, budget: int = 500, overlap: int = 100) -> DataFrame:
-    """Passages of pages (page_id, html) with location ids, hashes and chunk ids."""
-
-    def run(frames):
-        for pdf in frames:
-            rows = [{"page_id": p, "chunk_index": i, **c} for p, h in zip(pdf["page_id"], pdf["html"], strict=True) for i, c in enumerate(chunk_html(h or "", budget, overlap))]
-            if rows:
-                yield pd.DataFrame(rows)[["page_id", "chunk_index", "chapter", "section", "article", "paragraph", "litra", "annex", "heading", "text"]]
-
-    rows = pages.select("page_id", "html").mapInPandas(run, SCHEMA)
-    loc = T.location_id(**{k: F.col(k) for k in LEVELS})
-    return rows.withColumn("location_id", loc).withColumn("text_hash", T.text_hash(F.col("text"))).withColumn("chunk_id", T.chunk_id(F.concat(F.lit("page-"), F.col("page_id").cast("string")), F.col("location_id"), F.col("chunk_index"), F.col("text_hash")))

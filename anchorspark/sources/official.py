@@ -3,7 +3,7 @@
 A page is scanned once into blocks; a place (recital, chapter, section, article,
 paragraph, litra, annex and its parts) moves with structural ids, headings and
 list markers.  A marker that stands alone is joined to the text after it.  Text
-gathers until the place changes or the budget of words is full.
+gathers until the place changes; a passage over the budget of tokens is cut.
 """
 
 from __future__ import annotations
@@ -12,10 +12,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
-
-from .html import split_text
+from .budget import Budget
 from .html_tables import table_rows
 
 LEVELS = ("recital", "chapter", "section", "article", "paragraph", "litra", "annex", "annex_section", "annex_point", "annex_subpoint")
@@ -45,7 +42,6 @@ _ALONE = [("number", re.compile(r"^\((\d{1,4})\)$")), ("roman", re.compile(r"^([
 _INLINE = [("annex_subpoint", re.compile(r"^(\d{1,3}\.\d{1,3})(\.?)\s+(.+)$")), ("annex_point", re.compile(r"^(\d{1,2})(\.)\s+(.+)$"))]
 _INNER = [("paragraph", re.compile(r"^(\d{1,3})\.\s+\S")), ("litra", re.compile(r"^([a-z])\)\s+\S", re.I))]
 _SKIP, _BLOCK, _HEAD = {"script", "style", "nav", "head"}, {"p", "li", "div", "td", "tr", "table"}, {"h1", "h2", "h3", "h4", "h5", "h6"}
-SCHEMA = "page_id long, chunk_index int, " + ", ".join(f"{x} string" for x in (*LEVELS, *(f"{t}_title" for t in TITLED), "sector", "subsector", "heading", "text"))
 
 
 class _Scan(HTMLParser):
@@ -148,7 +144,7 @@ def blocks(html: str) -> list[tuple]:
     return scan.out
 
 
-def chunk_official(html: str, budget: int = 500, overlap: int = 100) -> Iterator[dict]:
+def chunk_official(html: str, budget: Budget) -> Iterator[dict]:
     """Passages of one page with places, titles and the last heading."""
     place: dict[str, str | None] = dict.fromkeys(LEVELS)
     titles: dict[str, str | None] = dict.fromkeys(TITLED)
@@ -165,8 +161,8 @@ def chunk_official(html: str, budget: int = 500, overlap: int = 100) -> Iterator
 
     def flush():
         if held:
-            for piece in split_text(" ".join(held), budget, overlap):
-                yield {**place, **{f"{t}_title": v for t, v in titles.items()}, **row, "heading": heading, "text": piece}
+            for piece, n_tokens in budget.pieces(" ".join(held)):
+                yield {**place, **{f"{t}_title": v for t, v in titles.items()}, **row, "heading": heading, "text": piece, "n_tokens": n_tokens}
             held.clear()
 
     def marker(body: str) -> tuple[str | None, str, str, str]:
@@ -227,16 +223,3 @@ def chunk_official(html: str, budget: int = 500, overlap: int = 100) -> Iterator
     if prefix:
         held.append(prefix)
     yield from flush()
-
-
-def official_passages(pages: DataFrame, budget: int = 500, overlap: int = 100) -> DataFrame:
-    """Passages of pages (page_id, html); null or broken markup gives what it holds."""
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-
-    def run(frames):
-        for pdf in frames:
-            rows = [{"page_id": p, "chunk_index": i, **c} for p, h in zip(pdf["page_id"], pdf["html"], strict=True) for i, c in enumerate(chunk_official(h or "", budget, overlap))]
-            if rows:
-                yield pd.DataFrame(rows)[names]
-
-    return pages.select("page_id", "html").mapInPandas(run, SCHEMA)

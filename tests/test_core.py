@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+import public_tokenizers
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -12,6 +13,7 @@ from anchorspark.operators import evaluate, graph, metrics, rank, retrieve, vali
 from anchorspark.plans import answer_queries, evaluation_queries  # noqa: F401  register their queries
 from anchorspark.plans import queries as core
 from anchorspark.sources import html, tables
+from anchorspark.sources.budget import Budget
 from anchorspark.streaming import runs as streams
 
 SF = "/root/testdata/sf0.001"
@@ -106,14 +108,13 @@ def test_filters_and_aliases(spark):
     assert [tuple(r) for r in retrieve.alias_matches(q, a).collect()] == [(1, ["ai"])]
 
 
+BUDGET = Budget(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_html_chunks():
     page = "<html><nav>x</nav><div id='cpt_III.sct_1'><h2>Kapitel III</h2></div><h3>Artikel 6</h3><p>1. First rule.</p><p>a) letter</p><p>2. Second.</p><table><tr><td>k</td><td>v</td></tr></table><h3>Bilag II</h3><p>End.</p></html>"
-    got = [(c["chapter"], c["article"], c["paragraph"], c["litra"], c["annex"], c["text"]) for c in html.chunk_html(page)]
+    got = [(c["chapter"], c["article"], c["paragraph"], c["litra"], c["annex"], c["text"]) for c in html.chunk_html(page, BUDGET)]
     assert got == [("III", "6", "1", None, None, "1. First rule."), ("III", "6", "1", "a", None, "a) letter"), ("III", "6", "2", None, None, "2. Second. k | v"), (None, None, None, None, "II", "End.")]
-    parts = list(html.split_text(" ".join(f"s{i} a b." for i in range(20)), 12, 3))
-    assert all(len(p.split()) <= 12 for p in parts) and parts[1].startswith("s3 a b.")
-    long = list(html.split_text("w " * 25, 10, 2))
-    assert sum(len(p.split()) for p in long) == 25 and max(len(p.split()) for p in long) <= 10
 
 
 def test_sources(spark, tmp_path):
@@ -166,10 +167,3 @@ def test_expansion_covers_every_order(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-
-
-def test_cross_references(spark):
-    one_corpus = F.array(F.lit("a"))
-    assert tuple(one(spark, evaluate.cross_references(F.lit("This applies pursuant to the GDPR."), one_corpus, "gdpr|dora"))) == (True, 1.0)
-    assert tuple(one(spark, evaluate.cross_references(F.lit("The gdpr is a law."), one_corpus, "gdpr|dora"))) == (False, 0.0)
-    assert one(spark, evaluate.cross_references(F.lit(None).cast("string"), F.array(F.lit("a"), F.lit("b")), "gdpr"))["passed"]
