@@ -7,6 +7,8 @@ folder, so a lost executor costs one step.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +19,16 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))"), F.lit(0))).first())
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
-    """(node, root) for each end of an edge (u, v); the root is its component's least node."""
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) for each end of an edge (u, v); the root is its component's least node.
+
+    Each round moves some node to a smaller one, so the rounds end; their number
+    is about the logarithm of a component's size.
+    """
     both = lambda e: e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     edges = scratch.table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges0")
     before = _state(edges)
-    for k in range(1, rounds + 1):
+    for k in count(1):
         least = scratch.table(both(edges).groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), f"least{k}")
         wide = both(edges).join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         wide = scratch.table(wide.distinct(), f"wide{k}")
@@ -34,6 +40,4 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components didn't settle in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

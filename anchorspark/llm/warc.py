@@ -9,7 +9,9 @@ in chunks: a task holds a chunk and one record, whatever the file's size.
 
 Defined results: null html is an empty payload; rows that repeat a page are
 all written; of rows with equal payloads those with the smallest page_id are
-responses (a null page_id never is the smallest while another is there); a
+responses (a null page_id never is the smallest while another is there); ids
+may be of any type that has a text form, others are refused before anything is
+written; archives that others wrote give the ids that they hold as text; a
 payload of any length is one record; a header over 64 KB or a block over 1 GB
 (more than a row can hold) counts as damage; an empty table gives no archive
 and no record; other columns aren't read.
@@ -22,12 +24,14 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrow import pieces, utf8
 from .scratch import Scratch
@@ -39,22 +43,31 @@ _NEEDED = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 _END = b"\r\n\r\n"
 _CHUNK, _READ = 1 << 16, 4 << 20
 _MOST_HEADER, _MOST_BLOCK = 1 << 16, 1 << 30
-_SCHEMA = "kind string, page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, file string, start long, length long, inner_start long, inner_length long, reason string"
+_SCHEMA = "kind string, page_id string, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to string, file string, start long, length long, inner_start long, inner_length long, reason string"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "2000-01-01T00:00:00Z") -> bytes:
+def _urn(page_id: str | int | None) -> str:
+    """An id's name in a record; percent-encoded, so ids of any characters and null stay apart."""
+    return "urn:no-page" if page_id is None else f"urn:page:{quote(str(page_id), safe='')}"
+
+
+def _page_id(urn: str | None) -> str | None:
+    m = re.fullmatch(r"<urn:page:([^<>]*)>", urn or "")
+    return unquote(m[1]) if m else None
+
+
+def record(page_id: str | int | None, url: str | None, payload: bytes, digest: str, refers_to: str | int | None, date: str = "2000-01-01T00:00:00Z") -> bytes:
     """One record's bytes; a revisit holds no payload, only its digest and length."""
-    name = "null" if page_id is None else str(page_id)
     clean = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url is not None else None
     head = [
         VERSION.decode(),
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{name}>",
+        f"WARC-Record-ID: <{_urn(page_id)}>",
         f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {clean}"] if clean is not None else []),
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Payload-Length: {len(payload)}",
-        *([f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {_PROFILE}"] if refers_to is not None else []),
+        *([f"WARC-Refers-To: <{_urn(refers_to)}>", f"WARC-Profile: {_PROFILE}"] if refers_to is not None else []),
         "Content-Type: text/html; charset=utf-8",
         f"Content-Length: {len(payload) if refers_to is None else 0}",
     ]
@@ -275,11 +288,6 @@ def salvage(read_file: Callable[[int, int], bytes], size: int) -> Iterator[Found
         yield Found("gap", broken, size, reason)
 
 
-def _urn(value: str | None) -> int | None:
-    m = re.fullmatch(r"<urn:page:(-?\d+)>", value or "")
-    return int(m[1]) if m else None
-
-
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records and gaps of every archive under path; kind is "record" or "gap".
 
@@ -298,7 +306,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             return (x.kind, None, None, None, None, None, None, None, file, x.start, length, *inner, x.reason)
         full = x.head.get("warc-payload-length")
         digest = x.head.get("warc-payload-digest", "").removeprefix("sha256:") or hashlib.sha256(x.block).hexdigest()
-        return (x.kind, _urn(x.head.get("warc-record-id")), x.head.get("warc-target-uri"), x.head.get("warc-type"), x.block, int(full) if full and full.isdigit() else len(x.block), digest, _urn(x.head.get("warc-refers-to")), file, x.start, length, *inner, None)
+        return (x.kind, _page_id(x.head.get("warc-record-id")), x.head.get("warc-target-uri"), x.head.get("warc-type"), x.block, int(full) if full and full.isdigit() else len(x.block), digest, _page_id(x.head.get("warc-refers-to")), file, x.start, length, *inner, None)
 
     def parse(batches):
         for batch in batches:
@@ -320,7 +328,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, compress: bool = True, most_bytes: int = 24 << 20) -> int:
-    """Write pages (page_id, url, payload, digest, refers_to) as archives under path; the number of records.
+    """Write pages (page_id, url, payload, digest, refers_to), ids of any type that strings can hold, as archives under path; the number of records.
 
     A task's files are named by its partition and its rows are ordered, so a
     task that runs again writes the same files again; each appears whole, by a
@@ -370,17 +378,24 @@ def plan_revisits(pages: DataFrame, scratch: Scratch, least_bytes: int = 100) ->
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """Write pages (page_id, url, html) as archives, then read the archives back, one row per record; fails if one is lost."""
+    """Write pages (page_id, url, html) as archives, then read the archives back, one row per record; fails if one is lost.
+
+    Ids travel as text and come back in their own type.
+    """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     pages = pages.select("page_id", "url", "html")
+    kind = pages.schema["page_id"].dataType
+    if isinstance(kind, T.BinaryType | T.ArrayType | T.MapType | T.StructType | T.VariantType):
+        raise TypeError(f"page_id can't be written as text: {kind.simpleString()}")
     revisits = scratch.table(plan_revisits(pages, scratch, least_bytes), "revisits").select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "refers_to")
     full = pages.withColumn("digest", F.sha2(F.coalesce(F.encode("html", "utf-8"), F.lit(b"")), 256))
     joined = full.join(revisits, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left")
     archives = scratch.folder("archives")
-    written = write_archives(joined.select("page_id", "url", "html", "digest", "refers_to").sortWithinPartitions("page_id", "digest", "url", "refers_to"), archives)
+    as_text = [F.col(c).cast("string").alias(c) for c in ("page_id", "url", "html", "digest", "refers_to")]
+    written = write_archives(joined.select(*as_text).sortWithinPartitions("page_id", "digest", "url", "refers_to"), archives)
     read = scratch.table(read_archives(spark, archives).drop("payload"), "records")
     found = dict(read.groupBy("kind").count().collect())
     if found.get("gap") or found.get("record", 0) != written:
         raise RuntimeError(f"{written} records were written, but read were: {found}; gaps are in {scratch.path}/records")
-    return read.where("kind = 'record'")
+    return read.where("kind = 'record'").withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})

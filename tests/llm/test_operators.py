@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import math
 import random
 import re
 import zlib
 from collections import Counter
+from decimal import Decimal
 
 import numpy as np
 import public_tokenizers
@@ -107,6 +109,22 @@ def test_warc_round_trip(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("kind", "ids"), [("string", ["a", "b", "null", "", "x y<é>%", "7"]), ("int", [4, 2, -3, 9, 11, 12]), ("decimal(9,2)", [Decimal("1.50"), Decimal("1.25"), Decimal("-7.00"), Decimal("3.00"), Decimal("4.00"), Decimal("5.00")]), ("date", [datetime.date(2020, 1, n) for n in range(1, 7)])])
+def test_warc_ids_of_any_type(spark, kind, ids):
+    same = "<p>" + "y" * 150 + "</p>"
+    pages = [(i, "u", same if n % 2 else f"<p>{n}</p>") for n, i in enumerate(ids)] + [(None, "u", same)]
+    got = warc.archive_round_trip(spark.createDataFrame(pages, f"page_id {kind}, url string, html string"))
+    assert got.schema["page_id"].dataType.simpleString() == got.schema["refers_to"].dataType.simpleString() == kind
+    first = min(i for i, _, h in pages if h == same and i is not None)
+    want = Counter((i, "response" if h != same or i == first else "revisit", None if h != same or i == first else first) for i, _, h in pages)
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in got.collect()) == want
+
+
+def test_warc_refuses_ids_without_a_text_form(spark):
+    with pytest.raises(TypeError, match="page_id"):
+        warc.archive_round_trip(spark.createDataFrame([(bytearray(b"x"), "u", "h")], "page_id binary, url string, html string"))
+
+
 def _salvage(data):
     return list(warc.salvage(lambda at, n: data[at : at + n], len(data)))
 
@@ -187,7 +205,7 @@ def test_warc_archives_with_damage(spark, tmp_path, compress):
     files[-1].write_bytes(b"junk" * 30 + files[-1].read_bytes()[:-5])
     got = warc.read_archives(spark, path).collect()
     ok = [r for r in got if r["kind"] == "record"]
-    assert 36 <= len(ok) < 40 and all(bytes(r["payload"]).decode() == rows[r["page_id"]][2] for r in ok)
+    assert 36 <= len(ok) < 40 and all(bytes(r["payload"]).decode() == rows[int(r["page_id"])][2] for r in ok)
     gaps = {(r["file"].rsplit("/")[-1], r["reason"]) for r in got if r["kind"] == "gap"}
     assert {g[0] for g in gaps} == {files[0].name, files[-1].name} and sum(r["length"] or r["inner_length"] for r in got if r["kind"] == "gap") > 120
 
