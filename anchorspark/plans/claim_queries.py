@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import claims
+from ..operators import citation_chain, claims
 from .queries import _t, query
 
 _PAIRS = "p AS (SELECT a.vec_id AS k, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
@@ -52,3 +52,38 @@ def related_content(spark, d):
     title = lambda x: F.when(x["s"] > 0, F.concat(F.lit("Krav "), x["s"].cast("string")))
     references = F.transform("x", lambda x: F.struct(given(x, "R", "article"), title(x).alias("article_title"), given(x, "A", "annex"), F.lit(" ").alias("annex_title"), given(x, "N", "recital")))
     return listed.select("k", claims.related_content(references, F.lit("Hvad siger GDPR?")).alias("block"))
+
+
+_CHAIN = """
+WITH r AS (SELECT l_orderkey AS k, list((l_partkey % 9)::VARCHAR ORDER BY l_linenumber, l_partkey) AS a FROM lineitem GROUP BY 1),
+d AS (SELECT k, k % 6 AS t, a, len(a) AS n, list_filter(generate_series(1, len(a)), lambda i: list_position(a, a[i]) = i) AS firsts, len(list_filter(a, lambda x: x = a[1])) AS alike FROM r),
+e AS (SELECT *, CASE t WHEN 1 THEN CASE WHEN n >= 2 THEN 'MIN_CITATIONS_NOT_MET_DOWNSTREAM' END WHEN 2 THEN 'HALLUCINATED_IDX_DOWNSTREAM' WHEN 3 THEN CASE WHEN alike > 1 THEN 'CITATIONS_REQUIRED_DOWNSTREAM' END END AS fail_reason,
+  CASE t WHEN 0 THEN firsts[1:3] WHEN 4 THEN firsts[1:2] WHEN 5 THEN CASE WHEN n < 2 THEN [1] WHEN a[1] = a[2] THEN [2] ELSE [2, 1] END ELSE [1] END AS numbers,
+  CASE t WHEN 0 THEN firsts[1:3] WHEN 4 THEN firsts[1:2] WHEN 5 THEN CASE WHEN n < 2 THEN [1] ELSE [2, 1] END ELSE [1] END AS of_used FROM d)
+SELECT k, fail_reason, CASE WHEN fail_reason IS NULL THEN array_to_string(list_transform(numbers, lambda i: '[' || i || '] art ' || a[i]), ';') ELSE '' END AS reference_lines,
+  CASE WHEN fail_reason IS NULL THEN array_to_string(list_transform(of_used, lambda i: 'c' || i), ';') ELSE '' END AS used,
+  CASE WHEN fail_reason IS NOT NULL THEN 'MISSING_REF' WHEN t = 0 THEN 'Intet sagt.' || chr(10) || chr(10) || array_to_string(list_transform(firsts[1:3], lambda i: 'Relevant hjemmel: Artikel ' || a[i] || ' [' || i || '].'), chr(10))
+       WHEN t = 1 THEN 'Se [1].' WHEN t = 3 THEN 'Artikel ' || a[1] || ' [1]' WHEN t = 4 THEN 'Intet.' ELSE 'Se [2].' END AS answer
+FROM e
+"""
+
+
+@query(_CHAIN)
+def citation_chain_steps(spark, d):
+    """Each order's lines are the references; answers that say nothing, cite too little, cite what isn't there, name an article, and two that fall back."""
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def line(x, i):
+        place, number = (x["l_partkey"] % 9).cast("string"), (i + 1).cast("string")
+        return F.struct((i + 1).alias("idx"), F.concat(F.lit("c"), number).alias("chunk_id"), F.lit("x").alias("corpus_id"), place.alias("article"), *(none("string").alias(c) for c in ("paragraph", "recital", "annex")), F.concat(F.lit("art "), place).alias("label"), F.lit("").alias("words"))
+
+    rows = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
+    rows = rows.select("k", F.transform("lines", line).alias("refs"))
+    t = F.col("k") % 6
+    of = {0: "Intet sagt.", 1: "Se [1].", 2: "Se [1][99].", 4: "Intet.", 5: "Se [2]."}
+    text = F.coalesce(*(F.when(t == n, F.lit(s)) for n, s in of.items()), F.concat(F.lit("Artikel "), F.col("refs")[0]["article"]))
+    rows = rows.withColumns({
+        "answer": text, "question": F.lit(""), "profile": F.when(t >= 4, "LEGAL").otherwise("ENGINEERING"), "intent": F.when(t == 0, "SCOPE").otherwise("GENERAL"), "abstained": F.lit(False), "required": none("array<int>"),
+        "least": F.when(t == 1, 2), "fallback": t >= 4, "structured": none("array<int>"), "rendered": none("string"),
+    })
+    return citation_chain.process(rows).select("k", "answer", "fail_reason", F.array_join("reference_lines", ";").alias("reference_lines"), F.array_join("used", ";").alias("used"))
