@@ -665,10 +665,24 @@ def test_decontamination_by_shuffles(spark, texts, monkeypatch):
     got = decontaminate.report(make(spark, texts), bench).drop("text_hash")
     assert Counter(tuple(r) for r in got.collect()) == Counter(brute_hits(texts, items))
     plan = plans[0]._jdf.queryExecution().executedPlan().toString()
-    sent = re.search(r"Exchange hashpartitioning\(word#[^\n]*\n[^\n]*Project \[([^\n]*)\]", plan)[1]
+    sent = re.search(r"Exchange hashpartitioning\(shingle#.*?Project \[([^\n]*)\]", plan, re.DOTALL)[1]
     assert "words#" not in re.sub(r"size\(words#\d+(, \w+)?\)", "", sent), sent
 
 
+def test_a_benchmark_of_common_words_makes_few_candidates(spark):
+    rnd = random.Random(6)
+    vocab = [f"c{i}" for i in range(30)]
+    texts = [(i, " ".join(rnd.choice(vocab) for _ in range(100))) for i in range(200)]
+    items = [(i, " ".join(texts[i][1].split()[20:40])) for i in range(5)] + [(9, "c1 c2"), (10, "c3")]
+    bench, candidates = spark.createDataFrame(items, "item_id long, text string"), {}
+    for shingle in (1, 3):
+        scratch = Scratch(spark, "t")
+        got = decontaminate.report(make(spark, texts), bench, shingle=shingle, scratch=scratch).drop("text_hash")
+        assert Counter(tuple(r) for r in got.collect()) == Counter(brute_hits(texts, items))
+        candidates[shingle] = spark.read.parquet(f"{scratch.path}/prefixes").where("len = 13").agg(F.sum("seen")).first()[0]
+    assert candidates[3] < 200 < candidates[1] / 50
+
+
 def test_pieces_bound_batches():
     import pyarrow as pa
 
