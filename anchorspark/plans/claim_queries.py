@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import citation_chain, claims
+from ..operators import citation_chain, claim_stages, claims
 from .queries import _t, query
 
 _PAIRS = "p AS (SELECT a.vec_id AS k, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
@@ -87,3 +87,44 @@ def citation_chain_steps(spark, d):
         "least": F.when(t == 1, 2), "fallback": t >= 4, "structured": none("array<int>"), "rendered": none("string"),
     })
     return citation_chain.process(rows).select("k", "answer", "fail_reason", F.array_join("reference_lines", ";").alias("reference_lines"), F.array_join("used", ";").alias("used"))
+
+
+_DUTY = r"(^|[^\p{L}\p{N}_])(must|shall|should|skal|kræver)($|[^\p{L}\p{N}_])"
+_RISK = r"(^|[^\p{L}\p{N}_])(højrisiko|high[- ]risk)($|[^\p{L}\p{N}_])"
+_LED = "Hvis systemet klassificeres som højrisiko (eller på anden måde omfattes af krav), så: "
+_SPOKEN_LINES = ["Højrisiko betyder noget.", "- Systemet skal testes.", "  * It MUST hold", "Hvis det kræver mere, vent.", "Skaldyr er fine.", "If so, you should stop", "Hvisk: du skal", "high risk here"]
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, text || chr(10) || [{", ".join(f"'{x}'" for x in _SPOKEN_LINES)}][((conv_id + turn) % 8 + 1)::INT] || chr(10) || [{", ".join(f"'{x}'" for x in _SPOKEN_LINES)}][((conv_id * 3 + turn * 5) % 8 + 1)::INT] AS said FROM conversations),
+l AS (SELECT *, list_transform(string_split(said, chr(10)), lambda x: {{'x': x, 'd': regexp_matches(lower(x), '{_DUTY}'), 'p': regexp_extract(x, '^(\\s*(?:[-*]\\s*)?)', 1)}}) AS ls FROM s),
+o AS (SELECT *, list_transform(ls, lambda e: CASE WHEN NOT e.d OR regexp_matches(substr(e.x, length(e.p) + 1), '(?i)^\\s*(Hvis|If)($|[^\\p{{L}}\\p{{N}}_])') THEN e.x ELSE e.p || '{_LED}' || substr(e.x, length(e.p) + 1) END) AS told, list_position(list_transform(ls, lambda e: e.d), true) AS f FROM l)
+SELECT conv_id, turn, CASE WHEN f IS NOT NULL AND regexp_matches(lower(said), '{_RISK}') THEN array_to_string(told[:f - 1] || ['Bemærk: Jeg kan ikke konkludere klassifikation (fx højrisiko) ud fra de fundne kilder alene. Krav afhænger af klassifikationen.'] || told[f:], chr(10)) ELSE said END AS answer FROM o""")
+def conditional_requirements(spark, d):
+    pick = lambda n: F.element_at(F.array(*map(F.lit, _SPOKEN_LINES)), (n % 8 + 1).cast("int"))
+    said = F.concat_ws("\n", "text", pick(F.col("conv_id") + F.col("turn")), pick(F.col("conv_id") * 3 + F.col("turn") * 5))
+    return _t(spark, d, "conversations").select("conv_id", "turn", claim_stages.conditional(said).alias("answer"))
+
+
+_ASKED = ["Er systemet højrisiko?", "Antag at det gælder", "Hvad nu?", "Is it high risk"]
+_SAID = ["Det skal testes.", "Højrisiko systemer must stop.", "Intet.", "Det er højrisiko."]
+_KINDS = [["SCOPE"], ["CLASSIFICATION"], [], ["ENFORCEMENT", "DEFINITION"]]
+_INTENTS = ["SCOPE", "ENFORCEMENT", "CLASSIFICATION", "REQUIREMENTS", "GENERAL"]
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 2 = 0 THEN 'ENGINEERING' ELSE 'LEGAL' END AS p, [{", ".join(f"'{x}'" for x in _INTENTS)}][(o_orderkey % 5 + 1)::INT] AS i, o_custkey % 3 AS q, o_orderkey % 4 AS a, o_custkey % 4 AS e FROM orders),
+f AS (SELECT *, q IN (0, 1) AS assumed, e = 1 AS classed, e IN (0, 3) AS scoped, q = 0 AS q_risk FROM o),
+t AS (SELECT *, i = 'CLASSIFICATION' AND NOT classed AND NOT (p = 'LEGAL' AND assumed) AS no_class, p = 'ENGINEERING' AND i = 'SCOPE' AND NOT scoped AS no_scope, p = 'ENGINEERING' AND i = 'ENFORCEMENT' AS enforced FROM f),
+g AS (SELECT *, CASE WHEN no_class THEN true WHEN no_scope OR enforced THEN false ELSE a IN (1, 3) END AS a_risk, CASE WHEN no_class OR no_scope OR enforced THEN false ELSE a IN (0, 1) END AS duty FROM t),
+h AS (SELECT *, (q_risk OR a_risk) AND NOT classed AND NOT assumed AS open FROM g),
+r AS (SELECT *, CASE WHEN open AND p = 'ENGINEERING' AND i = 'REQUIREMENTS' THEN 'engineering_requirements_needs_classification' WHEN open AND p = 'ENGINEERING' AND duty THEN 'engineering_normative_needs_classification' WHEN open AND p = 'LEGAL' AND duty THEN 'legal_conditionalize_requirements'
+  WHEN no_class AND p = 'ENGINEERING' THEN 'engineering_classification_no_evidence' WHEN no_class THEN 'legal_classification_no_evidence' WHEN enforced THEN 'engineering_enforcement' WHEN no_scope THEN 'engineering_scope_no_evidence' END AS gate FROM h)
+SELECT k, gate, coalesce(gate IN ('engineering_requirements_needs_classification', 'engineering_normative_needs_classification'), false) OR no_scope AS abstained,
+  CASE gate WHEN 'engineering_requirements_needs_classification' THEN 'Krav kan ikke fastlægges, før klassifikation er afklaret.' WHEN 'engineering_normative_needs_classification' THEN 'Krav kan ikke fastlægges, før klassifikation er afklaret.'
+    WHEN 'legal_conditionalize_requirements' THEN 'Bemærk: Jeg kan ikke konkludere klassifikation (fx højrisiko) ud fra de fundne kilder alene. Krav afhænger af klassifikationen.' WHEN 'legal_classification_no_evidence' THEN 'Kan ikke afgøres ud fra den foreliggende evidens, om systemet er ''højrisiko''. Klassifikation afhænger af systemets anvendelse og relevante kategorier.'
+    ELSE CASE WHEN gate IS NULL THEN [{", ".join(f"'{x}'" for x in _SAID)}][(a + 1)::INT] ELSE '1. Klassifikation og betingelser' END END AS first_line FROM r""")
+def claim_stage_gates(spark, d):
+    pick = lambda words, n: F.element_at(F.array(*(F.array(*map(F.lit, w)).cast("array<string>") if isinstance(w, list) else F.lit(w) for w in words)), (n + 1).cast("int"))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    gate = claim_stages.stage_gates(pick(_SAID, key % 4), pick(_ASKED, cust % 3), F.when(cust % 2 == 0, "ENGINEERING").otherwise("LEGAL"), pick(_INTENTS, key % 5), pick(_KINDS, cust % 4))
+    rows = _t(spark, d, "orders").select(key.alias("k"), gate.alias("g"))
+    return rows.select("k", "g.gate", "g.abstained", F.substring_index("g.answer", "\n", 1).alias("first_line"))
