@@ -80,7 +80,7 @@ def litra_addressable(chunks: DataFrame, litras: DataFrame) -> DataFrame:
     rows = rows.join(litras, ["source", "article", "paragraph"], "left")
     whole = (F.col("a") != "") & (F.col("p") != "") & (F.col("l") != "")
     named = F.exists(F.regexp_extract_all(F.lower("text"), F.lit(r"(?:^|(?<=\s))(\S+)\)(?=\s)"), F.lit(1)), lambda x: x == F.col("l"))
-    located = F.array_contains(F.transform(F.split("loc", "/"), F.trim), F.concat(F.lit("article:"), F.lower("a")))
+    located = F.array_contains(F.transform(F.split("loc", "/"), lambda p: F.trim(p)), F.concat(F.lit("article:"), F.lower("a")))
     proven = F.coalesce(F.array_contains("litras", F.col("l")), F.lit(False))
     reason = F.when(~whole, "missing_article_or_paragraph_or_litra").when(~named, "no_litra_evidence_in_chunk").when(~located, "location_id_article_mismatch").when(~proven, "litra_not_proven_in_html")
     return rows.select("chunk_id", reason.isNull().alias("ok"), reason.alias("reason"))

@@ -176,3 +176,27 @@ def sources_only(answer: Column, refs: Column, most: int = 5) -> Column:
     lines = F.transform(F.slice(found, 1, most), lambda r: F.concat(F.lit("- "), label(r), F.lit(" ["), r["idx"].cast("string"), F.lit("]")))
     spoken = (_strip(answer).isin("", "MISSING_REF")) | answer.rlike(r"\[\d{1,3}\]") | (F.size(R.anchor_mentions(answer)) > 0) | (F.size(lines) == 0)
     return F.when(spoken, answer).otherwise(F.concat(F.lit(SOURCES_ONLY + "\n"), F.array_join(lines, "\n")))
+
+
+def abstention(question: Column, hits: Column, mentioned: Column, corpus_id: Column, scope: Column, max_distance: Column, hard: float = 1.3, allow_low: Column | bool = False) -> Column:
+    """Why a question isn't answered: other_corpus, several_corpora, no_evidence, article_not_found, recital_not_found, too_far, low_evidence; else answer.
+
+    hits: array of (article, recital, distance).  A question within one corpus
+    may name no other; one that asks about an article or a recital needs a hit
+    of it, and such a hit makes up for distance.
+    """
+    question, hits = F.coalesce(question, F.lit("")), F.coalesce(hits, F.array().cast("array<struct<article:string,recital:string,distance:double>>"))
+    named = F.coalesce(mentioned, F.array().cast("array<string>"))
+    allow = allow_low if isinstance(allow_low, Column) else F.lit(allow_low)
+    article, recital = F.try_element_at(R.article_refs(question), F.lit(1)), R.recital_ref(question)
+    has_article = F.coalesce(F.exists(hits, lambda h: F.upper(h["article"]) == article), F.lit(False))
+    has_recital = F.coalesce(F.exists(hits, lambda h: F.trim(h["recital"]) == recital), F.lit(False))
+    asked = T.question_kind(question)["substantive"]
+    best = F.array_min(F.transform(hits, lambda h: h["distance"]))
+    single = F.coalesce(scope == "single", F.lit(False)) & (F.size(named) > 0)
+    return (
+        F.when(single & (F.size(named) > 1), "several_corpora").when(single & ~F.coalesce(named[0] == T.normalize_corpus(corpus_id), F.lit(False)), "other_corpus").when(F.size(hits) == 0, "no_evidence")
+        .when(article.isNotNull() & asked & ~has_article, "article_not_found").when(recital.isNotNull() & asked & ~has_recital, "recital_not_found")
+        .when(best > hard, F.when(has_article, "answer").otherwise("too_far"))
+        .when((best > max_distance) & ~has_article & ~has_recital & ~allow, "low_evidence").otherwise("answer")
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import place as P
 from ..operators import citation_chain, claim_stages, claims
 from .queries import _t, query
 
@@ -128,3 +129,41 @@ def claim_stage_gates(spark, d):
     gate = claim_stages.stage_gates(pick(_SAID, key % 4), pick(_ASKED, cust % 3), F.when(cust % 2 == 0, "ENGINEERING").otherwise("LEGAL"), pick(_INTENTS, key % 5), pick(_KINDS, cust % 4))
     rows = _t(spark, d, "orders").select(key.alias("k"), gate.alias("g"))
     return rows.select("k", "g.gate", "g.abstained", F.substring_index("g.answer", "\n", 1).alias("first_line"))
+
+
+_QUESTIONS = ["Hvad siger artikel 3?", "Hvad siger betragtning 5?", "Artikel 3", "Forklar det", "Hvad betyder artikel 99"]
+_MENTIONED = [[], ["ai_act"], ["nis2"], ["ai_act", "nis2"]]
+
+
+@query(f"""WITH h AS (SELECT l_orderkey AS k, bool_or(l_suppkey % 7 = 3) AS a3, bool_or(l_partkey % 9 = 5) AS r5, round(min(l_quantity / 20), 9) AS best FROM lineitem GROUP BY 1),
+o AS (SELECT o_orderkey AS k, o_orderkey % 5 AS q, o_custkey % 4 AS m, o_custkey % 3 = 0 AS single, o_custkey % 2 = 0 AS low, a3, r5, best FROM orders LEFT JOIN h ON k = o_orderkey)
+SELECT k, CASE WHEN single AND m = 3 THEN 'several_corpora' WHEN single AND m = 2 THEN 'other_corpus' WHEN best IS NULL THEN 'no_evidence' WHEN q = 4 OR (q = 0 AND NOT a3) THEN 'article_not_found' WHEN q = 1 AND NOT r5 THEN 'recital_not_found'
+  WHEN best > 1.3 THEN CASE WHEN q IN (0, 2) AND a3 THEN 'answer' ELSE 'too_far' END WHEN best > 0.5 AND NOT (q IN (0, 2) AND a3) AND q <> 1 AND NOT low THEN 'low_evidence' ELSE 'answer' END AS decision FROM o""")
+def abstention_decisions(spark, d):
+    """Orders ask, their lines are the hits; some name the corpus that is searched, some others."""
+    hit = F.struct((F.col("l_suppkey") % 7).cast("string").alias("article"), (F.col("l_partkey") % 9).cast("string").alias("recital"), F.round(F.col("l_quantity") / 20, 9).cast("double").alias("distance"))
+    hits = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(hit).alias("hits"))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    at = lambda items, n: F.element_at(F.array(*items), (n + 1).cast("int"))
+    named = at([F.array(*map(F.lit, m)).cast("array<string>") for m in _MENTIONED], cust % 4)
+    decision = claim_stages.abstention(at(map(F.lit, _QUESTIONS), key % 5), F.col("hits"), named, F.lit("AI-Act"), F.when(cust % 3 == 0, "single").otherwise("all"), F.lit(0.5), 1.3, cust % 2 == 0)
+    return _t(spark, d, "orders").join(hits, "o_orderkey", "left").select(key.alias("k"), decision.alias("decision"))
+
+
+@query("""WITH p AS (SELECT *, p_partkey % 6 AS n, p_size::VARCHAR AS z FROM part)
+SELECT p_partkey AS k, CASE n WHEN 0 THEN 'Artikel ' || z || CASE WHEN p_size % 2 = 0 THEN ', stk. 2' || CASE WHEN p_size % 4 = 0 THEN ', litra b' ELSE '' END ELSE '' END WHEN 1 THEN 'Bilag ' || z || ', punkt 3' || CASE WHEN p_size % 2 = 0 THEN ', 3.1' ELSE '' END WHEN 2 THEN 'Betragtning ' || z WHEN 3 THEN 'loc:v1/chapter:' || z WHEN 4 THEN p_name ELSE '(ukendt)' END AS label,
+CASE n WHEN 0 THEN p_brand || ' | ' || p_type || CASE WHEN p_size % 2 = 0 THEN ' | Søgetermer: a, b, c, d, e | Roller: scope, ' || p_type ELSE '' END WHEN 1 THEN substr(repeat(p_name || ' ', 40), 1, 260) WHEN 2 THEN p_name || ' / ' || p_type WHEN 3 THEN '<loc:v1/chapter:' || z || '>' WHEN 4 THEN '<' || p_name || '>' ELSE '<(ukendt)>' END AS excerpt,
+p_brand || CASE n WHEN 0 THEN ', Artikel ' || z || ' (' || p_name || ')' || CASE WHEN p_size % 2 = 0 THEN ', stk. 2' || CASE WHEN p_size % 4 = 0 THEN ', litra b' ELSE '' END ELSE '' END WHEN 1 THEN ', Bilag ' || z || ', punkt 3' WHEN 2 THEN ', Betragtning ' || z WHEN 3 THEN ', Kapitel ' || z ELSE '' END || CASE WHEN p_size % 5 = 0 THEN ', → Artikel 9' ELSE '' END AS display FROM p""")
+def prompt_labels(spark, d):
+    """Labels, excerpts and display names of passages with each kind of place, and of those without one."""
+    n, size, z = F.col("p_partkey") % 6, F.col("p_size"), F.col("p_size").cast("string")
+    meta = {
+        "source": F.col("p_brand"), "article": F.when(n == 0, z), "article_title": F.col("p_name"), "paragraph": F.when((n == 0) & (size % 2 == 0), "2"), "litra": F.when((n == 0) & (size % 4 == 0), "b"), "annex": F.when(n == 1, z), "annex_point": F.when(n == 1, "3"),
+        "annex_subpoint": F.when((n == 1) & (size % 2 == 0), "3.1"), "recital": F.when(n == 2, z), "location_id": F.when(n == 3, F.concat(F.lit("loc:v1/chapter:"), z)), "display": F.when(n == 4, F.col("p_name")), "heading_path_display": F.when(n == 0, F.col("p_brand")), "contextual_description": F.when(n == 0, F.col("p_type")),
+    }
+    meta = F.create_map(*(x for k, v in meta.items() for x in (F.lit(k), v)))
+    told = (n == 0) & (size % 2 == 0)
+    terms, roles = F.when(told, F.array(*map(F.lit, "abcdefg"))), F.when(told, F.array(F.lit("scope"), F.lit(""), F.col("p_type")))
+    text = F.when(n == 1, F.repeat(F.concat("p_name", F.lit(" ")), F.lit(40))).when(n == 2, F.concat(F.lit("\n  "), "p_name", F.lit(" \n\n"), "p_type", F.lit("\nmore")))
+    mentions = F.when(size % 5 == 0, F.lit("Artikel 9"))
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("k"), P.prompt_label(meta).alias("label"), P.prompt_excerpt(meta, terms, roles, text).alias("excerpt"), P.display_name(meta, mentions).alias("display"))
