@@ -86,8 +86,8 @@ def health_tiers(spark, d):
 
 @query("SELECT l_orderkey AS query_id, coalesce(max(l_partkey) FILTER (l_linenumber = 1), 0) AS retrieved, coalesce(max(l_partkey) FILTER (l_linenumber = 2), 0) AS injected, coalesce(max(l_partkey) FILTER (l_linenumber = 3), 0) AS scored, coalesce(max(l_partkey) FILTER (l_linenumber = 4), 0) AS selected, max(l_discount) FILTER (l_linenumber = 3) AS best, true AS passed, 1.0::DOUBLE AS score FROM lineitem GROUP BY 1")
 def pipeline_breakdown(spark, d):
-    stage = F.element_at(F.array(*map(F.lit, ["vector", "expansion", "rerank", "selection"])), F.least(F.col("l_linenumber"), F.lit(4)).cast("int"))
-    rows = _t(spark, d, "lineitem").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("query_id"), stage.alias("stage"), F.col("l_partkey").alias("n"), F.col("l_discount").alias("score"))
+    stage = F.coalesce(F.try_element_at(F.array(*map(F.lit, ["vector", "expansion", "rerank", "selection"])), F.col("l_linenumber").cast("int")), F.lit("other"))
+    rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), stage.alias("stage"), F.col("l_partkey").alias("n"), F.col("l_discount").alias("score"))
     every = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.lit("other").alias("stage"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("score"))
     return dashboard.breakdown(rows.unionByName(every))
 

@@ -124,7 +124,8 @@ _CITES = "c AS (SELECT l_orderkey AS query_id, l_linenumber::BIGINT AS idx, row_
 @query(f"WITH {_CITES} SELECT DISTINCT query_id, pos::BIGINT AS pos, idx, l_partkey AS chunk_id FROM c JOIN lineitem ON query_id = l_orderkey AND idx = l_linenumber")
 def used_references(spark, d):
     lines = _t(spark, d, "lineitem")
-    answers = lines.where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("query_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda n: F.concat(F.lit("see ["), n.cast("string"), F.lit("]"))), " ").alias("answer"))
+    said = lambda x: F.concat(F.when(x["l_returnflag"] == "R", "see [").otherwise("not ("), x["l_linenumber"].cast("string"), F.when(x["l_returnflag"] == "R", "]").otherwise(")"))
+    answers = lines.groupBy(F.col("l_orderkey").alias("query_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), said), " ").alias("answer"))
     refs = lines.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("idx"), F.concat("l_partkey", F.lit("/"), "l_linenumber").alias("chunk_id"))
     return validate.used_references(answers, refs).select("query_id", F.col("pos").cast("long").alias("pos"), F.col("idx").cast("long").alias("idx"), F.substring_index("chunk_id", "/", 1).cast("long").alias("chunk_id"))
 
@@ -138,8 +139,8 @@ def reference_gating(spark, d):
 
 @query("SELECT o_orderkey AS k FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'))")
 def uncited_answers(spark, d):
-    cited = _t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return _t(spark, d, "orders").join(cited, "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("k"))
+    cited = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("cited"))
+    return _t(spark, d, "orders").join(cited, "o_orderkey", "left").where("not coalesce(cited, false)").select(F.col("o_orderkey").alias("k"))
 
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') IS NOT NULL AS valid, len(list_filter(json_keys(props), lambda x: x <> 'k')) > 0 AS unknown_field FROM events")

@@ -261,11 +261,11 @@ def scope_articles(spark, d):
     return graph.scope_articles(graph.node_stats(_mentions(spark, d)).withColumnRenamed("node", "number"))
 
 
-@query("WITH a AS (SELECT p_partkey AS node, p_partkey AS pos, 0 AS prio FROM part WHERE p_size = 1), b AS (SELECT node, row_number() OVER (ORDER BY k DESC, node) AS pos, 1 AS prio FROM (SELECT l_partkey AS node, count(*) AS k FROM lineitem GROUP BY 1) ORDER BY k DESC, node LIMIT 25), u AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY prio, pos) AS r FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) SELECT node, pos, prio FROM u WHERE r = 1 ORDER BY prio, pos, node LIMIT 30")
+@query("WITH a AS (SELECT DISTINCT l_linenumber::BIGINT AS node, l_linenumber::BIGINT AS pos, 0 AS prio FROM lineitem), b AS (SELECT node, row_number() OVER (ORDER BY k DESC, node) AS pos, 1 AS prio FROM (SELECT l_partkey AS node, count(*) AS k FROM lineitem GROUP BY 1) ORDER BY k DESC, node LIMIT 25), u AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY prio, pos) AS r FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) SELECT node, pos, prio FROM u WHERE r = 1 ORDER BY prio, pos, node LIMIT 30")
 def expansion_priority(spark, d):
     from pyspark.sql import Window
 
-    asked = _t(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("node"), F.col("p_partkey").alias("pos"))
+    asked = _t(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("node")).distinct().withColumn("pos", F.col("node"))
     top = graph.node_stats(_mentions(spark, d)).orderBy(F.desc("mention_count"), "node").limit(25)
     top = top.select("node", F.row_number().over(Window.orderBy(F.desc("mention_count"), "node")).cast("long").alias("pos"))
     return graph.prioritised([asked, top], [None, 25])

@@ -8,6 +8,7 @@ from ..functions import refs as R
 from ..functions import text as T
 from ..operators import answers, evaluate, graph, retrieve, scorers, validate
 from ..sources import passages
+from ..sources import preflight as check
 from .queries import _tokenizer, _ADJ, _adjacent, _t, query
 
 
@@ -120,3 +121,24 @@ def alias_detection(spark, d):
     names = part.select(F.explode(F.array("p_brand", "p_type")).alias("corpus_id")).distinct()
     asked = part.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("Gælder "), F.upper("p_brand"), F.lit(" for ("), "p_type", F.lit(")?")).alias("question"))
     return retrieve.alias_matches(asked, names.withColumn("alias", F.concat(F.lit(" "), "corpus_id")))
+
+
+_ODD = [
+    "", "<ul><li><ul><li><ul><li><ul><li>x</ul></ul></ul></ul>", '<table><tr><th>h</th></tr><tr></tr><tr></tr></table><figure></figure><img alt="a"><img alt=" ">', "<dl><dt>a</dt><dd>b</dd></dl><dl></dl><pre><code>x</code></pre><math><mrow></mrow></math>",
+    '<table class="oj-table"><tr><td>Sektor</td><td>Delsektor</td><td>Type</td></tr><tr><td>a</td><td>b</td><td>c</td></tr></table>',
+    '<table class="oj-table"><tr><td>a</td></tr><tr><td>b</td></tr><tr><td>c</td></tr></table><p class="oj-note">n</p><blockquote>q</blockquote><div id="ART_6"></div><div id="cpt_I"></div><div id="anx_I"></div>',
+]
+_COUNTED = ["paragraphs", "list_items", "blockquote", "footnotes", "articles", "chapters", "annexes", "definitional_table"]
+_MISSED = ["deep_nested_list", "suspicious_table", "figure", "image_with_alt", "definition_list", "code_block", "math_formula", "unclassified_table"]
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 6 AS n, len(regexp_extract_all(html, '<p[ >]')) AS ps, len(regexp_extract_all(html, '<li[ >]')) AS lis FROM pages)
+SELECT page_id, ps + (n = 5)::INT AS paragraphs, lis + 4 * (n = 1)::INT AS list_items, (n = 5)::BIGINT AS blockquote, (n = 5)::BIGINT AS footnotes, (n = 5)::BIGINT AS articles, (n = 5)::BIGINT AS chapters, (n = 5)::BIGINT AS annexes, (n = 4)::BIGINT AS definitional_table,
+(n = 1)::BIGINT AS deep_nested_list, (n = 2)::BIGINT AS suspicious_table, (n = 2)::BIGINT AS figure, (n = 2)::BIGINT AS image_with_alt, 2 * (n = 3)::BIGINT AS definition_list, 2 * (n = 3)::BIGINT AS code_block, 2 * (n = 3)::BIGINT AS math_formula, (n = 5)::BIGINT AS unclassified_table,
+CASE n WHEN 1 THEN 'deep_nested_list' WHEN 2 THEN 'figure,suspicious_table,image_with_alt' WHEN 3 THEN 'math_formula,code_block,definition_list' WHEN 5 THEN 'unclassified_table' ELSE '' END AS warnings FROM p""")
+def preflight_map(spark, d):
+    """The pages, each behind one of six pieces of odd markup."""
+    odd = F.element_at(F.array(*map(F.lit, _ODD)), (F.col("page_id") % 6 + 1).cast("int"))
+    found = check.preflight(_t(spark, d, "pages").select("page_id", F.concat(odd, "html").alias("html")))
+    of = lambda m, names: [F.coalesce(F.try_element_at(m, F.lit(n)), F.lit(0)).cast("long").alias(n) for n in names]
+    return found.select("page_id", *of(F.col("handled"), _COUNTED), *of(F.col("unhandled"), _MISSED), F.array_join(F.transform("warnings", lambda w: w["category"]), ",").alias("warnings"))
