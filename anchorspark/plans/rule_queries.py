@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import refs as R
 from ..functions import text as T
-from ..operators import answers, evaluate, graph, retrieve, scorers, validate
+from ..operators import answers, evaluate, graph, listing, retrieve, scorers, validate
 from ..sources import passages
 from ..sources import preflight as check
 from .queries import _tokenizer, _ADJ, _adjacent, _t, query
@@ -142,3 +142,26 @@ def preflight_map(spark, d):
     found = check.preflight(_t(spark, d, "pages").select("page_id", F.concat(odd, "html").alias("html")))
     of = lambda m, names: [F.coalesce(F.try_element_at(m, F.lit(n)), F.lit(0)).cast("long").alias(n) for n in names]
     return found.select("page_id", *of(F.col("handled"), _COUNTED), *of(F.col("unhandled"), _MISSED), F.array_join(F.transform("warnings", lambda w: w["category"]), ",").alias("warnings"))
+
+
+_ACT = "SELECT page_id, '3' || (2000 + page_id % 25) || CASE WHEN page_id % 3 = 0 THEN 'L' WHEN page_id % 7 = 0 THEN 'X' ELSE 'R' END || page_id AS celex, regexp_extract(html, '<title>([^<]*)', 1) AS t FROM pages"
+
+
+@query(f"""WITH a AS (SELECT *, lower(CASE WHEN page_id % 5 = 1 THEN '' ELSE t END) AS da, lower(t) AS en, page_id % 4 AS f FROM ({_ACT}) WHERE NOT contains(celex, 'X')),
+q AS (SELECT page_id AS query_id, CASE page_id % 400 WHEN 0 THEN substr(split_part(t, ' ', 2), 1, 4) WHEN 100 THEN substr(split_part(t, ' ', 1), 2, 9) || ' ' || split_part(t, ' ', 2) WHEN 200 THEN 'e' ELSE split_part(t, ' ', 1) || split_part(t, ' ', 2) END AS term,
+  CASE page_id % 300 WHEN 0 THEN 'RL' WHEN 100 THEN 'R' ELSE 'L' END AS letters, page_id % 200 = 0 AS forced FROM ({_ACT}) WHERE page_id % 100 = 0),
+m AS (SELECT query_id, celex, t AS title, page_id, f FROM q JOIN a ON (contains(da, lower(trim(term))) OR contains(en, lower(trim(term))) OR contains(replace(da, ' ', ''), replace(lower(trim(term)), ' ', '')) OR contains(replace(en, ' ', ''), replace(lower(trim(term)), ' ', '')) OR contains(lower(celex), lower(trim(term))))
+  AND substr(celex, 2, 4)::INT BETWEEN 2003 AND 2020 AND contains(letters, substr(celex, 6, 1)) AND (NOT forced OR f <> 1))
+SELECT query_id, celex, row_number() OVER (PARTITION BY query_id ORDER BY page_id % 90 DESC, celex) AS rank FROM m""")
+def act_listing(spark, d):
+    """Pages as acts, their titles in two languages; every hundredth asks for a part of its own title."""
+    key, title = F.col("page_id"), F.regexp_extract("html", "<title>([^<]*)", 1)
+    letter = F.when(key % 3 == 0, "L").when(key % 7 == 0, "X").otherwise("R")
+    pages = _t(spark, d, "pages").select("page_id", title.alias("t"))
+    acts = pages.select(F.concat(F.lit("3"), (key % 25 + 2000).cast("string"), letter, key.cast("string")).alias("celex"), F.when(key % 5 != 1, F.col("t")).alias("title_da"), F.col("t").alias("title_en"), F.lit(None).cast("string").alias("title_de"), F.lit(None).cast("string").alias("title_fr"),
+                        F.date_add(F.lit("2024-01-01").cast("date"), (key % 90).cast("int")).alias("date"), F.when(key % 4 == 1, False).when(key % 4 == 2, True).alias("in_force"))
+    word = lambda n: F.split_part(F.col("t"), F.lit(" "), F.lit(n))
+    term = F.when(key % 400 == 0, F.substring(word(2), 1, 4)).when(key % 400 == 100, F.concat(F.substring(word(1), 2, 9), F.lit(" "), word(2))).when(key % 400 == 200, "e").otherwise(F.concat(word(1), word(2)))
+    asked = pages.where(key % 100 == 0).select(key.alias("query_id"), term.alias("term"), F.lit(2003).alias("year_from"), F.lit(2020).alias("year_to"), F.when(key % 300 == 0, "all").when(key % 300 == 100, "regulation").otherwise("directive").alias("kind"), (key % 200 == 0).alias("in_force_only"))
+    known = listing.listed(acts)
+    return listing.search(known, listing.index(known), asked).select("query_id", "celex", "rank")
