@@ -135,3 +135,18 @@ def display_name(meta: Column, mentions: Column | None = None) -> Column:
     if mentions is not None:
         words.append(F.concat(F.lit("→ "), F.nullif(mentions, F.lit(""))))
     return F.when(F.coalesce(F.size(meta), F.lit(0)) > 0, F.array_join(F.array_compact(F.array(*words)), ", ")).otherwise(F.lit("Ukendt kilde"))
+
+
+def index_text(text: Column, meta: Column) -> Column:
+    """What is embedded of a passage: its search terms (a JSON list in the metadata), its context and its heading before the text.
+
+    A point of an annex without a title takes its first line as one, if that is short.
+    """
+    heading, text = _get(meta, "heading_path_display"), F.coalesce(text, F.lit(""))
+    first = F.nullif(F.trim(F.substring_index(text, "\n", 1)), F.lit(""))
+    untitled = _get(meta, "annex_point").isNotNull() & _get(meta, "annex_point_title").isNull() & (F.length(first) < 100) & ~first.startswith("a)")
+    named = F.when(untitled, F.coalesce(F.concat(heading, F.lit(" ("), first, F.lit(")")), first)).otherwise(heading)
+    terms = F.from_json(_get(meta, "enrichment_terms"), "array<string>")
+    words = F.when(F.size(terms) > 0, F.concat(F.lit("[Søgetermer: "), F.array_join(terms, " | "), F.lit("]")))
+    context = F.concat(F.lit("[Kontekst: "), _get(meta, "contextual_description"), F.lit("]"))
+    return F.array_join(F.array_compact(F.array(words, context, named, text)), "\n\n")

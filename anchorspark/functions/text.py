@@ -295,3 +295,10 @@ def question_kind(text: Column) -> Column:
     meant = contains_any(low, ["hvad", "forklar", "beskriv", "handler", "betyder", "krav", "forbud", "formål", "definition", "hvordan", "hvem"])
     chapter = low.rlike(r"k\s*a\s*p\s*i\s*t\s*e\s*l\s*([0-9]+|[ivxlcdm]+)") & contains_any(low, ["handler", "omhandler", "opsummer", "sammenfat", "overblik"])
     return F.struct(parts.alias("multi_part"), quote.alias("recital_quote"), meant.alias("substantive"), chapter.alias("chapter_overview"))
+
+
+def iso_date(text: Column, first_year: int = 1900, last_year: int = 2100) -> Column:
+    """The day, as written, of an ISO date or of a time with or without a zone; null for anything else and outside the years."""
+    clean = F.trim(text)
+    day = F.to_date(F.try_to_timestamp(F.regexp_extract(clean, r"^\d{4}-\d{2}-\d{2}", 0), F.lit("yyyy-MM-dd")))
+    return F.when(F.year(day).between(first_year, last_year), day)

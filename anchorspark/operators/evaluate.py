@@ -221,3 +221,11 @@ def numbered_ids(cases: DataFrame, stem: str, order: list[Column]) -> DataFrame:
     """case_id: the stem, and stem-2, stem-3 ... for later rows of the same stem."""
     n = F.row_number().over(Window.partitionBy(stem).orderBy(*order))
     return cases.withColumn("case_id", F.when(n == 1, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit("-"), n.cast("string"))))
+
+
+def citation_verification(checked: Column, least: float = 0.75) -> Column:
+    """(passed, score, message) of an answer's checked citations, a struct (verified, suspicious, overall); passed if there was nothing to check."""
+    score, n, odd = F.coalesce(checked["overall"], F.lit(1.0)), F.greatest(F.size(checked["verified"]), F.lit(0)), F.greatest(F.size(checked["suspicious"]), F.lit(0))
+    told = F.when(odd > 0, F.format_string("%d verified, %d suspicious (score: %.2f)", n, odd, score)).otherwise(F.format_string("all %d citations verified (score: %.2f)", n, score))
+    none = checked.isNull()
+    return F.struct((none | (score >= least)).alias("passed"), F.when(none, 1.0).otherwise(score).alias("score"), F.when(none, "citation verification not run").otherwise(told).alias("message"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import place as P
-from ..operators import citation_chain, claim_stages, claims
+from ..functions import text as T
+from ..operators import citation_chain, claim_stages, claims, evaluate
 from .queries import _t, query
 
 _PAIRS = "p AS (SELECT a.vec_id AS k, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
@@ -167,3 +168,33 @@ def prompt_labels(spark, d):
     text = F.when(n == 1, F.repeat(F.concat("p_name", F.lit(" ")), F.lit(40))).when(n == 2, F.concat(F.lit("\n  "), "p_name", F.lit(" \n\n"), "p_type", F.lit("\nmore")))
     mentions = F.when(size % 5 == 0, F.lit("Artikel 9"))
     return _t(spark, d, "part").select(F.col("p_partkey").alias("k"), P.prompt_label(meta).alias("label"), P.prompt_excerpt(meta, terms, roles, text).alias("excerpt"), P.display_name(meta, mentions).alias("display"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, count(*) FILTER (l_discount <= 0.06) AS good, count(*) FILTER (l_discount > 0.06) AS odd FROM lineitem GROUP BY 1),
+c AS (SELECT o_orderkey AS k, good, odd, CASE WHEN o_orderkey % 7 > 0 THEN good / (good + odd) END AS score FROM orders LEFT JOIN l ON k = o_orderkey)
+SELECT k, coalesce(score, 1.0) AS score, coalesce(score, 1.0) >= 0.75 AS passed, CASE WHEN score IS NULL THEN 'citation verification not run' WHEN odd > 0 THEN good || ' verified, ' || odd || ' suspicious' ELSE 'all ' || good || ' citations verified' END AS message FROM c""")
+def citation_verification(spark, d):
+    """Each order's lines are checked citations; the mark in the message is left out, as engines round it differently."""
+    good = F.array_compact(F.array_agg(F.when(F.col("l_discount") <= 0.06, F.col("l_linenumber"))))
+    lines = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(good.alias("verified"), F.array_compact(F.array_agg(F.when(F.col("l_discount") > 0.06, F.col("l_linenumber")))).alias("suspicious"))
+    checked = F.when((F.col("o_orderkey") % 7 > 0) & F.col("verified").isNotNull(), F.struct("verified", "suspicious", (F.size("verified") / (F.size("verified") + F.size("suspicious"))).alias("overall")))
+    rows = _t(spark, d, "orders").join(lines, "o_orderkey", "left").select(F.col("o_orderkey").alias("k"), evaluate.citation_verification(checked).alias("s"))
+    return rows.select("k", "s.score", "s.passed", F.regexp_replace("s.message", r" \(score: .*\)", "").alias("message"))
+
+
+@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 IN (0, 1, 2, 3) AND year(o_orderdate) BETWEEN 1993 AND 1996 THEN o_orderdate::DATE END AS day FROM orders""")
+def iso_dates(spark, d):
+    """Dates written in four ways, one that isn't a day, and one in another order."""
+    day, n = F.col("o_orderdate").cast("date").cast("string"), F.col("o_orderkey") % 6
+    text = F.when(n == 0, day).when(n == 1, F.concat(day, F.lit("T23:59:59Z"))).when(n == 2, F.concat(day, F.lit("T00:00:00.5+09:00"))).when(n == 3, F.concat(F.lit(" "), day, F.lit(" 12:00"))).when(n == 4, F.concat(F.substring(day, 1, 8), F.lit("32"))).otherwise(F.concat(F.substring(day, 9, 2), F.lit("-"), F.substring(day, 1, 7)))
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), T.iso_date(text, 1993, 1996).alias("day"))
+
+
+@query("""SELECT p_partkey AS k, CASE WHEN p_size % 3 = 0 THEN '[Søgetermer: ' || p_type || ' | ' || p_brand || ']' || chr(10) || chr(10) ELSE '' END || CASE WHEN p_size % 2 = 0 THEN '[Kontekst: ' || p_type || ']' || chr(10) || chr(10) ELSE '' END ||
+CASE p_partkey % 5 WHEN 0 THEN p_brand || ' (' || p_name || ')' || chr(10) || chr(10) WHEN 1 THEN p_name || chr(10) || chr(10) WHEN 2 THEN p_brand || chr(10) || chr(10) WHEN 3 THEN p_brand || chr(10) || chr(10) ELSE '' END || CASE WHEN p_partkey % 5 = 3 THEN 'a) ' ELSE '' END || p_name || chr(10) || p_type AS text FROM part""")
+def index_texts(spark, d):
+    """Points of annexes with and without a heading, one with a title, one that begins with a letter, and a passage without any of it."""
+    n, size = F.col("p_partkey") % 5, F.col("p_size")
+    meta = {"heading_path_display": F.when(n.isin(0, 2, 3), F.col("p_brand")), "annex_point": F.when(n < 4, "1"), "annex_point_title": F.when(n == 2, F.col("p_name")), "contextual_description": F.when(size % 2 == 0, F.col("p_type")), "enrichment_terms": F.when(size % 3 == 0, F.to_json(F.array("p_type", "p_brand"))).otherwise("no list")}
+    text = F.concat(F.when(n == 3, "a) ").otherwise(""), "p_name", F.lit("\n"), "p_type")
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("k"), P.index_text(text, F.create_map(*(x for k, v in meta.items() for x in (F.lit(k), v)))).alias("text"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import place as P
+
 CHUNK_SCHEMA = "text string, metadata map<string, string>"
 RUN_SCHEMA = "meta struct<law: string, timestamp: string, run_mode: string, duration_seconds: double>, results array<struct<case_id: string, passed: boolean, duration_ms: double, retry_count: int, escalated: boolean, scores map<string, struct<passed: boolean, score: double, message: string>>>>".replace("scores map", "scores: map")
 
@@ -32,7 +34,7 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def index_rows(chunks: DataFrame, order: list | None = None) -> DataFrame:
-    """What an index holds: rows with text, no contents rows, the last of each chunk_id, with heading and terms before the text.
+    """What an index holds: rows with text, no contents rows, the last of each chunk_id, with terms, context and heading before the text.
 
     The last is by order, columns of the rows' place in their source: by default
     the chunk_index of the metadata, then the text, whatever the files' layout.
@@ -41,7 +43,7 @@ def index_rows(chunks: DataFrame, order: list | None = None) -> DataFrame:
     rows = chunks.where((F.length(F.trim("text")) > 0) & (F.coalesce(m("doc_type"), F.lit("")) != "toc"))
     rows = rows.withColumn("chunk_id", F.coalesce(m("chunk_id"), F.sha2("text", 256)))
     rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("chunk_id").orderBy(*(order or [F.desc_nulls_last(m("chunk_index").cast("long")), F.desc("text")])))).where("r = 1")
-    return rows.select("chunk_id", F.concat_ws("\n", m("heading_path_display"), m("contextual_description"), m("enrichment_terms"), F.col("text")).alias("embed_text"), "text", "metadata")
+    return rows.select("chunk_id", P.index_text(F.col("text"), F.col("metadata")).alias("embed_text"), "text", "metadata")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
