@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import metrics
 
 
 def ordered_text(rows: DataFrame, by: str, order: str, text: str, most: int, sep: str = "\n") -> DataFrame:
@@ -186,15 +187,11 @@ def case_chunks(cases: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def distance_quantiles(best: DataFrame, value: str) -> DataFrame:
-    """count, min, p50, p80, p90, max of a column, by floor rank; ranks come from counts of each value, so no task holds all."""
-    counts = best.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("n"))
-    buckets = counts.select("v", "c", F.floor(F.col("v") * 1024).alias("b"))
-    sums = buckets.groupBy("b").agg(F.sum("c").alias("s"))
-    before = sums.select("b", (F.sum("s").over(Window.orderBy("b")) - F.col("s")).alias("start"))  # one row for each 1/1024 of distance
-    ranked = buckets.join(before, "b").withColumn("last", F.col("start") + F.sum("c").over(Window.partitionBy("b").orderBy("v"))).crossJoin(F.broadcast(total))
-    at = lambda q: F.min(F.when(F.col("last") > F.floor(F.lit(q) * (F.col("n") - 1)), F.col("v")))
-    return ranked.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("count"), F.min("v").alias("min"), at(0.5).alias("p50"), at(0.8).alias("p80"), at(0.9).alias("p90"), F.max("v").alias("max"))
+    """count, min, p50, p80, p90, max of a column, by floor rank; one row, its values null for an empty table."""
+    one = F.lit(0).alias("one")
+    at = metrics.quantiles(best.select(one, value), ["one"], value, (0.5, 0.8, 0.9), interpolated=False).select("one", F.col("p0").alias("p50"), F.col("p1").alias("p80"), F.col("p2").alias("p90"))
+    whole = best.agg(F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max")).select(one, "*")
+    return whole.join(at, "one", "left").select("count", "min", "p50", "p80", "p90", "max")
 
 
 def compare_runs(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

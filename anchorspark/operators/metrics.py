@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import new_folder, stored
+
 
 def pass_rate(passed: Column, total: Column) -> Column:
     """Passed over all in per cent; zero without any."""
@@ -23,12 +25,14 @@ def quantiles(df: DataFrame, by: list[str], value: str, at: tuple[float, ...], i
 
     Values are counted in equal steps of each group's span; only those of the
     steps that hold a wanted rank are looked at one by one, as distinct values
-    with counts, so no task gets a group.
+    with counts, so no task gets a group.  df is read three times: for the
+    spans, for the counts, and for the values looked at.
     """
     names = [f"g{i}" for i in range(len(by))]
     rows = df.where(F.col(value).isNotNull()).select(*(F.col(c).alias(k) for c, k in zip(by, names, strict=True)), F.col(value).cast("double").alias("v"))
     same = lambda x, y, cols: reduce(lambda a, b: a & b, (F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in cols), F.lit(True))
-    span = rows.groupBy(*names).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    folder = new_folder(df.sparkSession, "quantiles")
+    span = stored(rows.groupBy(*names).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")), f"{folder}/span")  # a row a group
     step = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / buckets)), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
     placed = rows.alias("r").join(span.alias("s"), same("r", "s", names)).select(*(F.col(f"r.{c}") for c in names), "v", step.alias("b"))
     counts = placed.groupBy(*names, "b").agg(F.count("*").alias("c"))
@@ -38,7 +42,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, at: tuple[float, ...], i
     wanted = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(up).alias("up"), (F.ceil(x) if up else F.floor(x)).alias("r")) for i, x in enumerate(exact) for up in (0, 1)))
     wanted = span.select(*names, F.explode(wanted).alias("w")).select(*names, "w.*")
     spots = wanted.alias("w").join(counts.alias("c"), same("w", "c", names) & (F.col("before") <= F.col("r")) & (F.col("r") < F.col("before") + F.col("c.c")))
-    spots = spots.select(*(F.col(f"w.{c}") for c in names), "i", "up", "b", (F.col("r") - F.col("before")).alias("r"))
+    spots = stored(spots.select(*(F.col(f"w.{c}") for c in names), "i", "up", "b", (F.col("r") - F.col("before")).alias("r")), f"{folder}/spots")
     near = placed.alias("p").join(spots.select(*names, "b").distinct().alias("t"), same("p", "t", [*names, "b"]), "left_semi")
     near = near.groupBy(*names, "b", "v").agg(F.count("*").alias("c"))
     near = near.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy(*names, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
