@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import metrics
+from . import metrics, rank
 
 
 def ordered_text(rows: DataFrame, by: str, order: str, text: str, most: int, sep: str = "\n") -> DataFrame:
@@ -226,3 +226,25 @@ def citation_verification(checked: Column, least: float = 0.75) -> Column:
     told = F.when(odd > 0, F.format_string("%d verified, %d suspicious (score: %.2f)", n, odd, score)).otherwise(F.format_string("all %d citations verified (score: %.2f)", n, score))
     none = checked.isNull()
     return F.struct((none | (score >= least)).alias("passed"), F.when(none, 1.0).otherwise(score).alias("score"), F.when(none, "citation verification not run").otherwise(told).alias("message"))
+
+
+def article_contents(chunks: DataFrame, most_chars: int = 400, most: int = 30, least_chars: int = 50) -> DataFrame:
+    """(corpus_id, text): a prompt's section on each corpus's first articles: number, title, and the start of the first text of some length.
+
+    chunks: corpus_id, place (their order in the corpus), article, article_title
+    and text.  An article's title is that of its first chunk; articles beyond
+    the first are counted.
+    """
+    number = F.when(F.col("article").rlike(r"^\d+$"), F.col("article").cast("bigint"))
+    long = F.when(F.length("text") > least_chars, F.col("place"))
+    rows = chunks.select("corpus_id", number.alias("number"), "place", F.coalesce("article_title", F.lit("")).alias("title"), F.col("text"), long.alias("long"))
+    each = rows.where("number is not null").groupBy("corpus_id", "number").agg(F.min_by("title", "place").alias("title"), F.min_by(F.struct("text"), "long")["text"].alias("text"))
+    first = F.concat(F.substring("text", 1, most_chars), F.when(F.length("text") > most_chars, "...").otherwise(""))
+    body = F.nullif(F.trim(F.replace(first, F.lit("\n"), F.lit(" "))), F.lit(""))
+    lines = F.concat(F.array(F.concat(F.lit("### Artikel "), F.col("number").cast("string"), F.lit(": "), F.col("title"))), F.when(body.isNotNull(), F.array(F.concat(F.lit("Indhold: "), body))).otherwise(F.array().cast("array<string>")), F.array(F.lit("")))
+    placed = rank.top_k(each.select("corpus_id", "number", lines.alias("lines")), ["corpus_id"], [F.asc("number")], most, "r")
+    shown = placed.groupBy("corpus_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("number", "lines"))), lambda s: s["lines"])).alias("lines"))  # at most so many articles
+    total = rows.groupBy("corpus_id").agg(F.count_distinct("number").alias("n"))
+    more = F.when(F.col("n") > most, F.array(F.concat(F.lit("... og "), (F.col("n") - most).cast("string"), F.lit(" yderligere artikler")))).otherwise(F.array().cast("array<string>"))
+    text = F.when(F.col("n") == 0, "(Ingen artikler fundet)").otherwise(F.array_join(F.concat("lines", more), "\n"))
+    return total.join(shown, "corpus_id", "left").select("corpus_id", text.alias("text"))

@@ -198,3 +198,14 @@ def index_texts(spark, d):
     meta = {"heading_path_display": F.when(n.isin(0, 2, 3), F.col("p_brand")), "annex_point": F.when(n < 4, "1"), "annex_point_title": F.when(n == 2, F.col("p_name")), "contextual_description": F.when(size % 2 == 0, F.col("p_type")), "enrichment_terms": F.when(size % 3 == 0, F.to_json(F.array("p_type", "p_brand"))).otherwise("no list")}
     text = F.concat(F.when(n == 3, "a) ").otherwise(""), "p_name", F.lit("\n"), "p_type")
     return _t(spark, d, "part").select(F.col("p_partkey").alias("k"), P.index_text(text, F.create_map(*(x for k, v in meta.items() for x in (F.lit(k), v)))).alias("text"))
+
+
+@query("""WITH c AS (SELECT source, doc_id % 40 AS n, doc_id, 'T' || doc_id AS title, text FROM documents WHERE doc_id % 41 > 0),
+a AS (SELECT source, n, min_by(title, doc_id) AS title, min_by(text, doc_id) FILTER (length(text) > 50) AS text, row_number() OVER (PARTITION BY source ORDER BY n) AS r, count(*) OVER (PARTITION BY source) AS total FROM c GROUP BY source, n),
+b AS (SELECT *, trim(replace(CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE text END, chr(10), ' ')) AS body FROM a WHERE r <= 5)
+SELECT source AS corpus_id, string_agg('### Artikel ' || n || ': ' || title || chr(10) || CASE WHEN coalesce(body, '') <> '' THEN 'Indhold: ' || body || chr(10) ELSE '' END, chr(10) ORDER BY n) || CASE WHEN any_value(total) > 5 THEN chr(10) || '... og ' || any_value(total) - 5 || ' yderligere artikler' ELSE '' END AS text FROM b GROUP BY source""")
+def article_contents(spark, d):
+    """Documents as the chunks of a source's articles; some have no article."""
+    key = F.col("doc_id")
+    chunks = _t(spark, d, "documents").select(F.col("source").alias("corpus_id"), key.alias("place"), F.when(key % 41 > 0, (key % 40).cast("string")).otherwise("II").alias("article"), F.concat(F.lit("T"), key.cast("string")).alias("article_title"), "text")
+    return evaluate.article_contents(chunks, 60, 5)
