@@ -180,7 +180,7 @@ def retrieval_probe(spark, d):
 
 
 _BODY = "d.text"
-_SCORED = f"""fx AS (SELECT ex.*, d.text, b.text AS question, list_distinct(regexp_extract_all(lower(b.text), '[0-9A-Za-zÆØÅæøå]+')) AS terms, regexp_extract_all(lower(d.text), '[0-9A-Za-zÆØÅæøå]+') AS tokens, (ex.query_id, ex.anchor) IN (SELECT query_id, anchor FROM hn) AS hinted FROM ex JOIN documents d ON d.doc_id = ex.chunk_id JOIN benchmark b ON b.item_id = ex.query_id % 40),
+_SCORED = f"""fx AS (SELECT ex.*, d.text, b.text AS question, list_distinct(regexp_extract_all(lower(b.text), '[0-9A-Za-zÆØÅæøå]+')) AS terms, regexp_extract_all(lower(d.text), '[0-9A-Za-zÆØÅæøå]+') AS tokens, (ex.query_id, ex.anchor) IN (SELECT query_id, anchor FROM hn) AS hinted FROM ex JOIN documents d ON d.doc_id = ex.chunk_id % (SELECT count(*) FROM documents) JOIN benchmark b ON b.item_id = ex.query_id % 40),
 sx AS (SELECT query_id, count(*) AS n, avg(len(tokens)) AS avgdl FROM fx GROUP BY 1), tx AS (SELECT query_id, chunk_id, len(tokens) AS dl, t.term, count(*) AS f FROM fx, unnest(tokens) AS t(term) WHERE list_contains(terms, t.term) GROUP BY ALL),
 dx AS (SELECT query_id, term, count(*) AS df FROM tx GROUP BY ALL), bx AS (SELECT query_id, chunk_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM tx JOIN dx USING (query_id, term) JOIN sx USING (query_id) GROUP BY ALL),
 mx AS (SELECT fx.*, coalesce(bm25, 0) AS bm25, 1 / (1 + distance) AS near_s FROM fx LEFT JOIN bx USING (query_id, chunk_id)),
@@ -193,7 +193,8 @@ SELECT query_id, round(max(score), 6) AS best, count(*) AS n, count(*) FILTER ((
 def retrieval_stages(spark, d):
     """All four stages, with a context as large as the pool: how many passages, the best score, and each hint's best passage in it."""
     vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
-    passages = vectors.select("chunk_id", _place(F.col("label")).alias("anchor"), F.col("chunk_id").alias("doc_id")).join(_t(spark, d, "documents").select("doc_id", "text"), "doc_id").drop("doc_id")
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    passages = vectors.select("chunk_id", _place(F.col("label")).alias("anchor"), (F.col("chunk_id") % docs.count()).alias("doc_id")).join(docs, "doc_id").drop("doc_id")
     passages = passages.withColumn("citable", F.col("chunk_id") % 7 != 0).withColumn("delta", F.lit(None).cast("double"))
     asked = vectors.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"), (F.col("chunk_id") % 40).alias("item_id"))
     asked = asked.join(_t(spark, d, "benchmark").select("item_id", F.col("text").alias("question")), "item_id")
