@@ -108,7 +108,9 @@ def alias_matches(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     """(query_id, corpora) whose alias stands in a question as whole words: the question's runs of words joined with aliases (corpus_id, alias)."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
     known = aliases.select("corpus_id", plain("alias").alias("run")).where("run <> ''")
-    longest = known.agg(F.max(F.size(F.split("run", " ")))).first()[0] or 1  # words of an alias
+    longest, n = known.agg(F.max(F.size(F.split("run", " "))), F.count("*")).first()  # words of an alias, aliases
+    longest = longest or 1
+    known = F.broadcast(known) if n <= BROADCAST_ROWS else known.hint("merge")  # the questions' runs are never sent whole, whatever their estimate
     asked = questions.select("query_id", F.split(plain("question"), " ").alias("w"))
     starts = lambda n: F.sequence(F.lit(1), F.size("w") - n + 1)
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w"))), lambda n: F.transform(starts(n), lambda i: F.array_join(F.slice("w", i, n), " "))))

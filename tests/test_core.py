@@ -108,6 +108,15 @@ def test_filters_and_aliases(spark):
     assert [tuple(r) for r in retrieve.alias_matches(q, a).collect()] == [(1, ["ai"])]
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_runs_of_questions_are_not_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(retrieve, "BROADCAST_ROWS", most)
+    df = core.QUERIES["alias_detection"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and ("BuildRight" in plan) == (most > 0)
+    assert df.count() == 200
+
+
 BUDGET = Budget(public_tokenizers.path("byte_bpe_50k.json"))
 
 
