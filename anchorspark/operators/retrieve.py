@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .nearest import nearest
 from .rank import top_k
 
-#: More query vectors than this aren't sent to every task at once.
+#: An inverted file sends no more query vectors than this to every task at once.
 MOST_QUERIES = 10_000
+#: So many vectors and queries meet in one task.
+VECTORS_IN_BLOCK, QUERIES_IN_BLOCK = 16_384, 1024
 #: Small sides of more rows than this are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -35,15 +40,25 @@ def compile_filter(where: dict | None) -> Column:
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, where: dict | None = None, by: tuple[str, ...] = (), digits: int = 15) -> DataFrame:
     """Exact nearest rows of vectors (chunk_id, embedding) for a stated set of queries (query_id, q), by squared L2.
 
-    With by, the k nearest of each of its values.  Each task holds the queries
-    and sends on the k nearest of each; beyond MOST_QUERIES they come in blocks.
+    With by, the k nearest of each of its values.  Every block of vectors meets
+    every block of queries in a task of its own, which sends on what may be
+    among the k nearest; no block grows with the tables.
     """
-    n = queries.count()
-    if n > MOST_QUERIES:
-        blocks = -(-n // MOST_QUERIES)
-        parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)) == i) for i in range(2 * blocks)]
-        return reduce(DataFrame.unionByName, (vector_top_k(vectors, part, k, where, by, digits) for part in parts))
-    near = vectors.where(compile_filter(where)).crossJoin(F.broadcast(queries)).withColumn("distance", F.round(T.squared_l2(F.col("embedding"), F.col("q")), digits)).drop("embedding", "q")
+    vectors, queries = vectors.where(compile_filter(where)), queries.select("query_id", "q")
+    rows, columns = (max(1, -(-df.count() // most)) for df, most in ((vectors, VECTORS_IN_BLOCK), (queries, QUERIES_IN_BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = vectors.select("*", block("chunk_id", rows).alias("_row"), every(columns).alias("_column"))
+    right = queries.select("*", every(rows).alias("_row"), block("query_id", columns).alias("_column"))
+    keys, kept = ["_row", "_column"], [c for c in vectors.columns if c != "embedding"]
+    shape = vectors.drop("embedding").crossJoin(queries.select("query_id")).withColumn("distance", F.lit(0.0)).schema
+
+    def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.take(pc.sort_indices(left["chunk_id"], null_placement="at_start"))
+        i, j, d = nearest(left, right, k, list(by), digits)
+        return left.select(kept).take(pa.array(i)).append_column("query_id", right["query_id"].take(pa.array(j))).append_column("distance", pa.array(d))
+
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(candidates, shape).withColumn("distance", F.round("distance", digits))
     return top_k(near, ["query_id", *by], [F.asc("distance"), F.asc("chunk_id")], k)
 
 

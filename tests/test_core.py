@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import duckdb
 import pytest
 import public_tokenizers
@@ -117,6 +120,32 @@ def test_runs_of_questions_are_not_broadcast(spark, monkeypatch, most):
     assert df.count() == 200
 
 
+@pytest.mark.parametrize("by", [(), ("label",)])
+def test_nearest_in_blocks(spark, monkeypatch, by):
+    """Copies, a vector of another size, a null component, NaN and vectors too large for a product, in blocks of a few rows."""
+    rng = random.Random(1)
+    rows = [(i, rng.randrange(2), [float(rng.randrange(3)) for _ in range(3)]) for i in range(40)] + [(90, 0, [1e200, 0.0, 0.0]), (91, 1, [float("nan")] * 3), (92, 0, [1.0, None, 1.0]), (93, 1, [1.0]), (94, 0, None)]
+    v = spark.createDataFrame(rows, "chunk_id long, label int, embedding array<double>")
+    q = v.where("chunk_id % 10 = 0 and chunk_id < 90").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
+    monkeypatch.setattr(retrieve, "VECTORS_IN_BLOCK", 7)
+    monkeypatch.setattr(retrieve, "QUERIES_IN_BLOCK", 3)
+    whole = [r for r in rows if r[0] < 92]
+    for k in (1, 5, 100):
+        want = []
+        for i, _, x in rows[:40:10]:
+            for part in ([whole] if not by else [[r for r in whole if r[1] == n] for n in (0, 1)]):
+                far = sorted((math.isnan(d), d, c) for c, _, e in part for d in [sum((a - b) * (a - b) for a, b in zip(e, x))])
+                want += [(i, c) for _, _, c in far[:k]]
+        found = retrieve.vector_top_k(v, q, k, by=by, digits=6)
+        assert sorted((r["query_id"], r["chunk_id"]) for r in found.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["vector_topk_l2", "discovery_scores", "rrf_fusion", "hint_injection", "anchor_rescue", "expansion_stage", "retrieval_probe", "scoped_search"])
+def test_no_pair_of_vectors_is_a_row(spark, name):
+    plan = core.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
 BUDGET = Budget(public_tokenizers.path("byte_bpe_50k.json"))
 
 
