@@ -105,6 +105,10 @@ def _joined(*parts: Column) -> Column:
 
 def prompt_label(meta: Column) -> Column:
     """How a prompt names a passage: its article, annex or recital with the parts of it, else its reference, location, path or display."""
+    return T.let(meta, _prompt_label)  # the map is built once a row, however many of its values are read
+
+
+def _prompt_label(meta: Column) -> Column:
     g = lambda k: _get(meta, k)
     base = F.coalesce(*(F.concat(F.lit(f"{name} "), g(k)) for k, name in (("article", "Artikel"), ("annex", "Bilag"), ("recital", "Betragtning"))))
     point = F.concat(F.lit(", punkt "), g("annex_point"), _joined(F.concat(F.lit(", "), g("annex_subpoint"))))
@@ -114,22 +118,35 @@ def prompt_label(meta: Column) -> Column:
 
 def prompt_excerpt(meta: Column, terms: Column, roles: Column, text: Column) -> Column:
     """What a prompt tells of a passage, at most 400 characters: path, description, up to five terms, roles; else its first two lines; else its label."""
+    return T.let(meta, lambda m: _prompt_excerpt(m, terms, roles, text))
+
+
+def _prompt_excerpt(meta: Column, terms: Column, roles: Column, text: Column) -> Column:
     g = lambda k: _get(meta, k)
     some = lambda words, name: F.when(F.size(words) > 0, F.concat(F.lit(f"{name}: "), F.nullif(F.array_join(F.filter(words, lambda w: F.length(w) > 0), ", "), F.lit(""))))
     told = F.array_compact(F.array(g("heading_path_display"), g("contextual_description"), some(F.slice(terms, 1, 5), "Søgetermer"), some(roles, "Roller")))
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s: F.trim(s)), lambda s: s != "")
     raw = F.nullif(F.substring(F.array_join(F.slice(lines, 1, 2), " / "), 1, 260), F.lit(""))
-    return F.when(F.size(told) > 0, F.substring(F.array_join(told, " | "), 1, 400)).otherwise(F.coalesce(raw, F.concat(F.lit("<"), prompt_label(meta), F.lit(">"))))
+    return F.when(F.size(told) > 0, F.substring(F.array_join(told, " | "), 1, 400)).otherwise(F.coalesce(raw, F.concat(F.lit("<"), _prompt_label(meta), F.lit(">"))))
 
 
 def display_name(meta: Column, mentions: Column | None = None) -> Column:
     """A passage's source and place in words, with titles; the place comes from its location where no field tells it."""
-    kinds = ("chapter", "section", "article", "annex", "recital", "citation", "preamble")
-    unplaced = F.coalesce(*(_get(meta, k) for k in kinds)).isNull()
-    parts = T.location_parts(F.coalesce(_get(meta, "location_id"), F.lit("")))
+    return T.let(meta, lambda m: T.let(_location_places(m), lambda parts: _display_name(m, parts, mentions)))
+
+
+_KINDS = ("chapter", "section", "article", "annex", "recital", "citation", "preamble")
+
+
+def _location_places(meta: Column) -> Column:
+    """The parts of a passage's location, null if a field tells its place."""
+    return F.when(F.coalesce(*(_get(meta, k) for k in _KINDS)).isNull(), T.location_parts(F.coalesce(_get(meta, "location_id"), F.lit(""))))
+
+
+def _display_name(meta: Column, parts: Column, mentions: Column | None) -> Column:
     upper = ("chapter", "section", "article", "annex", "annex_section")
     found = lambda k: F.try_element_at(parts, F.lit(k))
-    g = lambda k: F.coalesce(_get(meta, k), F.when(unplaced, F.upper(found(k)) if k in upper else found(k)) if k in (*kinds, "annex_point") else F.lit(None).cast("string"))
+    g = lambda k: F.coalesce(_get(meta, k), (F.upper(found(k)) if k in upper else found(k)) if k in (*_KINDS, "annex_point") else F.lit(None).cast("string"))
     one = lambda name, k, titled=False: F.concat(F.lit(name), g(k), _joined(F.concat(F.lit(" ("), _get(meta, f"{k}_title"), F.lit(")"))) if titled else F.lit(""))
     words = [_get(meta, "source"), one("Kapitel ", "chapter", True), one("Afsnit ", "section", True), one("Artikel ", "article", True), one("stk. ", "paragraph"), one("litra ", "litra"), one("Bilag ", "annex", True), one("punkt ", "annex_point"), one("Betragtning ", "recital"), one("Citation ", "citation"), one("Præambel ", "preamble"), one("side ", "page")]
     if mentions is not None:

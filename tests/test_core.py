@@ -146,6 +146,15 @@ def test_no_pair_of_vectors_is_a_row(spark, name):
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
+def test_labels_build_their_map_once(spark):
+    plan = core.QUERIES["prompt_labels"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("map(") <= 6
+
+
+def test_official_pages_are_dealt_to_tasks(spark):
+    assert core.QUERIES["official_passages"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 BUDGET = Budget(public_tokenizers.path("byte_bpe_50k.json"))
 
 
