@@ -99,7 +99,8 @@ def classification_articles(spark, d):
 SELECT page_id, chunk_index::INT AS chunk_index, 'II' AS chapter, n AS article, '1' AS paragraph, litra, m AS article_title, text FROM r""")
 def official_passages(spark, d):
     html = F.concat(F.lit('<div id="cpt_ii"><div id="art_'), "p_size", F.lit('"><p class="oj-ti-art">Artikel '), "p_size", F.lit('</p><p class="oj-sti-art">'), "p_name", F.lit("</p><p>1. Rule "), "p_brand", F.lit("</p><p>a)</p><p>"), "p_type", F.lit("</p></div></div>"))
-    pages = _t(spark, d, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    part = _t(spark, d, "part").repartition(4 * spark.sparkContext.defaultParallelism)  # a small file of many pages is one or two tasks
+    pages = part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
     return passages.passages(pages, _tokenizer(), "official").select("page_id", "chunk_index", "chapter", "article", "paragraph", "litra", "article_title", "text")
 
 

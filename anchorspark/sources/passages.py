@@ -1,4 +1,4 @@
-"""Passages of HTML pages, one scan a page, as a table function over Arrow batches.
+"""Passages of HTML pages, one scan a page, as a table function.
 
 In SQL, after ``register(spark)``::
 
@@ -28,7 +28,7 @@ SCHEMA = "chunk_index int, " + ", ".join(f"{x} string" for x in _TEXTS) + ", n_t
 _LAYOUTS = {"generic": html.chunk_html, "official": official.chunk_official}
 
 
-@udtf(returnType=SCHEMA, useArrow=True)
+@udtf(returnType=SCHEMA, useArrow=False)  # with Arrow each page would make a table of its own
 class HtmlPassages:
     """The passages of one page; the tokenizer is loaded once a task."""
 
