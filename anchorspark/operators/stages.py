@@ -126,19 +126,19 @@ def expand(hits: DataFrame, articles: DataFrame, chunks: DataFrame, most_anchors
     return hits.select(columns).unionByName(fresh.select(columns)), hinted.groupBy("query_id").agg(F.array_sort(F.collect_set("anchor")).alias("hints"))
 
 
-def retrieve_context(questions: DataFrame, vectors: DataFrame, passages: DataFrame, articles: DataFrame, pool: int = 50, cap: int = 20) -> DataFrame:
+def retrieve_context(questions: DataFrame, vectors: DataFrame, passages: DataFrame, articles: DataFrame, pool: int = 50, cap: int = 20, digits: int = 15) -> DataFrame:
     """The four stages: query_id, chunk_id, rank, position and the score of the context's passages.
 
     questions: query_id, q, question; vectors: chunk_id, embedding; passages:
     chunk_id, text, anchor, citable, delta (null without a profile); articles:
     query_id, node, from the graph.  The chunks of hinted anchors are measured
-    against their own query only.
+    against their own query only.  All distances are rounded to digits.
     """
-    near = retrieve.vector_top_k(vectors, questions.select("query_id", "q"), pool).select("query_id", "chunk_id", "distance")
+    near = retrieve.vector_top_k(vectors, questions.select("query_id", "q"), pool, digits=digits).select("query_id", "chunk_id", "distance")
     near = near.join(passages.select("chunk_id", "anchor"), "chunk_id")
     hinted = articles.select("query_id", node_anchor(F.col("node")).alias("anchor")).distinct().join(passages.select("anchor", "chunk_id"), "anchor")
     hinted = hinted.join(vectors, "chunk_id").join(questions.select("query_id", "q"), "query_id")
-    hinted = hinted.select("query_id", "anchor", "chunk_id", T.squared_l2(F.col("embedding"), F.col("q")).alias("distance"))
+    hinted = hinted.select("query_id", "anchor", "chunk_id", F.round(T.squared_l2(F.col("embedding"), F.col("q")), digits).alias("distance"))
     hits, hints = expand(near, articles, hinted)
     full = hits.join(passages.drop("anchor"), "chunk_id").join(questions.select("query_id", "question"), "query_id").join(hints, "query_id", "left")
     scores = rank.bm25(full.select("query_id", F.col("chunk_id").alias("doc_id"), "question", "text"))
