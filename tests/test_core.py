@@ -155,6 +155,16 @@ def test_official_pages_are_dealt_to_tasks(spark):
     assert core.QUERIES["official_passages"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_first_of_equal_lines_names_a_node(spark, tmp_path):
+    """DuckDB's arg_min keeps the first of equal places."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT 1::BIGINT AS l_orderkey, 7::BIGINT AS l_partkey, 1::INT AS l_linenumber, q::DOUBLE AS l_quantity, 0.06::DOUBLE AS l_tax, s AS l_linestatus, 'A' AS l_returnflag FROM (VALUES (50, 'O'), (41, 'F'), (45, 'F')) t(q, s)) TO '{tmp_path}/lineitem.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = con.execute(core.ORACLE_SQL["node_merge"]).fetchall()
+    got = core.QUERIES["node_merge"](spark, str(tmp_path)).select("node", "mention_count", "title", "chapter", "roles").collect()
+    assert [tuple(r) for r in got] == want == [(7, 3, "t50", "O", ["A"])]
+
+
 BUDGET = Budget(public_tokenizers.path("byte_bpe_50k.json"))
 
 
