@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from anchorspark.functions import text as T
-from anchorspark.operators import evaluate, graph, metrics, rank, retrieve, validate
+from anchorspark.operators import evaluate, graph, metrics, rank, retrieve, stages, validate
 from anchorspark.plans import answer_queries, evaluation_queries  # noqa: F401  register their queries
 from anchorspark.plans import queries as core
 from anchorspark.sources import html, tables
@@ -165,6 +165,15 @@ def test_first_of_equal_lines_names_a_node(spark, tmp_path):
     assert [tuple(r) for r in got] == want == [(7, 3, "t50", "O", ["A"])]
 
 
+def test_stages_rank_by_rounded_distances(spark):
+    asked = spark.createDataFrame([(1, [0.0], "x")], "query_id long, q array<double>, question string")
+    vectors = spark.createDataFrame([(5, [1.0]), (3, [1.00000001])], "chunk_id long, embedding array<double>")
+    passages = vectors.select("chunk_id", F.lit("a").alias("text"), F.lit("article:1").alias("anchor"), F.lit(True).alias("citable"), F.lit(None).cast("double").alias("delta"))
+    articles = spark.createDataFrame([(1, "9")], "query_id long, node string")
+    order = lambda digits: [r["chunk_id"] for r in stages.retrieve_context(asked, vectors, passages, articles, digits=digits).orderBy("rank").collect()]
+    assert (order(15), order(6)) == ([5, 3], [3, 5])
+
+
 BUDGET = Budget(public_tokenizers.path("byte_bpe_50k.json"))
 
 
