@@ -8,7 +8,6 @@ import pyarrow.compute as pc
 
 #: Distances that are held at once.
 _CELLS = 1 << 21
-_EPS = float(np.finfo(np.float64).eps)
 
 
 def _matrices(lists: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -31,48 +30,102 @@ def _codes(table: pa.Table, by: list[str]) -> np.ndarray:
     return code
 
 
-def _bounds(v: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of all squared distances, by the product's greatest rounding error."""
-    norms = np.square(q).sum(1)[:, None] + np.square(v).sum(1)
-    d, error = norms - 2 * (q @ v.T), 4 * (v.shape[1] + 4) * _EPS * norms
-    low, high = d - error, d + error
-    for i in np.flatnonzero(~np.isfinite(high).all(axis=1)):  # too large to be told apart by the product
-        j = np.flatnonzero(~np.isfinite(high[i]))
-        low[i, j] = high[i, j] = np.nan_to_num(np.square(v[j] - q[i]).sum(1), nan=np.inf, posinf=np.inf)
-    return low, high
+def _first_copies(v: np.ndarray, code: np.ndarray, k: int) -> np.ndarray:
+    """Rows but those that have k equal ones with the same code before them."""
+    whole = np.ascontiguousarray(np.c_[code.astype(np.float64), v])
+    _, kind = np.unique(whole.view(np.dtype((np.void, whole.shape[1] * 8))).ravel(), return_inverse=True)
+    order = np.argsort(kind, kind="stable")
+    begins = np.flatnonzero(np.r_[True, np.diff(kind[order]) > 0])
+    return np.sort(order[np.arange(len(v)) - np.repeat(begins, np.diff(np.r_[begins, len(v)])) < k])
 
 
-def _first(v: np.ndarray, q: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, unit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of v that may be among the k nearest to q once distances are rounded to units, and their distances; of equal distances the first k rows."""
-    near = np.flatnonzero(low <= np.partition(high, k - 1)[k - 1] + unit) if len(v) > k else np.arange(len(v))
-    d = np.square(v[near] - q).cumsum(axis=1)[:, -1] if v.shape[1] else np.zeros(len(near))  # added from the first to the last, as an SQL expression does
-    order = np.lexsort((near, d))
-    near, d, place = near[order], d[order], np.arange(len(near))
-    begins = np.maximum.accumulate(np.where(np.r_[True, d[1:] != d[:-1]][: len(d)], place, 0)) if len(d) else place
-    keep = (place < k) | ((d <= d[min(k, len(d)) - 1] + unit) & (place - begins < k)) if len(d) else place > 0
-    return near[keep], d[keep]
+class _Product:
+    """What is close to queries by one matrix product of vectors and queries, both less the vectors' mean; exact up to a stated error."""
+
+    def __init__(self, v: np.ndarray, q: np.ndarray, real: type) -> None:
+        top = float(np.finfo(real).max) / 16  # larger squares are left to the exact distances
+        fits = np.square(v).sum(1) < top
+        mean = v[fits].mean(axis=0) if fits.any() else np.zeros(v.shape[1])
+        v, q = v - mean, q - mean
+        v2, self.q2 = np.square(v).sum(1), np.square(q).sum(1)
+        self.far, self.far_q = ~(v2 < top), ~(self.q2 < top)
+        v[self.far], v2[self.far], q[self.far_q], self.q2[self.far_q] = 0, np.inf, 0, 0
+        self.left, self.right = np.c_[-2 * q, np.ones(len(q))].astype(real), np.c_[v, v2].astype(real).T
+        self.error, self.least, self.real = 4 * (v.shape[1] + 4) * float(np.finfo(real).eps), 64 * (v.shape[1] + 4) * float(np.finfo(real).tiny), real
+
+    def close(self, some: slice, cuts: list[int], k: int, unit: float) -> np.ndarray:
+        """For each of some queries, which vectors may be among the k nearest between two cuts.
+
+        The product errs by at most e (q² + v²), and v² <= 2 q² + 2 d for a squared distance d.
+        """
+        p, q2, e = self.left[some] @ self.right, self.q2[some], self.error
+        mark = np.empty(p.shape, dtype=bool)
+        for a, b in zip(cuts, cuts[1:]):
+            d = (_kth(p[:, a:b], k).astype(np.float64) + q2 + 3 * e * q2 + self.least) / (1 - 2 * e)
+            most = (d + unit) * (1 + 2 * e) + 3 * e * q2 - q2 + self.least
+            np.less_equal(p[:, a:b], np.nextafter(most.astype(self.real), self.real(np.inf))[:, None], out=mark[:, a:b])
+        mark[:, self.far] = True
+        mark[self.far_q[some]] = True
+        return mark
+
+
+def _kth(x: np.ndarray, k: int) -> np.ndarray:
+    """A value that at least k of each row don't exceed, infinite if there are fewer: the k-th of the least values of parts."""
+    if x.shape[1] < k:
+        return np.full(len(x), np.inf)
+    parts = max(1, x.shape[1] // (8 * k))
+    if parts > 1:
+        wide = x.shape[1] // parts
+        x = x[:, : parts * wide].reshape(len(x), parts, wide).min(axis=1)
+    return np.partition(x, k - 1, axis=1)[:, k - 1]
+
+
+def _distances(v: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows i of q and j of v, added from the first to the last component, as an SQL expression does."""
+    out, step = np.zeros(len(i)), max(1, _CELLS // max(1, v.shape[1]))
+    for at in range(0, len(i) if v.shape[1] else 0, step):
+        out[at : at + step] = np.square(v[j[at : at + step]] - q[i[at : at + step]]).cumsum(axis=1)[:, -1]
+    return out
+
+
+def _first(group: np.ndarray, d: np.ndarray, k: int, unit: float) -> np.ndarray:
+    """Rows, sorted by group, that may be among the k nearest of their group once distances are rounded to units; of equal distances the first k rows."""
+    order = np.lexsort((d, group))
+    group, d, place = group[order], d[order], np.arange(len(order))
+    new = np.r_[True, np.diff(group) != 0]
+    begins = np.flatnonzero(new)
+    ends = np.r_[begins[1:], len(order)]
+    begin, last = (np.repeat(x, ends - begins) for x in (begins, np.minimum(begins + k, ends) - 1))
+    equal = np.maximum.accumulate(np.where(new | np.r_[True, d[1:] != d[:-1]], place, 0))
+    return order[(place - begin < k) | ((d <= d[last] + unit) & (place - equal < k))]
 
 
 def nearest(vectors: pa.Table, queries: pa.Table, k: int, by: list[str], digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows of vectors, rows of queries, squared distances): for each query and each of by's values all rows that may be among its k nearest.
 
     vectors (chunk_id, embedding, ...), sorted by chunk_id; queries (q).  Rows with a null or with
-    another number of components than a query have no distance to it.
+    another number of components than a query have no distance to it.  The product has short
+    floats; where these can't tell many vectors apart, long ones.
     """
     held, code, unit, out = _matrices(vectors["embedding"]), _codes(vectors, by), 1.01 * 10.0**-digits, []
     with np.errstate(all="ignore"):
         for n, (qs, q) in _matrices(queries["q"]).items():
-            if n not in held or not len(held[n][0]):
+            if n not in held or not len(held[n][0]) or not len(qs):
                 continue
             rows, v = held[n]
             order = np.argsort(code[rows], kind="stable")
-            rows, v = rows[order], v[order]
-            cuts = [0, *(np.flatnonzero(np.diff(code[rows])) + 1), len(rows)]
+            order = order[_first_copies(v[order], code[rows][order], k)]
+            rows, v, group = rows[order], v[order], code[rows][order]
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(rows)]
+            short, long = _Product(v, q, np.float32), None
             step = max(1, _CELLS // len(rows))
             for at in range(0, len(qs), step):
-                low, high = _bounds(v, q[at : at + step])
-                for i in range(len(low)):
-                    for a, b in zip(cuts, cuts[1:]):
-                        near, d = _first(v[a:b], q[at + i], low[i, a:b], high[i, a:b], k, unit)
-                        out.append((rows[a + near], np.full(len(near), qs[at + i]), d))
+                mark = short.close(slice(at, at + step), cuts, k, unit)
+                if np.count_nonzero(mark) > len(mark) * (64 * k * (len(cuts) - 1)):
+                    long = long or _Product(v, q, np.float64)
+                    mark = long.close(slice(at, at + step), cuts, k, unit)
+                i, j = np.divmod(np.flatnonzero(mark), len(rows))
+                d = _distances(v, q, at + i, j)
+                best = _first(i * (len(cuts) - 1) + np.searchsorted(cuts, j, side="right") - 1, d, k, unit)
+                out.append((rows[j[best]], qs[at + i[best]], d[best]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))

@@ -15,8 +15,8 @@ from .rank import top_k
 
 #: An inverted file sends no more query vectors than this to every task at once.
 MOST_QUERIES = 10_000
-#: So many vectors and queries meet in one task.
-VECTORS_IN_BLOCK, QUERIES_IN_BLOCK = 16_384, 1024
+#: So many vectors and queries, of so many components, meet in one task.  Few blocks keep what is sent on, k for each of them and each query, and the copies of both tables few.
+VECTORS_IN_BLOCK, QUERIES_IN_BLOCK, VALUES_IN_BLOCK = 65_536, 8192, 1 << 22
 #: Small sides of more rows than this are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -37,6 +37,12 @@ def compile_filter(where: dict | None) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
+def _blocks(df: DataFrame, values: str, most: int) -> int:
+    """How many blocks of at most so many rows, and of about VALUES_IN_BLOCK components, df makes."""
+    n, size = df.agg(F.count("*"), F.sum(F.greatest(F.size(values), F.lit(0)))).first()
+    return max(1, -(-n // most), -(-(size or 0) // VALUES_IN_BLOCK))
+
+
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, where: dict | None = None, by: tuple[str, ...] = (), digits: int = 15) -> DataFrame:
     """Exact nearest rows of vectors (chunk_id, embedding) for a stated set of queries (query_id, q), by squared L2.
 
@@ -45,7 +51,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, where: dic
     among the k nearest; no block grows with the tables.
     """
     vectors, queries = vectors.where(compile_filter(where)), queries.select("query_id", "q")
-    rows, columns = (max(1, -(-df.count() // most)) for df, most in ((vectors, VECTORS_IN_BLOCK), (queries, QUERIES_IN_BLOCK)))
+    rows, columns = (_blocks(df, values, most) for df, values, most in ((vectors, "embedding", VECTORS_IN_BLOCK), (queries, "q", QUERIES_IN_BLOCK)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     left = vectors.select("*", block("chunk_id", rows).alias("_row"), every(columns).alias("_column"))
