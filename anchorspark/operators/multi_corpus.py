@@ -25,6 +25,14 @@ from .rank import reciprocal_rank_fusion
 HITS = "query_id long, corpus_id string, chunk_id long, distance double"
 
 
+def _counts(tables: dict[str, DataFrame]) -> dict[str, int]:
+    """Rows of each table that has any, by one job."""
+    if not tables:
+        return {}
+    each = [rows.select(F.lit(name).alias("name")) for name, rows in tables.items()]
+    return {r["name"]: r["count"] for r in reduce(DataFrame.unionByName, each).groupBy("name").count().collect()}
+
+
 def retrieve_each(spark: SparkSession, corpora: dict[str, Callable[[], DataFrame]], timeout: float = 3.0, workers: int = 16, schema: str = HITS) -> tuple[DataFrame, DataFrame]:
     """(hits of all corpora that were done in time, (corpus_id, status, hits, error)).
 
@@ -36,13 +44,12 @@ def retrieve_each(spark: SparkSession, corpora: dict[str, Callable[[], DataFrame
     names = list(corpora)
     tags = {name: f"corpus-{run}-{n}" for n, name in enumerate(names)}
 
-    def one(n: int, name: str) -> tuple[DataFrame, int]:
+    def one(n: int, name: str) -> DataFrame:
         spark.sparkContext.addJobTag(tags[name])
         try:
             fields = spark.createDataFrame([], schema).schema
             rows = corpora[name]().select(*(F.col(f.name).cast(f.dataType) for f in fields))
-            rows = stored(rows.withColumn("corpus_id", F.lit(name)) if "corpus_id" in fields.names else rows, f"{folder}/{n}")
-            return rows, rows.count()
+            return stored(rows.withColumn("corpus_id", F.lit(name)) if "corpus_id" in fields.names else rows, f"{folder}/{n}")
         finally:
             spark.sparkContext.removeJobTag(tags[name])
 
@@ -50,7 +57,7 @@ def retrieve_each(spark: SparkSession, corpora: dict[str, Callable[[], DataFrame
     began = time.monotonic()
     jobs = {name: pool.submit(inheritable_thread_target(one), n, name) for n, name in enumerate(names)}
     wait(jobs.values(), timeout=max(0.0, timeout - (time.monotonic() - began)))
-    done, status = [], []
+    done, status = {}, []
     for name, job in jobs.items():
         if not job.done():
             job.cancel()
@@ -59,11 +66,11 @@ def retrieve_each(spark: SparkSession, corpora: dict[str, Callable[[], DataFrame
         elif job.exception():
             status.append((name, "failed", 0, str(job.exception()).split("\n")[0][:200]))
         else:
-            rows, n = job.result()
-            done.append(rows)
-            status.append((name, "ok" if n else "empty", n, None))
+            done[name] = job.result()
     pool.shutdown(wait=False, cancel_futures=True)
-    hits = reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], schema)
+    found = _counts(done)
+    status += [(name, "ok" if found.get(name) else "empty", found.get(name, 0), None) for name in done]
+    hits = reduce(DataFrame.unionByName, done.values()) if done else spark.createDataFrame([], schema)
     return hits, spark.createDataFrame(status, "corpus_id string, status string, hits long, error string")
 
 

@@ -37,21 +37,32 @@ def compile_filter(where: dict | None) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
+def _blocks_by(df: DataFrame, values: str, most: int, by: tuple[str, ...] = ()) -> dict[tuple, int]:
+    """How many blocks of at most so many rows, and of about VALUES_IN_BLOCK components, df makes for each of by's values, a stated list."""
+    counted = df.groupBy(*by).agg(F.count("*"), F.sum(F.greatest(F.size(values), F.lit(0)))).collect()
+    return {tuple(of): max(1, -(-n // most), -(-(size or 0) // VALUES_IN_BLOCK)) for *of, n, size in counted}
+
+
 def _blocks(df: DataFrame, values: str, most: int) -> int:
-    """How many blocks of at most so many rows, and of about VALUES_IN_BLOCK components, df makes."""
-    n, size = df.agg(F.count("*"), F.sum(F.greatest(F.size(values), F.lit(0)))).first()
-    return max(1, -(-n // most), -(-(size or 0) // VALUES_IN_BLOCK))
+    return _blocks_by(df, values, most)[()]
+
+
+def blocks_by(vectors: DataFrame, queries: DataFrame, by: str) -> dict[object, tuple[int, int]]:
+    """vector_top_k's blocks for the vectors of each of by's values, counted for all of them at once."""
+    columns = _blocks(queries, "q", QUERIES_IN_BLOCK)
+    return {of: (rows, columns) for (of,), rows in _blocks_by(vectors, "embedding", VECTORS_IN_BLOCK, (by,)).items()}
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, where: dict | None = None, by: tuple[str, ...] = (), digits: int = 15) -> DataFrame:
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, where: dict | None = None, by: tuple[str, ...] = (), digits: int = 15, blocks: tuple[int, int] | None = None) -> DataFrame:
     """Exact nearest rows of vectors (chunk_id, embedding) for a stated set of queries (query_id, q), by squared L2.
 
     With by, the k nearest of each of its values.  Every block of vectors meets
     every block of queries in a task of its own, which sends on what may be
-    among the k nearest; no block grows with the tables.
+    among the k nearest; no block grows with the tables.  blocks, where they
+    are known from blocks_by, saves counting.
     """
     vectors, queries = vectors.where(compile_filter(where)), queries.select("query_id", "q")
-    rows, columns = (_blocks(df, values, most) for df, values, most in ((vectors, "embedding", VECTORS_IN_BLOCK), (queries, "q", QUERIES_IN_BLOCK)))
+    rows, columns = blocks or (_blocks(vectors, "embedding", VECTORS_IN_BLOCK), _blocks(queries, "q", QUERIES_IN_BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     left = vectors.select("*", block("chunk_id", rows).alias("_row"), every(columns).alias("_column"))

@@ -60,13 +60,13 @@ def vector_index_recall(spark, d):
 def _corpora(spark, d):
     """A corpus for each label, one without rows and one whose table isn't there."""
     vectors, queries = _vectors(spark, d)
-    labels = [r[0] for r in vectors.select("corpus_id").distinct().orderBy("corpus_id").limit(1000).collect()]  # the corpora that are searched, a stated list
+    blocks = retrieve.blocks_by(vectors, queries, "corpus_id")  # by the corpora that are searched, a stated list
 
     def search(label):
-        return lambda: retrieve.vector_top_k(vectors.where(F.col("corpus_id") == label), queries, 10, digits=6).select("query_id", "chunk_id", "distance", F.lit(None).cast("string").alias("corpus_id"))
+        return lambda: retrieve.vector_top_k(vectors.where(F.col("corpus_id") == label), queries, 10, digits=6, blocks=blocks.get(label, (1, 1))).select("query_id", "chunk_id", "distance", F.lit(None).cast("string").alias("corpus_id"))
 
     broken = lambda: spark.read.parquet(f"{d}/no such table.parquet")
-    return {str(x): search(x) for x in labels} | {"none": search(-1), "broken": broken}
+    return {str(x): search(x) for x in blocks} | {"none": search(-1), "broken": broken}
 
 
 _EACH = f"WITH {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, corpus_id ORDER BY distance, chunk_id) AS r FROM near)"
