@@ -50,11 +50,12 @@ class _Product:
         v2, self.q2 = np.square(v).sum(1), np.square(q).sum(1)
         self.far, self.far_q = ~(v2 < top), ~(self.q2 < top)
         v[self.far], v2[self.far], q[self.far_q], self.q2[self.far_q] = 0, np.inf, 0, 0
+        self.v2 = v2
         self.left, self.right = np.c_[-2 * q, np.ones(len(q))].astype(real), np.c_[v, v2].astype(real).T
         self.error, self.least, self.real = 4 * (v.shape[1] + 4) * float(np.finfo(real).eps), 64 * (v.shape[1] + 4) * float(np.finfo(real).tiny), real
 
-    def close(self, some: slice, cuts: list[int], k: int, unit: float) -> np.ndarray:
-        """For each of some queries, which vectors may be among the k nearest between two cuts.
+    def close(self, some: slice, cuts: list[int], k: int, unit: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each of some queries, which vectors may be among the k nearest between two cuts; and the product.
 
         The product errs by at most e (q² + v²), and v² <= 2 q² + 2 d for a squared distance d.
         """
@@ -66,7 +67,13 @@ class _Product:
             np.less_equal(p[:, a:b], np.nextafter(most.astype(self.real), self.real(np.inf))[:, None], out=mark[:, a:b])
         mark[:, self.far] = True
         mark[self.far_q[some]] = True
-        return mark
+        return mark, p
+
+    def rough(self, some: slice, p: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of the rows i of some queries and j of the vectors by their product, and how far these may be out; infinite for those left out of it."""
+        q2, v2 = self.q2[some][i], self.v2[j]
+        known = np.isfinite(v2) & ~self.far_q[some][i]
+        return np.where(known, p[i, j] + q2, np.inf), np.where(known, 2 * self.error * (q2 + v2) + self.least, np.inf)
 
 
 def _kth(x: np.ndarray, k: int) -> np.ndarray:
@@ -88,16 +95,39 @@ def _distances(v: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np
     return out
 
 
-def _first(group: np.ndarray, d: np.ndarray, k: int, unit: float) -> np.ndarray:
-    """Rows, sorted by group, that may be among the k nearest of their group once distances are rounded to units; of equal distances the first k rows."""
-    order = np.lexsort((d, group))
-    group, d, place = group[order], d[order], np.arange(len(order))
+def _snapped(d: np.ndarray, digits: int, out: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Distances, known but for out, rounded to so many places where there is no doubt which way, else as they are; and which are rounded."""
+    y = d * 10.0**digits
+    doubt = out * 10.0**digits + 8 * np.finfo(float).eps * (np.abs(y) + 1)
+    low, high = np.floor(y + 0.5 - doubt), np.floor(y + 0.5 + doubt)
+    sure = (low == high) & np.isfinite(y)
+    return np.where(sure, low / 10.0**digits, d), sure
+
+
+def _first(group: np.ndarray, d: np.ndarray, k: int, unit: float, equal_stay: np.ndarray | bool = False) -> np.ndarray:
+    """Rows, sorted by group, that may be among the k nearest of their group once distances are rounded to units; of equal distances the first k rows, and those marked equal_stay."""
+    stay = np.broadcast_to(equal_stay, len(d))
+    order = np.lexsort((stay, d, group))
+    group, d, stay, place = group[order], d[order], stay[order], np.arange(len(order))
     new = np.r_[True, np.diff(group) != 0]
     begins = np.flatnonzero(new)
     ends = np.r_[begins[1:], len(order)]
     begin, last = (np.repeat(x, ends - begins) for x in (begins, np.minimum(begins + k, ends) - 1))
-    equal = np.maximum.accumulate(np.where(new | np.r_[True, d[1:] != d[:-1]], place, 0))
-    return order[(place - begin < k) | ((d <= d[last] + unit) & (place - equal < k))]
+    equal = np.maximum.accumulate(np.where(new | np.r_[True, (d[1:] != d[:-1]) | (stay[1:] != stay[:-1])], place, 0))
+    return order[(place - begin < k) | ((d <= d[last] + unit) & (stay | (place - equal < k)))]
+
+
+def _thinned(group: np.ndarray, d: np.ndarray, out_by: np.ndarray, k: int, unit: float, digits: int) -> np.ndarray:
+    """Rows, sorted by group, that may be among the k nearest by distances known but for out_by; of those that surely round to one distance the first k rows, in order.
+
+    Whichever way a doubtful distance rounds, it stays.
+    """
+    known = np.isfinite(out_by)
+    if not known.any():
+        return np.arange(len(d))
+    d, sure = _snapped(d, digits, out_by)
+    few = _first(group[known], d[known], k, unit + 4 * out_by[known].max(initial=0), ~sure[known])
+    return np.sort(np.r_[np.flatnonzero(known)[few], np.flatnonzero(~known)])
 
 
 def nearest(vectors: pa.Table, queries: pa.Table, k: int, by: list[str], digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,12 +150,18 @@ def nearest(vectors: pa.Table, queries: pa.Table, k: int, by: list[str], digits:
             short, long = _Product(v, q, np.float32), None
             step = max(1, _CELLS // len(rows))
             for at in range(0, len(qs), step):
-                mark = short.close(slice(at, at + step), cuts, k, unit)
-                if np.count_nonzero(mark) > len(mark) * (64 * k * (len(cuts) - 1)):
+                some = slice(at, at + step)
+                mark, p = short.close(some, cuts, k, unit)
+                if crowded := np.count_nonzero(mark) > len(mark) * (8 * k * (len(cuts) - 1)):
                     long = long or _Product(v, q, np.float64)
-                    mark = long.close(slice(at, at + step), cuts, k, unit)
+                    mark, p = long.close(some, cuts, k, unit)
                 i, j = np.divmod(np.flatnonzero(mark), len(rows))
+                of = i * (len(cuts) - 1) + np.searchsorted(cuts, j, side="right") - 1
+                if crowded:
+                    d, out_by = long.rough(some, p, i, j)
+                    few = _thinned(of, d, out_by, k, unit, digits)
+                    i, j, of = i[few], j[few], of[few]
                 d = _distances(v, q, at + i, j)
-                best = _first(i * (len(cuts) - 1) + np.searchsorted(cuts, j, side="right") - 1, d, k, unit)
+                best = _first(of, _snapped(d, digits)[0], k, unit)
                 out.append((rows[j[best]], qs[at + i[best]], d[best]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
