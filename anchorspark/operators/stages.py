@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import refs as R
 from ..functions import text as T
+from ..sources.stored import new_folder, stored
 from . import planning, rank, retrieve
 
 _KINDS = ("article", "recital", "annex")
@@ -131,20 +132,25 @@ def retrieve_context(questions: DataFrame, vectors: DataFrame, passages: DataFra
 
     questions: query_id, q, question; vectors: chunk_id, embedding; passages:
     chunk_id, text, anchor, citable, delta (null without a profile); articles:
-    query_id, node, from the graph.  The chunks of hinted anchors are measured
-    against their own query only.  All distances are rounded to digits.
+    query_id, node, from the graph.  The nearest chunks of each hinted anchor
+    are found in blocks as the pool is, so no pair of chunk and query is a row.
+    What later stages read several times is stored.  All distances are rounded to digits.
     """
-    near = retrieve.vector_top_k(vectors, questions.select("query_id", "q"), pool, digits=digits).select("query_id", "chunk_id", "distance")
-    near = near.join(passages.select("chunk_id", "anchor"), "chunk_id")
-    hinted = articles.select("query_id", node_anchor(F.col("node")).alias("anchor")).distinct().join(passages.select("anchor", "chunk_id"), "anchor")
-    hinted = hinted.join(vectors, "chunk_id").join(questions.select("query_id", "q"), "query_id")
-    hinted = hinted.select("query_id", "anchor", "chunk_id", F.round(T.squared_l2(F.col("embedding"), F.col("q")), digits).alias("distance"))
-    hits, hints = expand(near, articles, hinted)
-    full = hits.join(passages.drop("anchor"), "chunk_id").join(questions.select("query_id", "question"), "query_id").join(hints, "query_id", "left")
+    each, folder = 3, new_folder(vectors.sparkSession, "stages")
+    places = stored(passages.select("chunk_id", "anchor"), f"{folder}/places")
+    hinted = stored(articles.select("query_id", node_anchor(F.col("node")).alias("anchor")).distinct(), f"{folder}/hinted")
+    near = retrieve.vector_top_k(vectors, questions, pool, digits=digits).select("query_id", "chunk_id", "distance")
+    near = stored(near.join(places, "chunk_id"), f"{folder}/near")
+    held = places.join(hinted.select("anchor").distinct(), "anchor", "left_semi").join(vectors.select("chunk_id", "embedding"), "chunk_id")
+    of_anchor = retrieve.vector_top_k(held, questions, each, by=("anchor",), digits=digits).select("query_id", "anchor", "chunk_id", "distance")
+    of_anchor = stored(of_anchor.join(hinted, ["query_id", "anchor"], "left_semi"), f"{folder}/of_anchor")
+    hits, hints = expand(near, articles, of_anchor, each=each)
+    full = stored(hits, f"{folder}/hits").join(passages.drop("anchor"), "chunk_id").join(questions.select("query_id", "question"), "query_id").join(hints, "query_id", "left")
     scores = rank.bm25(full.select("query_id", F.col("chunk_id").alias("doc_id"), "question", "text"))
-    scored = full.join(scores.withColumnRenamed("doc_id", "chunk_id"), ["query_id", "chunk_id"]).withColumn("hinted", F.coalesce(F.array_contains("hints", F.col("anchor")), F.lit(False)))
+    scored = full.drop("text", "question").join(scores.withColumnRenamed("doc_id", "chunk_id"), ["query_id", "chunk_id"]).withColumn("hinted", F.coalesce(F.array_contains("hints", F.col("anchor")), F.lit(False)))
     scored = rank.candidate_score(scored).withColumn("score", F.round("score", 9))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))  # of a pool
+    ranked = stored(ranked.select("query_id", "chunk_id", "anchor", "citable", "score", "rank"), f"{folder}/ranked")
     chosen = select_context(ranked, hints, cap)
     return chosen.join(ranked.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"])
 
