@@ -86,6 +86,16 @@ def lexical_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(LEXICAL_TOKEN), F.lit(0))
 
 
+def term_counts(tokens: Column) -> Column:
+    """(term, f) of each distinct token, counted within the row: the runs of the sorted tokens."""
+
+    def runs(s: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), lambda i: (i == F.size(s)) | (F.get(s, i - 1) != F.get(s, i)))
+        return let(ends, lambda e: F.transform(e, lambda i, n: F.struct(F.get(s, i - 1).alias("term"), (i - F.when(n == 0, 0).otherwise(F.get(e, n - 1))).alias("f"))))
+
+    return let(F.sort_array(tokens), runs)
+
+
 def query_intent(text: Column) -> Column:
     return first_of([(n, search(text, p)) for n, p in QUERY_INTENT], "CONTEXT")
 

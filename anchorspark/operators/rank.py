@@ -25,23 +25,37 @@ def bm25(candidates: DataFrame, query: str = "query_id", doc: str = "doc_id", qu
     return rows.groupBy(query, doc).agg(F.sum(weight).alias("bm25"))
 
 
-def bm25_corpus(questions: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75, also: DataFrame | None = None) -> DataFrame:
-    """bm25 over all documents, by an inverted join on terms: the pairs with a common term, and those of also (query_id, doc_id); any other pair's score is zero."""
+def corpus_tasks(questions: DataFrame, docs: DataFrame, pairs: int = 500_000) -> tuple[int, int]:
+    """(questions, tasks): as many tasks as hold so many pairs of document and question each."""
+    asked = questions.count()
+    return asked, min(max(docs.sparkSession.sparkContext.defaultParallelism, -(-asked * docs.count() // pairs)), 20_000)
+
+
+def bm25_corpus(questions: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75, also: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """bm25 over all documents, by an inverted join on terms: the pairs with a common term, and those of every question with also (doc_id); any other pair's score is zero.
+
+    A document's counts are made in its row and dealt by doc_id once; its pairs
+    with questions are made and added up in that task, so no pair is shuffled.
+    """
+    from .retrieve import BROADCAST_ROWS  # bounds the questions' words, not the documents'
+
+    tasks = tasks or corpus_tasks(questions, docs)[1]
     tokens = docs.select("doc_id", T.lexical_tokens(F.col("text")).alias("tokens")).select("doc_id", F.size("tokens").alias("dl"), "tokens")
     stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     terms = questions.select("query_id", F.explode(F.array_distinct(T.lexical_tokens(F.col("question")))).alias("term"))
-    from .retrieve import BROADCAST_ROWS  # bounds the questions' words, not the documents'
-
     few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # of the questions alone; a join with the words' counts adds no row
     small = F.broadcast if few else (lambda x: x)
-    tf = tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("f"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    tf = tokens.select("doc_id", "dl", F.explode(T.term_counts(F.col("tokens"))).alias("t")).select("doc_id", "dl", "t.term", "t.f").join(small(terms.select("term").distinct()), "term", "left_semi").select("doc_id", "dl", "term", "f")
+    if also is not None:
+        tf = tf.unionByName(also.select("doc_id", F.lit(0).alias("dl"), F.lit("").alias("term"), F.lit(0).alias("f")))  # no token is empty
+    tf = tf.repartition(tasks, "doc_id").groupBy("doc_id", "dl", "term").agg(F.sum("f").alias("f"))
+    df = tf.groupBy("term").agg(F.count("f").alias("df"))  # counts f, so that it reads the same exchange
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weight = idf * F.col("f") * (k1 + 1.0) / (F.col("f") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
-    terms = small(terms.join(df, "term"))  # a row for each question and word: frequent words needn't meet in one task
-    posting = tf.join(terms, "term").crossJoin(F.broadcast(stats)).select("query_id", "doc_id", weight.alias("w"))  # stats is one row
+    terms = terms.join(df.where("term <> ''"), "term")
     if also is not None:
-        posting = posting.unionByName(also.select("query_id", "doc_id", F.lit(0.0).alias("w")))
+        terms = terms.unionByName(questions.select("query_id", F.lit("").alias("term"), F.lit(0).cast("long").alias("df")))
+    posting = tf.join(small(terms), "term").crossJoin(F.broadcast(stats)).select("query_id", "doc_id", F.when(F.col("term") == "", 0.0).otherwise(weight).alias("w"))  # stats is one row; a row of terms for each question and word: frequent words needn't meet in one task
     return posting.groupBy("query_id", "doc_id").agg(F.sum("w").alias("bm25"))
 
 

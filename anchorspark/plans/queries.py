@@ -42,9 +42,12 @@ bm AS (SELECT query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * f *
 """
 
 
-def _bm25(spark, d, also=None):
-    questions = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return rank.bm25_corpus(questions, _t(spark, d, "documents"), also=also)
+def _asked(spark, d):
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+def _bm25(spark, d):
+    return rank.bm25_corpus(_asked(spark, d), _t(spark, d, "documents"))
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, round(bm25, 6) AS bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM bm) WHERE rank <= 10")
@@ -63,10 +66,13 @@ def hybrid_rerank_topk(spark, d):
     """All documents are candidates.  Of those without a common word only the ten best by role can be among the first ten."""
     docs = _t(spark, d, "documents").select("doc_id", F.when(F.lower("text").rlike("(^|[^a-z0-9])(must|shall|required)($|[^a-z0-9])"), 1.0).otherwise(0.0).alias("role_score"))
     best = docs.orderBy(F.desc("role_score"), "doc_id").limit(10).select("doc_id")
-    scored = _bm25(spark, d, _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).crossJoin(F.broadcast(best)))
+    asked = _asked(spark, d)
+    n, tasks = rank.corpus_tasks(asked, docs)
+    scored = rank.bm25_corpus(asked, _t(spark, d, "documents"), also=best, tasks=tasks)
     bounds = scored.groupBy("query_id").agg(F.min("bm25").alias("low"), F.max("bm25").alias("high"), F.count_if(F.col("bm25") > 0).alias("k"))
     bounds = bounds.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).select("query_id", F.when(F.col("k") < F.col("n"), 0.0).otherwise(F.col("low")).alias("low"), "high")
-    scored = scored.join(docs, "doc_id").join(bounds, "query_id")
+    scored = scored.join(F.broadcast(bounds) if n <= retrieve.BROADCAST_ROWS else bounds, "query_id")  # a row of bounds a question
+    scored = scored.join(docs.repartition(tasks, "doc_id").hint("shuffle_hash"), "doc_id")  # dealt as the scores are, which stay where they are
     scored = scored.withColumn("lex", F.when(F.col("high") > F.col("low"), (F.col("bm25") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0))
     final = rank.hybrid_score(F.lit(0.0), F.col("lex"), F.lit(0.0), F.col("role_score"))
     return rank.top_k(scored.select("query_id", "doc_id", F.round("lex", 6).alias("lexical"), "role_score", F.round(final, 6).alias("final_score")), ["query_id"], [F.desc("final_score"), F.asc("doc_id")], 10)
