@@ -73,7 +73,7 @@ def _scored(t: pa.Table, k: int, slack: float, part) -> pa.Table:
         kinds = {"query_id": t.schema.field("asked").type.value_type.field("query_id").type, "rid": pa.int64(), "doc_id": t.schema.field("doc_ids").type.value_type, "w": pa.float64(), "read": pa.int64()}
         return pa.schema(list(kinds.items())).empty_table()
     ids, flat = pc.list_flatten(whole["doc_ids"]).combine_chunks(), lambda c: pc.list_flatten(t[c]).to_numpy()
-    rids = pc.list_flatten(whole["rids"]).to_numpy()
+    rids, dls = (pc.list_flatten(whole[c]).to_numpy() for c in ("rids", "dls"))
     asked = t["asked"].combine_chunks()
     row, each = pc.list_parent_indices(asked).to_numpy().astype(np.int64), pc.list_flatten(asked)
     query = each.field("query_id").dictionary_encode()
@@ -83,7 +83,7 @@ def _scored(t: pa.Table, k: int, slack: float, part) -> pa.Table:
     least[q] = pc.fill_null(each.field("least"), -np.inf).to_numpy(zero_copy_only=False)
     most = idf * t["bound"].to_numpy()[row]
     offsets = np.append(0, np.cumsum(pc.list_value_length(t["rids"]).to_numpy())).astype(np.int64)
-    at, parts = np.searchsorted(rids, flat("rids")), part(flat("fs"), flat("dls"))
+    parts = part(flat("fs"), dls[at := np.searchsorted(rids, flat("rids"))])
     read = np.zeros(questions)
 
     def add(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +169,7 @@ class LexicalIndex:
         asked = stored(aside.groupBy("term").agg(F.collect_list(F.struct("query_id", "idf", "weak", "least")).alias("asked")), f"{folder}/asked")  # a row for each question that has the term
         met = self.postings.join(asked.select("term").union(self.spark.createDataFrame([("",)], "term string")), "term", "left_semi")
         tasks = min(max(self.spark.sparkContext.defaultParallelism, -(-self.totals.first()["n"] // 10_000)), 20_000)
-        dealt = met.repartition(tasks, "block").join(asked, "term", "left")
+        dealt = met.withColumn("dls", F.when(F.col("term") == "", F.col("dls"))).repartition(tasks, "block").join(asked, "term", "left")
         shape = S.StructType().add("query_id", questions.schema["query_id"].dataType).add("rid", "long").add("doc_id", self.postings.schema["doc_ids"].dataType.elementType).add("w", "double").add("read", "long")
         slack = 2 * 10.0**-digits
         scored = dealt.groupBy("block").applyInArrow(lambda t: _scored(t, k, slack, part), shape)
